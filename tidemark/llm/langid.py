@@ -115,7 +115,7 @@ class KneserNey:
         score = 1 / np.exp((least[:, None] - h) * weight[:, None]).sum(1)
         top, spread = self.limits
         empty = sizes == 0
-        rejected = empty | (least > top[best] + spread[best] * (1 + 20 / np.sqrt(np.maximum(sizes, 1))))
+        rejected = empty | (least > top[best] + np.maximum(1.5, 6 * spread[best]) * (1 + 10 / np.sqrt(np.maximum(sizes, 1))))
         names = ["und" if e else self.langs[b] for b, e in zip(best, empty, strict=True)]
         return names, np.where(empty, 0.0, score), np.where(empty, 0.0, least), rejected
 

@@ -180,9 +180,9 @@ def spectrum(h: DataFrame, key: str = "symbol") -> DataFrame:
 
 
 def dxa_coefficient(df: DataFrame, x: str, y: str, scales: list[int], key: str = "symbol", order: str = "bar_idx") -> DataFrame:
-    """rho(s): detrended covariance over the root of both detrended variances."""
+    """rho(s): mean absolute detrended product over the root of both detrended variances."""
     def mean(a: str, b: str, name: str) -> DataFrame:
-        return detrended_covariance(df, a, b, scales, key, order).groupBy(key, "s").agg(F.avg("f2").alias(name))
+        return detrended_covariance(df, a, b, scales, key, order, absolute=True).groupBy(key, "s").agg(F.avg("f2").alias(name))
 
     joined = mean(x, y, "xy").join(mean(x, x, "xx"), [key, "s"]).join(mean(y, y, "yy"), [key, "s"])
     return joined.select(key, "s", (F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))

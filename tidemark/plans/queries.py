@@ -354,7 +354,7 @@ def joint_lift(spark: SparkSession, d: str) -> DataFrame:
 DETREND = RET + """, p AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(ret - mr) OVER w AS px, sum(volume - mv) OVER w AS py FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mr, avg(volume) OVER (PARTITION BY symbol) AS mv FROM y) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
 t AS (SELECT symbol, s, i, px, py, i // s AS w FROM p, (VALUES (8), (16), (32)) g(s) WHERE i // s < n // s UNION ALL SELECT symbol, s, i, px, py, n // s + (n - 1 - i) // s FROM p, (VALUES (8), (16), (32)) g(s) WHERE (n - 1 - i) // s < n // s),
 l AS (SELECT symbol, s, w, regr_slope(px, i) AS bx, regr_intercept(px, i) AS ax, regr_slope(py, i) AS by_, regr_intercept(py, i) AS ay FROM t GROUP BY 1, 2, 3),
-f AS (SELECT symbol, s, w, avg((px - ax - bx * i) * (py - ay - by_ * i)) AS xy, avg((px - ax - bx * i) ** 2) AS xx, avg((py - ay - by_ * i) ** 2) AS yy FROM t JOIN l USING (symbol, s, w) GROUP BY 1, 2, 3)"""
+f AS (SELECT symbol, s, w, avg(abs((px - ax - bx * i) * (py - ay - by_ * i))) AS xy, avg((px - ax - bx * i) ** 2) AS xx, avg((py - ay - by_ * i) ** 2) AS yy FROM t JOIN l USING (symbol, s, w) GROUP BY 1, 2, 3)"""
 
 
 @query(DETREND + " SELECT symbol, s::INT AS s, round(avg(xy) / sqrt(avg(xx) * avg(yy)), 6) + 0.0 AS rho FROM f GROUP BY 1, 2")

@@ -262,3 +262,49 @@ def test_bootstrap_and_alternation(spark):
     marks = spark.createDataFrame([("a", i, float(p), m) for i, (p, m) in enumerate([(1, "s"), (2, "b"), (3, "b"), (4, "s"), (5, "s"), (6, "b"), (9, "s")])], "symbol string, ts long, close double, m string")
     trips = portfolio.round_trips(portfolio.alternating_trades(marks, F.col("m") == "b", F.col("m") == "s")).orderBy("entry_ts").collect()
     assert [(t.entry, t.exit) for t in trips] == [(2, 4), (6, 9)]
+
+
+def test_simulators(spark):
+    from tidemark.operators import simulate
+
+    end = simulate.gbm(spark, 3000, 12, 0.1, 0.2, dt=1 / 12).where("step = 12").agg(F.avg("value"), F.stddev(F.ln("value"))).first()
+    assert end[0] == pytest.approx(100 * math.exp(0.1), rel=0.02) and end[1] == pytest.approx(0.2, rel=0.08)
+    end = simulate.merton(spark, 3000, 12, 0.1, 0.2, 2.0, -0.1, 0.1, dt=1 / 12).where("step = 12").agg(F.avg("value")).first()
+    assert end[0] == pytest.approx(100 * math.exp(0.1), rel=0.03)
+    sd = simulate.ornstein_uhlenbeck(spark, 2000, 200, 5.0, 1.0, 0.5, dt=0.02).where("step = 200").agg(F.avg("value"), F.stddev("value")).first()
+    assert sd[0] == pytest.approx(1.0, abs=0.03) and sd[1] == pytest.approx(0.5 / 10**0.5, rel=0.08)
+    n = simulate.hawkes_thinning(spark, 200, 100.0, 0.5, 0.5, 2.0).count() / 200
+    assert n == pytest.approx(100.0, rel=0.08)
+    same = [r.value for r in simulate.garch(spark, 2, 10, 1e-6, 0.1, 0.8).orderBy("path", "step").collect()]
+    assert same == [r.value for r in simulate.garch(spark, 2, 10, 1e-6, 0.1, 0.8).orderBy("path", "step").collect()]
+    with pytest.raises(ValueError):
+        simulate.hawkes_thinning(spark, 1, 1.0, 1.0, 1.0, 1.0)
+    best, y = simulate.swarm(lambda p: p.select("id", (-((F.col("x")[0] - 3) ** 2) - (F.col("x")[1] + 1) ** 2).alias("y")), spark, [-5, -5], [5, 5], size=40, generations=8)
+    assert y > -1.0
+
+
+def test_fits(spark):
+    from tidemark.operators import fits, simulate
+
+    e = simulate.hawkes_thinning(spark, 1, 1500.0, 0.5, 0.5, 2.0).select(F.lit("a").alias("symbol"), F.col("value").alias("t"))
+    r = fits.hawkes_fit(e).first()
+    assert r.mu == pytest.approx(0.5, rel=0.35) and r.nu == pytest.approx(0.5, rel=0.35) and r.residual == pytest.approx(1.0, abs=0.05)
+    tail = spark.range(2000).select(F.pow((F.col("id") + 0.5) / 2000, -1 / 1.5).alias("x"))
+    r = fits.power_law_bootstrap(tail, "x", 1.0, 40).first()
+    assert r.delta == pytest.approx(2.5, abs=0.02) and r.p > 0.5
+    ramp = series(spark, np.random.default_rng(1).normal(size=600))
+    assert fits.dfa(ramp, "x", [8, 16, 32]).first().exponent == pytest.approx(0.5, abs=0.15)
+    level = fits.kalman_level(series(spark, [5.0] * 50), "x", 0.1, 1.0).orderBy("bar_idx").collect()
+    assert level[-1].level == pytest.approx(5.0) and level[-1].gain < level[1].gain
+    both = series(spark, [1, 2, 3, 4, 3, 2]).unionByName(series(spark, [1, 1, 2, 3, 4, 3]).withColumn("symbol", F.lit("b")))
+    got = fits.dtw_distances(both, "x", spark.createDataFrame([("a", "a"), ("a", "b")], "i string, j string")).collect()
+    assert {(r.i, r.j): r.dtw for r in got}[("a", "a")] == 0
+    account = fits.trading_account(series(spark, [10, 11, 12, 13], "close").withColumns({"act": F.lit(1e9), "turb": F.when(F.col("bar_idx") == 3, 100.0).otherwise(0.0)}), "act", turbulence="turb", cash=1000.0, order="bar_idx").orderBy("bar_idx").collect()
+    assert all(r.cash >= -1e-6 for r in account) and account[-1].held == 0 and account[0].held > 0
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(800, 2))
+    df = spark.createDataFrame([(float(a), float(b), float(a + 0.5 * rng.normal())) for a, b in x], "a double, b double, y double")
+    w, losses = fits.pnl_regression(df, ["a", "b"], "y", 25)
+    assert losses[-1] < losses[0] and w[0] > 3 * abs(w[1])
+    m = fits.matrix_spectrum(spark.createDataFrame([("x", "x", 3.0), ("y", "y", 2.0)], "i string, j string, v double"), "v")
+    assert m["singular"].tolist() == [3, 2]

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import asof, bars as B, evaluation, grid, indicators, micro, portfolio, signals as S, stats, swings
+from ..operators import asof, bars as B, evaluation, fits, grid, indicators, micro, portfolio, signals as S, simulate, stats, swings
 from ..sources import klines
 from .views import BARS, TRADES, bars, number_bars, table, trades
 
@@ -646,3 +646,155 @@ def sizing(spark: SparkSession, d: str) -> DataFrame:
 def special_functions(spark: SparkSession, d: str) -> DataFrame:
     x = spark.range(1, 60).select((F.col("id") / 3).alias("x"))
     return x.select("x", special.bessel_j0(F.col("x")).alias("j0"), special.ln_gamma(F.col("x")).alias("ln_gamma"), special.norm_cdf(F.col("x") - 10).alias("cdf"), special.kummer(-2, 1.0, F.col("x")).alias("kummer"), special.chi2_critical(F.col("x")).alias("chi2"), special.epps_curve(F.lit(0.9), F.lit(0.5), F.col("x")).alias("epps"))
+
+
+# ---- fits and simulations
+
+
+@query()
+def power_law_test(spark: SparkSession, d: str) -> DataFrame:
+    return fits.power_law_bootstrap(returns(spark, d).withColumn("x", F.abs("ret")), "x", 0.004, 100)
+
+
+@query()
+def interval_memory(spark: SparkSession, d: str) -> DataFrame:
+    return fits.conditional_intervals(stats.recurrence_intervals(bars(spark, d), "volume", [500.0, 700.0]))
+
+
+@query(RET + """, p AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(volume - mv) OVER w AS px FROM (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv FROM y) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+t AS (SELECT symbol, s, i, px, i // s AS w FROM p, (VALUES (8), (16), (32)) g(s) WHERE i // s < n // s UNION ALL SELECT symbol, s, i, px, n // s + (n - 1 - i) // s FROM p, (VALUES (8), (16), (32)) g(s) WHERE (n - 1 - i) // s < n // s),
+l AS (SELECT symbol, s, w, regr_slope(px, i) AS b, regr_intercept(px, i) AS a FROM t GROUP BY 1, 2, 3), f AS (SELECT symbol, s, w, avg((px - a - b * i) ** 2) AS f2 FROM t JOIN l USING (symbol, s, w) GROUP BY 1, 2, 3),
+m AS (SELECT symbol, s, sqrt(avg(f2)) AS f FROM f GROUP BY 1, 2) SELECT symbol, round(regr_slope(ln(f), ln(s)), 5) + 0.0 AS exponent FROM m GROUP BY 1""")
+def volume_memory(spark: SparkSession, d: str) -> DataFrame:
+    return fits.dfa(returns(spark, d), "volume", [8, 16, 32]).select("symbol", (F.round("exponent", 5) + 0.0).alias("exponent"))
+
+
+@query()
+def shuffled_memory(spark: SparkSession, d: str) -> DataFrame:
+    return fits.dfa(fits.shuffled(returns(spark, d), "volume"), "volume", [8, 16, 32])
+
+
+@query()
+def tail_forms(spark: SparkSession, d: str) -> DataFrame:
+    return fits.tail_forms(returns(spark, d).withColumn("x", F.abs("ret")), "x", ["symbol"])
+
+
+@query()
+def bessel_profiles(spark: SparkSession, d: str) -> DataFrame:
+    cells = trades(spark, d).withColumn("price", F.round(F.col("price") / 5) * 5)
+    return fits.bessel_profile(micro.volume_profile(cells, ["symbol"]), ["symbol"])
+
+
+@query(f"WITH {TRADES}, p AS (SELECT symbol, price, sum(volume)::BIGINT AS volume FROM trades GROUP BY 1, 2), t AS (SELECT *, volume / 3600.0 AS v_t, price * volume / 3600.0 AS m_t, volume / (3600.0 * 3600.0) AS v_tt, sum(volume) OVER (PARTITION BY symbol) AS total FROM p) SELECT symbol, price, round(v_t, 9) + 0.0 AS v_t, round(m_t, 9) + 0.0 AS m_t, round(price * v_tt, 9) + 0.0 AS e, round(volume / total * price * v_tt, 9) + 0.0 AS kinetic FROM t")
+def transaction_energy(spark: SparkSession, d: str) -> DataFrame:
+    p = micro.volume_profile(trades(spark, d), ["symbol"]).withColumn("total", F.sum("volume").over(Window.partitionBy("symbol")))
+    made = micro.transaction_energy(p, F.lit(3600.0), F.col("total"))
+    return made.select("symbol", "price", *[(F.round(c, 9) + 0.0).alias(c) for c in ("v_t", "m_t", "e", "kinetic")])
+
+
+@query()
+def hawkes_fits(spark: SparkSession, d: str) -> DataFrame:
+    return fits.hawkes_fit(trades(spark, d).select("symbol", (F.unix_micros("ts") / 6e7).alias("t")), 60)
+
+
+@query()
+def response_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Singular values of the matrix of mean next-day responses."""
+    x = daily(spark, d)
+    made = micro.cross_impact(x.where("ret is not null").select("day", "symbol", F.col("ret").alias("signal")), x.where("fwd is not null").select("day", "symbol", F.col("fwd").alias("ret")), "day", 1.5)
+    values = fits.matrix_spectrum(made, "mean")["singular"]
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, singular double")
+
+
+@query()
+def impact_degrees(spark: SparkSession, d: str) -> DataFrame:
+    x = daily(spark, d)
+    return micro.degrees(micro.cross_impact(x.where("ret is not null").select("day", "symbol", F.col("ret").alias("signal")), x.where("fwd is not null").select("day", "symbol", F.col("fwd").alias("ret")), "day", 0.5))
+
+
+@query()
+def kalman_levels(spark: SparkSession, d: str) -> DataFrame:
+    return fits.kalman_level(bars(spark, d).select("symbol", "bar_idx", "close"), "close", 1.0, 4.0)
+
+
+@query()
+def warping_distances(spark: SparkSession, d: str) -> DataFrame:
+    pairs = spark.createDataFrame([(a, b) for k, a in enumerate(SYMBOLS) for b in SYMBOLS[:k]], "i string, j string")
+    return fits.dtw_distances(bars(spark, d), "close", pairs)
+
+
+@query()
+def volatility_clusters(spark: SparkSession, d: str) -> DataFrame:
+    v = stats.realised_vol(returns(spark, d), "ret", 12).groupBy("symbol", F.date_trunc("day", "ts").alias("day")).agg(F.avg("rv").alias("rv"), F.sum("volume").alias("volume"))
+    return fits.volatility_clusters(v, ["rv", "volume"])
+
+
+@query(RET + """, k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM y), f AS (SELECT symbol, bar_idx, ret, i, unnest(generate_series(greatest(0, ceil((i - 99) / 20.0)::BIGINT), least(i // 20, floor((n - 100) / 20.0)::BIGINT))) AS fold FROM k WHERE n >= 100),
+c AS (SELECT symbol, fold, quantile_cont(ret, 0.4) AS lo, quantile_cont(ret, 0.6) AS hi FROM f WHERE i - fold * 20 < 80 GROUP BY 1, 2) SELECT symbol, fold, bar_idx, CASE WHEN ret > hi THEN 1 WHEN ret < lo THEN -1 ELSE 0 END AS signal FROM f JOIN c USING (symbol, fold) WHERE i - fold * 20 >= 80""")
+def percentile_signals(spark: SparkSession, d: str) -> DataFrame:
+    return fits.percentile_signal(evaluation.walk_forward(returns(spark, d), 80, 20), "ret").select("symbol", "fold", "bar_idx", "signal")
+
+
+@query()
+def agent_account(spark: SparkSession, d: str) -> DataFrame:
+    b = returns(spark, d).withColumn("act", F.signum("ret") * 100).withColumn("turb", F.abs("ret") * 5000)
+    return fits.trading_account(b, "act", turbulence="turb", order="bar_idx")
+
+
+@query()
+def normality_windows(spark: SparkSession, d: str) -> DataFrame:
+    return fits.rolling_normality(returns(spark, d).select("symbol", "bar_idx", "ret"), "ret", 20, special.norm_cdf)
+
+
+@query()
+def range_then_test(spark: SparkSession, d: str) -> DataFrame:
+    p = swings.zigzag(bars(spark, d), 0.008)
+    return fits.range_then_test(swings.scan_tr(p, swings.tr_rule_prose), swings.scan_st(p, 0.3, 0.25), 60)
+
+
+@query()
+def forward_after_range(spark: SparkSession, d: str) -> DataFrame:
+    b = bars(spark, d)
+    return fits.forward_after(swings.scan_tr(swings.zigzag(b, 0.008), swings.tr_rule_prose), b, 5)
+
+
+@query()
+def simulated_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Final values of each simulator over a few paths."""
+    made = {
+        "gbm": simulate.gbm(spark, 20, 50, 0.05, 0.2), "merton": simulate.merton(spark, 20, 50, 0.05, 0.2, 1.0, -0.1, 0.05), "garch": simulate.garch(spark, 20, 50, 1e-6, 0.1, 0.85),
+        "vg": simulate.variance_gamma(spark, 20, 50, 0.0, 0.2, -0.1, 0.2), "ou": simulate.ornstein_uhlenbeck(spark, 20, 50, 2.0, 0.0, 0.3), "hawkes": simulate.hawkes_thinning(spark, 20, 50.0, 0.5, 0.5, 1.0),
+    }
+    out = None
+    for name, df in made.items():
+        part = df.groupBy("path").agg(F.max_by("value", "step").alias("last"), F.count("*").alias("n")).withColumn("model", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query()
+def herding_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Correlation of |return| and volume by coupling."""
+    return simulate.herding(spark, [0.5, 0.9, 1.2, 1.5], 2000, 200, 0.3).groupBy("xi").agg(F.corr(F.abs("ret"), "volume").alias("corr"))
+
+
+@query()
+def grid_search(spark: SparkSession, d: str) -> DataFrame:
+    """Grid size with the largest profit on one symbol, by the swarm."""
+    b = bars(spark, d).where("symbol = 'click'").cache()
+
+    def fitness(population: DataFrame) -> DataFrame:
+        sizes = population.select("id", F.round(F.col("x")[0], 3).alias("grid_size"))
+        made = grid.crossing_sweep(b, sizes.select("grid_size").distinct(), 500.0, 2000.0, 0.0008)
+        return sizes.join(made, "grid_size").select("id", F.col("profit").alias("y"))
+
+    best, profit = simulate.swarm(fitness, spark, [0.003], [0.1], size=12, generations=2)
+    b.unpersist()
+    return spark.createDataFrame([(round(best[0], 3), profit)], "grid_size double, profit double")
+
+
+@query()
+def pnl_weights(spark: SparkSession, d: str) -> DataFrame:
+    x = daily(spark, d).where("ret is not null and fwd is not null").withColumns({"r": F.col("ret") * 100, "f": F.col("fwd") * 100, "v": F.ln("volume") - 7})
+    w, losses = fits.pnl_regression(x, ["r", "v"], "f", 10)
+    return spark.createDataFrame([("r", w[0]), ("v", w[1])], "feature string, weight double")

@@ -685,10 +685,10 @@ def bessel_profiles(spark: SparkSession, d: str) -> DataFrame:
     return fits.bessel_profile(micro.volume_profile(cells, ["symbol"]), ["symbol"])
 
 
-@query(f"WITH {TRADES}, p AS (SELECT symbol, price, sum(volume)::BIGINT AS volume FROM trades GROUP BY 1, 2), t AS (SELECT *, volume / 3600.0 AS v_t, price * volume / 3600.0 AS m_t, volume / (3600.0 * 3600.0) AS v_tt, sum(volume) OVER (PARTITION BY symbol) AS total FROM p) SELECT symbol, price, round(v_t, 9) + 0.0 AS v_t, round(m_t, 9) + 0.0 AS m_t, round(price * v_tt, 9) + 0.0 AS e, round(volume / total * price * v_tt, 9) + 0.0 AS kinetic FROM t")
+@query(f"WITH {TRADES}, p AS (SELECT symbol, price, sum(volume)::BIGINT AS volume FROM trades GROUP BY 1, 2), t AS (SELECT *, volume / 3607.0 AS v_t, price * volume / 3607.0 AS m_t, volume / (3607.0 * 3607.0) AS v_tt, sum(volume) OVER (PARTITION BY symbol) AS total FROM p) SELECT symbol, price, round(v_t, 9) + 0.0 AS v_t, round(m_t, 9) + 0.0 AS m_t, round(price * v_tt, 9) + 0.0 AS e, round(volume / total * price * v_tt, 9) + 0.0 AS kinetic FROM t")
 def transaction_energy(spark: SparkSession, d: str) -> DataFrame:
     p = micro.volume_profile(trades(spark, d), ["symbol"]).withColumn("total", F.sum("volume").over(Window.partitionBy("symbol")))
-    made = micro.transaction_energy(p, F.lit(3600.0), F.col("total"))
+    made = micro.transaction_energy(p, F.lit(3607.0), F.col("total"))
     return made.select("symbol", "price", *[(F.round(c, 9) + 0.0).alias(c) for c in ("v_t", "m_t", "e", "kinetic")])
 
 

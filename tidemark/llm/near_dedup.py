@@ -1,8 +1,8 @@
 """Near-duplicate classes by b-bit MinHash.
 
-Every document gets 128 minima over its 5-word shingles.  25 bands of 5 minima make candidates; of
-all minima the low 4 bits are kept, packed into 8 longs, and a pair's similarity is estimated from
-the bits that agree, corrected for agreement by chance.  Pairs whose estimate can reach the threshold
+Every document gets 128 minima over its 5-word shingles.  Bands of minima make candidates, as long as the
+threshold allows: 25 of 5 at 0.85, 32 of 4 at 0.8.  Of all minima the low 4 bits are kept, packed into 8 longs, and
+a pair's similarity is estimated from the bits that agree, corrected for agreement by chance.  Pairs whose estimate can reach the threshold
 are confirmed on the full shingle sets.
 
 Work stays linear in a group of copies.  Equal shingle sets collapse first.  Each band bucket is then
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .common import few, keep_rows, small_batches, stash, text_of
 from .graph import components
 
-MINIMA, BANDS, BAND_ROWS, BITS = 128, 25, 5, 4
+MINIMA, BITS = 128, 4
 LONGS = MINIMA * BITS // 64
 #: Buckets from this size on get the bound by unshared shingles.
 LARGE = 32
@@ -36,6 +36,11 @@ def _family() -> tuple[np.ndarray, np.ndarray]:
     return seeds.integers(1, 2**63, MINIMA, dtype=np.uint64) | np.uint64(1), seeds.integers(0, 2**63, MINIMA, dtype=np.uint64)
 
 
+def band_rows(percent: int, miss: float = 1e-6) -> int:
+    """Minima per band: as many as let a pair at the threshold miss all bands with probability `miss` at most."""
+    return max([1, *(r for r in range(1, 17) if (1 - (percent / 100) ** r) ** (MINIMA // r) <= miss)])
+
+
 def shingle_hashes(text: str | None, size: int = 5, seen: dict[bytes, int] | None = None) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's shingles: A-Z lower-cased, words split at ASCII white
     space, fewer words than size as one shingle, none without words."""
@@ -63,7 +68,7 @@ def shingle_hashes(text: str | None, size: int = 5, seen: dict[bytes, int] | Non
     return np.unique(h)
 
 
-def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], rows: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Band keys and packed low bits of a non-empty set's minima."""
     mul, add = family
     least = np.full(MINIMA, np.iinfo(np.uint64).max, np.uint64)
@@ -77,14 +82,15 @@ def signature(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray]) -> tu
         mixed = least * np.uint64(0xD6E8FEB86659FD93)
         low = (mixed >> np.uint64(40)) & np.uint64((1 << BITS) - 1)
         lanes = low.reshape(LONGS, -1) << (np.arange(64 // BITS, dtype=np.uint64) * np.uint64(BITS))
-        band = np.arange(1, BANDS + 1, dtype=np.uint64)
-        for k in range(BAND_ROWS):
-            band = (band ^ least[: BANDS * BAND_ROWS].reshape(BANDS, BAND_ROWS)[:, k]) * np.uint64(0x9E3779B97F4A7C15)
+        bands = MINIMA // rows
+        band = np.arange(1, bands + 1, dtype=np.uint64)
+        for k in range(rows):
+            band = (band ^ least[: bands * rows].reshape(bands, rows)[:, k]) * np.uint64(0x9E3779B97F4A7C15)
             band ^= band >> np.uint64(31)
     return band.view(np.int64), np.bitwise_or.reduce(lanes, axis=1).view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], size: int, band: int) -> Iterator[pa.RecordBatch]:
     family, seen = _family(), {}
     for batch in batches:
         counts, prints, bands, packs = [], [], [], []
@@ -92,8 +98,8 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             h = shingle_hashes(text.as_py(), size, seen)
             counts.append(len(h))
             prints.append(xxhash.xxh128_digest(h.tobytes()) if len(h) else None)
-            band, pack = signature(h, family) if len(h) else (None, None)
-            bands.append(band)
+            keys, pack = signature(h, family, band) if len(h) else (None, None)
+            bands.append(keys)
             packs.append(pack)
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -138,20 +144,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     the least doc_id reachable.  Null, empty and blank texts link with nothing.  Of a component the row
     with that doc_id is kept (null ids last); of repeated rows one.  n_links counts confirmed links of the
     document's set to other sets that the search had to read.  A link at the threshold is missed by all
-    bands with probability 4e-7 at percent=85 and by the estimate with that of slack_sigmas.  An empty
+    bands with probability 1e-6 at most and by the estimate with that of slack_sigmas.  An empty
     table gives no rows.
     """
     small_batches(docs.sparkSession)
     ids = docs.schema[id_col].dataType
     source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
     schema = f"rid long, doc_id {ids.simpleString()}, th long, n long, print binary, bands array<long>, pack array<long>"
-    signed = stash(source.mapInArrow(lambda it: _sign(it, shingle), schema), "signed")
+    signed = stash(source.mapInArrow(lambda it: _sign(it, shingle, band_rows(percent)), schema), "signed")
 
     # one node for each distinct set: the first of its rows
     classes = stash(signed.where("n > 0").groupBy("print").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = stash(signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "doc_id", "th", "n", "bands", "pack"), "nodes")
     banded = nodes.select("node", F.explode("bands").alias("band"))
-    sizes = banded.groupBy("band").count().where("count > 1")
+    sizes = banded.groupBy("band").agg(F.count("*").alias("count")).where("count > 1")
     met = stash(banded.join(sizes, "band"), "met")
 
     # the candidates' full sets, made anew from their texts
@@ -179,8 +185,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def likely() -> Column:
         return _may_link("x", "y", percent) & (estimate(F.col("x.pack"), F.col("y.pack")) >= floor)
 
-    star = led.where("node <> leader").select("leader", "node").distinct().join(traits, "node").alias("y")
-    pairs = star.join(traits.alias("x"), (F.col("y.leader") == F.col("x.node")) & likely()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    marks = traits
+    star = led.where("node <> leader").select("leader", "node").distinct().join(marks, "node").alias("y")
+    pairs = star.join(marks.alias("x"), (F.col("y.leader") == F.col("x.node")) & likely()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
     def confirmed(asked: DataFrame) -> DataFrame:
         asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

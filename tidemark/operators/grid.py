@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed a single time, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def geometric_levels(lower: Column, upper: Column, g: Column) -> Column:
     """Levels from lower by the factor 1 + g while not above upper, and one more beyond it.
 
@@ -14,7 +21,7 @@ def geometric_levels(lower: Column, upper: Column, g: Column) -> Column:
     """
     n = (F.floor(F.log(upper / lower) / F.log1p(g)) + 3).cast("int")
     grown = F.aggregate(F.sequence(F.lit(1), n), F.array(lower), lambda acc, _: F.array_append(acc, F.element_at(acc, -1) * (1 + g)))
-    return F.filter(grown, lambda x, i: (i == 0) | (F.element_at(grown, i) <= upper))
+    return _once(grown, lambda g: F.filter(g, lambda x, i: (i == 0) | (F.element_at(g, F.greatest(i, F.lit(1))) <= upper)))
 
 
 def centred_levels(price: Column, k: Column, below: int, above: int) -> Column:
@@ -47,7 +54,7 @@ def levels_below(levels: Column, price: Column) -> Column:
     return F.when((under < n) & (F.get(levels, under) < price), under + 1).otherwise(under)
 
 
-def _stay(acc: Column, lo: Column, hi: Column, add: Column, s: Column, one: Column) -> Column:
+def _stay(lo: Column, hi: Column, add: Column, s: Column, one: Column) -> Column:
     return F.struct(lo.alias("lo"), hi.alias("hi"), add.alias("c"), s.alias("s"), one.alias("one"))
 
 
@@ -62,9 +69,9 @@ def _push(acc: Column, x: Column, up: Column) -> Column:
     meets = F.when(up, x >= hi).otherwise(x <= lo)
     edge = F.when(up, hi).otherwise(lo)
     return (
-        F.when(one, _stay(acc, lo, hi, c + F.abs(moved - s), moved, one))
-        .when(meets, _stay(acc, edge, edge, c + F.abs(x - edge), x, F.lit(True)))
-        .otherwise(_stay(acc, F.when(up, F.greatest(lo, x)).otherwise(lo), F.when(up, hi).otherwise(F.least(hi, x)), c, s, one))
+        F.when(one, _stay(lo, hi, c + F.abs(moved - s), moved, one))
+        .when(meets, _stay(edge, edge, c + F.abs(x - edge), x, F.lit(True)))
+        .otherwise(_stay(F.when(up, F.greatest(lo, x)).otherwise(lo), F.when(up, hi).otherwise(F.least(hi, x)), c, s, one))
     )
 
 
@@ -80,8 +87,8 @@ def merge_summaries(parts: Column) -> Column:
     """Summary of consecutive stretches from theirs, in order: clamps compose to a clamp."""
 
     def join(acc: Column, nxt: Column) -> Column:
-        met = _push(_push(acc, nxt["lo"], F.lit(True)), nxt["hi"], F.lit(False))
-        return _stay(met, met["lo"], met["hi"], met["c"] + nxt["c"], F.when(nxt["one"], nxt["s"]).otherwise(met["s"]), met["one"])
+        up = _once(_push(acc, nxt["lo"], F.lit(True)), lambda m: _push(m, nxt["hi"], F.lit(False)))
+        return _once(up, lambda m: _stay(m["lo"], m["hi"], m["c"] + nxt["c"], F.when(nxt["one"], nxt["s"]).otherwise(m["s"]), m["one"]))
 
     return F.aggregate(parts, F.expr(_OPEN), join)
 

@@ -362,10 +362,13 @@ def detrended_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.dxa_coefficient(returns(spark, d), "ret", "volume", [8, 16, 32]))
 
 
-@query()
+@query(DETREND.replace("avg(abs((px - ax - bx * i) * (py - ay - by_ * i))) AS xy", "avg(abs(px - ax - bx * i) * abs(py - ay - by_ * i)) AS xy") + """, q AS (SELECT symbol, s, v::DOUBLE AS q, CASE WHEN v = 0 THEN exp(avg(ln(xy)) / 2) ELSE avg(xy ** (v / 2)) ** (1 / v) END AS f FROM f, (VALUES (-4.0::DOUBLE), (-2.0), (0.0), (2.0), (4.0)) g(v) GROUP BY 1, 2, v),
+h AS (SELECT symbol, q, regr_slope(ln(f), ln(s)) AS h FROM q GROUP BY 1, 2), d AS (SELECT *, (lead(h) OVER w - lag(h) OVER w) / (lead(q) OVER w - lag(q) OVER w) AS k FROM h WINDOW w AS (PARTITION BY symbol ORDER BY q))
+SELECT symbol, q, round(h, 5) + 0.0 AS h, round(q * h - 1, 5) + 0.0 AS tau, round(h + q * k, 5) + 0.0 AS alpha, round(q * q * k + 1, 5) + 0.0 AS f_alpha FROM d""")
 def multifractal(spark: SparkSession, d: str) -> DataFrame:
     w = stats.detrended_covariance(returns(spark, d), "ret", "volume", [8, 16, 32], absolute=True)
-    return stats.spectrum(stats.scaling_exponent(stats.fluctuation(w, [-4.0, -2.0, 0.0, 2.0, 4.0])))
+    made = stats.spectrum(stats.scaling_exponent(stats.fluctuation(w, [-4.0, -2.0, 0.0, 2.0, 4.0])))
+    return made.select("symbol", "q", *[(F.round(c, 5) + 0.0).alias(c) for c in ("h", "tau", "alpha", "f_alpha")])
 
 
 @query(RET + """, z AS (SELECT symbol, (ret - avg(ret) OVER (PARTITION BY symbol)) / stddev_pop(ret) OVER (PARTITION BY symbol) AS x FROM y), k AS (SELECT symbol, x, row_number() OVER (PARTITION BY symbol ORDER BY x) AS i, count(*) OVER (PARTITION BY symbol) AS n, 1 / (1 + exp(-1.702 * x)) AS f FROM z)
@@ -412,9 +415,18 @@ def grid_levels(spark: SparkSession, d: str) -> DataFrame:
     return sizes.select("grid_size", F.posexplode(grid.geometric_levels(F.lit(800.0), F.lit(1200.0), F.col("grid_size"))).alias("i", "level")).withColumn("level", F.round("level", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, sizes AS (SELECT round(0.003::DOUBLE + k * 0.001::DOUBLE, 3) AS s FROM range(0, 98) g(k)), lv AS (SELECT s, 500.0::DOUBLE AS l FROM sizes UNION ALL SELECT s, l * (1 + s) FROM lv WHERE l <= 2000),
+grids AS (SELECT s, list(l ORDER BY l) AS levels FROM lv GROUP BY 1), path AS (SELECT symbol, bar_idx, coalesce(lag(close) OVER (PARTITION BY symbol ORDER BY bar_idx), open) AS p0, low, high, close FROM bars),
+legs AS (SELECT symbol, bar_idx * 3 + j AS k, a, b FROM (SELECT symbol, bar_idx, unnest([0, 1, 2]) AS j, unnest([p0, low, high]) AS a, unnest([low, high, close]) AS b FROM path)),
+steps AS (SELECT symbol, s, k, a, b, len(list_filter(levels, lambda x: x < b)) AS below FROM legs, grids),
+folds AS (SELECT symbol, s, list(struct_pack(u := a < b, e := a = b, k := below) ORDER BY k) AS f FROM steps GROUP BY 1, 2),
+ends AS (SELECT symbol, arg_min(open, bar_idx) AS first, arg_max(close, bar_idx) AS last FROM bars GROUP BY 1),
+start AS (SELECT symbol, s, f, first, last, levels, greatest(0, coalesce(list_position(list_transform(range(1, len(levels)), lambda i: levels[i] <= first AND first < levels[i + 1]), true) - 1, 0)) AS begin_at FROM folds JOIN grids USING (s) JOIN ends USING (symbol)),
+done AS (SELECT symbol, s, levels, first, last, list_reduce(list_prepend(struct_pack(u := false, e := true, k := begin_at::BIGINT, t := 0::BIGINT), list_transform(f, lambda y: struct_pack(u := y.u, e := y.e, k := y.k::BIGINT, t := 0::BIGINT))), lambda x, y: struct_pack(u := y.u, e := y.e, k := CASE WHEN y.e THEN x.k WHEN y.u THEN greatest(x.k, y.k - 1) ELSE least(x.k, y.k) END, t := x.t + abs(CASE WHEN y.e THEN 0 WHEN y.u THEN greatest(x.k, y.k - 1) - x.k ELSE x.k - least(x.k, y.k) END))) AS r FROM start),
+res AS (SELECT symbol, s AS grid_size, (len(levels) - 1)::INT AS grid_count, (r.t)::BIGINT AS trade_count, (len(list_filter(levels, lambda x: x < greatest(first, last))) - len(list_filter(levels, lambda x: x < least(first, last))))::BIGINT AS fake_count FROM done)
+SELECT *, (trade_count - fake_count) / 2 AS arbitrage_number, round(100 / grid_count * (grid_size - 2 * 0.0008::DOUBLE) * (trade_count - fake_count) / 2, 6) + 0.0 AS profit FROM res""")
 def grid_sweep(spark: SparkSession, d: str) -> DataFrame:
-    return grid.crossing_sweep(bars(spark, d), grid.sweep_sizes(spark), 500.0, 2000.0, 0.0008)
+    return rounded(grid.crossing_sweep(bars(spark, d), grid.sweep_sizes(spark), 500.0, 2000.0, 0.0008))
 
 
 @query("SELECT m::DOUBLE AS m, n::INT AS n, m / n * (n / 2) * (n / 2 + 1) / 2 AS p_u, m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2) AS l_l, (m / n * (n / 2) * (n / 2 + 1) / 2 - m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2)) / 2 AS expected, n ** 2 / 8 - n / 4 AS cycles, n ** 2 / 4 AS e0 FROM (VALUES (600.0::DOUBLE, 6.0::DOUBLE), (1000.0, 10.0)) t(m, n)")
@@ -468,7 +480,13 @@ def forecast_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.forecast_report(x, "pred", ["symbol"]))
 
 
-@query()
+ADMIT = TCB.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT symbol, bar_idx, close, signal, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS k FROM s WHERE f = 0.0002 AND signal <> 0),
+book AS (SELECT symbol, 0::BIGINT AS k, NULL::BIGINT AS bar_idx, NULL::DOUBLE AS close, NULL::INT AS signal, NULL::VARCHAR AS verdict, []::STRUCT(k BIGINT, p DOUBLE, d INT)[] AS o FROM (SELECT DISTINCT symbol FROM a)
+UNION ALL SELECT symbol, k, bar_idx, close, signal, v, CASE WHEN v = 'admitted' THEN list_append(o, struct_pack(k := bar_idx, p := close, d := signal)) ELSE o END FROM (SELECT a.symbol, a.k, a.bar_idx, a.close, a.signal, b.o,
+  CASE WHEN len(b.o) >= 13 THEN 'cap' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND a.bar_idx <= x.k + 15)) > 0 THEN 'time' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND abs(a.close - x.p) <= 1e-4 * a.close)) > 0 THEN 'price' ELSE 'admitted' END AS v FROM book b JOIN a ON a.symbol = b.symbol AND a.k = b.k + 1) q)"""
+
+
+@query(ADMIT + " SELECT symbol, bar_idx, close AS price, signal AS direction, verdict FROM book WHERE verdict IS NOT NULL")
 def order_admission(spark: SparkSession, d: str) -> DataFrame:
     return S.admit(S.trend_signals(forecasts(spark, d), "pred", 0.0002))
 
@@ -489,12 +507,17 @@ def composite_strategy(spark: SparkSession, d: str) -> DataFrame:
     return S.composite(bars(spark, d), 120)
 
 
-@query()
+@query(TCB.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT symbol, close, signal, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM s WHERE f = 0.0002),
+e AS (SELECT symbol, 0::BIGINT AS k, 30000.0::DOUBLE AS cash, 0.0::DOUBLE AS pos, 0.0::DOUBLE AS fees, 30000.0::DOUBLE AS eq FROM (SELECT DISTINCT symbol FROM a)
+UNION ALL SELECT symbol, k, cash - z * close - abs(z) * close * 0.0008, pos + z, fees + abs(z) * close * 0.0008, cash - z * close - abs(z) * close * 0.0008 + (pos + z) * close FROM (SELECT a.symbol, a.k, a.close, e.cash, e.pos, e.fees, CASE WHEN signal = 1 THEN least(30000.0 / 13, greatest(e.cash, 0) / 1.0008) / a.close WHEN signal = -1 THEN -30000.0 / 13 / a.close ELSE 0 END AS z FROM e JOIN a ON a.symbol = e.symbol AND a.k = e.k + 1) q),
+d AS (SELECT symbol, k, eq, fees, 1 - eq / greatest(max(eq) OVER (PARTITION BY symbol ORDER BY k), 30000.0) AS dd FROM e WHERE k > 0)
+SELECT symbol, round((arg_max(eq, k) - 30000) / 30000 * 100, 4) + 0.0 AS roi, round(max(dd), 4) + 0.0 AS max_drawdown, round(max(fees), 4) + 0.0 AS fees FROM d GROUP BY 1""")
 def portfolio_report(spark: SparkSession, d: str) -> DataFrame:
     made = S.trend_signals(forecasts(spark, d), "pred", 0.0002)
     off = F.lit(False)
     signals = made.select("symbol", "ts", "close", (F.col("signal") == 1).alias("entries"), off.alias("exits"), (F.col("signal") == -1).alias("short_entries"), off.alias("short_exits"))
-    return portfolio.equity_report(portfolio.simulate(signals), 30_000.0)
+    made = portfolio.equity_report(portfolio.simulate(signals), 30_000.0)
+    return made.select("symbol", *[(F.round(c, 4) + 0.0).alias(c) for c in ("roi", "max_drawdown", "fees")])
 
 
 @query(TCB + """, a AS (SELECT symbol, ts, close, CASE WHEN signal = 1 THEN 1 ELSE -1 END AS act FROM s WHERE f = 0.001 AND signal <> 0), b AS (SELECT *, coalesce(lag(act) OVER w, -1) AS before FROM a WINDOW w AS (PARTITION BY symbol ORDER BY ts)), c AS (SELECT * FROM b WHERE act <> before),
@@ -507,31 +530,61 @@ def round_trips(spark: SparkSession, d: str) -> DataFrame:
 # ---- swings
 
 
+def swings_sql(pct: float, bars: str = "bars", name: str = "piv") -> str:
+    """CTEs that fold the bars to pivots: one recursion step per bar, the slices as list functions."""
+    return f"""arr_{name} AS (SELECT symbol, list(high ORDER BY bar_idx) AS h, list(low ORDER BY bar_idx) AS l, count(*) AS n FROM {bars} GROUP BY 1),
+z_{name} AS (SELECT symbol, 0::BIGINT AS i, 0::BIGINT AS hi_i, h[1] AS hi_p, 0::BIGINT AS lo_i, l[1] AS lo_p, 0 AS trend, NULL::BIGINT AS p_i, NULL::DOUBLE AS p_p, NULL::VARCHAR AS kind FROM arr_{name}
+UNION ALL SELECT symbol, i, CASE WHEN k = 'L' THEN lo_i + list_position(h[lo_i + 1:i + 1], list_max(h[lo_i + 1:i + 1])) - 1 ELSE hi_i END, CASE WHEN k = 'L' THEN list_max(h[lo_i + 1:i + 1]) ELSE hi_p END,
+  CASE WHEN k = 'H' THEN hi_i + list_position(l[hi_i + 1:i + 1], list_min(l[hi_i + 1:i + 1])) - 1 ELSE lo_i END, CASE WHEN k = 'H' THEN list_min(l[hi_i + 1:i + 1]) ELSE lo_p END,
+  CASE k WHEN 'H' THEN -1 WHEN 'L' THEN 1 ELSE trend END, CASE k WHEN 'H' THEN hi_i WHEN 'L' THEN lo_i END, CASE k WHEN 'H' THEN hi_p WHEN 'L' THEN lo_p END, k
+FROM (SELECT *, CASE WHEN trend >= 0 AND l[i + 1] <= hi_p * (1 - {pct}::DOUBLE) THEN 'H' WHEN trend <= 0 AND h[i + 1] >= lo_p * (1 + {pct}::DOUBLE) THEN 'L' END AS k
+  FROM (SELECT z.symbol, z.i + 1 AS i, CASE WHEN h[z.i + 2] > z.hi_p THEN z.i + 1 ELSE z.hi_i END AS hi_i, greatest(h[z.i + 2], z.hi_p) AS hi_p, CASE WHEN l[z.i + 2] < z.lo_p THEN z.i + 1 ELSE z.lo_i END AS lo_i, least(l[z.i + 2], z.lo_p) AS lo_p, z.trend, h, l FROM z_{name} z JOIN arr_{name} a USING (symbol) WHERE z.i + 1 < a.n) q) r),
+{name} AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY i) - 1 AS pivot_seq, p_i AS bar_idx, p_p AS price, kind, i AS confirm_idx FROM z_{name} WHERE kind IS NOT NULL),
+win_{name} AS (SELECT *, {", ".join(f"lead(bar_idx, {k}) OVER w AS i{k + 1}, lead(price, {k}) OVER w AS p{k + 1}, lead(confirm_idx, {k}) OVER w AS c{k + 1}" for k in range(5))} FROM {name} WINDOW w AS (PARTITION BY symbol ORDER BY pivot_seq)),
+tr_{name} AS (SELECT symbol, pivot_seq, i1, i2, i3, i4, p1, p2, p3, p4, p2 < p4 AND p4 < p3 AND p3 < p1 AS valid, p1 > p2 AND p3 < p1 AND p4 < p2 AS prose, c4 AS known FROM win_{name} WHERE kind = 'H' AND i4 IS NOT NULL)"""
+
+
+def st_sql(tol: str, bounce: str, name: str = "piv", out: str = "st") -> str:
+    return f"""{out} AS (SELECT symbol, pivot_seq, i1, i2, i3, i4, i5, p1, p2, p3, p4, p5, p1 - p2 AS "range", abs(p4 - p2) AS gap, abs(p4 - p2) <= {tol} * (p1 - p2) AS eq, p5 - p4 >= {bounce} * (p1 - p2) AS bounce, p3 - p2 <= 0.5 * (p1 - p2) AS interior,
+p3 > p2 + {tol} * (p1 - p2) AND p3 < p1 AS strict, abs(p4 - p2) <= {tol} * (p1 - p2) AND p5 - p4 >= {bounce} * (p1 - p2) AS valid, c5 AS known FROM win_{name} WHERE kind = 'H' AND i5 IS NOT NULL AND p1 - p2 > 0)"""
+
+
+SWINGS = "WITH RECURSIVE " + BARS.lstrip() + ", " + swings_sql(0.015)
+TIGHT = "WITH RECURSIVE " + BARS.lstrip() + ", " + swings_sql(0.008)
+
+
+def flat(df: DataFrame, n: int) -> DataFrame:
+    """idx and pts as columns i1.. and p1.. ."""
+    return df.select("*", *[F.col("idx")[k].alias(f"i{k + 1}") for k in range(n)], *[F.col("pts")[k].alias(f"p{k + 1}") for k in range(n)]).drop("idx", "pts")
+
+
+
 def pivots(spark: SparkSession, d: str) -> DataFrame:
     return swings.zigzag(bars(spark, d), 0.015)
 
 
-@query()
+@query(SWINGS + " SELECT * FROM piv")
 def swing_pivots(spark: SparkSession, d: str) -> DataFrame:
     return pivots(spark, d)
 
 
-@query()
+@query(SWINGS + " SELECT symbol, pivot_seq, i1, i2, i3, i4, p1, p2, p3, p4, valid, known FROM tr_piv")
 def trading_ranges(spark: SparkSession, d: str) -> DataFrame:
-    return swings.scan_tr(pivots(spark, d))
+    return flat(swings.scan_tr(pivots(spark, d)), 4)
 
 
-@query()
+@query(SWINGS + ", " + st_sql("0.15::DOUBLE", "0.5") + f" SELECT symbol, pivot_seq, i1, i2, i3, i4, i5, p1, p2, p3, p4, p5, {r6('gap')}, round(\"range\", 6) + 0.0 AS \"range\", eq, bounce, interior, strict, valid, known FROM st")
 def secondary_tests(spark: SparkSession, d: str) -> DataFrame:
-    return swings.scan_st(pivots(spark, d))
+    made = flat(swings.scan_st(pivots(spark, d)), 5)
+    return made.withColumns({c: r(c) for c in ("gap", "range")})
 
 
-@query()
+@query(SWINGS + ", " + st_sql("0.15::DOUBLE", "0.5") + " SELECT symbol, count(*) AS windows, count_if(eq)::BIGINT AS n_eq, count_if(bounce)::BIGINT AS n_bounce, count_if(interior)::BIGINT AS n_interior, count_if(strict)::BIGINT AS n_strict, count_if(valid)::BIGINT AS n_valid, round(count_if(valid) / greatest(count(*), 1), 6) + 0.0 AS hit_rate FROM st GROUP BY 1")
 def secondary_test_gates(spark: SparkSession, d: str) -> DataFrame:
-    return swings.gate_counts(swings.scan_st(pivots(spark, d)), ["eq", "bounce", "interior", "strict", "valid"])
+    return swings.gate_counts(swings.scan_st(pivots(spark, d)), ["eq", "bounce", "interior", "strict", "valid"]).withColumn("hit_rate", r("hit_rate"))
 
 
-@query()
+@query(SWINGS + ", g AS (SELECT t::DOUBLE AS tol, b::DOUBLE AS bb FROM (VALUES (0.05), (0.1), (0.15), (0.2), (0.3)) x(t), (VALUES (0.25), (0.5), (0.75)) y(b)), v AS (SELECT tol, bb, count_if(abs(p4 - p2) <= tol * (p1 - p2) AND p5 - p4 >= bb * (p1 - p2)) AS n FROM win_piv, g WHERE kind = 'H' AND i5 IS NOT NULL AND p1 - p2 > 0 GROUP BY 1, 2) SELECT tol, max(n) FILTER (bb = 0.25)::BIGINT AS \"0.25\", max(n) FILTER (bb = 0.5)::BIGINT AS \"0.5\", max(n) FILTER (bb = 0.75)::BIGINT AS \"0.75\" FROM v GROUP BY 1")
 def secondary_test_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Valid windows by tolerance (rows) and bounce (columns)."""
     grid_ = F.explode(F.array(*[F.struct(F.lit(t).alias("tol"), F.lit(b).alias("b")) for t in (0.05, 0.1, 0.15, 0.2, 0.3) for b in (0.25, 0.5, 0.75)]))
@@ -542,7 +595,7 @@ def secondary_test_sweep(spark: SparkSession, d: str) -> DataFrame:
     return st.select(parts[1].cast("double").alias("tol"), parts[2].alias("b"), F.col("valid").cast("int").alias("v")).groupBy("tol").pivot("b", ["0.25", "0.5", "0.75"]).agg(F.sum("v"))
 
 
-@query()
+@query("WITH RECURSIVE " + BARS + "".join(", " + swings_sql(pct, name=f"p{k}") for k, pct in enumerate((0.008, 0.01, 0.015, 0.02, 0.03))) + " " + " UNION ALL ".join(f"SELECT symbol, count(*) AS windows, count_if(valid)::BIGINT AS rule, count_if(prose)::BIGINT AS prose, {pct}::DOUBLE AS pct FROM tr_p{k} GROUP BY 1" for k, pct in enumerate((0.008, 0.01, 0.015, 0.02, 0.03))))
 def swing_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Windows and hits of both range rules by reversal threshold."""
     b, out = bars(spark, d), None
@@ -554,21 +607,21 @@ def swing_sweep(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query()
+@query(SWINGS + ", " + st_sql("0.3::DOUBLE", "0.25") + " SELECT a.symbol, count(*) AS pairs FROM tr_piv a JOIN st b ON a.symbol = b.symbol AND a.prose AND b.valid AND list_has_any([a.i1, a.i2, a.i3, a.i4], [b.i1, b.i2, b.i3, b.i4, b.i5]) GROUP BY 1")
 def shared_swings(spark: SparkSession, d: str) -> DataFrame:
     p = pivots(spark, d)
     return swings.shared_swings(swings.scan_tr(p, swings.tr_rule_prose), swings.scan_st(p, 0.3, 0.25))
 
 
-@query()
+@query(SWINGS + ", u AS (SELECT DISTINCT symbol, unnest([i1, i2, i3, i4]) AS bar_idx FROM tr_piv WHERE valid) SELECT * FROM piv p WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.symbol = p.symbol AND u.bar_idx = p.bar_idx)")
 def unused_pivots(spark: SparkSession, d: str) -> DataFrame:
     p = pivots(spark, d)
     return swings.unused_pivots(p, swings.scan_tr(p))
 
 
-@query()
+@query(SWINGS + ", " + st_sql("0.15::DOUBLE", "0.5") + " SELECT symbol, pivot_seq, round(p2 - 0.15 * \"range\", 6) AS band_low, round(p2 + 0.15 * \"range\", 6) AS band_high, p2 AS box_low, p1 AS box_high, i1 AS x0, i4 AS x1 FROM st WHERE valid")
 def support_bands(spark: SparkSession, d: str) -> DataFrame:
-    return swings.bands(swings.scan_st(pivots(spark, d)))
+    return rounded(swings.bands(swings.scan_st(pivots(spark, d))))
 
 
 @query()
@@ -614,10 +667,10 @@ def holding_periods(spark: SparkSession, d: str) -> DataFrame:
     return rounded(evaluation.holding_periods(returns(spark, d), "ret", "ret", 5))
 
 
-@query()
+@query(f"WITH {TRADES}, e AS (SELECT symbol, side AS channel, epoch_us(ts) / 6e7 AS t, seq, volume::DOUBLE AS mark FROM trades) SELECT a.symbol, a.channel, a.seq, a.mark, round(0.1 + 0.025 * coalesce(sum(exp(-0.05 * (a.t - b.t))), 0), 6) + 0.0 AS intensity FROM e a LEFT JOIN e b ON a.symbol = b.symbol AND a.channel = b.channel AND (b.t, b.seq) < (a.t, a.seq) GROUP BY ALL")
 def hawkes(spark: SparkSession, d: str) -> DataFrame:
     t = trades(spark, d).select("symbol", F.col("side").alias("channel"), (F.unix_micros("ts") / 6e7).alias("t"), "seq", F.col("volume").cast("double").alias("mark"))
-    return micro.hawkes_intensity(t, 0.1, 0.5, 0.05)
+    return rounded(micro.hawkes_intensity(t, 0.1, 0.5, 0.05).drop("t"))
 
 
 @query()
@@ -712,9 +765,11 @@ def impact_degrees(spark: SparkSession, d: str) -> DataFrame:
     return micro.degrees(micro.cross_impact(x.where("ret is not null").select("day", "symbol", F.col("ret").alias("signal")), x.where("fwd is not null").select("day", "symbol", F.col("fwd").alias("ret")), "day", 0.5))
 
 
-@query()
+@query(f"""WITH RECURSIVE {BARS}, k AS (SELECT symbol, bar_idx, close, close AS level, 4.0::DOUBLE AS v, 1.0::DOUBLE AS gain FROM bars WHERE bar_idx = 0
+UNION ALL SELECT b.symbol, b.bar_idx, b.close, k.level + (k.v + 1) / (k.v + 5) * (b.close - k.level), (1 - (k.v + 1) / (k.v + 5)) * (k.v + 1), (k.v + 1) / (k.v + 5) FROM k JOIN bars b ON b.symbol = k.symbol AND b.bar_idx = k.bar_idx + 1)
+SELECT symbol, bar_idx, close, {r6('level gain')} FROM k""")
 def kalman_levels(spark: SparkSession, d: str) -> DataFrame:
-    return fits.kalman_level(bars(spark, d).select("symbol", "bar_idx", "close"), "close", 1.0, 4.0)
+    return rounded(fits.kalman_level(bars(spark, d).select("symbol", "bar_idx", "close"), "close", 1.0, 4.0))
 
 
 @query()
@@ -746,16 +801,16 @@ def normality_windows(spark: SparkSession, d: str) -> DataFrame:
     return fits.rolling_normality(returns(spark, d).select("symbol", "bar_idx", "ret"), "ret", 20, special.norm_cdf)
 
 
-@query()
+@query(TIGHT + ", " + st_sql("0.3::DOUBLE", "0.25") + " SELECT b.symbol, b.pivot_seq AS st, b.known AS st_known, arg_max(a.pivot_seq, (a.known, a.pivot_seq)) AS tr, max(a.known) AS tr_known FROM st b JOIN tr_piv a ON a.symbol = b.symbol AND a.prose AND b.valid AND a.known < b.known AND b.known - a.known <= 60 GROUP BY 1, 2, 3")
 def range_then_test(spark: SparkSession, d: str) -> DataFrame:
     p = swings.zigzag(bars(spark, d), 0.008)
     return fits.range_then_test(swings.scan_tr(p, swings.tr_rule_prose), swings.scan_st(p, 0.3, 0.25), 60)
 
 
-@query()
+@query(TIGHT + ", a AS (SELECT symbol, bar_idx, ln(lead(close, 5) OVER (PARTITION BY symbol ORDER BY bar_idx) / close) AS fwd FROM bars), k AS (SELECT DISTINCT symbol, known AS bar_idx, true AS hit FROM tr_piv WHERE prose) SELECT a.symbol, round(avg(fwd) FILTER (hit), 6) + 0.0 AS after, round(avg(fwd), 6) + 0.0 AS always, count(hit) AS n FROM a LEFT JOIN k USING (symbol, bar_idx) WHERE fwd IS NOT NULL GROUP BY 1")
 def forward_after_range(spark: SparkSession, d: str) -> DataFrame:
     b = bars(spark, d)
-    return fits.forward_after(swings.scan_tr(swings.zigzag(b, 0.008), swings.tr_rule_prose), b, 5)
+    return rounded(fits.forward_after(swings.scan_tr(swings.zigzag(b, 0.008), swings.tr_rule_prose), b, 5))
 
 
 @query()

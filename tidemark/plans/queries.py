@@ -331,8 +331,8 @@ def power_law(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.power_law(returns(spark, d).withColumn("x", F.abs("ret")), "x", [0.002, 0.004]))
 
 
-NORMED = RET + """, m AS (SELECT symbol, avg(ret) AS mr, stddev_pop(ret) AS sr, regr_slope(ln(volume), bar_idx) AS b, regr_intercept(ln(volume), bar_idx) AS a FROM y GROUP BY 1),
-e AS (SELECT symbol, bar_idx, abs(ret - mr) / sr AS g, ln(volume) - a - b * bar_idx AS e FROM y JOIN m USING (symbol)), n AS (SELECT symbol, bar_idx, g, e / stddev_pop(e) OVER (PARTITION BY symbol) AS v FROM e)"""
+NORMED = RET + """, m AS (SELECT symbol, avg(ret) AS mr, stddev_pop(ret) AS sr, regr_slope(ln(nullif(volume, 0)), bar_idx) AS b, regr_intercept(ln(nullif(volume, 0)), bar_idx) AS a FROM y GROUP BY 1),
+e AS (SELECT symbol, bar_idx, abs(ret - mr) / sr AS g, ln(nullif(volume, 0)) - a - b * bar_idx AS e FROM y JOIN m USING (symbol)), n AS (SELECT symbol, bar_idx, g, e / stddev_pop(e) OVER (PARTITION BY symbol) AS v FROM e)"""
 
 
 @query(NORMED + f" SELECT symbol, bar_idx, {r6('g v')} FROM n")

@@ -1 +1 @@
-"""Tidemark"""
+"""Market-data research and training-data preparation on Spark."""

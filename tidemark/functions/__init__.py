@@ -1 +1 @@
-"""Tidemarkfunctions"""
+"""Functions as Column expressions."""

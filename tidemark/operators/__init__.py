@@ -1 +1 @@
-"""Tidemarkoperators"""
+"""Operators over bars, trades and signals."""

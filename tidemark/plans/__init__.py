@@ -1 +1 @@
-"""Tidemarkplans"""
+"""Views over the tables and the named queries."""

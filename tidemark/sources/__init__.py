@@ -1 +1 @@
-"""Tidemarksources"""
+"""Readers and writers of market data."""

@@ -1 +1 @@
-"""Tidemarkstreaming"""
+"""Streaming forms of the operators."""

@@ -193,7 +193,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500) -> KneserNey | None:
     """Fit the models on about docs_per_lang labelled texts of each language (a hash of the id draws them; fewer
-    where there are fewer); this parameter bounds what reaches the driver.  None without any labelled text."""
+    where there are fewer): four fifths for counts, made by Spark, one fifth to calibrate on the driver; this parameter
+    bounds what reaches it.  None without any labelled text."""
     small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in base.groupBy("lang").count().collect()}
@@ -213,7 +214,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         tables[len(gram) - 1].setdefault(tuple(gram), np.zeros(len(langs)))[place[lang]] = n
     model = KneserNey(langs, [(np.array(list(t), np.uint64).reshape(len(t), -1), np.array(list(t.values()))) for t in tables])
     letters = _letters()
-    rows = held.select(F.substring("text", 1, 4000).alias("text"), "lang").limit(400 * len(langs)).collect()
+    rows = held.select("text", "lang").collect()
     model.calibrate([codes(r.text, letters) for r in rows], [r.lang for r in rows])
     return model
 

@@ -26,8 +26,8 @@ from .graph import components
 
 MINIMA, BITS = 128, 4
 LONGS = MINIMA * BITS // 64
-#: Buckets from this size on get the bound by unshared shingles.
-LARGE = 32
+#: Buckets from this size on get the bound by unshared shingles, in so many classes of their hashes.
+LARGE, CLASSES = 32, 32
 _LANES = int("1" * (64 // BITS), 16)
 
 
@@ -156,7 +156,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one node for each distinct set: the first of its rows
     classes = stash(signed.where("n > 0").groupBy("print").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = stash(signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "doc_id", "th", "n", "bands", "pack"), "nodes")
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.posexplode("bands").alias("at", "band"))
     sizes = banded.groupBy("band").agg(F.count("*").alias("count")).where("count > 1")
     met = stash(banded.join(sizes, "band"), "met")
 
@@ -168,15 +168,19 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = stash(full.dropDuplicates(["node"]), "sets")  # repeated rows gave theirs twice
 
     crowd = met.where(F.col("count") >= LARGE).select("node").distinct()
-    lone = (
-        full.join(crowd, "node", "left_semi").select("node", F.explode("shingles").alias("h")).groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
-        .where("node = other").groupBy("node").agg(F.count("*").alias("lone"))
-    )
-    crowd = crowd.join(lone, "node", "left").select("node", F.coalesce("lone", F.lit(0)).alias("own"))
-    traits = stash(nodes.join(crowd, "node", "left").select("node", "n", "own", "pack"), "traits")
+    cells = full.join(crowd, "node", "left_semi").select("node", F.explode("shingles").alias("h"))
+    lone = cells.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "h")
+
+    def by_class(df: DataFrame, name: str) -> DataFrame:
+        counts = [F.count_if(F.pmod("h", F.lit(CLASSES)) == c).cast("int") for c in range(CLASSES)]
+        return df.groupBy("node").agg(F.count("*").alias(f"n_{name}"), F.array(*counts).alias(name))
+
+    # of each member of the crowd: its shingles that no other has, and by class those that another has
+    crowd = by_class(cells, "all").join(by_class(lone, "lone"), "node", "left").select("node", F.coalesce("n_lone", F.lit(0)).alias("own"), F.when(F.col("lone").isNull(), F.col("all")).otherwise(F.zip_with("all", "lone", lambda a, b: a - b)).alias("common"))
+    traits = stash(nodes.join(crowd, "node", "left").select("node", "n", "own", "common", "pack", "bands"), "traits")
     # the leader has the smallest share of shingles of its own, so it stands in the middle of its bucket
     order = F.struct(F.coalesce("own", F.lit(0)) / F.col("n"), F.col("node"))
-    member = met.join(traits.drop("pack"), "node")
+    member = met.join(traits.select("node", "n", "own"), "node")
     leaders = member.groupBy("band").agg(F.min(order).alias("lead"), F.min("n").alias("low")).select("band", F.col("lead.node").alias("leader"), "low")
     led = stash(member.join(leaders, "band"), "led")
     p = 1 - (1 - percent / 100) * (1 - 1 / 2**BITS)
@@ -185,7 +189,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def likely() -> Column:
         return _may_link("x", "y", percent) & (estimate(F.col("x.pack"), F.col("y.pack")) >= floor)
 
-    marks = traits
+    marks = traits.drop("bands", "common")
     star = led.where("node <> leader").select("leader", "node").distinct().join(marks, "node").alias("y")
     pairs = star.join(marks.alias("x"), (F.col("y.leader") == F.col("x.node")) & likely()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
@@ -203,11 +207,16 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a bucket's open members: not in its leader's component, and not ruled out by the bucket's smallest set
     rest = F.col("n") - F.when(F.col("count") >= LARGE, F.col("own")).otherwise(0)
     stray = marked.where(F.col("label") != F.col("head")).where(100 * rest >= percent * (F.col("n") + F.greatest("low", rest) - rest))
-    stray = stash(stray.select("band", "node", "label").join(traits, "node"), "stray").alias("x")
+    stray = stash(stray.select("band", "at", "node", "label").join(traits, "node"), "stray").alias("x")
     whole = marked.join(stray.select("band").distinct(), "band", "left_semi").select("band", "node", "label", "head").join(traits, "node").alias("y")
     # a stray meets its leader's component always, and another stray once
     unseen = (F.col("y.label") == F.col("y.head")) | (F.col("x.node") < F.col("y.node"))
-    cross = stray.join(whole, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & unseen & likely())
+    # by class no more can be shared than the smaller of both counts; only members of the crowd have these
+    most = F.aggregate(F.zip_with("x.common", "y.common", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, v: acc + v)
+    bounded = F.coalesce(100 * most >= percent * (F.col("x.n") + F.col("y.n") - most), F.lit(True))
+    # a pair counts in the first band that it shares; what a bucket rules out is ruled out in all of them
+    shared = F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.at")), F.slice("y.bands", F.lit(1), F.col("x.at")), lambda a, b: a == b)
+    cross = stray.join(whole, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & unseen & likely() & bounded & ~F.exists(shared, lambda e: e))
     more = confirmed(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
     links = links.unionByName(more)
     labels = stash(components(links), "labels")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, text_of
@@ -18,12 +18,18 @@ from .common import stash, text_of
 DIM_BITS, HASH_BITS, DIGIT = 18, 42, 12
 
 
+def _table(spark: SparkSession, schema: dict[str, str], rows: list[tuple]) -> DataFrame:
+    """A few rows per tree node as literals."""
+    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, schema.items(), strict=True)]) for row in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def _medians(rows: DataFrame, aims: dict[int, float]) -> dict[int, tuple[int, float, float]]:
     """For each node the key where the running bytes pass its aim, the bytes before that key and on it."""
     spark = rows.sparkSession
     found = {n: (0, 0.0, 0.0) for n in aims}
     for shift in range(DIM_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-        at = spark.createDataFrame([(n, k) for n, (k, _, _) in found.items()], "at_node int, prefix long")
+        at = _table(spark, {"at_node": "int", "prefix": "long"}, [(n, k) for n, (k, _, _) in found.items()])
         sums = (
             rows.join(F.broadcast(at), (F.col("node") == F.col("at_node")) & (F.shiftright("key", shift + DIGIT) == F.col("prefix")))
             .groupBy("node", F.shiftright("key", shift).alias("k")).agg(F.sum("size").alias("w")).collect()
@@ -71,7 +77,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         split = [n for n, s in share.items() if s > 1 and n in total]
         if not split:
             break
-        axis = spark.createDataFrame([(n, widest[n]) for n in split], "ax_node int, axis int")
+        axis = _table(spark, {"ax_node": "int", "axis": "int"}, [(n, widest[n]) for n in split])
         keyed = rows.join(F.broadcast(axis), F.col("node") == F.col("ax_node"), "left").withColumn("key", F.shiftleft(F.col("d")[F.coalesce("axis", F.lit(0))], HASH_BITS) + F.pmod("th", F.lit(1 << HASH_BITS)))
         aims = {n: total[n] * (share[n] // 2) / share[n] for n in split}
         cuts = []
@@ -79,7 +85,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             part = (aims[n] - before) / on if on else 0.0
             nearest = 0.0 if part < 0.5 else 1.0
             cuts.append((n, key, nearest if abs(nearest - part) * on <= tolerance * total[n] else min(max(part, 0.0), 1.0)))
-        cut = spark.createDataFrame(cuts, "cut_node int, cut long, part double")
+        cut = _table(spark, {"cut_node": "int", "cut": "long", "part": "double"}, cuts)
         right = F.coalesce((F.col("key") > F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("r") >= F.col("part"))), F.lit(False))
         # children of n are 2n + 1 and 2n + 2, so leaves keep their number
         rows = keyed.join(F.broadcast(cut), F.col("node") == F.col("cut_node"), "left").select("doc_id", "size", "text_crc32", "th", "r", "d", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
@@ -89,7 +95,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
             first |= {2 * n + 1: first[n], 2 * n + 2: first[n] + low}
         if max(share).bit_length() % 4 == 0:
             rows = stash(rows, "kdlevel")
-    numbers = spark.createDataFrame([(n, first[n]) for n in share], "leaf int, shard int")
+    numbers = _table(spark, {"leaf": "int", "shard": "int"}, [(n, first[n]) for n in share])
     blocks = max(1, math.ceil(ends.n / rows_per_slot_block))
     placed = stash(rows.join(F.broadcast(numbers), F.col("node") == F.col("leaf")).select("doc_id", "size", "text_crc32", "shard", "r", F.floor(F.col("r") * blocks).cast("int").alias("block")), "placed")
     counts = placed.groupBy("shard", "block").count()

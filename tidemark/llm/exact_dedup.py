@@ -63,7 +63,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     alone = asked.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "th")
     again = asked.where("maybe")
     best = F.min(F.struct(-F.col("n"), F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid")))
-    groups = again.groupBy(F.col("text_sha256").alias("g")).agg(F.count("*").alias("group_size"), best.alias("best"))
+    # written apart from the join, so that a large group's rows are split over tasks there
+    groups = stash(again.groupBy(F.col("text_sha256").alias("g")).agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     return alone.unionByName(
         again.join(groups, F.col("text_sha256") == F.col("g")).select(
             "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.rid")).alias("kept"), "text_sha256", "th",

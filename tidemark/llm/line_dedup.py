@@ -19,7 +19,8 @@ def spread_lines(lines: DataFrame, min_sites: int, lg_k: int = 12, sigmas: float
     Sites meet as 64-bit hashes.  The relative error of a sketch is 1.04 / sqrt(2 ** lg_k); estimates
     within sigmas of it (one site at least) around the threshold are counted exactly.
     """
-    spread = lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("h")
+    # written apart from the join, so that a common line's rows are split over tasks there
+    spread = stash(lines.groupBy("h").agg(F.min("site").alias("a"), F.max("site").alias("b")).where("a <> b").select("h"), "two_sites")
     pairs = stash(lines.join(spread, "h", "left_semi").groupBy("h", "site").agg(F.count("*").alias("n")), "spread")
     # pairs are distinct already where one task saw them together; sketches make the rest safe to merge
     sketches = pairs.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("about"))

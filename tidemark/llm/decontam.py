@@ -36,6 +36,7 @@ class SeedIndex:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
             if len(ids) >= seed_words:
                 self.items.append((item, np.array(ids, np.int64)))
+        self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
         self.base = len(self.vocab) + 1
         if self.base**seed_words >= 2**63:
             raise ValueError("this block has too many different words; lower block_bytes")
@@ -81,8 +82,9 @@ class SeedIndex:
         df = np.array([counts.get(i, 0) for i in range(len(self.codes))], np.int64)
         number = np.repeat(np.arange(len(self.codes)), np.diff(self.first))
         rare = np.zeros(len(self.codes), bool)
-        for i in range(len(self.items)):
-            own = number[self.owner == i]
+        by_item = number[np.argsort(self.owner, kind="stable")]
+        ends = np.cumsum(np.bincount(self.owner, minlength=len(self.items)))
+        for own in np.split(by_item, ends[:-1]) if self.items else []:
             rare[own[df[own] <= max(floor, factor * np.quantile(df[own], 0.25))]] = True
         self.rare = rare
 
@@ -98,7 +100,7 @@ class SeedIndex:
         item, diagonal = self.owner[entry], np.repeat(at, n) - self.at[entry]
         order = np.lexsort((diagonal, item))
         item, diagonal = item[order], diagonal[order]
-        size = np.array([len(x) for _, x in self.items])[item]
+        size = self.sizes[item]
         new = np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, size[1:] // 3))))
         starts, best = np.flatnonzero(new), {}
         for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):

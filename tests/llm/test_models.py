@@ -139,6 +139,17 @@ def test_toxicity_spans_and_edges(spark):
     assert toxicity.train(cases.docs(spark), labels).weights == {}
 
 
+def test_toxicity_sample_is_bounded_before_the_driver(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels)))
+    rows = [(1, "a" * 9, "en", "a"), (2, "b" * 99, "en", "a"), (3, None, "en", "a"), (4, "dd", "en", "a"), (4, "dd", "en", "a"), (5, "not labelled", "en", "a")]
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 0), (4, 0), (4, 1), (6, 1), (None, 1), (5, None)], "doc_id long, toxic int")
+    toxicity.train(cases.docs(spark, rows), labels, max_chars=13)
+    toxicity.train(cases.docs(spark, rows), labels, max_chars=12)
+    # a text that has no room is left out; the higher of two labels counts; repeated rows stay rows
+    assert seen == [(["a" * 9, "", "dd", "dd"], [0, 0, 1, 1]), (["a" * 9, ""], [0, 0])]
+
+
 def test_marginals_equal_enumeration():
     field = toxicity.ToxicField({"=x": 2.0}, 0.7, -0.3, -1.0)
     words = ["a", "x", "a", "a", "x", "b"]
@@ -175,6 +186,23 @@ def test_alignment_equals_the_plain_table():
         assert decontam.smith_waterman(np.array(a), np.array(b))[0] == plain_alignment(a, b)
 
 
+def test_rare_seeds_are_measured_against_their_own_item():
+    draw = random.Random(8)
+    items = [(i, " ".join(draw.choice(cases.WORDS) for _ in range(draw.randrange(0, 30)))) for i in range(40)]
+    index = decontam.SeedIndex(items, 3)
+    counts = {i: draw.randrange(0, 3000) for i in range(len(index.codes)) if i % 7}
+    index.mark_rare(counts, factor=2, floor=50)
+    rare = set()
+    for _, ids in index.items:
+        own = [int(np.searchsorted(index.codes, c)) for c in index.grams(ids)[1]]
+        limit = max(50, 2 * np.quantile([counts.get(i, 0) for i in own], 0.25))
+        rare |= {i for i in own if counts.get(i, 0) <= limit}
+    assert rare and set(np.flatnonzero(index.rare).tolist()) == rare
+    none = decontam.SeedIndex([(1, None), (2, "two words")], 3)
+    none.mark_rare({})
+    assert none.align(none.ids("two words more"), 0.4) == []
+
+
 def test_leaks_whole_edited_and_clean(spark):
     item = "Which river runs through the capital of the northern province and feeds the seven mills beside the cathedral square today"
     words = item.split()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, stash, text_of
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features, beside the whole word.
@@ -183,22 +183,24 @@ def _logistic(x: np.ndarray, y: np.ndarray, pull: float = 1.0) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_docs: int = 4000, max_chars: int = 40_000_000) -> ToxicField:
-    """Fit the field on about max_docs labelled documents drawn by a hash of the id (all, if fewer), and of these
-    on no more than max_chars code points; the two bound what reaches the driver."""
+    """Fit the field on about max_docs labelled documents drawn by a hash of the id (all, if fewer), and of these, in
+    the order of their ids, on those that fit into max_chars code points; the two bound what reaches the driver.  Of
+    several labels of a document the higher counts."""
     small_batches(docs.sparkSession)
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").dropDuplicates(["id"])
+    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     count = marked.count()
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_docs / max(count, 1))) + 1)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = base.join(F.broadcast(drawn), "id").select("id", "text", "label").toArrow()
-    order = sorted(zip(*(rows.column(c).to_pylist() for c in ("id", "text", "label")), strict=True), key=lambda r: r[0])
-    texts, given, room = [], [], max_chars
-    for _, text, label in order:
-        room -= len(text or "")
-        if room < 0:
-            break
-        texts.append(text or "")
-        given.append(label)
+    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    sample = stash(base.join(F.broadcast(drawn), "id"), "toxic_sample")
+    room, over = max_chars, []
+    for r in sorted(sample.groupBy("id").agg(F.sum(F.char_length("text")).alias("n")).collect(), key=lambda r: r.id):
+        if r.n <= room:
+            room -= r.n
+        else:
+            over.append(r.id)
+    rows = sample.where(~F.col("id").isin(over)) if over else sample
+    order = sorted((r.id, r.text, r.label) for r in rows.select("id", "text", "label").toLocalIterator())
+    texts, given = [r[1] for r in order], [r[2] for r in order]
     return fit(texts, given)
 
 

@@ -220,6 +220,18 @@ def test_leaks_whole_edited_and_clean(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_many_equally_changed_copies(spark):
+    # no seed is rare here: each stands in 300 documents, and many of the items' trigrams in none
+    items = ["Which river runs through the capital of the northern province and feeds the seven mills beside the cathedral square today", "how many wooden boats crossed the frozen lake before the old harbour master closed both gates for that winter"]
+    edited = " ".join("other" if i % 5 == 4 else w for i, w in enumerate(items[0].split()))
+    short = " ".join(items[1].split()[:11])
+    filler = " ".join(cases.WORDS * 3)
+    rows = [(i, f"{filler} {edited if i < 300 else short} {i} {filler}", "en", "a") for i in range(600)] + [(1000, filler, "en", "a")]
+    docs, bench = cases.docs(spark, rows), spark.createDataFrame([*enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == {(i, i // 300) for i in range(600)}
+    assert [r.doc_id for r in decontam.drop_leaks(docs, bench).collect()] == [1000]
+
+
 def test_shards(spark):
     rows = [(i, "w" * (i * 37 % 500), "en", "a") for i in range(2000)] + [(3000 + i, "same text again and again", "en", "b") for i in range(700)] + cases.ROWS[:3]
     got = sharding.kd_shards(cases.docs(spark, rows), rows_per_slot_block=300).collect()

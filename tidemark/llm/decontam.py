@@ -1,9 +1,9 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 The benchmark goes over the corpus in blocks of bounded size, each a broadcast index of its word n-grams.
-One pass counts in how many documents each seed stands; a second joins every document to the items whose rare
-seeds it holds and aligns the item with the words around them, so that copies with words changed, left out
-or put in are found.  Both passes are narrow; only the seeds' counts shuffle.
+One narrow pass joins every document to the items whose seeds it holds and aligns the item with the words
+around them, so that copies with words changed, left out or put in are found.  How many documents hold a seed
+does not matter; what is not aligned falls by a bound on the score.  Nothing shuffles.
 """
 
 from __future__ import annotations
@@ -78,7 +78,7 @@ class SeedIndex:
     def mark_rare(self, counts: dict[int, int], factor: int = 20, floor: int = 50) -> None:
         """A seed is rare if it stands in no more than factor times the documents of a quarter of its item's
         seeds (floor documents always are few): measured against its own item, so an item that many
-        documents copy keeps its seeds."""
+        documents copy keeps its seeds.  A description of the seeds only: align() takes the others too."""
         df = np.array([counts.get(i, 0) for i in range(len(self.codes))], np.int64)
         number = np.repeat(np.arange(len(self.codes)), np.diff(self.first))
         rare = np.zeros(len(self.codes), bool)
@@ -91,8 +91,6 @@ class SeedIndex:
     def align(self, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
         """Items a document copies: number, score, first word, and the word after the last."""
         at, seed = self.seeds(ids)
-        keep = self.rare[seed]
-        at, seed = at[keep], seed[keep]
         if not len(at):
             return []
         n = self.first[seed + 1] - self.first[seed]
@@ -103,19 +101,37 @@ class SeedIndex:
         size = self.sizes[item]
         new = np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, size[1:] // 3))))
         starts, best = np.flatnonzero(new), {}
-        for a, b in zip(starts, np.append(starts[1:], len(item)), strict=True):
-            words, slack = self.items[item[a]][1], max(8, size[a] // 3)
-            low, high = max(0, diagonal[a] - slack), min(len(ids), diagonal[b - 1] + size[a] + slack)
-            window = ids[low:high]
-            if MATCH * min(np.isin(window, words).sum(), len(words)) < least * MATCH * len(words):
+        ends = np.append(starts[1:], len(item)) - 1
+        item, size, slack = item[starts], size[starts], np.maximum(8, size[starts] // 3)
+        low, high = np.maximum(0, diagonal[starts] - slack), np.minimum(len(ids), diagonal[ends] + size + slack)
+        # no alignment has more matches than its window has words that items know
+        known = np.concatenate(([0], np.cumsum(ids > 0)))
+        may = np.flatnonzero(known[high] - known[low] >= least * size)
+        for i, lo, hi in zip(item[may].tolist(), low[may].tolist(), high[may].tolist(), strict=True):
+            words, window = self.items[i][1], ids[lo:hi]
+            least_matches = least * len(words)
+            if np.isin(window, words).sum() < least_matches or common_words(words, window) < least_matches:
                 continue
             score, end = smith_waterman(words, window)
-            if score >= least * MATCH * len(words) and score > best.get(item[a], (0,))[0]:
+            if score >= least * MATCH * len(words) and score > best.get(i, (0,))[0]:
                 _, back = smith_waterman(words[::-1], window[:end][::-1])
-                best[item[a]] = (score, low + end - back, low + end)
+                best[i] = (score, lo + end - back, lo + end)
         return [(int(i), s / (MATCH * len(self.items[i][1])), int(x), int(y)) for i, (s, x, y) in sorted(best.items())]
 
 
+def common_words(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence, which no alignment's matches exceed; b's places are bits."""
+    places: dict[int, int] = {}
+    for k, x in enumerate(b.tolist()):
+        places[x] = places.get(x, 0) | 1 << k
+    full = (1 << len(b)) - 1
+    free = full
+    for x in a.tolist():
+        if hit := free & places.get(x, 0):
+            free = (free + hit | free - hit) & full
+    return len(b) - free.bit_count()
+
+
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     """Best local alignment score of two number sequences, and the end of its part of b (the first of equals)."""
     j = np.arange(len(b) + 1)
@@ -141,24 +157,6 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int
         yield SeedIndex(sorted(((r.item, r.text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), seed_words)
 
 
-def _rare(docs: DataFrame, index: SeedIndex) -> SeedIndex:
-    """The index with its rare seeds marked, by the number of documents of the whole corpus that hold each."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        counts = np.zeros(len(own.codes), np.int64)
-        for batch in batches:
-            for text in batch.column("text"):
-                counts[np.unique(own.seeds(own.ids(text.as_py()))[1])] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[some])], names=["seed", "n"])
-
-    rows = docs.select("text").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect()
-    index.mark_rare({r.seed: r.n for r in rows})
-    return index
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, seed_words: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """One row per document and item it copies: doc_id, item_id, score, start_word, end_word.
 
@@ -171,7 +169,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     out = None
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(base, index))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = shared.value
@@ -189,10 +187,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, seed_words: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
     """The rows of docs that copy no item, with the columns of docs; narrow passes."""
     small_batches(docs.sparkSession)
-    names, base = docs.columns, docs.select(F.col(text_col).cast("string").alias("text"))
-    out = docs
+    names, out = docs.columns, docs
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        shared = docs.sparkSession.sparkContext.broadcast(_rare(base, index))
+        shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = shared.value

@@ -283,6 +283,17 @@ def test_simulators(spark):
     assert y > -1.0
 
 
+def test_grid_search_is_the_best_of_each_symbols_sweep(spark):
+    from tidemark.operators import grid
+    from tidemark.plans.queries import QUERIES
+    from tidemark.plans.views import bars
+
+    sf = "/root/testdata/sf0.001"
+    got = {r.symbol: r.profit for r in QUERIES["grid_search"](spark, sf).collect()}
+    want = grid.crossing_sweep(bars(spark, sf), grid.sweep_sizes(spark), 500.0, 2000.0, 0.0008).groupBy("symbol").agg(F.max("profit").alias("profit")).collect()
+    assert len(want) == 5 and got == pytest.approx({r.symbol: r.profit for r in want})
+
+
 def test_fits(spark):
     from tidemark.operators import fits, simulate
 

@@ -107,15 +107,18 @@ def crossing_sweep(bars: DataFrame, sizes: DataFrame, lower: float, upper: float
     moves are the trades.  Crossings between the first open and the last close are no arbitrage.
 
     Bars fold in blocks of time to summaries and these merge in order, so one task never holds a whole series.
-    Prices must lie inside the levels; sizes is a small parameter table (broadcast by its row count).
+    Prices must lie inside the levels; sizes is a small parameter table (broadcast by its row count).  With a column
+    symbol, sizes has each symbol's own.
     """
     from pyspark.sql import Window
 
     w = Window.partitionBy("symbol").orderBy("ts")
     path = bars.select("symbol", "ts", F.coalesce(F.lag("close").over(w), F.col("open")).alias("p0"), "open", "low", "high", "close")
-    grids = sizes.select("grid_size", geometric_levels(F.lit(float(lower)), F.lit(float(upper)), F.col("grid_size")).alias("levels"))
-    if sizes.count() > 10_000:
+    own = ["symbol"] if "symbol" in sizes.columns else []
+    grids = sizes.select(*own, "grid_size", geometric_levels(F.lit(float(lower)), F.lit(float(upper)), F.col("grid_size")).alias("levels"))
+    if (sizes.groupBy(*own).count().agg(F.max("count")).first()[0] or 0) > 10_000:
         raise ValueError("a sweep has at most 10,000 sizes; split it")
+    grids = grids if own else F.broadcast(grids)
     ends = bars.groupBy("symbol").agg(F.min_by("open", "ts").alias("first"), F.max_by("close", "ts").alias("last"))
 
     def leg(a: str, b: str) -> Column:
@@ -123,12 +126,12 @@ def crossing_sweep(bars: DataFrame, sizes: DataFrame, lower: float, upper: float
         k = levels_below(F.col("levels"), F.col(b))
         return F.when(F.col(a) == F.col(b), F.lit(None)).otherwise(F.struct(F.when(up, k - 1).otherwise(k).cast("long").alias("x"), up.alias("up")))
 
-    legs = path.crossJoin(F.broadcast(grids)).select("symbol", "grid_size", F.window("ts", block)["start"].alias("block"), "ts", F.array_compact(F.array(leg("p0", "low"), leg("low", "high"), leg("high", "close"))).alias("legs"))
+    legs = (path.join(grids, own) if own else path.crossJoin(grids)).select("symbol", "grid_size", F.window("ts", block)["start"].alias("block"), "ts", F.array_compact(F.array(leg("p0", "low"), leg("low", "high"), leg("high", "close"))).alias("legs"))
     per_block = legs.groupBy("symbol", "grid_size", "block").agg(F.array_sort(F.collect_list(F.struct("ts", "legs"))).alias("l"))
     per_block = per_block.select("symbol", "grid_size", "block", crossing_summary(F.flatten(F.col("l.legs"))).alias("summary"))
     whole = per_block.groupBy("symbol", "grid_size").agg(F.array_sort(F.collect_list(F.struct("block", "summary"))).alias("b"))
     whole = whole.select("symbol", "grid_size", merge_summaries(F.col("b.summary")).alias("m"))
-    full = whole.join(F.broadcast(grids), "grid_size").join(ends, "symbol")
+    full = whole.join(grids, [*own, "grid_size"]).join(ends, "symbol")
     start = bucket_of(F.col("levels"), F.col("first")).cast("long")
     trades = F.col("m.c") + F.greatest(F.col("m.lo") - start, F.lit(0)) + F.greatest(start - F.col("m.hi"), F.lit(0))
     low, high = F.least("first", "last"), F.greatest("first", "last")

@@ -138,3 +138,30 @@ def swarm(fitness: Callable[[DataFrame], DataFrame], spark: SparkSession, low: l
         draw = g.random(x.shape)
         x = np.where(draw < cuts[0], top, np.where(draw < cuts[1], best_x, np.where(draw < cuts[2], x, lo + g.random(x.shape) * (hi - lo))))
     return best_x[best_y.argmax()].tolist(), float(best_y.max())
+
+
+def swarms(fitness: Callable[[DataFrame], DataFrame], spark: SparkSession, keys: list[str], low: list[float], high: list[float], size: int = 100, generations: int = 20, runs: int = 10, digits: int = 3, cuts: tuple[float, float, float] = (0.5, 0.6, 0.7), seed: int = 1) -> dict[str, tuple[list[float], float]]:
+    """swarm() for each key, the best of so many runs; coordinates are rounded to digits.
+
+    fitness takes the population (key, id, x array) and returns (id, y).  The populations of all keys and runs are one Spark
+    job per generation, in which a point that a key has had before is not computed again.
+    """
+    g, lo, hi = np.random.default_rng(seed), np.array(low), np.array(high)
+    shape = (len(keys), runs, size, len(lo))
+    x = lo + g.random(shape) * (hi - lo)
+    best_x, best_y, known = x.copy(), np.full(shape[:3], -np.inf), {}
+    for _ in range(generations):
+        points = [(keys[k], tuple(v)) for k, own in enumerate(np.round(x, digits)) for v in own.reshape(-1, len(lo)).tolist()]
+        if new := sorted(set(points) - set(known)):
+            known |= dict.fromkeys(new, -np.inf)
+            for r in fitness(spark.createDataFrame([(k, i, [*v]) for i, (k, v) in enumerate(new)], "key string, id long, x array<double>")).collect():
+                if r.y is not None:
+                    known[new[r.id]] = r.y
+        y = np.array([known[p] for p in points]).reshape(shape[:3])
+        better = y > best_y
+        best_x[better], best_y[better] = x[better], y[better]
+        top = np.take_along_axis(best_x, best_y.argmax(2)[:, :, None, None], 2)
+        draw = g.random(shape)
+        x = np.where(draw < cuts[0], top, np.where(draw < cuts[1], best_x, np.where(draw < cuts[2], x, lo + g.random(shape) * (hi - lo))))
+    flat_x, flat_y = best_x.reshape(len(keys), -1, len(lo)), best_y.reshape(len(keys), -1)
+    return {key: (np.round(flat_x[k, i], digits).tolist(), float(flat_y[k, i])) for k, key in enumerate(keys) for i in [flat_y[k].argmax()]}

@@ -145,7 +145,6 @@ def symbols_normal(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- joins on time
 
-
 @query(f"""WITH {TRADES}, a AS (SELECT * FROM trades WHERE symbol = 'click'), b AS (SELECT ts, seq, price FROM trades WHERE symbol = 'view')
 SELECT a.seq, a.price, (SELECT arg_max(b.price, (b.ts, b.seq)) FROM b WHERE b.ts <= a.ts) AS asof_price FROM a""")
 def asof_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -835,17 +834,18 @@ def herding_volume(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
-    """Grid size with the largest profit on one symbol, by the swarm."""
-    b = bars(spark, d).where("symbol = 'click'").cache()
+    """Grid size with the largest profit on each symbol, by the swarm."""
+    b = bars(spark, d).cache()
 
     def fitness(population: DataFrame) -> DataFrame:
-        sizes = population.select("id", F.round(F.col("x")[0], 3).alias("grid_size"))
-        made = grid.crossing_sweep(b, sizes.select("grid_size").distinct(), 500.0, 2000.0, 0.0008)
-        return sizes.join(made, "grid_size").select("id", F.col("profit").alias("y"))
+        sizes = population.select(F.col("key").alias("symbol"), "id", F.col("x")[0].alias("grid_size"))
+        made = grid.crossing_sweep(b, sizes.select("symbol", "grid_size"), 500.0, 2000.0, 0.0008)
+        return sizes.join(made, ["symbol", "grid_size"]).select("id", F.col("profit").alias("y"))
 
-    best, profit = simulate.swarm(fitness, spark, [0.003], [0.1], size=12, generations=2)
+    symbols = sorted(x.symbol for x in b.select("symbol").distinct().collect())
+    found = simulate.swarms(fitness, spark, symbols, [0.003], [0.1])
     b.unpersist()
-    return spark.createDataFrame([(round(best[0], 3), profit)], "grid_size double, profit double")
+    return spark.createDataFrame([(s, x[0], y) for s, (x, y) in found.items()], "symbol string, grid_size double, profit double")
 
 
 @query()

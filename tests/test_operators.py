@@ -294,6 +294,23 @@ def test_grid_search_is_the_best_of_each_symbols_sweep(spark):
     assert len(want) == 5 and got == pytest.approx({r.symbol: r.profit for r in want})
 
 
+def test_all_pairs_of_symbols(spark):
+    from tidemark.plans.queries import QUERIES
+    from tidemark.plans.views import trades
+
+    sf = "/root/testdata/sf0.001"
+    t = trades(spark, sf).orderBy("ts", "seq").collect()
+    last, want = {}, {}
+    instants = {}
+    for r in t:
+        instants.setdefault(r.ts, []).append(r)
+    for rows in instants.values():
+        last |= {r.symbol: r.price for r in rows}
+        want |= {(i, r.symbol, r.seq): last.get(i) for r in rows for i in {x.symbol for x in t} - {r.symbol}}
+    assert {(r.i, r.j, r.seq): r.asof_price for r in QUERIES["asof_pairs"](spark, sf).collect()} == want
+    assert len({(r.i, r.j) for r in QUERIES["response_pairs"](spark, sf).collect()}) == 20
+
+
 def test_fits(spark):
     from tidemark.operators import fits, simulate
 

@@ -36,14 +36,18 @@ def grid_asof(points: DataFrame, value: str, seconds: int) -> DataFrame:
 def bracket_quotes(trades: DataFrame, quotes: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair (i, j) and trade of j: the last quote of i before it and the first one after it.
 
-    pairs is (i, j).  A union per pair and two running windows; the window's key is the pair.
+    pairs is (i, j).  A union per pair and two running windows; the window's key is the pair.  Quotes of one
+    instant count in the order of their seq, where they have one.
     """
-    q = quotes.join(pairs.withColumnRenamed("i", "symbol"), "symbol").select(F.col("symbol").alias("i"), "j", "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("side"), F.col("price").alias("quote"))
-    t = trades.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select("i", F.col("symbol").alias("j"), "ts", F.lit(1).alias("_side"), "seq", "side", F.lit(None).cast("double").alias("quote"))
-    w = Window.partitionBy("i", "j").orderBy(F.unix_micros("ts"))
-    both = q.unionByName(t)
-    before, after = w.rangeBetween(Window.unboundedPreceding, -1), w.rangeBetween(1, Window.unboundedFollowing)
-    return both.withColumns({"before": F.last("quote", True).over(before), "after": F.first("quote", True).over(after)}).where("_side = 1").select("i", "j", "ts", "seq", "side", "before", "after")
+    by = F.col("seq") if "seq" in quotes.columns else F.lit(0)
+    none = F.lit(None).cast("double")
+    q = quotes.groupBy("symbol", "ts").agg(F.max_by("price", by).alias("last"), F.min_by("price", by).alias("first")).join(pairs.withColumnRenamed("i", "symbol"), "symbol")
+    q = q.select(F.col("symbol").alias("i"), "j", "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("side"), "last", "first")
+    t = trades.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select("i", F.col("symbol").alias("j"), "ts", F.lit(1).alias("_side"), "seq", "side", none.alias("last"), none.alias("first"))
+    # both frames grow row by row: one that ends at the partition's end is computed anew for each row
+    w, us = Window.partitionBy("i", "j").rangeBetween(Window.unboundedPreceding, -1), F.unix_micros("ts")
+    both = q.unionByName(t).withColumns({"before": F.last("last", True).over(w.orderBy(us)), "after": F.last("first", True).over(w.orderBy(-us))})
+    return both.where("_side = 1").select("i", "j", "ts", "seq", "side", "before", "after")
 
 
 def event_windows(events: DataFrame, series: DataFrame, before: int, after: int) -> DataFrame:

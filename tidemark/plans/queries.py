@@ -145,6 +145,13 @@ def symbols_normal(spark: SparkSession, d: str) -> DataFrame:
 
 # ---- joins on time
 
+
+def symbol_pairs(t: DataFrame) -> DataFrame:
+    """All ordered pairs (i, j) of different symbols."""
+    k = t.select("symbol").distinct()
+    return k.select(F.col("symbol").alias("i")).crossJoin(k.select(F.col("symbol").alias("j"))).where("i != j")
+
+
 @query(f"""WITH {TRADES}, a AS (SELECT * FROM trades WHERE symbol = 'click'), b AS (SELECT ts, seq, price FROM trades WHERE symbol = 'view')
 SELECT a.seq, a.price, (SELECT arg_max(b.price, (b.ts, b.seq)) FROM b WHERE b.ts <= a.ts) AS asof_price FROM a""")
 def asof_prices(spark: SparkSession, d: str) -> DataFrame:
@@ -170,6 +177,27 @@ def response_matrix(spark: SparkSession, d: str) -> DataFrame:
     return rounded(micro.response(asof.bracket_quotes(t, t, pairs)))
 
 
+@query(f"""WITH {TRADES}, k AS (SELECT DISTINCT symbol FROM trades), a AS (SELECT x.symbol AS i, t.symbol AS j, t.ts, t.seq, t.price FROM trades t JOIN k x ON x.symbol <> t.symbol),
+b AS (SELECT symbol AS i, ts, arg_max(price, seq) AS asof_price FROM trades GROUP BY 1, 2)
+SELECT a.i, a.j, a.seq, a.price, b.asof_price FROM a ASOF LEFT JOIN b ON a.i = b.i AND a.ts >= b.ts""")
+def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Each trade of j with the last price of i, for all ordered pairs of symbols."""
+    t = trades(spark, d)
+    pairs = symbol_pairs(t)
+    a = t.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select(F.concat_ws("\0", "i", "symbol").alias("k"), "i", F.col("symbol").alias("j"), "ts", "seq", "price")
+    b = t.join(pairs.withColumnRenamed("i", "symbol"), "symbol").select(F.concat_ws("\0", "symbol", "j").alias("k"), "ts", "seq", "price")
+    return asof.asof_join(a, b, "price", key="k", order="seq").select("i", "j", "seq", "price", "asof_price")
+
+
+@query(f"""WITH {TRADES}, k AS (SELECT DISTINCT symbol FROM trades), t AS (SELECT x.symbol AS i, t.symbol AS j, t.ts, t.seq, t.side FROM trades t JOIN k x ON x.symbol <> t.symbol),
+q AS (SELECT symbol AS i, ts, arg_max(price, seq) AS last, arg_min(price, seq) AS first FROM trades GROUP BY 1, 2), b AS (SELECT t.*, q.last AS b FROM t ASOF JOIN q ON t.i = q.i AND t.ts > q.ts), c AS (SELECT b.*, q.first AS a FROM b ASOF JOIN q ON b.i = q.i AND b.ts < q.ts)
+SELECT i, j, round(avg((ln(a) - ln(b)) * CASE WHEN side = 'buy' THEN 1 ELSE -1 END), 6) + 0.0 AS response, count(*) AS n FROM c GROUP BY 1, 2""")
+def response_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The responses of all ordered pairs of symbols."""
+    t = trades(spark, d)
+    return rounded(micro.response(asof.bracket_quotes(t, t, symbol_pairs(t))))
+
+
 @query(f"""WITH {BARS}, e AS (SELECT symbol, bar_idx AS event_id, bar_idx AS minute FROM bars WHERE volume > (SELECT 1.5 * avg(volume) FROM bars))
 SELECT b.bar_idx - e.minute AS "offset", round(avg(b.volume), 6) + 0.0 AS mean, count(*) AS n FROM e JOIN bars b ON b.symbol = e.symbol AND b.bar_idx BETWEEN e.minute - 5 AND e.minute + 10 GROUP BY 1""")
 def event_profile(spark: SparkSession, d: str) -> DataFrame:

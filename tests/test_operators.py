@@ -311,6 +311,25 @@ def test_all_pairs_of_symbols(spark):
     assert len({(r.i, r.j) for r in QUERIES["response_pairs"](spark, sf).collect()}) == 20
 
 
+def test_hawkes_composes_over_blocks_of_time(spark):
+    draw = np.random.default_rng(3)
+    t = np.sort(np.round(np.concatenate([draw.random(300) * 50, 9000 + draw.random(300) * 900, [20000.0, 1e7]]), 1))
+    rows = [("a", "x", float(x), k, float(k % 4)) for k, x in enumerate(t)] + [("a", None, 5.0, 0, 2.0), ("a", None, 6.0, 1, None)]
+    for alpha, power in ((0.05, 0.0), (3.0, 1.0)):
+        e = spark.createDataFrame(rows[: 602 if power else 604], "symbol string, channel string, t double, seq long, mark double")
+        made = micro.hawkes_intensity(e, 0.0, 0.5, alpha, power)
+        got = {(r.channel, r.seq): r.intensity for r in made.collect()}
+        held, last = 0.0, t[0]
+        for k, x in enumerate(t):
+            held *= np.exp(-alpha * (x - last))
+            assert got["x", k] == pytest.approx(0.5 * alpha * held, rel=1e-9, abs=1e-300)
+            held, last = held + (k % 4) ** power, x
+        if not power:
+            assert got[None, 1] == pytest.approx(0.5 * alpha * np.exp(-alpha))
+        # no group function takes a whole channel
+        assert "InPandas" not in made._jdf.queryExecution().toString()
+
+
 def test_fits(spark):
     from tidemark.operators import fits, simulate
 

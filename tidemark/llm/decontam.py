@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import column, small_batches, spare
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: ASCII capitals fold, other ASCII signs but letters and digits separate words.
@@ -185,19 +185,23 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, seed_words: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that copy no item, with the columns of docs; narrow passes."""
+    """The rows of docs that copy no item, with the columns of docs, whatever these are called; one narrow pass per block.
+
+    Null and empty texts copy nothing and stay; repeated rows are judged alike; an empty benchmark keeps all rows.
+    """
     small_batches(docs.sparkSession)
-    names, out = docs.columns, docs
+    names, (judged,) = docs.columns, spare(docs, "judged")
+    out = docs
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = shared.value
             for batch in batches:
-                clean = [not own.align(own.ids(text.as_py()), least) for text in batch.column(text_col)]
+                clean = [not own.align(own.ids(text.as_py()), least) for text in batch.column(judged)]
                 kept = batch.filter(pa.array(clean, pa.bool_()))
                 if kept.num_rows:
                     yield kept.select(names)
 
-        out = out.mapInArrow(run, docs.schema)
+        out = out.withColumn(judged, column(text_col).cast("string")).mapInArrow(run, docs.schema)
     return out

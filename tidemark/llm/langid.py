@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import column, small_batches, spare, within
 
 ORDER = 4
 _STEP = np.uint64(0x100000001B3)
@@ -119,12 +119,12 @@ class KneserNey:
         names = ["und" if e else self.langs[b] for b, e in zip(best, empty, strict=True)]
         return names, np.where(empty, 0.0, score), np.where(empty, 0.0, least), rejected
 
-    def calibrate(self, texts: list[np.ndarray], langs: list[str]) -> None:
-        """Set each language's limit: its mean entropy and spread over labelled texts."""
-        sizes, h = self.entropy(texts)
+    def calibrate(self, bits: np.ndarray, langs: list[str]) -> None:
+        """Set each language's limit from the bits per letter of labelled texts of 20 letters or more under their own
+        language: the highest of the usual ones, and their spread."""
         top, spread = [], []
-        for i, lang in enumerate(self.langs):
-            own = h[[j for j, x in enumerate(langs) if x == lang and sizes[j] >= 20], i]
+        for lang in self.langs:
+            own = bits[[x == lang for x in langs]]
             top.append(np.quantile(own, 0.99) if len(own) else np.inf)
             spread.append(max(float(own.std()), 0.25) if len(own) else 1.0)
         self.limits = (np.array(top), np.array(spread))
@@ -191,19 +191,20 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(rows.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(n)], names=["lang", "gram", "n"])
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500) -> KneserNey | None:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 1500, max_chars: int = 60_000_000) -> KneserNey | None:
     """Fit the models on about docs_per_lang labelled texts of each language (a hash of the id draws them; fewer
-    where there are fewer): four fifths for counts, made by Spark, one fifth to calibrate on the driver; this parameter
-    bounds what reaches it.  None without any labelled text."""
+    where there are fewer), and of these on those that fit into max_chars code points: four fifths for counts, one fifth
+    to calibrate.  Spark counts and scores; what reaches the driver are the n-grams of the one part and an entropy for
+    each text of the other, so both parameters bound it.  None without any labelled text."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    base = docs.select(column(id_col).alias("id"), column(text_col).cast("string").alias("text"), column(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = {r.lang: r["count"] for r in base.groupBy("lang").count().collect()}
     if not sizes:
         return None
     langs = sorted(sizes)
     draw = F.pmod(F.xxhash64("id", F.lit("langid")), F.lit(1_000_000))
     level = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(int(1_000_000 * min(1.0, docs_per_lang / sizes[lang])) + 1)) for lang in langs])
-    sample = base.where(draw < level)
+    sample = within(base.where(draw < level), "id", "text", max_chars)
     fit, held = sample.where(F.pmod(F.xxhash64("id"), F.lit(5)) != 0), sample.where(F.pmod(F.xxhash64("id"), F.lit(5)) == 0)
     grams = fit.select("text", "lang").mapInArrow(_counted, "lang string, gram array<int>, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not grams.num_rows:
@@ -213,18 +214,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for lang, gram, n in zip(*(grams.column(c).to_pylist() for c in ("lang", "gram", "n")), strict=True):
         tables[len(gram) - 1].setdefault(tuple(gram), np.zeros(len(langs)))[place[lang]] = n
     model = KneserNey(langs, [(np.array(list(t), np.uint64).reshape(len(t), -1), np.array(list(t.values()))) for t in tables])
-    letters = _letters()
-    rows = held.select("text", "lang").collect()
-    model.calibrate([codes(r.text, letters) for r in rows], [r.lang for r in rows])
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, letters = shared.value, _letters()
+        for batch in batches:
+            given = batch.column("lang").to_pylist()
+            sizes, h = own.entropy([codes(t, letters) for t in batch.column("text").to_pylist()])
+            long = np.flatnonzero(sizes >= 20).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([given[k] for k in long], pa.string()), pa.array([h[k, place[given[k]]] for k in long], pa.float64())], names=["lang", "bits"])
+
+    rows = held.select("text", "lang").mapInArrow(scored, "lang string, bits double").collect()
+    model.calibrate(np.array([r.bits for r in rows]), [r.lang for r in rows])
+    shared.unpersist()
     return model
 
 
-def _judged(batches: Iterator[pa.RecordBatch], model: KneserNey | None) -> Iterator[tuple]:
+def _judged(batches: Iterator[pa.RecordBatch], model: KneserNey | None, text_col: str = "text") -> Iterator[tuple]:
     letters = _letters()
     for batch in batches:
         for at in range(0, batch.num_rows, 200):
             part = batch.slice(at, 200)
-            texts = [codes(t or "", letters) for t in part.column("text").to_pylist()]
+            texts = [codes(t or "", letters) for t in part.column(text_col).to_pylist()]
             if model is None:
                 yield part, (["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), True))
             else:
@@ -244,21 +255,23 @@ def identify(docs: DataFrame, model: KneserNey | None, id_col: str = "doc_id", t
         for part, (langs, score, bits, rejected) in _judged(batches, shared.value):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)], names=["doc_id", "lang_pred", "score", "bits", "rejected"])
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: KneserNey | None, text_col: str = "text") -> DataFrame:
-    """The rows that the models do not reject, with the columns of docs, in one narrow pass."""
+    """The rows that the models do not reject, with the columns of docs, whatever these are called, in one narrow pass.
+
+    Null texts, empty ones and those without letters go, and without models all rows; repeated rows are judged alike.
+    """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names, (judged,) = docs.columns, spare(docs, "judged")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (*_, rejected) in _judged(batches, shared.value):
+        for part, (*_, rejected) in _judged(batches, shared.value, judged):
             kept = part.filter(pa.array(~rejected))
             if kept.num_rows:
                 yield kept.select(names)
 
-    extra = docs if text_col == "text" else docs.withColumn("text", F.col(text_col))
-    return extra.mapInArrow(run, docs.schema)
+    return docs.withColumn(judged, column(text_col).cast("string")).mapInArrow(run, docs.schema)

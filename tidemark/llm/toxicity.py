@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, text_of
+from .common import small_batches, stash, text_of, within
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features, beside the whole word.
@@ -192,13 +192,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_docs / max(count, 1))) + 1)
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     sample = stash(base.join(F.broadcast(drawn), "id"), "toxic_sample")
-    room, over = max_chars, []
-    for r in sorted(sample.groupBy("id").agg(F.sum(F.char_length("text")).alias("n")).collect(), key=lambda r: r.id):
-        if r.n <= room:
-            room -= r.n
-        else:
-            over.append(r.id)
-    rows = sample.where(~F.col("id").isin(over)) if over else sample
+    rows = within(sample, "id", "text", max_chars)
     order = sorted((r.id, r.text, r.label) for r in rows.select("id", "text", "label").toLocalIterator())
     texts, given = [r[1] for r in order], [r[2] for r in order]
     return fit(texts, given)

@@ -26,14 +26,14 @@ def test_exact_groups_match_plain_grouping(spark):
 def test_saturated_filter_changes_nothing(spark):
     docs = cases.docs(spark)
     cols = ["doc_id", "keep_id", "group_size", "kept"]
-    full = exact_dedup.exact_groups(docs, max_filter_bits=1, bits_per_row=0).select(cols)
+    full = exact_dedup.exact_groups(docs, max_filter_bits=1, bits_per_key=0).select(cols)
     assert sorted(map(str, full.collect())) == sorted(map(str, exact_dedup.exact_groups(docs).select(cols).collect()))
 
 
 def test_unique_rows_do_not_reach_the_join(spark):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 20, "same").otherwise(F.sha2(F.col("id").cast("string"), 256)).alias("text"))
     prints = docs.select(F.sha2("text", 256).alias("k"))
-    maps, cells = exact_dedup.repeated_filter(prints, "k", 1 << 20, 2)
+    maps, cells = exact_dedup.repeated_filter(prints, "k", 16, 1 << 20, 2)
     bits = maps.agg(F.sum(F.bitmap_count("bits"))).first()[0]
     assert 2 <= bits < 200  # the repeated text's cells and a few chance meetings
 
@@ -95,7 +95,8 @@ def test_components_of_chains_and_cycles(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_line_dedup_matches_plain_counting(spark):
+@pytest.mark.parametrize("table_lines", [200_000, 0])
+def test_line_dedup_matches_plain_counting(spark, table_lines, monkeypatch):
     draw = random.Random(3)
     lines = [f"line {k}" for k in range(30)] + [""]
     rows = [(i, "\n".join(draw.choice(lines[: 5 + i % 26] + lines[-1:]) for _ in range(8)), "en", f"s{draw.randrange(12)}") for i in range(80)] + [(90, None, "en", None), (90, None, "en", None), (None, "line 1", "en", "s1")]
@@ -105,7 +106,9 @@ def test_line_dedup_matches_plain_counting(spark):
             sites[line].add(site)
     wide = {x for x, s in sites.items() if x and len(s) >= 10}
     assert wide
-    got = line_dedup.drop_spread_lines(cases.docs(spark, rows), min_sites=10).collect()
+    if not table_lines:
+        monkeypatch.setattr(line_dedup, "few", lambda df: False)
+    got = line_dedup.drop_spread_lines(cases.docs(spark, rows), min_sites=10, table_lines=table_lines).collect()
     clean = {i: "\n".join(x for x in (t or "").split("\n") if x not in wide) for i, t, *_ in rows}
     assert len(got) == len(rows)
     for r in got:

@@ -1,9 +1,9 @@
 """Exact deduplication by two passes over fingerprints and a Bloom filter of repeated hashes.
 
-Pass one hashes every normalised text and sets, for each of its cells in a bit array of bounded
-size, whether two rows met there.  Pass two asks that filter: a row with a cell that no other row
-met is unique and passes straight through; only the others shuffle by their full SHA-256.  False
-positives merely shuffle, so the result is exact whatever the filter's load.
+Pass one hashes every normalised text and counts the hashes, 8 bytes a row and combined before they move; those
+met twice enter a Bloom filter of bounded size, so its load depends on the repeated texts only.  Pass two asks
+the filter: a row that it does not know is unique and passes straight through; only the others shuffle by their
+full SHA-256.  False positives merely shuffle, so the result is exact whatever the filter's load.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, keep_rows, stash, text_of
+from .common import WHITE, column, keep_rows, stash, text_of
 
 #: bitmap_construct_agg() makes bitmaps of this many bits.
 PART_BITS = 32768
@@ -24,16 +24,24 @@ def _bit(bitmap: str, cell: Column) -> Column:
     return F.coalesce(F.bit_get(byte, place % 8) == 1, F.lit(False))
 
 
-def repeated_filter(keys: DataFrame, key: str, bits: int, hashes: int) -> tuple[DataFrame, list[Column]]:
-    """Bitmaps (part, bits) of the cells that two or more rows of keys met, and each row's cells."""
-    cells = [F.pmod(F.xxhash64(F.col(key), F.lit(i)), F.lit(bits)) for i in range(hashes)]
-    met = keys.select(F.explode(F.array_distinct(F.array(*cells))).alias("cell")).groupBy("cell").count().where("count > 1")
+def repeated_filter(keys: DataFrame, key: str, bits_per_key: int, max_bits: int, hashes: int) -> tuple[DataFrame, list[Column]]:
+    """Bitmaps (part, bits) of the keys that stand in two rows or more, and the cells of each row's key."""
+    hashed = F.xxhash64(F.col(key))
+    again = stash(keys.groupBy(hashed.alias("h")).agg(F.count("*").alias("n")).where("n > 1").select("h"), "repeated")
+    bits, wanted = PART_BITS, min(bits_per_key * again.count(), max_bits)
+    while bits < wanted:
+        bits *= 2
+
+    def cells(h: Column) -> list[Column]:
+        return [F.pmod(F.xxhash64(h, F.lit(i)), F.lit(bits)) for i in range(hashes)]
+
+    met = again.select(F.explode(F.array(*cells(F.col("h")))).alias("cell"))
     part = F.floor(F.col("cell") / PART_BITS).cast("long")
     maps = met.groupBy(part.alias("part")).agg(F.bitmap_construct_agg(F.col("cell") % PART_BITS).alias("bits"))
-    return maps, cells
+    return maps, cells(hashed)
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_row: int = 16, max_filter_bits: int = 1 << 28, hashes: int = 2) -> DataFrame:
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits_per_key: int = 16, max_filter_bits: int = 1 << 28, hashes: int = 2) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, th.
 
     Texts are equal when identical without ASCII white space; null counts as empty, and all empty
@@ -44,15 +52,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_of(text_col)
     prints = stash(
         docs.select(
-            F.col(id_col).alias("doc_id"), F.sha2(F.translate(text, WHITE, ""), 256).alias("text_sha256"),
+            column(id_col).alias("doc_id"), F.sha2(F.translate(text, WHITE, ""), 256).alias("text_sha256"),
             F.char_length(text).alias("n"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("rid"),
         ),
         "exact",
     )
-    bits = PART_BITS
-    while bits < min(bits_per_row * prints.count(), max_filter_bits):
-        bits *= 2
-    maps, cells = repeated_filter(prints, "text_sha256", bits, hashes)
+    maps, cells = repeated_filter(prints, "text_sha256", bits_per_key, max_filter_bits, hashes)
     maps = stash(maps, "bloom")
     asked, maybe = prints, F.lit(True)
     for i, cell in enumerate(cells):

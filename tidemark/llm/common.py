@@ -66,6 +66,11 @@ def spare(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def numbered(docs: DataFrame, text_col: str) -> DataFrame:
+    """docs with its columns under the names c0, c1, ... and its text once more as `judged`, for a pass in Arrow."""
+    return docs.select(*[column(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], column(text_col).cast("string").alias("judged"))
+
+
 def within(sample: DataFrame, id_col: str, text_col: str, room: int) -> DataFrame:
     """The rows of a sample whose texts, in the order of their ids, fit into `room` code points in all; a text without
     room is left out and a later, shorter one may still fit.  One number per id reaches the driver."""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, spare
+from .common import column, numbered, small_batches
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: ASCII capitals fold, other ASCII signs but letters and digits separate words.
@@ -165,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     repeated rows.  Either table empty gives no rows.
     """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     out = None
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
@@ -190,18 +190,17 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     Null and empty texts copy nothing and stay; repeated rows are judged alike; an empty benchmark keeps all rows.
     """
     small_batches(docs.sparkSession)
-    names, (judged,) = docs.columns, spare(docs, "judged")
-    out = docs
+    names, out = docs.columns, docs
     for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
         shared = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
             own = shared.value
             for batch in batches:
-                clean = [not own.align(own.ids(text.as_py()), least) for text in batch.column(judged)]
+                clean = [not own.align(own.ids(text.as_py()), least) for text in batch.column("judged")]
                 kept = batch.filter(pa.array(clean, pa.bool_()))
                 if kept.num_rows:
-                    yield kept.select(names)
+                    yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
-        out = out.withColumn(judged, column(text_col).cast("string")).mapInArrow(run, docs.schema)
+        out = numbered(out, text_col).mapInArrow(run, docs.schema)
     return out

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, small_batches, spare, within
+from .common import column, numbered, small_batches, within
 
 ORDER = 4
 _STEP = np.uint64(0x100000001B3)
@@ -266,12 +266,12 @@ def keep_identified(docs: DataFrame, model: KneserNey | None, text_col: str = "t
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names, (judged,) = docs.columns, spare(docs, "judged")
+    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, (*_, rejected) in _judged(batches, shared.value, judged):
+        for part, (*_, rejected) in _judged(batches, shared.value, "judged"):
             kept = part.filter(pa.array(~rejected))
             if kept.num_rows:
-                yield kept.select(names)
+                yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
 
-    return docs.withColumn(judged, column(text_col).cast("string")).mapInArrow(run, docs.schema)
+    return numbered(docs, text_col).mapInArrow(run, docs.schema)

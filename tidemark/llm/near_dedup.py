@@ -6,9 +6,10 @@ a pair's similarity is estimated from the bits that agree, corrected for agreeme
 are confirmed on the full shingle sets.
 
 Work stays linear in a group of copies.  Equal shingle sets collapse first.  Each band bucket is then
-linked by a star to its leader; only pairs of a bucket that are still in different components
-are asked afterwards, and most of these fall by a bound: shingles that no other document of a
-large bucket has cannot be shared, which caps the similarity of a pair before its sets are read.
+linked by a star to its leader.  What is left of a bucket, the members outside their leader's component, meets the
+other members by rare shingles and not by the bucket: two sets that link share one of the first few shingles
+of either, rarest first, as many as the threshold lets them differ in.  So members of a bucket that share
+only what everyone has never meet.
 """
 
 from __future__ import annotations
@@ -18,16 +19,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import few, keep_rows, small_batches, stash, text_of
+from .common import column, few, keep_rows, small_batches, stash, text_of
 from .graph import components
 
 MINIMA, BITS = 128, 4
 LONGS = MINIMA * BITS // 64
-#: Buckets from this size on get the bound by unshared shingles, in so many classes of their hashes.
-LARGE, CLASSES = 32, 32
+#: In buckets from this size on the shingles that no other member has are counted.
+LARGE = 32
 _LANES = int("1" * (64 // BITS), 16)
 
 
@@ -137,6 +138,18 @@ def estimate(x: Column, y: Column) -> Column:
     return ((1 - apart / MINIMA) - chance) / (1 - chance)
 
 
+def _rare_shingles(full: DataFrame, ring: DataFrame, percent: int) -> DataFrame:
+    """For each node of the ring (node, label, open) the shingles of its prefix that others of the ring have too, with
+    their place: its shingles in order of how many nodes have them, up to the n - ceil(percent / 100 * n) + 1st.  Two sets
+    that reach the threshold share a shingle of both prefixes."""
+    cells = full.join(ring, "node").select("node", "label", "open", F.size("shingles").alias("n"), F.explode("shingles").alias("h"))
+    common = stash(cells.groupBy("h").agg(F.count("*").alias("holders")).where("holders > 1"), "holders")
+    w = Window.partitionBy("node")
+    # shingles that no other node has come first and only take places
+    place = F.col("n") - F.count("*").over(w) + F.row_number().over(w.orderBy("holders", "h"))
+    return cells.join(common, "h").withColumn("place", place).where(F.col("place") <= F.col("n") - F.floor((percent * F.col("n") + 99) / 100) + 1).select("node", "label", "open", "n", "h", "place")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, slack_sigmas: float = 5.0) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, n_links, th.
 
@@ -149,20 +162,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     small_batches(docs.sparkSession)
     ids = docs.schema[id_col].dataType
-    source = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), F.col(text_col).cast("string").alias("text"))
+    source = docs.select(F.monotonically_increasing_id().alias("rid"), column(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), column(text_col).cast("string").alias("text"))
     schema = f"rid long, doc_id {ids.simpleString()}, th long, n long, print binary, bands array<long>, pack array<long>"
     signed = stash(source.mapInArrow(lambda it: _sign(it, shingle, band_rows(percent)), schema), "signed")
 
     # one node for each distinct set: the first of its rows
     classes = stash(signed.where("n > 0").groupBy("print").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least")), "classes")
     nodes = stash(signed.join(classes.select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "doc_id", "th", "n", "bands", "pack"), "nodes")
-    banded = nodes.select("node", F.posexplode("bands").alias("at", "band"))
-    sizes = banded.groupBy("band").agg(F.count("*").alias("count")).where("count > 1")
+    banded = nodes.select("node", F.explode("bands").alias("band"))
+    # aggregates are written apart from the joins that read them, so that a large bucket is split over tasks there
+    sizes = stash(banded.groupBy("band").agg(F.count("*").alias("count")).where("count > 1"), "sizes")
     met = stash(banded.join(sizes, "band"), "met")
 
     # the candidates' full sets, made anew from their texts
     keys = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", F.col("doc_id").alias("k"), F.col("th").alias("t"))
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    texts = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text")).withColumn("th", F.xxhash64(F.coalesce("text", F.lit(""))))
     found = texts.join(F.broadcast(keys) if few(keys) else keys, (F.col("th") == F.col("t")) & F.col("doc_id").eqNullSafe(F.col("k")))
     full = found.select("node", "text").mapInArrow(lambda it: _sets(it, shingle), "node long, shingles array<long>")
     full = stash(full.dropDuplicates(["node"]), "sets")  # repeated rows gave theirs twice
@@ -170,18 +184,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crowd = met.where(F.col("count") >= LARGE).select("node").distinct()
     cells = full.join(crowd, "node", "left_semi").select("node", F.explode("shingles").alias("h"))
     lone = cells.groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other")).where("node = other").select("node", "h")
-
-    def by_class(df: DataFrame, name: str) -> DataFrame:
-        counts = [F.count_if(F.pmod("h", F.lit(CLASSES)) == c).cast("int") for c in range(CLASSES)]
-        return df.groupBy("node").agg(F.count("*").alias(f"n_{name}"), F.array(*counts).alias(name))
-
-    # of each member of the crowd: its shingles that no other has, and by class those that another has
-    crowd = by_class(cells, "all").join(by_class(lone, "lone"), "node", "left").select("node", F.coalesce("n_lone", F.lit(0)).alias("own"), F.when(F.col("lone").isNull(), F.col("all")).otherwise(F.zip_with("all", "lone", lambda a, b: a - b)).alias("common"))
-    traits = stash(nodes.join(crowd, "node", "left").select("node", "n", "own", "common", "pack", "bands"), "traits")
+    own = crowd.join(lone.groupBy("node").agg(F.count("*").alias("n_lone")), "node", "left").select("node", F.coalesce("n_lone", F.lit(0)).alias("own"))
+    traits = stash(nodes.join(own, "node", "left").select("node", "n", "own", "pack"), "traits")
     # the leader has the smallest share of shingles of its own, so it stands in the middle of its bucket
     order = F.struct(F.coalesce("own", F.lit(0)) / F.col("n"), F.col("node"))
-    member = met.join(traits.select("node", "n", "own"), "node")
-    leaders = member.groupBy("band").agg(F.min(order).alias("lead"), F.min("n").alias("low")).select("band", F.col("lead.node").alias("leader"), "low")
+    member = stash(met.join(traits.select("node", "n", "own"), "node"), "member")
+    leaders = stash(member.groupBy("band").agg(F.min(order).alias("lead"), F.min("n").alias("low")).select("band", F.col("lead.node").alias("leader"), "low"), "leaders")
     led = stash(member.join(leaders, "band"), "led")
     p = 1 - (1 - percent / 100) * (1 - 1 / 2**BITS)
     floor = percent / 100 - slack_sigmas * (p * (1 - p) / MINIMA) ** 0.5 / (1 - 1 / 2**BITS)
@@ -189,9 +197,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def likely() -> Column:
         return _may_link("x", "y", percent) & (estimate(F.col("x.pack"), F.col("y.pack")) >= floor)
 
-    marks = traits.drop("bands", "common")
-    star = led.where("node <> leader").select("leader", "node").distinct().join(marks, "node").alias("y")
-    pairs = star.join(marks.alias("x"), (F.col("y.leader") == F.col("x.node")) & likely()).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    def promising(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) that sizes, unshared shingles and packed signatures let link."""
+        x = pairs.join(traits.alias("x"), F.col("a") == F.col("x.node"))
+        return x.join(traits.alias("y"), F.col("b") == F.col("y.node")).where(likely()).select("a", "b")
+
+    pairs = promising(led.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
 
     def confirmed(asked: DataFrame) -> DataFrame:
         asked = asked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -207,24 +218,24 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # a bucket's open members: not in its leader's component, and not ruled out by the bucket's smallest set
     rest = F.col("n") - F.when(F.col("count") >= LARGE, F.col("own")).otherwise(0)
     stray = marked.where(F.col("label") != F.col("head")).where(100 * rest >= percent * (F.col("n") + F.greatest("low", rest) - rest))
-    stray = stash(stray.select("band", "at", "node", "label").join(traits, "node"), "stray").alias("x")
-    whole = marked.join(stray.select("band").distinct(), "band", "left_semi").select("band", "node", "label", "head").join(traits, "node").alias("y")
-    # a stray meets its leader's component always, and another stray once
-    unseen = (F.col("y.label") == F.col("y.head")) | (F.col("x.node") < F.col("y.node"))
-    # by class no more can be shared than the smaller of both counts; only members of the crowd have these
-    most = F.aggregate(F.zip_with("x.common", "y.common", lambda a, b: F.least(a, b)), F.lit(0), lambda acc, v: acc + v)
-    bounded = F.coalesce(100 * most >= percent * (F.col("x.n") + F.col("y.n") - most), F.lit(True))
-    # a pair counts in the first band that it shares; what a bucket rules out is ruled out in all of them
-    shared = F.zip_with(F.slice("x.bands", F.lit(1), F.col("x.at")), F.slice("y.bands", F.lit(1), F.col("x.at")), lambda a, b: a == b)
-    cross = stray.join(whole, (F.col("x.band") == F.col("y.band")) & (F.col("x.label") != F.col("y.label")) & unseen & likely() & bounded & ~F.exists(shared, lambda e: e))
-    more = confirmed(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    stray = stash(stray.where("count > 2").select("band", "node", "label"), "stray")
+    ring = marked.join(stray.select("band").distinct(), "band", "left_semi").select("node", "label").distinct()
+    ring = stash(ring.join(stray.select("node").distinct().withColumn("open", F.lit(True)), "node", "left").select("node", "label", F.coalesce("open", F.lit(False)).alias("open")), "ring")
+    heads = stash(_rare_shingles(full, ring, percent), "prefixes")
+    x, y = heads.where("open").alias("x"), heads.alias("y")
+    # from a shared shingle on no more can be shared than what stands behind it in both
+    most = 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place"))
+    enough = 100 * most >= percent * (F.col("x.n") + F.col("y.n") - most)
+    once = ~F.col("y.open") | (F.col("x.node") < F.col("y.node"))
+    cross = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & once & enough)
+    more = confirmed(promising(cross.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
     links = links.unionByName(more)
     labels = stash(components(links), "labels")
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
 
     named = classes.join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = stash(named.select("print", "least", "label", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "named")
-    heads = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    heads = stash(named.groupBy("label").agg(F.min("least").alias("component_id")), "heads")
     by_print = stash(named.join(heads, "label"), "by_print")
     placed = signed.where("n > 0").select("rid", "doc_id", "th", "n", "print").join(by_print, "print")
     placed = stash(placed.select("rid", "doc_id", "th", "n", "label", "component_id", "n_links"), "placed")

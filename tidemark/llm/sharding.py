@@ -1,48 +1,43 @@
 """Shards of near equal bytes by a k-d tree over metadata.
 
-A node splits along its widest dimension at the weighted median of the bytes.  The median is found
-by histograms: each round sums bytes per 12-bit digit of the key inside the digit range found
-before, so what reaches the driver is at most 4096 sums per node, whatever the table's size.
+All nodes of a level split in the same few jobs: along its widest dimension, at the weighted median of its bytes.
+The medians are found by histograms: each round sums bytes per 20-bit digit of the key inside the digit
+range found before and takes the digit where a node's running sum passes half.  Sums and tree are tables; nothing that
+grows with the rows or the leaves reaches the driver.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import BROADCAST_ROWS, column, stash, text_of
 
-#: A key has the dimension's 18 bits, then 42 bits of the text's hash, so that equal texts share it.
-DIM_BITS, HASH_BITS, DIGIT = 18, 42, 12
+#: A key has the dimension's 20 bits, then 40 bits of the text's hash, so that equal texts share it.
+DIM_BITS, HASH_BITS, DIGIT = 20, 40, 20
 
 
-def _table(spark: SparkSession, schema: dict[str, str], rows: list[tuple]) -> DataFrame:
-    """A few rows per tree node as literals."""
-    structs = [F.struct(*[F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, schema.items(), strict=True)]) for row in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+def _medians(keyed: DataFrame, nodes: DataFrame, small: bool) -> DataFrame:
+    """nodes (node, aim, ...) with cut, the key of its rows where the running bytes reach aim, the bytes before that key
+    and on it.  keyed: node, key, size."""
+    state = nodes.withColumns({"cut": F.lit(0).cast("long"), "before": F.lit(0).cast("long"), "on": F.lit(0).cast("long")})
+    order = Window.partitionBy("node").orderBy("k")
+    for shift in range(DIM_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
+        at = state.select(F.col("node").alias("at"), F.col("cut").alias("prefix"))
+        inside = keyed.join(F.broadcast(at) if small else at, (F.col("node") == F.col("at")) & (F.shiftright("key", shift + DIGIT) == F.col("prefix")))
+        sums = inside.groupBy("node", F.shiftright("key", shift).alias("k")).agg(F.sum("size").alias("w"))
+        run = sums.withColumns({"upto": F.sum("w").over(order.rowsBetween(Window.unboundedPreceding, 0)), "end": F.sum("w").over(Window.partitionBy("node"))})
+        passed = run.join(F.broadcast(state) if small else state, "node").where((F.col("before") + F.col("upto") >= F.col("aim")) | (F.col("upto") == F.col("end")))
+        first = passed.groupBy(*nodes.columns).agg(F.min(F.struct("k", (F.col("before") + F.col("upto") - F.col("w")).alias("b"), "w")).alias("f"))
+        state = stash(first.select(*nodes.columns, F.col("f.k").alias("cut"), F.col("f.b").alias("before"), F.col("f.w").alias("on")), "kdmedian")
+    return state
 
 
-def _medians(rows: DataFrame, aims: dict[int, float]) -> dict[int, tuple[int, float, float]]:
-    """For each node the key where the running bytes pass its aim, the bytes before that key and on it."""
-    spark = rows.sparkSession
-    found = {n: (0, 0.0, 0.0) for n in aims}
-    for shift in range(DIM_BITS + HASH_BITS - DIGIT, -1, -DIGIT):
-        at = _table(spark, {"at_node": "int", "prefix": "long"}, [(n, k) for n, (k, _, _) in found.items()])
-        sums = (
-            rows.join(F.broadcast(at), (F.col("node") == F.col("at_node")) & (F.shiftright("key", shift + DIGIT) == F.col("prefix")))
-            .groupBy("node", F.shiftright("key", shift).alias("k")).agg(F.sum("size").alias("w")).collect()
-        )
-        for n in found:
-            _, before, _ = found[n]
-            own = sorted((r.k, r.w) for r in sums if r.node == n)
-            for k, w in own:
-                if before + w >= aims[n] or k == own[-1][0]:
-                    found[n] = (k, before, float(w))
-                    break
-                before += w
-    return found
+def cut_order() -> Column:
+    """Where a row of (doc_id, th, rid) stands among rows of one key, from 0 to 1."""
+    return F.pmod(F.xxhash64("doc_id", "th", F.when(F.col("doc_id").isNull(), F.col("rid"))), F.lit(1 << 30)) / (1 << 30)
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, n_shards: int = 8, target_bytes: int | None = None, tolerance: float = 0.005, rows_per_slot_block: int = 100_000) -> DataFrame:
@@ -51,16 +46,17 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     size is the text's UTF-8 bytes plus 1 (null: 1).  dims are numeric metadata (null: 0); the default
     measures the text: bytes, bytes per code point and first line's length.  With target_bytes the number
     of shards is the total over it, rounded up.  Equal texts stay together where that moves a
-    cut by no more than tolerance of the node's bytes, else the cut goes through them by row hash.  Slots
-    count from 0 in each shard without gaps.  An empty table gives no rows.
+    cut by no more than tolerance of the node's bytes, else the cut goes through them by a hash of id and text (of the
+    row's place too where the id is null): with ids, the shard does not depend on the files' layout, and rows that agree in
+    id and text stay together.  Slots count from 0 in each shard without gaps.  An empty table gives no rows.
     """
-    spark, text = docs.sparkSession, text_of(text_col)
+    text = text_of(text_col)
     size = (F.octet_length(text) + 1).cast("long")
     dims = dims or {"bytes": size, "width": F.octet_length(text) / F.greatest(F.char_length(text), F.lit(1)), "head": F.locate("\n", text)}
     names = [f"d{i}" for i in range(len(dims))]
     base = stash(
         docs.select(
-            F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("rid"),
+            column(id_col).alias("doc_id"), size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("th"), F.monotonically_increasing_id().alias("rid"),
             *[F.coalesce(c.cast("double"), F.lit(0.0)).alias(n) for n, c in zip(names, dims.values(), strict=True)],
         ),
         "kd",
@@ -68,36 +64,36 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     ends = base.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[f(n).alias(f"{k}{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
     scale = [F.floor((F.col(n) - ends[f"lo{n}"]) / max(ends[f"hi{n}"] - ends[f"lo{n}"], 1e-12) * (2**DIM_BITS - 1)).cast("long") for n in names] if ends.n else [F.lit(0).cast("long") for n in names]
     leaves = max(1, math.ceil(ends.w / target_bytes)) if target_bytes and ends.n else n_shards
-    rows = base.select("doc_id", "size", "text_crc32", "th", (F.pmod(F.xxhash64("rid", "doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("r"), F.array(*scale).alias("d"), F.lit(0).alias("node"))
-    share, first = {0: leaves}, {0: 0}  # shards below each node, and the first of them
-    while any(s > 1 for s in share.values()) and ends.n:
-        stats = rows.groupBy("node").agg(F.sum("size").alias("w"), *[(F.max(F.col("d")[i]) - F.min(F.col("d")[i])).alias(f"s{i}") for i in range(len(names))]).collect()
-        widest = {r.node: max(range(len(names)), key=lambda i, r=r: (r[f"s{i}"], -i)) for r in stats}
-        total = {r.node: r.w for r in stats}
-        split = [n for n, s in share.items() if s > 1 and n in total]
-        if not split:
-            break
-        axis = _table(spark, {"ax_node": "int", "axis": "int"}, [(n, widest[n]) for n in split])
-        keyed = rows.join(F.broadcast(axis), F.col("node") == F.col("ax_node"), "left").withColumn("key", F.shiftleft(F.col("d")[F.coalesce("axis", F.lit(0))], HASH_BITS) + F.pmod("th", F.lit(1 << HASH_BITS)))
-        aims = {n: total[n] * (share[n] // 2) / share[n] for n in split}
-        cuts = []
-        for n, (key, before, on) in _medians(keyed.where(F.col("ax_node").isNotNull()), aims).items():
-            part = (aims[n] - before) / on if on else 0.0
-            nearest = 0.0 if part < 0.5 else 1.0
-            cuts.append((n, key, nearest if abs(nearest - part) * on <= tolerance * total[n] else min(max(part, 0.0), 1.0)))
-        cut = _table(spark, {"cut_node": "int", "cut": "long", "part": "double"}, cuts)
+    rows = base.select("doc_id", "size", "text_crc32", "th", cut_order().alias("r"), F.array(*scale).alias("d"), F.lit(0).cast("long").alias("node"))
+    # share: shards below a node; first: the number of the first of them.  The children of n are 2n + 1 and 2n + 2
+    tree = base.sparkSession.range(1).select(F.col("id").alias("node"), F.lit(leaves).cast("long").alias("share"), F.lit(0).cast("long").alias("first"))
+    for level in range(math.ceil(math.log2(leaves)) if ends.n else 0):
+        small = 2**level <= BROADCAST_ROWS
+        spans = [F.max(F.col("d")[i]) - F.min(F.col("d")[i]) for i in range(len(names))]
+        stats = rows.groupBy("node").agg(F.sum("size").alias("bytes"), F.array(*spans).alias("s")).join(tree.where("share > 1"), "node")
+        low = F.floor(F.col("share") / 2)
+        nodes = stash(stats.select("node", "bytes", "share", "first", (F.array_position("s", F.array_max("s")) - 1).cast("int").alias("axis"), (F.col("bytes") * low / F.col("share")).alias("aim")), "kdnodes")
+
+        def keyed(known: DataFrame, how: str, rows: DataFrame = rows, small: bool = small) -> DataFrame:
+            known = known.withColumnRenamed("node", "own")
+            met = rows.join(F.broadcast(known) if small else known, F.col("node") == F.col("own"), how)
+            return met.withColumn("key", F.shiftleft(F.get("d", "axis"), HASH_BITS) + F.pmod("th", F.lit(1 << HASH_BITS)))
+
+        found = _medians(keyed(nodes.select("node", "axis"), "inner").select("node", "key", "size"), nodes, small)
+        part = F.when(F.col("on") > 0, (F.col("aim") - F.col("before")) / F.col("on")).otherwise(0.0)
+        nearest = F.when(part < 0.5, 0.0).otherwise(1.0)
+        found = found.withColumn("part", F.when(F.abs(nearest - part) * F.col("on") <= tolerance * F.col("bytes"), nearest).otherwise(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))))
         right = F.coalesce((F.col("key") > F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("r") >= F.col("part"))), F.lit(False))
-        # children of n are 2n + 1 and 2n + 2, so leaves keep their number
-        rows = keyed.join(F.broadcast(cut), F.col("node") == F.col("cut_node"), "left").select("doc_id", "size", "text_crc32", "th", "r", "d", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
-        for n in split:
-            low = share[n] // 2
-            share |= {2 * n + 1: low, 2 * n + 2: share.pop(n) - low}
-            first |= {2 * n + 1: first[n], 2 * n + 2: first[n] + low}
-        if max(share).bit_length() % 4 == 0:
-            rows = stash(rows, "kdlevel")
-    numbers = _table(spark, {"leaf": "int", "shard": "int"}, [(n, first[n]) for n in share])
+        split = keyed(found.select("node", "axis", "cut", "part"), "left")
+        rows = split.select("doc_id", "size", "text_crc32", "th", "r", "d", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
+        halves = F.array(F.struct((2 * F.col("node") + 1).alias("node"), low.alias("share"), F.col("first")), F.struct((2 * F.col("node") + 2).alias("node"), (F.col("share") - low).alias("share"), (F.col("first") + low).alias("first")))
+        tree = tree.where("share = 1").unionByName(found.select(F.inline(halves)))
+        if level % 3 == 2:
+            rows, tree = stash(rows, "kdrows"), stash(tree, "kdtree")
+    numbers = tree.select(F.col("node").alias("leaf"), F.col("first").cast("int").alias("shard"))
+    numbers = F.broadcast(numbers) if leaves <= BROADCAST_ROWS else numbers
     blocks = max(1, math.ceil(ends.n / rows_per_slot_block))
-    placed = stash(rows.join(F.broadcast(numbers), F.col("node") == F.col("leaf")).select("doc_id", "size", "text_crc32", "shard", "r", F.floor(F.col("r") * blocks).cast("int").alias("block")), "placed")
+    placed = stash(rows.join(numbers, F.col("node") == F.col("leaf")).select("doc_id", "size", "text_crc32", "shard", "r", F.floor(F.col("r") * blocks).cast("int").alias("block")), "placed")
     counts = placed.groupBy("shard", "block").count()
     starts = counts.withColumn("start", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
     local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("r", "doc_id")) - 1

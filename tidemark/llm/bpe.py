@@ -5,17 +5,21 @@ as soon as nothing that may still come can change it.  How far that reach goes f
 change on the right travels left only along merges of rising rank, each taking as its right part
 what the one before took or made as its left part; the longest such chain, in symbols, is the lookahead.
 So a piece of any length needs one buffer of a few lookaheads.  Short pieces repeat, and a worker keeps
-the tokens of those it met in a bounded table.
+the tokens of those it met in a bounded table.  Ids leave in chunks, and the decoder is a state machine that takes
+chunks; what is held beside a text does not grow with it, but for a stretch without white space, which is
+normalised as a whole.
 """
 
 from __future__ import annotations
 
+import codecs
 import hashlib
 import json
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import column, small_batches
 
 #: Pieces up to so many symbols are kept in a worker's table of at most TABLE pieces.
 SHORT, TABLE = 48, 250_000
@@ -124,6 +128,17 @@ class WordBpe:
             tokens = self.piece_tokens(self._symbols(piece))
         return b"".join([self.packed[t] for t in tokens])
 
+    def _streamed(self, pieces: Iterable[str]) -> Iterator[bytes]:
+        """The ids of pieces one by one, of a very long piece in chunks."""
+        get, met = self.table.get, self._met
+        for piece in pieces:
+            if len(piece) <= SLICE:
+                yield get(piece) or met(piece)
+            else:
+                tokens = self.piece_tokens(self._symbols(piece))
+                while chunk := [self.packed[t] for t in islice(tokens, SLICE)]:
+                    yield b"".join(chunk)
+
     def _met(self, piece: str) -> bytes:
         """Ids of a piece that is not in the table: from the older half of the table, or made anew."""
         ids = self.older.get(piece) or self.piece_ids(piece)
@@ -141,7 +156,12 @@ class WordBpe:
             # letters fold one by one, so capital sigma knows no word end
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
             find = self.plain_pieces if part.isascii() else self.pieces
-            yield b"".join([get(piece) or met(piece) for piece in find.findall(part)])
+            if len(part) <= 2 * SLICE:
+                yield b"".join([get(piece) or met(piece) for piece in find.findall(part)])
+            else:
+                ids = self._streamed(m.group() for m in find.finditer(part))
+                while chunk := b"".join(islice(ids, SLICE)):
+                    yield chunk
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The ids of a text in order, slice by slice; the special tokens' strings are those tokens."""
@@ -152,26 +172,51 @@ class WordBpe:
             at = m.end()
         yield from self._plain(text[at:])
 
+    def decoder(self, joined: bool) -> Decoder:
+        return Decoder(self, joined)
+
     def decode_tokens(self, ids: Iterable[int]) -> bytes:
-        """The tokens with one space between them, as a library without a decoder joins them."""
-        return b" ".join(map(self.tokens.__getitem__, ids))
+        """All tokens with one space between them."""
+        return self.decoder(True).feed(list(ids))
 
     def decode_text(self, ids: Iterable[int]) -> Iterator[str]:
-        """Text as it becomes complete: bytes of a character that is not whole yet wait, word ends are spaces."""
-        import codecs
-
-        value = {c: b for b, c in enumerate(self.letters)}
-        machine = codecs.getincrementaldecoder("utf-8")("replace")
-        names = {i: t for t, i in self.special.items()}
+        """Text as it becomes complete."""
+        machine = self.decoder(False)
         for i in ids:
-            if i in names:
-                yield machine.decode(b"", True) + names[i]
-                machine.reset()
-                continue
-            token = self.tokens[i].decode()
-            ended = token.endswith(self.end)
-            out = machine.decode(bytes(value[c] for c in token.removesuffix(self.end)), ended)
-            yield out + " " * ended
+            yield machine.feed([i]).decode("utf-8", "surrogatepass")
+
+
+class Decoder:
+    """Ids to UTF-8 text, chunk by chunk; the state is what a chunk leaves open.
+
+    joined: the vocabulary file names no decoder, and a library then writes the tokens as they are, with one space
+    between them; open is whether a token came before.  Otherwise the letters become bytes again and word ends
+    spaces; open are the first bytes of a character whose other bytes have not come.
+    """
+
+    def __init__(self, bpe: WordBpe, joined: bool) -> None:
+        self.bpe, self.joined, self.begun = bpe, joined, False
+        self.value = {c: b for b, c in enumerate(bpe.letters)}
+        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
+        self.names = {i: t for t, i in bpe.special.items()}
+
+    def feed(self, ids: list[int]) -> bytes:
+        """What these ids complete."""
+        if self.joined:
+            made = b" ".join(map(self.bpe.tokens.__getitem__, ids))
+            made = b" " + made if self.begun and ids else made
+            self.begun = self.begun or bool(ids)
+            return made
+        return "".join(map(self._one, ids)).encode()
+
+    def _one(self, i: int) -> str:
+        if i in self.names:
+            left = self.machine.decode(b"", True)
+            self.machine.reset()
+            return left + self.names[i]
+        token, end = self.bpe.tokens[i].decode(), self.bpe.end
+        ended = token.endswith(end)
+        return self.machine.decode(bytes(self.value[c] for c in token.removesuffix(end)), ended) + " " * ended
 
 
 def slices(text: str) -> Iterator[str]:
@@ -192,15 +237,25 @@ def vocabulary(path: str) -> WordBpe:
     return WordBpe.load(path)
 
 
+def digest_text(bpe: WordBpe, text: str) -> tuple[int, str, str]:
+    """Number of ids, and the SHA-256 of the ids and of the text decoded from them, fed chunk by chunk."""
+    n, ids, decoded, machine = 0, hashlib.sha256(), hashlib.sha256(), bpe.decoder(True)
+    for chunk in bpe.encode(text):
+        n += len(chunk) // 4
+        ids.update(chunk)
+        decoded.update(machine.feed(np.frombuffer(chunk, "<u4").tolist()))
+    return n, ids.hexdigest(), decoded.hexdigest()
+
+
 def _coded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     bpe = vocabulary(path)
     for batch in batches:
         counts, digests, decoded = [], [], []
         for text in batch.column("text"):
-            ids = b"".join(bpe.encode(text.as_py() or ""))
-            counts.append(len(ids) // 4)
-            digests.append(hashlib.sha256(ids).hexdigest())
-            decoded.append(hashlib.sha256(bpe.decode_tokens(np.frombuffer(ids, "<u4").tolist())).hexdigest())
+            n, own, back = digest_text(bpe, text.as_py() or "")
+            counts.append(n)
+            digests.append(own)
+            decoded.append(back)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
 
@@ -215,12 +270,15 @@ def _tokens(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, ids (array of int), decoded (text).  Null and empty texts have no ids."""
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     return base.mapInArrow(lambda it: _tokens(it, path), f"doc_id {docs.schema[id_col].dataType.simpleString()}, ids array<int>, decoded string")
 
 
 def token_digest(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; narrow, with no shuffle."""
+    """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; narrow, with no shuffle.
+
+    Null and empty texts have no ids and the digests of nothing; repeated rows give repeated rows.
+    """
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     return base.mapInArrow(lambda it: _coded(it, path), f"doc_id {docs.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")

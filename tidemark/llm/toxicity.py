@@ -4,14 +4,14 @@ Only document labels are given, so token labels are derived first: a word form o
 toxic training documents hold far more often than others marks its tokens there as toxic.
 The field has two states.  A token without any such feature has the same factors as every other such token, so
 a run of them is a power of one 2 x 2 matrix, in closed form; the forward and backward passes step from marked
-token to marked token and stay exact.
+token to marked token and stay exact.  Feature weights, transitions and bias are all fitted by what these passes expect.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stash, text_of, within
+from .common import column, small_batches, stash, text_of, within
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Lengths of the word beginnings that are features, beside the whole word.
@@ -52,7 +52,7 @@ class ToxicField:
         values, vectors = values.real[order], vectors.real[:, order]
         back = np.linalg.inv(vectors)
         self.p, self.q = np.outer(vectors[:, 0], back[0]), np.outer(vectors[:, 1], back[1])
-        self.ratio = values[1] / values[0]
+        self.ratio, self.top = values[1] / values[0], values[0]
 
     def emission(self, word: str) -> float | None:
         """Log factor of the toxic state beyond the bias, None for an unmarked token."""
@@ -139,6 +139,97 @@ def _lexicon(texts: list[str], labels: list[int], least: int = 4) -> dict[str, f
     return out
 
 
+class _Batch:
+    """Marked tokens of many sequences, those of one place in their sequences side by side, so that all sequences take
+    each step of a pass together."""
+
+    def __init__(self, tokens: list[tuple[list[tuple[int, list[str]]], int, list[int]]], names: list[str]) -> None:
+        number = {f: k for k, f in enumerate(names)}
+        order = sorted(range(len(tokens)), key=lambda d: -len(tokens[d][0]))
+        self.size = np.array([tokens[d][1] for d in order], float)
+        most = len(tokens[order[0]][0]) if order else 0
+        counts = np.bincount(np.array([len(t[0]) for t in tokens], int), minlength=most + 1)
+        self.width = np.cumsum(counts[::-1])[::-1][1:].tolist()  # sequences with more than j marked tokens
+        self.start = np.concatenate(([0], np.cumsum(self.width))).astype(int)
+        place, truth, owner, feature = np.zeros(self.start[-1]), np.zeros(self.start[-1]), [], []
+        for rank, d in enumerate(order):
+            marks, _, states = tokens[d]
+            for j, ((i, fs), t) in enumerate(zip(marks, states, strict=True)):
+                m = self.start[j] + rank
+                place[m], truth[m] = i, t
+                owner += [m] * len(fs)
+                feature += [number[f] for f in fs]
+        self.place, self.truth = place, truth
+        self.owner, self.feature = np.array(owner, int), np.array(feature, int)
+        # transitions of the given states: tokens without a mark are clean
+        self.stays = sum(states[j] and states[j - 1] and marks[j][0] == marks[j - 1][0] + 1 for marks, _, states in tokens for j in range(1, len(marks)))
+
+    def emissions(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.owner, w[self.feature], len(self.place))
+
+    def run(self, e: np.ndarray, stay: float, enter: float, bias: float, back: bool = False) -> tuple[float, np.ndarray]:
+        """Sum of the log partition functions, and (back) the marginals of the marked tokens."""
+        field = ToxicField({}, stay, enter, bias)
+        (p00, p01), (p10, p11), (q00, q01), (q10, q11) = *field.p.tolist(), *field.q.tolist()
+        ratio, top, e0, e1 = field.ratio, math.log(field.top), math.exp(enter), math.exp(stay)
+        f = np.exp(bias + np.minimum(e, 30.0))
+        n = len(self.size)
+        a, b, last, log = np.ones(n), np.zeros(n), np.full(n, -1.0), np.zeros(n)
+        fore = np.zeros((len(f), 2))
+        for j, wide in enumerate(self.width):
+            at = slice(self.start[j], self.start[j] + wide)
+            gap = self.place[at] - last[:wide] - 1
+            r = ratio**gap
+            x, y = a[:wide], b[:wide]
+            x, y = x * (p00 + r * q00) + y * (p10 + r * q10), x * (p01 + r * q01) + y * (p11 + r * q11)
+            x, y = x + y, (x * e0 + y * e1) * f[at]
+            total = x + y
+            a[:wide], b[:wide], last[:wide] = x / total, y / total, self.place[at]
+            log[:wide] += np.log(total) + gap * top
+            fore[at, 0], fore[at, 1] = a[:wide], b[:wide]
+        gap = self.size - last - 1
+        r = ratio**gap
+        end = a * (p00 + p01 + r * (q00 + q01)) + b * (p10 + p11 + r * (q10 + q11))
+        partition = float((log + gap * top + np.log(end)).sum())
+        out = np.zeros(len(f))
+        if back:
+            a, b, nxt = np.ones(n), np.ones(n), self.size.copy()
+            for j in range(len(self.width) - 1, -1, -1):
+                wide = self.width[j]
+                at = slice(self.start[j], self.start[j] + wide)
+                r = ratio ** (nxt[:wide] - self.place[at] - 1)
+                x, y = a[:wide], b[:wide]
+                x, y = (p00 + r * q00) * x + (p01 + r * q01) * y, (p10 + r * q10) * x + (p11 + r * q11) * y
+                on = fore[at, 1] * y
+                out[at] = on / (fore[at, 0] * x + on)
+                x, y = x + e0 * f[at] * y, x + e1 * f[at] * y
+                a[:wide], b[:wide], nxt[:wide] = x / (x + y), y / (x + y), self.place[at]
+        return partition, out
+
+
+def fit_chain(tokens: list[tuple[list[tuple[int, list[str]]], int, list[int]]], weights: dict[str, float], start: tuple[float, float, float], rounds: int = 30, step: float = 0.5, pull: float = 0.02) -> tuple[dict[str, float], tuple[float, float, float]]:
+    """Feature weights and (stay, enter, bias) that make given token states likely, from the given start.
+
+    tokens: of each sequence its marked tokens (place, features), its length, and the marked tokens' states; all other
+    tokens are clean.  A round moves each parameter by its count in the given states less its expected count, over the
+    size of both; the forward and backward passes give the expectations, those of stay, enter and bias as derivatives
+    of the log partition function.
+    """
+    names = list(weights)
+    batch, w, chain = _Batch(tokens, names), np.array([weights[f] for f in names]), np.array(start, float)
+    seen = np.bincount(batch.feature, minlength=len(names))
+    given = np.array([batch.stays, batch.truth.sum() - batch.stays, batch.truth.sum()], float)
+    tiny = 1e-4
+    for _ in range(rounds):
+        e = batch.emissions(w)
+        _, p = batch.run(e, *chain, back=True)
+        gradient = np.bincount(batch.feature, (batch.truth - p)[batch.owner], len(names))
+        expected = np.array([(batch.run(e, *(chain + d))[0] - batch.run(e, *(chain - d))[0]) / (2 * tiny) for d in np.eye(3) * tiny])
+        w = w + step * (8 * gradient / (seen + 4) - pull * w)
+        chain = chain + step * (given - expected) / ((given + expected) / 2 + 4)
+    return dict(zip(names, w.tolist(), strict=True)), tuple(chain.tolist())
+
+
 def fit(texts: list[str], labels: list[int], rounds: int = 30, step: float = 0.5) -> ToxicField:
     """Train on whole documents with labels 0 and 1; without both labels the field marks nothing."""
     lexicon = _lexicon(texts, labels) if {0, 1} <= set(labels) else {}
@@ -150,20 +241,10 @@ def fit(texts: list[str], labels: list[int], rounds: int = 30, step: float = 0.5
         data.append(([(i, f) for i, f in marks if f], len(words), label))
     # weak token labels: in toxic documents the marked tokens with the better part of the evidence
     tokens = [(marks, size, [int(label == 1 and sum(lexicon[f] for f in fs) >= 2.0) for _, fs in marks]) for marks, size, label in data]
-    weights, start = {f: 0.5 for f in lexicon}, dict.fromkeys(lexicon, 0.0)
-    for _ in range(rounds if lexicon else 0):
-        field.weights = weights
-        gradient, seen = start.copy(), defaultdict(int)
-        for marks, size, truth in tokens:
-            if marks:
-                given = field.marginals([(i, sum(weights[f] for f in fs)) for i, fs in marks], size)
-                for (_, fs), t, m in zip(marks, truth, given, strict=True):
-                    for f in fs:
-                        gradient[f] += t - m
-                        seen[f] += 1
-        # a step of the log likelihood's gradient per occurrence, with a pull to 0
-        weights = {f: w + step * (8 * gradient[f] / (seen[f] + 4) - 0.02 * w) for f, w in weights.items()}
-    field.weights = weights
+    if lexicon:
+        field.weights, (field.stay, field.enter, field.bias) = fit_chain(tokens, dict.fromkeys(lexicon, 0.5), (field.stay, field.enter, field.bias), rounds, step)
+        field._powers()
+    weights = field.weights
     x, y = [], np.array(labels, float)
     for marks, size, _ in data:
         x.append(field.aggregate(field.marginals([(i, sum(weights[f] for f in fs)) for i, fs in marks], size), size))
@@ -187,10 +268,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     the order of their ids, on those that fit into max_chars code points; the two bound what reaches the driver.  Of
     several labels of a document the higher counts."""
     small_batches(docs.sparkSession)
-    marked = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
+    marked = labels.select(column(id_col).alias("id"), column(label_col).cast("int").alias("label")).where("label in (0, 1)").groupBy("id").agg(F.max("label").alias("label"))
     count = marked.count()
     drawn = marked.where(F.pmod(F.xxhash64("id", F.lit("toxic")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_docs / max(count, 1))) + 1)
-    base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    base = docs.select(column(id_col).alias("id"), text_of(text_col).alias("text"))
     sample = stash(base.join(F.broadcast(drawn), "id"), "toxic_sample")
     rows = within(sample, "id", "text", max_chars)
     order = sorted((r.id, r.text, r.label) for r in rows.select("id", "text", "label").toLocalIterator())
@@ -220,5 +301,5 @@ def score_documents(docs: DataFrame, field: ToxicField, id_col: str = "doc_id",
                 spans.append([{"start": w.start(), "end": w.end(), "p": high[i]} for i, w in enumerate(WORD.finditer(text)) if i in high] if high else [])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(spans, span)], names=["doc_id", "score", "spans"])
 
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
     return base.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, score double, spans array<struct<start:int,end:int,p:double>>")

@@ -4,7 +4,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, graph, line_dedup, near_dedup
+from tidemark.llm import decontam, exact_dedup, graph, langid, line_dedup, near_dedup
 
 from . import cases
 
@@ -70,6 +70,28 @@ def test_near_groups_in_a_crowd_lose_no_link(spark):
     assert got == cases.components(texts, 85)
 
 
+def test_a_bucket_of_thousands_without_links_stays_linear(spark, monkeypatch):
+    """A template in all texts puts thousands into one bucket though none links; a short text keeps the bucket open."""
+    draw = random.Random(9)
+    common = [f"common{k}" for k in range(200)]
+    rows = [(i, " ".join(common[: 150 + i % 10] + [f"w{draw.randrange(10**9)}" for _ in range(45)]), "en", "a") for i in range(5000)]
+    rows += [(9000, " ".join(common[:130]), "en", "a"), (9001, " ".join(common[:130] + ["end"]), "en", "a")]
+    asked = []
+    plain = near_dedup.stash
+
+    def seen(df, tag):
+        out = plain(df, tag)
+        if tag == "prefixes":
+            asked.append(out.alias("x").join(out.alias("y"), F.expr("x.h = y.h and x.node < y.node")).count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "stash", seen)
+    monkeypatch.setattr(near_dedup, "band_rows", lambda percent: 1)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(cases.docs(spark, rows), percent=85).collect()}
+    assert got == {i: i for i in range(5000)} | {9000: 9000, 9001: 9000}
+    assert asked and asked[0] < 100_000
+
+
 def test_drop_near_copies_keeps_one_of_each(spark):
     kept = near_dedup.drop_near_copies(cases.docs(spark), percent=85)
     ids = sorted(r.doc_id for r in kept.select("doc_id").where("doc_id is not null").collect())
@@ -114,3 +136,28 @@ def test_line_dedup_matches_plain_counting(spark, table_lines, monkeypatch):
     for r in got:
         assert r.text == clean[r.doc_id]
         assert r.n_lines - r.n_removed == (clean[r.doc_id].count("\n") + 1 if r.n_removed < r.n_lines else 0)
+
+
+CLASHES = ["th", "vid", "vth", "judged", "_th", "_vid", "_vth", "rid", "node", "band", "h", "site", "w", "kept", "drop", "group_size", "t", "c"]
+
+
+@pytest.mark.parametrize("name", ["exact", "near", "leaks", "language"])
+def test_rows_keep_their_columns_whatever_they_are_called(spark, name):
+    """Another text column beside one called text, and the users' columns under every name that an operator uses itself."""
+    keep = {
+        "exact": lambda d: exact_dedup.drop_exact_copies(d, text_col="body"), "near": lambda d: near_dedup.drop_near_copies(d, text_col="body"),
+        "leaks": lambda d: decontam.drop_leaks(d, spark.createDataFrame([(1, "some line that nobody has ever copied into any text")], "item_id long, text string"), text_col="body"),
+        "language": lambda d: langid.keep_identified(d, langid.train(d, text_col="body"), text_col="body"),
+    }[name]
+    rows = [(i, t, "en", f"other text {k}", k + 0.5, *[700 + j for j in range(len(CLASHES))]) for k, (i, t, *_) in enumerate(cases.ROWS)]
+    schema = "doc_id long, body string, lang string, text string, `a.b` double, " + ", ".join(f"{c} long" for c in CLASHES)
+    docs = spark.createDataFrame(rows, schema)
+    got = [tuple(r) for r in keep(docs).collect()]
+    assert got and set(got) <= set(rows) and keep(docs).schema == docs.schema
+    plain = {"exact": exact_dedup.drop_exact_copies, "near": near_dedup.drop_near_copies}.get(name)
+    if plain:
+        assert sorted(r[1] or "" for r in got) == sorted(r.text or "" for r in plain(cases.docs(spark)).collect())
+    elif name == "leaks":
+        assert sorted(map(str, got)) == sorted(map(str, rows))
+    else:
+        assert {r[0] for r in rows} - {r[0] for r in got} >= {1, 2, 3, 14}

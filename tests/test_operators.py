@@ -14,47 +14,46 @@ def series(spark, values, name="x"):
     return spark.createDataFrame([("a", i, float(v)) for i, v in enumerate(values)], f"symbol string, bar_idx long, {name} double")
 
 
-def plain_zigzag(high, low, pct):
-    hi, lo, trend, out = (0, high[0]), (0, low[0]), 0, []
-    for i in range(1, len(high)):
-        hi = (i, high[i]) if high[i] > hi[1] else hi
-        lo = (i, low[i]) if low[i] < lo[1] else lo
-        if trend >= 0 and low[i] <= hi[1] * (1 - pct):
-            out.append((*hi, "H", i))
-            k = hi[0] + int(np.argmin(low[hi[0] : i + 1]))
-            trend, lo = -1, (k, low[k])
-        elif trend <= 0 and high[i] >= lo[1] * (1 + pct):
-            out.append((*lo, "L", i))
-            k = lo[0] + int(np.argmax(high[lo[0] : i + 1]))
-            trend, hi = 1, (k, high[k])
+def next_pivot(high, low, pct, begin, after, kind):
+    """First bar past `after` from which the extreme since `begin` lies pct away, and that extreme."""
+    run, other, sign = (np.maximum.accumulate(high[begin:]), low[begin:], 1) if kind == "H" else (np.minimum.accumulate(low[begin:]), high[begin:], -1)
+    hits = np.flatnonzero(other * sign <= run * (1 - sign * pct) * sign) + begin
+    hits = hits[hits > after]
+    return None if not len(hits) else (begin + int(np.argmax(run == run[hits[0] - begin])), float(run[hits[0] - begin]), kind, int(hits[0]))
+
+
+def declared_pivots(high, low, pct):
+    """Pivots one after another by what each of them is: the extreme between the pivot before and its confirmation."""
+    both = [p for k in "HL" if (p := next_pivot(high, low, pct, 0, 0, k))]
+    out = sorted(both, key=lambda p: (p[3], p[2]))[:1]
+    while out and (p := next_pivot(high, low, pct, out[-1][0], out[-1][3], "L" if out[-1][2] == "H" else "H")):
+        out.append(p)
     return out
 
 
-def test_zigzag_equals_the_whole_array_rule():
+def test_zigzag_finds_the_declared_pivots():
     draw = random.Random(1)
-    for _ in range(300):
+    for wide in [0.004] * 300 + [0.03] * 200:
         close = 100 * np.exp(np.cumsum([draw.gauss(0, 0.01) for _ in range(300)]))
-        high, low = close * (1 + np.abs([draw.gauss(0, 0.004) for _ in close])), close * (1 - np.abs([draw.gauss(0, 0.004) for _ in close]))
+        high, low = close * (1 + np.abs([draw.gauss(0, wide) for _ in close])), close * (1 - np.abs([draw.gauss(0, wide) for _ in close]))
+        high, low = high.round(1), low.round(1)  # so that there are ties
         chain = swings.ZigZag(0.015)
         got = [p for h, l in zip(high, low, strict=True) if (p := chain.push(h, l))]  # noqa: E741
-        assert got == plain_zigzag(high, low, 0.015)
+        assert got == declared_pivots(high, low, 0.015)
         assert all(a[2] != b[2] for a, b in zip(got, got[1:], strict=False))
 
 
 def plain_crossings(levels, bars_):
-    at = next((i for i in range(len(levels) - 1) if levels[i] <= bars_[0][0] < levels[i + 1]), 0)
-    trades, before = 0, None
-    for o, h, l, c in bars_:  # noqa: E741
-        path = [o if before is None else before, l, h, c]
-        for a, b in zip(path, path[1:], strict=False):
-            if a < b:
-                while at + 1 < len(levels) and a <= levels[at + 1] < b:
-                    at, trades = at + 1, trades + 1
-            else:
-                while at > 0 and b <= levels[at - 1] < a:
-                    at, trades = at - 1, trades + 1
-        before = c
-    return trades
+    """Moves of the last touched level over the path: a leg ends at its own end's level unless it is there already."""
+    close = np.array([b[3] for b in bars_])
+    path = np.column_stack([np.append(bars_[0][0], close[:-1]), [b[2] for b in bars_], [b[1] for b in bars_], close])
+    at = int(np.searchsorted(levels, bars_[0][0], "right")) - 1
+    moves = 0
+    for a, b in np.stack([path[:, :-1], path[:, 1:]], -1).reshape(-1, 2):
+        below = int(np.searchsorted(levels, b))
+        to = at if a == b else max(at, below - 1) if a < b else min(at, below)
+        moves, at = moves + abs(to - at), to
+    return moves
 
 
 def test_crossing_sweep_equals_the_loop(spark):
@@ -128,14 +127,27 @@ def test_trend_classification(spark):
 
 
 def test_order_book():
-    book = S.OrderBook(15, 0.0002)
-    assert book.try_open(100, 1.1, 1) == "admitted" and book.check(112, 1.101, 1) == "time"
-    assert book.try_open(118, 1.1003, 1) == "admitted" and book.check(140, 1.10035, 1) == "price" and book.check(119, 1.1003, -1) == "admitted"
-    for bad in ({"y_th": 1.0, "max_ops": 12}, {}, {"y_th": 1.0, "y_th_frac": 1.0}):
+    limits, book = S.Limits(15, amount=0.0002), {}
+    verdicts = [S.place(book, limits, *c) for c in [(100, 1.1, 1), (112, 1.101, 1), (118, 1.1003, 1), (119, 1.1003, -1), (140, 1.10035, 1), (140, 1.1001, 1)]]
+    assert verdicts == ["admitted", "time", "admitted", "admitted", "price", "price"]
+    for bad in ({"amount": 1.0, "orders": 12}, {}, {"amount": 1.0, "share": 1.0}):
         with pytest.raises(ValueError):
-            S.OrderBook(15, **bad)
-    full = S.OrderBook(0, 1e-12)
-    assert [full.try_open(i * 10, 100.0 + i, 1) for i in range(14)] == ["admitted"] * 13 + ["cap"]
+            S.Limits(15, **bad)
+    full, book = S.Limits(0, share=1e-12), {}
+    assert [S.place(book, full, i * 10, 100.0 + i, 1) for i in range(14)] == ["admitted"] * 13 + ["cap"]
+
+
+def test_places_equal_looking_at_every_open_order():
+    draw = random.Random(12)
+    for _ in range(50):
+        limits, book, held = S.Limits(draw.randrange(6), share=draw.choice([1e-12, 0.002, 0.01]), orders=draw.choice([5, 99])), {}, []
+        for bar in range(150):
+            price, side = 100 + draw.randrange(40) / 10, draw.choice([1, -1])
+            own = [o for o in held if o[2] == side]
+            rules = {"cap": len(held) >= limits.orders, "time": any(bar <= o[0] + limits.bars for o in own), "price": any(abs(price - o[1]) <= limits.share * price for o in own)}
+            want = next((k for k, v in rules.items() if v), "admitted")
+            assert S.place(book, limits, bar, price, side) == want
+            held += [(bar, price, side)] * (want == "admitted")
 
 
 def test_admission_spacing(spark):
@@ -153,15 +165,19 @@ def test_net_learns():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(400, 3))
     y = np.tanh(x @ [1.0, -0.5, 0.3])
-    net = S.ScaledConjugateNet(3, 12)
-    w = net.w + rng.normal(size=net.w.shape) * 0.1
-    g = net.grad(w, x, y)
-    for k in rng.integers(0, len(w), 5):
-        e = np.zeros_like(w)
-        e[k] = 1e-6
-        assert (net.loss(w + e, x, y) - net.loss(w - e, x, y)) / 2e-6 == pytest.approx(g[k], abs=1e-6)
-    history = net.fit(x, y, 150)
-    assert history[-1] < 0.02 * history[0] and all(b <= a + 1e-12 for a, b in zip(history, history[1:], strict=False))
+    net = S.TanhLayer(3, 12)
+    of, w = net.objective(x, y), net.start(0) + rng.normal(size=12 * 4 + 13) * 0.1
+    for k in rng.integers(0, len(w), 8):
+        e = np.eye(len(w))[k] * 1e-6
+        assert (of(w + e)[0] - of(w - e)[0]) / 2e-6 == pytest.approx(of(w)[1][k], abs=1e-6)
+    got, history = S.scaled_conjugate(of, net.start(0), 150)
+    assert of(got)[0] == history[-1] < 0.02 * history[0] and all(b <= a for a, b in zip(history, history[1:], strict=False))
+    # on a parabola it ends at the bottom, also from a saddle of one that opens downwards on one side first
+    m = np.diag([1.0, 5.0, 20.0])
+    low, _ = S.scaled_conjugate(lambda v: (float(v @ m @ v) / 2 - v.sum(), m @ v - 1), np.zeros(3), 60)
+    assert low == pytest.approx([1.0, 0.2, 0.05], abs=1e-5)
+    well, _ = S.scaled_conjugate(lambda v: (float((v * v - 1) @ (v * v - 1)), 4 * v * (v * v - 1)), np.array([0.1, -0.2]), 100)
+    assert well == pytest.approx([1, -1], abs=1e-4)
 
 
 def test_range_rules(spark):

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -45,52 +47,57 @@ def forecast_report(df: DataFrame, pred: str, by: list[str]) -> DataFrame:
     return df.groupBy(*by).agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.sqrt(F.avg(naive * naive)).alias("rmse_naive"), F.avg(F.when(F.col("move") != 0, right)).alias("directional"))
 
 
-class OrderBook:
-    """Admission of orders: first the cap on all open orders, then time, then price against those of the same direction.
+@dataclass(frozen=True)
+class Limits:
+    """What an order must keep from the open ones: `bars` from the last of its direction, and a price distance from all of
+    its direction, as a share of its own price or as an amount (exactly one of both).  `orders` caps the open orders
+    of both directions; it is odd, so that a hedged book cannot fill it evenly."""
 
-    Within x_th bars of an open order of the direction: time.  Within y (absolute, or a share of the candidate's
-    price) of one: price.  The cap is odd, so that a hedged book cannot fill it evenly.
-    """
+    bars: int = 15
+    share: float | None = None
+    amount: float | None = None
+    orders: int = 13
+
+    def __post_init__(self) -> None:
+        if (self.share is None) == (self.amount is None):
+            raise ValueError("give exactly one of share and amount")
+        if self.orders % 2 == 0:
+            raise ValueError("orders must be odd")
+
+
+#: Open orders of one direction: the last one's bar and all prices in rising order.  A book has one such side for each direction.
+Side = tuple[int, list[float]]
 
-    def __init__(self, x_th: int = 15, y_th: float | None = None, y_th_frac: float | None = None, max_ops: int = 13) -> None:
-        if (y_th is None) == (y_th_frac is None):
-            raise ValueError("give exactly one of y_th and y_th_frac")
-        if max_ops % 2 == 0:
-            raise ValueError("max_ops must be odd")
-        self.x_th, self.y_th, self.y_th_frac, self.max_ops, self.open = x_th, y_th, y_th_frac, max_ops, []
-
-    def check(self, k: int, price: float, direction: int) -> str:
-        if len(self.open) >= self.max_ops:
-            return "cap"
-        same = [(j, p) for j, p, d in self.open if d == direction]
-        if any(k <= j + self.x_th for j, _ in same):
-            return "time"
-        near = self.y_th if self.y_th is not None else self.y_th_frac * price
-        return "price" if any(abs(price - p) <= near for _, p in same) else "admitted"
-
-    def try_open(self, k: int, price: float, direction: int) -> str:
-        verdict = self.check(k, price, direction)
-        if verdict == "admitted":
-            self.open.append((k, price, direction))
-        return verdict
-
-    def close_all(self) -> None:
-        self.open.clear()
-
-
-def admit(signals: DataFrame, x_th: int = 15, y_th_frac: float = 1e-4, max_ops: int = 13) -> DataFrame:
+
+def place(book: dict[int, Side], limits: Limits, bar: int, price: float, direction: int) -> str:
+    """Verdict on an order; an admitted one enters the book.  Orders come in order of their bars, so the last order of a
+    direction decides on the time, and the two prices around the new one on the price."""
+    last, prices = book.get(direction, (None, []))
+    apart = limits.amount if limits.share is None else limits.share * price
+    at = bisect_left(prices, price)
+    verdict = "admitted"
+    if any(abs(p - price) <= apart for p in prices[max(at - 1, 0) : at + 1]):
+        verdict = "price"
+    if last is not None and bar - last <= limits.bars:
+        verdict = "time"
+    if sum(len(p) for _, p in book.values()) >= limits.orders:
+        verdict = "cap"
+    if verdict == "admitted":
+        book[direction] = (bar, [*prices[:at], price, *prices[at:]])
+    return verdict
+
+
+def admit(signals: DataFrame, bars: int = 15, share: float = 1e-4, orders: int = 13) -> DataFrame:
     """A verdict for each non-zero signal in order of bar_idx: symbol, bar_idx, price, direction, verdict.
 
-    The book is an accumulator of at most max_ops orders in an ordered fold; once the cap is reached every later
-    signal's verdict is known, so a task needs a symbol's signals only up to there.
+    An ordered fold over one symbol's signals, which one task holds; its state is the book.
     """
-    OrderBook(x_th, None, y_th_frac, max_ops)  # checks the arguments
+    limits = Limits(bars, share, None, orders)
     import pandas as pd
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        book = OrderBook(x_th, None, y_th_frac, max_ops)
-        pdf = pdf.sort_values("bar_idx")
-        pdf["verdict"] = [book.try_open(*r) for r in zip(pdf.bar_idx.tolist(), pdf.price.tolist(), pdf.direction.tolist(), strict=True)]
+        pdf, book = pdf.sort_values("bar_idx"), {}
+        pdf["verdict"] = [place(book, limits, *r) for r in zip(pdf.bar_idx.tolist(), pdf.price.tolist(), pdf.direction.tolist(), strict=True)]
         return pdf
 
     rows = signals.where("signal <> 0").select("symbol", "bar_idx", F.col("close").alias("price"), F.col("signal").cast("int").alias("direction"))
@@ -103,94 +110,96 @@ def verdict_histogram(verdicts: DataFrame) -> DataFrame:
     return counts.unpivot("symbol", list(VERDICTS), "verdict", "n")
 
 
-class ScaledConjugateNet:
-    """A 1-hidden-layer tanh regression net trained by scaled conjugate gradients on bounded in-memory data."""
+def scaled_conjugate(objective: Callable[[np.ndarray], tuple[float, np.ndarray]], start: np.ndarray, rounds: int = 200, tol: float = 1e-8) -> tuple[np.ndarray, list[float]]:
+    """Minimum of an objective (value and slope) by scaled conjugate gradients, and the values on the way.
 
-    def __init__(self, n_inputs: int = 5, n_hidden: int = 500, seed: int = 0) -> None:
+    Along a direction the objective is taken as a parabola: its bend is measured by a short probe and a damping added,
+    so that it opens upwards.  What the step gains, over what the parabola promised, says whether to move and how the
+    damping goes on.  Fixed values of the method: probe 1e-4, first damping 1e-6, trust limits 0.25 and 0.75, factor 0.25.
+    """
+    probe, damping = 1e-4, 1e-6
+    point, (value, slope) = start, objective(start)
+    values, heading, bend, since = [value], -slope, None, 0
+    for _ in range(rounds):
+        length = float(heading @ heading)
+        if length <= tol * tol or float(np.abs(slope).max()) < tol:
+            break
+        if bend is None:
+            short = probe / length**0.5
+            bend = float(heading @ (objective(point + short * heading)[1] - slope)) / (short * length)
+        if bend + damping <= 0:
+            damping = -2 * bend
+        curve, fall = (bend + damping) * length, -float(heading @ slope)
+        ahead = point + fall / curve * heading
+        there, slope_there = objective(ahead)
+        kept = 2 * curve * (value - there) / (fall * fall)
+        if kept >= 0:
+            since += 1
+            turn = 0.0 if since % len(point) == 0 else float(slope_there @ (slope_there - slope)) / fall
+            point, value, slope, heading, bend = ahead, there, slope_there, turn * heading - slope_there, None
+            values.append(value)
+        if kept >= 0.75:
+            damping *= 0.25
+        if kept < 0.25:
+            damping += curve * (1 - kept) / length
+    return point, values
+
+
+class TanhLayer:
+    """One hidden tanh layer and a linear output.  Weights are one vector: a row of inputs and bias for each hidden unit,
+    then the output's weights and bias."""
+
+    def __init__(self, inputs: int, hidden: int) -> None:
+        self.inputs, self.hidden = inputs, hidden
+
+    def start(self, seed: int) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        self.shape = (n_inputs, n_hidden)
-        self.w = np.concatenate([rng.normal(0, n_inputs**-0.5, n_inputs * n_hidden), np.zeros(n_hidden), rng.normal(0, n_hidden**-0.5, n_hidden), np.zeros(1)])
-
-    def _parts(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        i, h = self.shape
-        return w[: i * h].reshape(i, h), w[i * h : (i + 1) * h], w[(i + 1) * h : (i + 2) * h], w[-1]
-
-    def predict(self, x: np.ndarray, w: np.ndarray | None = None) -> np.ndarray:
-        a, b, c, d = self._parts(self.w if w is None else w)
-        return np.tanh(x @ a + b) @ c + d
-
-    def loss(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> float:
-        return 0.5 * float(np.mean((self.predict(x, w) - y) ** 2))
-
-    def grad(self, w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        a, b, c, d = self._parts(w)
-        z = np.tanh(x @ a + b)
-        e = (z @ c + d - y) / len(y)
-        back = np.outer(e, c) * (1 - z * z)
-        return np.concatenate([(x.T @ back).ravel(), back.sum(0), z.T @ e, [e.sum()]])
-
-    def fit(self, x: np.ndarray, y: np.ndarray, max_iter: int = 200, tol: float = 1e-8) -> list[float]:
-        """Fixed values of the method: sigma 1e-4, lambda 1e-6, and its 0.25 and 0.75 limits."""
-        w, lam, repair = self.w, 1e-6, 0.0
-        r = p = -self.grad(w, x, y)
-        history, good = [self.loss(w, x, y)], True
-        curve = 0.0
-        for k in range(1, max_iter + 1):
-            size = float(p @ p)
-            if size < tol**2:
-                break
-            if good:
-                step = 1e-4 / size**0.5
-                curve = float(p @ (self.grad(w + step * p, x, y) - self.grad(w, x, y))) / step
-            curve += (lam - repair) * size
-            if curve <= 0:
-                repair = 2 * (lam - curve / size)
-                curve, lam = -curve + lam * size, repair
-            along = float(p @ r)
-            alpha = along / curve
-            new = self.loss(w + alpha * p, x, y)
-            ratio = 2 * curve * (history[-1] - new) / along**2
-            if ratio >= 0:
-                w = w + alpha * p
-                before, r = r, -self.grad(w, x, y)
-                repair, good = 0.0, True
-                p = r if k % len(w) == 0 else r + (float(r @ r) - float(r @ before)) / along * p
-                history.append(new)
-                if ratio >= 0.75:
-                    lam *= 0.25
-            else:
-                repair, good = lam, False
-            if ratio < 0.25:
-                lam += curve * (1 - ratio) / size
-            if float(np.abs(r).max()) < tol:
-                break
-        self.w = w
-        return history
-
-
-def net_forecast(features: DataFrame, cols: list[str], n_hidden: int = 32, max_iter: int = 60, seed: int = 0, max_train: int = 20_000) -> DataFrame:
-    """Train one net per symbol on its (at most max_train) training rows and forecast y for its other rows.
+        units = np.column_stack([rng.normal(0, self.inputs**-0.5, (self.hidden, self.inputs)), np.zeros(self.hidden)])
+        return np.append(units.ravel(), [*rng.normal(0, self.hidden**-0.5, self.hidden), 0.0])
+
+    def active(self, w: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Inputs and hidden units with a column of ones, and the output."""
+        ones = np.ones((len(x), 1))
+        seen = np.hstack([x, ones])
+        cut = self.hidden * (self.inputs + 1)
+        units = np.hstack([np.tanh(seen @ w[:cut].reshape(self.hidden, -1).T), ones])
+        return seen, units, units @ w[cut:]
+
+    def objective(self, x: np.ndarray, y: np.ndarray) -> Callable[[np.ndarray], tuple[float, np.ndarray]]:
+        """Half the mean squared error and its slope, as a function of the weights."""
+
+        def of(w: np.ndarray) -> tuple[float, np.ndarray]:
+            seen, units, out = self.active(w, x)
+            miss = out - y
+            inner = units[:, :-1]
+            pull = (miss / len(y))[:, None] * w[-self.hidden - 1 : -1] * (1 - inner * inner)
+            return float(miss @ miss) / (2 * len(y)), np.append((pull.T @ seen).ravel(), units.T @ miss / len(y))
+
+        return of
+
+
+def net_forecast(features: DataFrame, cols: list[str], n_hidden: int = 32, max_iter: int = 60, seed: int = 0) -> DataFrame:
+    """Train one net per symbol on all its training rows and forecast y for its other rows.
 
     features: symbol, ts, is_train, cols, y; scaled by training moments.  One task holds one symbol's rows.
     """
     import pandas as pd
 
+    net = TanhLayer(len(cols), n_hidden)
+
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ts")
-        train = pdf[pdf.is_train].tail(max_train)
+        train, rest = pdf[pdf.is_train], pdf[~pdf.is_train]
         mx, sx = train[cols].mean().to_numpy(), train[cols].std(ddof=0).replace(0, 1).to_numpy()
         my, sy = train.y.mean(), train.y.std(ddof=0) or 1.0
-        net = ScaledConjugateNet(len(cols), n_hidden, seed)
-        net.fit((train[cols].to_numpy() - mx) / sx, ((train.y - my) / sy).to_numpy(), max_iter)
-        out = pdf[~pdf.is_train][["symbol", "ts"]].copy()
-        out["pred"] = net.predict((pdf[~pdf.is_train][cols].to_numpy() - mx) / sx) * sy + my
-        return out
+        w, _ = scaled_conjugate(net.objective((train[cols].to_numpy() - mx) / sx, ((train.y - my) / sy).to_numpy()), net.start(seed), max_iter)
+        return rest[["symbol", "ts"]].assign(pred=net.active(w, (rest[cols].to_numpy() - mx) / sx)[2] * sy + my)
 
     return features.groupBy("symbol").applyInPandas(run, f"symbol string, ts {features.schema['ts'].dataType.simpleString()}, pred double")
 
 
-def composite(bars: DataFrame, n_train: int, feature_cols: list[str] | None = None, delta_frac: float = 0.0, x_th: int = 15, y_th_frac: float = 1e-4, max_ops: int = 13, forecast: Callable[..., DataFrame] = net_forecast) -> DataFrame:
-    """Forecast, classify, admit: bars with signal, verdict and the booleans entries and short_entries (exits are false)."""
+def composite(bars: DataFrame, n_train: int, feature_cols: list[str] | None = None, delta_frac: float = 0.0, bars_apart: int = 15, share: float = 1e-4, orders: int = 13, forecast: Callable[..., DataFrame] = net_forecast) -> DataFrame:
+    """Forecast, classify, admit: bars with signal, verdict and the booleans entries and short_entries.  Exits are false; portfolio.basket_exits() finds those of a basket."""
     from .bars import split_by_time, supervised
 
     cols = feature_cols or ["open", "high", "low", "close", "volume"]
@@ -200,7 +209,7 @@ def composite(bars: DataFrame, n_train: int, feature_cols: list[str] | None = No
     w = Window.partitionBy("symbol").orderBy("ts")
     known = bars.join(pred, ["symbol", "ts"], "left").withColumn("pred_next", F.lead("pred").over(w))
     signals = trend_signals(known.where("pred_next is not null"), "pred_next", delta_frac)
-    verdicts = admit(signals, x_th, y_th_frac, max_ops)
+    verdicts = admit(signals, bars_apart, share, orders)
     joined = signals.join(verdicts.select("symbol", "bar_idx", "verdict"), ["symbol", "bar_idx"], "left")
     taken = F.coalesce(F.col("verdict") == "admitted", F.lit(False))
     return joined.select("symbol", "ts", "bar_idx", "close", "signal", "d1", "d2", "verdict", (taken & (F.col("signal") == 1)).alias("entries"), F.lit(False).alias("exits"), (taken & (F.col("signal") == -1)).alias("short_entries"), F.lit(False).alias("short_exits"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import astuple
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.signals import OrderBook
-from ..operators.swings import PIVOTS, ZigZag
+from ..operators.signals import Limits, place
+from ..operators.swings import PIVOTS, Leg, ZigZag
 
 
 def event_stream(spark: SparkSession, folder: str, schema, pattern: str = "events.parquet") -> DataFrame:  # noqa: ANN001
@@ -43,48 +44,40 @@ def latest_klines(updates: DataFrame, late: str = "1 hour") -> DataFrame:
 
 def _zigzag(pct: float) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        import json
-
-        found = []
-        chain, n = ZigZag(pct), 0
-        if state.exists:
-            held, n = json.loads(state.get[0]), state.get[1]
-            held = {k: [tuple(b) for b in v] if k == "buffer" else tuple(v) if isinstance(v, list) else v for k, v in held.items()}
-            chain = ZigZag(pct, held)
+        found, (bar, legs, n) = [], state.get if state.exists else (0, [], 0)
+        chain = ZigZag(pct, bar, [Leg(*leg) for leg in legs])
         rows = pd.concat(list(batches)).sort_values("bar_idx")
         for high, low in zip(rows.high.tolist(), rows.low.tolist(), strict=True):
             if p := chain.push(high, low):
                 found.append((key[0], n, *p))
                 n += 1
-        state.update((json.dumps(chain.s), n))
+        state.update((chain.bar, [astuple(leg) for leg in chain.legs], n))
         yield pd.DataFrame(found, columns=["symbol", "pivot_seq", "bar_idx", "price", "kind", "confirm_idx"])
 
     return run
 
 
 def stream_zigzag(bars: DataFrame, pct: float = 0.015) -> DataFrame:
-    """Pivots as they are confirmed; bars (symbol, bar_idx, high, low) come in order per symbol.  The state is the chain's
-    buffer since the older of the two open extremes."""
-    return bars.groupBy("symbol").applyInPandasWithState(_zigzag(pct), PIVOTS, "chain string, n long", "append", GroupStateTimeout.NoTimeout)
+    """Pivots as they are confirmed; bars (symbol, bar_idx, high, low) come in order per symbol.  The state is the leg or
+    legs under way."""
+    return bars.groupBy("symbol").applyInPandasWithState(_zigzag(pct), PIVOTS, "bar long, legs array<struct<side:int,far_at:long,far:double,back_at:long,back:double>>, n long", "append", GroupStateTimeout.NoTimeout)
 
 
-def _admission(x_th: int, y_th_frac: float, max_ops: int) -> Callable:
+def _admission(limits: Limits) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        book = OrderBook(x_th, None, y_th_frac, max_ops)
-        if state.exists:
-            k, p, d = state.get
-            book.open = list(zip(k, p, d, strict=True))
+        book = {side: (last, list(prices)) for side, last, prices in (state.get[0] if state.exists else [])}
         rows = pd.concat(list(batches)).sort_values("bar_idx")
-        rows["verdict"] = [book.try_open(*r) for r in zip(rows.bar_idx.tolist(), rows.price.tolist(), rows.direction.tolist(), strict=True)]
-        state.update(tuple(map(list, zip(*book.open, strict=True))) if book.open else ([], [], []))
+        rows["verdict"] = [place(book, limits, *r) for r in zip(rows.bar_idx.tolist(), rows.price.tolist(), rows.direction.tolist(), strict=True)]
+        state.update(([(side, last, prices) for side, (last, prices) in book.items()],))
         yield rows[["symbol", "bar_idx", "price", "direction", "verdict"]]
 
     return run
 
 
-def stream_admission(signals: DataFrame, x_th: int = 15, y_th_frac: float = 1e-4, max_ops: int = 13) -> DataFrame:
+def stream_admission(signals: DataFrame, bars: int = 15, share: float = 1e-4, orders: int = 13) -> DataFrame:
     """Verdicts on a stream of signals (symbol, bar_idx, price, direction); the state is the book of open orders."""
-    return signals.groupBy("symbol").applyInPandasWithState(_admission(x_th, y_th_frac, max_ops), "symbol string, bar_idx long, price double, direction int, verdict string", "k array<long>, p array<double>, d array<int>", "append", GroupStateTimeout.NoTimeout)
+    schema = "symbol string, bar_idx long, price double, direction int, verdict string"
+    return signals.groupBy("symbol").applyInPandasWithState(_admission(Limits(bars, share, None, orders)), schema, "book array<struct<side:int,last:long,prices:array<double>>>", "append", GroupStateTimeout.NoTimeout)
 
 
 class StreamHandle:

@@ -26,7 +26,7 @@ def covariance_penalty(r2: Column, n: Column, trace: Column, sharpe: Column) ->
 
 
 def overfitting_probability(returns: DataFrame, blocks: int = 6) -> DataFrame:
-    """Combinatorially symmetric cross-validation: share of splits where the in-sample best is below the median outside.
+    """Combinatorially symmetric cross-validation: share of splits where the in-sample best is below the median outside (its logit below 0).
 
     returns: strategy, ts, ret.  Time is cut into `blocks` equal stretches by rank; each split trains on half of them.
     Moments per (strategy, block) come from one aggregation; splits are a small parameter table.
@@ -46,7 +46,7 @@ def overfitting_probability(returns: DataFrame, blocks: int = 6) -> DataFrame:
     best = ranked.where("inside").withColumn("_r", F.row_number().over(Window.partitionBy("split").orderBy(F.desc("sharpe"), "strategy"))).where("_r = 1").select("split", "strategy")
     outside = best.join(ranked.where("not inside"), ["split", "strategy"])
     omega = F.col("rank") / (F.col("total") + 1)
-    return outside.agg(F.count("*").alias("splits"), F.avg(F.ln(omega / (1 - omega))).alias("mean_logit"), F.avg((F.ln(omega / (1 - omega)) <= 0).cast("double")).alias("p_overfit"))
+    return outside.agg(F.count("*").alias("splits"), F.avg(F.ln(omega / (1 - omega))).alias("mean_logit"), F.avg((F.round(F.ln(omega / (1 - omega)), 12) < 0).cast("double")).alias("p_overfit"))
 
 
 def moving_block_bootstrap(df: DataFrame, value: str, replicas: int, block: int, seed: int = 7, key: str = "symbol", ts: str = "ts") -> DataFrame:
@@ -60,7 +60,8 @@ def moving_block_bootstrap(df: DataFrame, value: str, replicas: int, block: int,
     rows = df.withColumns({"i": i, "n": F.count("*").over(w), "s": F.sum(value).over(w.orderBy(ts).rowsBetween(0, block - 1))}).select(key, "i", "n", "s")
     sizes = rows.groupBy(key).agg(F.first("n").alias("n"))
     draws = sizes.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("draw", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / block).cast("int") - 1)))
-    start = F.pmod(F.xxhash64(key, "replica", "draw", F.lit(seed)), F.col("n") - block + 1)
+    digest = F.md5(F.concat_ws("|", key, F.col("replica").cast("string"), F.col("draw").cast("string"), F.lit(str(seed))))
+    start = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % (F.col("n") - block + 1)
     drawn = draws.select(key, "replica", start.alias("i"))
     return drawn.join(rows.select(key, "i", "s"), [key, "i"]).groupBy(key, "replica").agg((F.sum("s") / (F.count("*") * block)).alias("mean"))
 

@@ -54,7 +54,7 @@ def shuffled(df: DataFrame, x: str, key: str = "symbol", order: str = "bar_idx",
     """The surrogate: x of each key in random order over the same places."""
     w = Window.partitionBy(key)
     places = df.select(key, order, F.row_number().over(w.orderBy(order)).alias("_i"))
-    values = df.select(key, x, F.row_number().over(w.orderBy(F.xxhash64(key, order, F.lit(seed)))).alias("_i"))
+    values = df.select(key, x, F.row_number().over(w.orderBy(F.md5(F.concat_ws("|", key, F.col(order).cast("string"), F.lit(str(seed)))))).alias("_i"))
     return places.join(values, [key, "_i"]).drop("_i")
 
 

@@ -76,7 +76,7 @@ def flow_matrix(trades: DataFrame, by: list[str], who: str = "participant", buy:
     cells = per.withColumn("share", F.try_divide(F.col("s").cast("double"), total))
     x, y = cells.where("b is not null").select(*by, F.col(who).alias("buyer"), "b"), cells.where("s is not null").select(*by, F.col(who).alias("seller"), "share")
     flow = x.join(y, by).groupBy("seller", "buyer").agg(F.sum(F.col("b") * F.col("share")).alias("flow"))
-    return flow.withColumn("share", F.col("flow") / F.sum("flow").over(Window.partitionBy()))
+    return flow.crossJoin(F.broadcast(flow.agg(F.sum("flow").alias("_all")))).withColumn("share", F.col("flow") / F.col("_all")).drop("_all")
 
 
 def response(bracketed: DataFrame) -> DataFrame:

@@ -15,8 +15,8 @@ VERDICTS = ("admitted", "time", "price", "cap")
 
 def classify(pred: Column, close: Column, before: Column, delta: Column) -> dict[str, Column]:
     """Trend of a forecast: d1 and d2 are the first and second difference it makes; 1 if d1 > delta and d2 > 0,
-    -1 if d1 < -delta and d2 < 0, else 0."""
-    d1, d2 = pred - close, pred - 2 * close + before
+    -1 if d1 < -delta and d2 < 0, else 0.  All are taken to nine digits, so that a forecast on the threshold is none."""
+    d1, d2, delta = F.round(pred - close, 9), F.round(pred - 2 * close + before, 9), F.round(delta, 9)
     return {"d1": d1, "d2": d2, "signal": F.when((d1 > delta) & (d2 > 0), 1).when((d1 < -delta) & (d2 < 0), -1).otherwise(0)}
 
 

@@ -6,44 +6,25 @@ Doubles are rounded to six digits on both sides, as sums run in another order th
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from datetime import date
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
 from ..operators import asof, bars as B, evaluation, fits, grid, indicators, micro, portfolio, signals as S, simulate, stats, swings
 from ..sources import klines
+from .registry import QUERIES, SQL, query, r, r6, rounded
 from .views import BARS, TRADES, bars, number_bars, table, trades
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+#: The panel's columns in SQL; the query takes them from the data.
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 
 
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def r(c: str | Column, name: str | None = None) -> Column:
-    col = F.col(c) if isinstance(c, str) else c
-    return (F.round(col, 6) + F.lit(0.0)).alias(name or c)
-
-
-def rounded(df: DataFrame) -> DataFrame:
-    """df with its doubles rounded; naive timestamps as DuckDB has them."""
-    return df.select(*[r(c) if t == "double" else F.col(c).cast("timestamp_ntz").alias(c) if t == "timestamp" else F.col(c) for c, t in df.dtypes])
-
-
-def r6(names: str) -> str:
-    return ", ".join(f"round({n}, 6) + 0.0 AS {n}" for n in names.split())
+def symbols(df: DataFrame) -> list[str]:
+    """All symbols of df in order; a panel has a column for each, so they are few."""
+    return sorted(x.symbol for x in df.select("symbol").distinct().collect())
 
 
 # ---- bars and projections
@@ -67,7 +48,8 @@ def bars_monthly(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {BARS} SELECT ts, " + ", ".join(f"max(close) FILTER (symbol = '{s}') AS \"{s}\"" for s in SYMBOLS) + " FROM bars GROUP BY ts")
 def bars_panel(spark: SparkSession, d: str) -> DataFrame:
-    return B.panel(bars(spark, d), "close", SYMBOLS).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    b = bars(spark, d)
+    return B.panel(b, "close", symbols(b)).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"WITH {TRADES} SELECT symbol, ts, round(sum(price * volume) / nullif(sum(volume), 0), 6) + 0.0 AS price, sum(volume)::BIGINT AS volume FROM trades GROUP BY symbol, ts")
@@ -96,10 +78,10 @@ def bars_candle(spark: SparkSession, d: str) -> DataFrame:
     return B.candle(bars(spark, d)).select("symbol", "bar_idx", "up", F.round("body", 9).alias("body"), "bottom")
 
 
-@query(f"WITH {BARS} SELECT symbol, bar_idx, CASE WHEN high = low THEN 0.0 ELSE round((open - low) / (high - low) * 100, 6) + 0.0 END AS o, CASE WHEN high = low THEN 0.0 ELSE round((close - low) / (high - low) * 100, 6) + 0.0 END AS c FROM bars")
+@query(f"WITH {BARS} SELECT symbol, bar_idx, CASE WHEN high = low THEN 0.0 ELSE round((open - low) / (high - low) * 100, 6) + 0.0 END AS o, CASE WHEN high = low THEN 0.0 ELSE 100.0 END AS h, 0.0 AS l, CASE WHEN high = low THEN 0.0 ELSE round((close - low) / (high - low) * 100, 6) + 0.0 END AS c FROM bars")
 def bars_norm100(spark: SparkSession, d: str) -> DataFrame:
     n = B.norm100(F.array("open", "high", "low", "close"))
-    return bars(spark, d).select("symbol", "bar_idx", n.alias("n")).select("symbol", "bar_idx", r(F.col("n")[0], "o"), r(F.col("n")[3], "c"))
+    return bars(spark, d).select("symbol", "bar_idx", n.alias("n")).select("symbol", "bar_idx", *[r(F.col("n")[k], c) for k, c in enumerate("ohlc")])
 
 
 @query(f"WITH {BARS} SELECT symbol, ts, close FROM bars QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 10")
@@ -152,15 +134,6 @@ def symbol_pairs(t: DataFrame) -> DataFrame:
     return k.select(F.col("symbol").alias("i")).crossJoin(k.select(F.col("symbol").alias("j"))).where("i != j")
 
 
-@query(f"""WITH {TRADES}, a AS (SELECT * FROM trades WHERE symbol = 'click'), b AS (SELECT ts, seq, price FROM trades WHERE symbol = 'view')
-SELECT a.seq, a.price, (SELECT arg_max(b.price, (b.ts, b.seq)) FROM b WHERE b.ts <= a.ts) AS asof_price FROM a""")
-def asof_prices(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
-    a = t.where("symbol = 'click'").select(F.lit("x").alias("k"), "ts", "seq", "price")
-    b = t.where("symbol = 'view'").select(F.lit("x").alias("k"), "ts", "seq", "price")
-    return asof.asof_join(a, b, "price", key="k", order="seq").select("seq", "price", "asof_price")
-
-
 @query(f"""WITH {TRADES}, o AS (SELECT symbol, ts, seq, price, epoch(ts) AS t, lead(epoch(ts)) OVER (PARTITION BY symbol ORDER BY ts, seq) AS n FROM trades),
 g AS (SELECT symbol, price, unnest(range(ceil(floor(t) / 900)::BIGINT, coalesce(ceil(floor(n) / 900)::BIGINT, floor(floor(t) / 900)::BIGINT + 1))) AS k FROM o)
 SELECT symbol, to_timestamp(k * 900)::TIMESTAMP AS ts, price FROM g""")
@@ -168,19 +141,10 @@ def asof_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(asof.grid_asof(trades(spark, d), "price", 900))
 
 
-@query(f"""WITH {TRADES}, p AS (SELECT 'click' AS i, 'view' AS j UNION ALL SELECT 'view', 'click'),
-q AS (SELECT p.i, p.j, t.ts, t.seq, t.side, (SELECT arg_max(x.price, x.ts) FROM trades x WHERE x.symbol = p.i AND x.ts < t.ts) AS b, (SELECT arg_min(x.price, x.ts) FROM trades x WHERE x.symbol = p.i AND x.ts > t.ts) AS a FROM p JOIN trades t ON t.symbol = p.j)
-SELECT i, j, round(avg((ln(a) - ln(b)) * CASE WHEN side = 'buy' THEN 1 ELSE -1 END), 6) + 0.0 AS response, count(*) AS n FROM q WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1, 2""")
-def response_matrix(spark: SparkSession, d: str) -> DataFrame:
-    t = trades(spark, d)
-    pairs = spark.createDataFrame([("click", "view"), ("view", "click")], "i string, j string")
-    return rounded(micro.response(asof.bracket_quotes(t, t, pairs)))
-
-
 @query(f"""WITH {TRADES}, k AS (SELECT DISTINCT symbol FROM trades), a AS (SELECT x.symbol AS i, t.symbol AS j, t.ts, t.seq, t.price FROM trades t JOIN k x ON x.symbol <> t.symbol),
 b AS (SELECT symbol AS i, ts, arg_max(price, seq) AS asof_price FROM trades GROUP BY 1, 2)
 SELECT a.i, a.j, a.seq, a.price, b.asof_price FROM a ASOF LEFT JOIN b ON a.i = b.i AND a.ts >= b.ts""")
-def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
+def asof_prices(spark: SparkSession, d: str) -> DataFrame:
     """Each trade of j with the last price of i, for all ordered pairs of symbols."""
     t = trades(spark, d)
     pairs = symbol_pairs(t)
@@ -192,7 +156,7 @@ def asof_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {TRADES}, k AS (SELECT DISTINCT symbol FROM trades), t AS (SELECT x.symbol AS i, t.symbol AS j, t.ts, t.seq, t.side FROM trades t JOIN k x ON x.symbol <> t.symbol),
 q AS (SELECT symbol AS i, ts, arg_max(price, seq) AS last, arg_min(price, seq) AS first FROM trades GROUP BY 1, 2), b AS (SELECT t.*, q.last AS b FROM t ASOF JOIN q ON t.i = q.i AND t.ts > q.ts), c AS (SELECT b.*, q.first AS a FROM b ASOF JOIN q ON b.i = q.i AND b.ts < q.ts)
 SELECT i, j, round(avg((ln(a) - ln(b)) * CASE WHEN side = 'buy' THEN 1 ELSE -1 END), 6) + 0.0 AS response, count(*) AS n FROM c GROUP BY 1, 2""")
-def response_pairs(spark: SparkSession, d: str) -> DataFrame:
+def response_matrix(spark: SparkSession, d: str) -> DataFrame:
     """The responses of all ordered pairs of symbols."""
     t = trades(spark, d)
     return rounded(micro.response(asof.bracket_quotes(t, t, symbol_pairs(t))))
@@ -308,13 +272,13 @@ def returns(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {BARS}, x AS (SELECT symbol, ts, close / lag(close) OVER (PARTITION BY symbol ORDER BY ts) - 1 AS r FROM bars), y AS (SELECT *, exp(sum(ln(1 + r)) OVER w) AS eq FROM x WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-z AS (SELECT *, 1 - eq / greatest(max(eq) OVER (PARTITION BY symbol ORDER BY ts), 1.0) AS dd FROM y)
-SELECT symbol, count(*) AS n, round(arg_max(eq, ts) - 1, 6) + 0.0 AS total, round(avg(r) / stddev_samp(r) * sqrt(252), 6) + 0.0 AS sharpe, round(avg(r) / sqrt(avg(least(r, 0.0) ** 2)) * sqrt(252), 6) + 0.0 AS sortino, round(max(dd), 6) + 0.0 AS max_drawdown,
+z AS (SELECT *, 1 - eq / greatest(max(eq) OVER (PARTITION BY symbol ORDER BY ts), 1.0) AS dd, r - avg(r) OVER (PARTITION BY symbol) AS e FROM y)
+SELECT symbol, count(*) AS n, round(avg(e ** 3) / avg(e * e) ** 1.5, 6) + 0.0 AS skew, round(avg(e ** 4) / avg(e * e) ** 2, 6) + 0.0 AS kurt, round(arg_max(eq, ts) - 1, 6) + 0.0 AS total, round(avg(r) / stddev_samp(r) * sqrt(252), 6) + 0.0 AS sharpe, round(avg(r) / sqrt(avg(least(r, 0.0) ** 2)) * sqrt(252), 6) + 0.0 AS sortino, round(max(dd), 6) + 0.0 AS max_drawdown,
 round(avg((r > 0)::INT), 6) + 0.0 AS win_rate, round(avg(r), 6) + 0.0 AS expectancy, round(avg(r) * 1e4, 6) + 0.0 AS ppd_bp, round((arg_max(eq, ts) - 1) / nullif(max(dd), 0), 6) + 0.0 AS calmar FROM z GROUP BY 1""")
 def performance(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("ts")
     x = bars(spark, d).withColumn("r", F.col("close") / F.lag("close").over(w) - 1).where("r is not null")
-    return rounded(stats.performance(x, "r", ["symbol"]).drop("skew", "kurt"))
+    return rounded(stats.performance(x, "r", ["symbol"]))
 
 
 @query(RET + " SELECT symbol, ts, round(sqrt(sum(ret * ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 12 PRECEDING AND CURRENT ROW)), 6) + 0.0 AS rv FROM y")
@@ -372,10 +336,12 @@ def largest_volatility(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.lmv(stats.normalise_volume(bars(spark, d)), "v", "g", ["symbol"]))
 
 
-@query()
+@query(NORMED + """, m AS (SELECT *, row_number() OVER (ORDER BY g) AS kg, row_number() OVER (ORDER BY v) AS kv, count(*) OVER () AS c FROM n WHERE v IS NOT NULL), cut AS (SELECT p, max(g) FILTER (kg = ceil(p * c / 5.0)) AS g, max(v) FILTER (kv = ceil(p * c / 5.0)) AS v FROM m, range(1, 5) t(p) GROUP BY 1),
+q AS (SELECT list(g ORDER BY p) AS g, list(v ORDER BY p) AS v FROM cut), w AS (SELECT len(list_filter(q.g, lambda x: n.g > x)) + 1 AS g_part, len(list_filter(q.v, lambda x: n.v > x)) + 1 AS v_part, (n.g > 1.5)::INT AS t FROM n, q WHERE n.v IS NOT NULL)
+SELECT g_part::INT AS g_part, v_part::INT AS v_part, count(*) AS n, round(avg(t) / (SELECT avg(t) FROM w), 6) + 0.0 AS lift FROM w GROUP BY 1, 2""".replace(", m AS (SELECT *, row", ", m1 AS (SELECT *, row").replace("FROM m, range", "FROM m1, range"))
 def joint_lift(spark: SparkSession, d: str) -> DataFrame:
-    x = stats.normalise_volume(bars(spark, d))
-    return stats.joint_lift(x, "g", "v", F.col("g") > 1.5)
+    x = stats.normalise_volume(bars(spark, d)).where("v is not null")
+    return rounded(stats.joint_lift(x, "g", "v", F.col("g") > 1.5))
 
 
 DETREND = RET + """, p AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(ret - mr) OVER w AS px, sum(volume - mv) OVER w AS py FROM (SELECT *, avg(ret) OVER (PARTITION BY symbol) AS mr, avg(volume) OVER (PARTITION BY symbol) AS mv FROM y) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
@@ -420,17 +386,26 @@ def indicator_table(spark: SparkSession, d: str) -> DataFrame:
     return rounded(b.where("bar_idx > 0").select("symbol", "ts", "sma", "bb_low", "pct_k", "atr", "rsi"))
 
 
-@query()
+def ema_sql(n: int) -> str:
+    """Exponential mean over the frame that ema() takes."""
+    rows = math.ceil(math.log(1e-9) / math.log(1 - 2 / (n + 1))) - 1
+    return f"list_reduce(list(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN {rows} PRECEDING AND CURRENT ROW), lambda a, x: a * (1 - 2 / {n + 1}.0) + x * 2 / {n + 1}.0)"
+
+
+@query(f"""WITH {BARS}, x AS (SELECT *, (high + low + close) / 3 AS tp, (high + low + close) / 3 - lag((high + low + close) / 3) OVER (PARTITION BY symbol ORDER BY ts) AS up FROM bars),
+y AS (SELECT symbol, ts, {ema_sql(12)} AS ema, {ema_sql(12)} - {ema_sql(26)} AS macd, sum(CASE WHEN up > 0 THEN tp * volume ELSE 0 END) OVER k AS plus, sum(CASE WHEN up < 0 THEN tp * volume ELSE 0 END) OVER k AS minus, bar_idx - arg_max(bar_idx, (high, bar_idx)) OVER a AS top, bar_idx - arg_max(bar_idx, (-low, bar_idx)) OVER a AS bottom FROM x
+WINDOW k AS {W14}, a AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 14 PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, round(ema, 6) + 0.0 AS ema, round(macd, 6) + 0.0 AS macd, CASE WHEN minus = 0 THEN 100.0 ELSE round(100 - 100 / (1 + plus / minus), 6) + 0.0 END AS mfi, round((14 - top) * 100 / 14.0, 6) + 0.0 AS aroon_up, round((14 - bottom) * 100 / 14.0, 6) + 0.0 AS aroon_down FROM y""")
 def indicator_recursive(spark: SparkSession, d: str) -> DataFrame:
     b = indicators.aroon(indicators.money_flow(bars(spark, d)))
     macd = indicators.ema("close", 12) - indicators.ema("close", 26)
-    return b.withColumns({"ema": indicators.ema("close", 12), "macd": macd}).select("symbol", "ts", "ema", "macd", "mfi", "aroon_up", "aroon_down")
+    return rounded(b.withColumns({"ema": indicators.ema("close", 12), "macd": macd}).select("symbol", "ts", "ema", "macd", "mfi", "aroon_up", "aroon_down"))
 
 
-@query(f"""WITH {BARS}, x AS (SELECT symbol, ts, ln(high / low) AS hl, ln(close / open) AS co, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs FROM bars), k AS (SELECT symbol, ts, avg(hl * hl / (4 * ln(2))) OVER w AS pk, avg(hl * hl / 2 - (2 * ln(2) - 1) * co * co) OVER w AS gk, avg(rs) OVER w AS rs FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-SELECT symbol, ts, round(sqrt(pk), 6) + 0.0 AS parkinson, round(sqrt(greatest(gk, 0)), 6) + 0.0 AS garman_klass, round(sqrt(greatest(rs, 0)), 6) + 0.0 AS rogers_satchell FROM k""")
+@query(f"""WITH {BARS}, x AS (SELECT symbol, ts, ln(high / low) AS hl, ln(close / open) AS co, ln(high / close) * ln(high / open) + ln(low / close) * ln(low / open) AS rs, ln(open / lag(close) OVER (PARTITION BY symbol ORDER BY ts)) AS o FROM bars), k AS (SELECT symbol, ts, avg(hl * hl / (4 * ln(2))) OVER w AS pk, avg(hl * hl / 2 - (2 * ln(2) - 1) * co * co) OVER w AS gk, avg(rs) OVER w AS rs, var_samp(o) OVER w + 0.34 / (1.34 + 21 / 19.0) * var_samp(co) OVER w + (1 - 0.34 / (1.34 + 21 / 19.0)) * avg(rs) OVER w AS yz FROM x WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
+SELECT symbol, ts, round(sqrt(pk), 6) + 0.0 AS parkinson, round(sqrt(greatest(gk, 0)), 6) + 0.0 AS garman_klass, round(sqrt(greatest(rs, 0)), 6) + 0.0 AS rogers_satchell, round(sqrt(yz), 6) + 0.0 AS yang_zhang FROM k""")
 def range_volatility(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(indicators.range_volatility(bars(spark, d)).select("symbol", "ts", "parkinson", "garman_klass", "rogers_satchell"))
+    return rounded(indicators.range_volatility(bars(spark, d)).select("symbol", "ts", "parkinson", "garman_klass", "rogers_satchell", "yang_zhang"))
 
 
 # ---- grids
@@ -461,44 +436,65 @@ def grid_closed_forms(spark: SparkSession, d: str) -> DataFrame:
     return grid.closed_forms(spark.createDataFrame([(600.0, 6), (1000.0, 10)], "m double, n int"))
 
 
-@query()
+def grid_sql(k: str, n: int, money: str, dynamic: bool) -> str:
+    """The grid backtest as a recursion of single steps: cross one level, recentre, or go on to the next close."""
+    h = n // 2
+    up, down = f"last < {h} AND p >= centre * (1 + {k}) ** (last + 1)", f"last > -{h} AND p <= centre * (1 + {k}) ** (last - 1)"
+    edge, fund = f"abs(last) = {h}", f"CASE WHEN last = {h} THEN cash + coins * p + wallet ELSE {money} END"
+    half = f"{h} / {n}.0"
+    return f"""WITH RECURSIVE {BARS}, c AS (SELECT symbol, list(close ORDER BY ts) AS c FROM bars GROUP BY 1),
+s AS (SELECT symbol, 0::BIGINT AS step, 1::BIGINT AS i, c[1] AS p, c[1] AS centre, 0::BIGINT AS last, {money} * {n - h} / {n}.0 AS cash, {money} * {half} / c[1] AS coins, 0.0::DOUBLE AS wallet, {money}::DOUBLE AS invested, 0::BIGINT AS b, 0::BIGINT AS l, 0::BIGINT AS r, false AS done FROM c
+UNION ALL SELECT symbol, step + 1, CASE WHEN act = 'next' THEN i + 1 ELSE i END, CASE WHEN act = 'next' THEN c[i + 1] ELSE p END, CASE WHEN act = 'edge' THEN p ELSE centre END, CASE act WHEN 'up' THEN last + 1 WHEN 'down' THEN last - 1 WHEN 'edge' THEN 0 ELSE last END,
+  CASE act WHEN 'up' THEN cash + coins / ({h} - last) * centre * (1 + {k}) ** (last + 1) WHEN 'down' THEN cash - cash / ({h} + last) WHEN 'edge' THEN ({fund}) * {n - h} / {n}.0 ELSE cash END,
+  CASE act WHEN 'up' THEN coins - coins / ({h} - last) WHEN 'down' THEN coins + cash / ({h} + last) / (centre * (1 + {k}) ** (last - 1)) WHEN 'edge' THEN CASE WHEN last = {h} THEN 0 ELSE coins END + ({fund}) * {half} / p ELSE coins END,
+  CASE WHEN act = 'edge' THEN CASE WHEN last = {h} THEN 0 ELSE greatest(wallet + cash - {money}, 0) END ELSE wallet END, CASE WHEN act = 'edge' AND last = -{h} THEN invested + greatest({money} - wallet - cash, 0) ELSE invested END,
+  b + (act = 'down')::INT, l + (act = 'up')::INT, r + (act = 'edge')::INT, act = 'end'
+FROM (SELECT s.*, c.c, CASE WHEN {up} THEN 'up' WHEN {down} THEN 'down' WHEN {edge} THEN '{"edge" if dynamic else "end"}' WHEN i < len(c.c) THEN 'next' ELSE 'end' END AS act FROM s JOIN c USING (symbol) WHERE NOT done) q)
+SELECT symbol, round(cash, 4) + 0.0 AS cash, round(coins, 6) + 0.0 AS coins, round(wallet, 4) + 0.0 AS wallet, round(cash + coins * c[-1] + wallet, 4) + 0.0 AS final_value, round(invested, 4) + 0.0 AS invested, round(cash + coins * c[-1] + wallet - invested, 4) + 0.0 AS profit, b AS n_buys, l AS n_sells, r AS n_resets FROM s JOIN c USING (symbol) WHERE done"""
+
+
+def grid_report(spark: SparkSession, d: str, dynamic: bool) -> DataFrame:
+    made = grid.grid_backtest(bars(spark, d), 0.01, 10, 10_000.0, dynamic)
+    return made.withColumns({c: F.round(c, 6 if c == "coins" else 4) + F.lit(0.0) for c, kind in made.dtypes if kind == "double"})
+
+
+@query(grid_sql("0.01::DOUBLE", 10, "10000.0::DOUBLE", False))
 def grid_static(spark: SparkSession, d: str) -> DataFrame:
-    return grid.grid_backtest(bars(spark, d), 0.01, 10, 10_000.0, False)
+    return grid_report(spark, d, False)
 
 
-@query()
+@query(grid_sql("0.01::DOUBLE", 10, "10000.0::DOUBLE", True))
 def grid_dynamic(spark: SparkSession, d: str) -> DataFrame:
-    return grid.grid_backtest(bars(spark, d), 0.01, 10, 10_000.0, True)
+    return grid_report(spark, d, True)
 
 
 # ---- signals
 
-TCB = f"""WITH {BARS}, p AS (SELECT symbol, ts, bar_idx, close, lag(close) OVER w AS before, lead(close) OVER w AS nxt, avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS pred FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-t AS (SELECT *, pred - close AS d1, pred - 2 * close + before AS d2, nxt - close AS move, f FROM p, (VALUES (0.0::DOUBLE), (0.0002), (0.001)) g(f) WHERE before IS NOT NULL AND nxt IS NOT NULL),
-s AS (SELECT *, CASE WHEN d1 > f * close AND d2 > 0 THEN 1 WHEN d1 < -f * close AND d2 < 0 THEN -1 ELSE 0 END AS signal FROM t)"""
+TCB = f"""WITH {BARS}, p AS (SELECT symbol, ts, bar_idx, close, lag(close) OVER w AS before, lead(close) OVER w AS nxt, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS pred FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+t AS (SELECT *, round(pred - close, 9) AS d1, round(pred - 2 * close + before, 9) AS d2, round(f * close, 9) AS least, nxt - close AS move, f FROM p, (VALUES (0.0::DOUBLE), (0.0001), (0.0002), (0.0005), (0.001)) g(f) WHERE before IS NOT NULL AND nxt IS NOT NULL),
+s AS (SELECT *, CASE WHEN d1 > least AND d2 > 0 THEN 1 WHEN d1 < -least AND d2 < 0 THEN -1 ELSE 0 END AS signal FROM t)"""
 
 
 def forecasts(spark: SparkSession, d: str) -> DataFrame:
     """Bars with a simple forecast of the next close: the mean of the last four."""
-    return bars(spark, d).withColumn("pred", F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-3, 0)))
+    return bars(spark, d).withColumn("pred", F.round(F.avg("close").over(Window.partitionBy("symbol").orderBy("ts").rowsBetween(-3, 0)), 6))
 
 
 def all_signals(spark: SparkSession, d: str) -> DataFrame:
-    fractions = F.explode(F.array(*[F.lit(f) for f in (0.0, 0.0002, 0.001)]))
+    """Signals under thresholds of 0, 1, 2, 5 and 10 basis points of the close."""
+    fractions = F.explode(F.array(*[F.lit(f) for f in (0.0, 0.0001, 0.0002, 0.0005, 0.001)]))
     base = S.trend_signals(forecasts(spark, d), "pred", 0.0).withColumn("f", fractions)
     return base.withColumns(S.classify(F.col("pred"), F.col("close"), F.col("before"), F.col("f") * F.col("close")))
 
 
-@query(TCB + " SELECT symbol, bar_idx, f, round(d1, 6) + 0.0 AS d1, round(d2, 6) + 0.0 AS d2, signal FROM s WHERE abs(d2) > 1e-9 AND abs(abs(d1) - f * close) > 1e-9")
+@query(TCB + " SELECT symbol, bar_idx, f, round(d1, 6) + 0.0 AS d1, round(d2, 6) + 0.0 AS d2, signal FROM s")
 def trend_signals(spark: SparkSession, d: str) -> DataFrame:
-    sure = (F.abs("d2") > 1e-9) & (F.abs(F.abs("d1") - F.col("f") * F.col("close")) > 1e-9)
-    return rounded(all_signals(spark, d).where(sure).select("symbol", "bar_idx", "f", "d1", "d2", "signal"))
+    return rounded(all_signals(spark, d).select("symbol", "bar_idx", "f", "d1", "d2", "signal"))
 
 
-@query(TCB + """ SELECT symbol, f, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short, count(*) FILTER (signal = 0) AS n_none, round(avg((signal <> 0)::INT), 6) + 0.0 AS coverage, round(avg((sign(move) = signal)::INT) FILTER (signal <> 0), 6) + 0.0 AS accuracy FROM s WHERE abs(d2) > 1e-9 AND abs(abs(d1) - f * close) > 1e-9 GROUP BY 1, 2""")
+@query(TCB + """ SELECT symbol, f, count(*) FILTER (signal = 1) AS n_long, count(*) FILTER (signal = -1) AS n_short, count(*) FILTER (signal = 0) AS n_none, round(avg((signal <> 0)::INT), 6) + 0.0 AS coverage, round(avg((sign(move) = signal)::INT) FILTER (signal <> 0), 6) + 0.0 AS accuracy FROM s GROUP BY 1, 2""")
 def signal_report(spark: SparkSession, d: str) -> DataFrame:
-    sure = (F.abs("d2") > 1e-9) & (F.abs(F.abs("d1") - F.col("f") * F.col("close")) > 1e-9)
-    return rounded(S.signal_report(all_signals(spark, d).where(sure), ["symbol", "f"]))
+    return rounded(S.signal_report(all_signals(spark, d), ["symbol", "f"]))
 
 
 @query(TCB + " SELECT symbol, round(sqrt(avg((pred - nxt) ** 2)), 6) + 0.0 AS rmse, round(sqrt(avg((close - nxt) ** 2)), 6) + 0.0 AS rmse_naive, round(avg((sign(round(pred - close, 9)) = sign(move))::INT) FILTER (move <> 0), 6) + 0.0 AS directional FROM s WHERE f = 0 GROUP BY 1")
@@ -507,23 +503,35 @@ def forecast_report(spark: SparkSession, d: str) -> DataFrame:
     return rounded(S.forecast_report(x, "pred", ["symbol"]))
 
 
-ADMIT = TCB.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT symbol, bar_idx, close, signal, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS k FROM s WHERE f = 0.0002 AND signal <> 0),
-book AS (SELECT symbol, 0::BIGINT AS k, NULL::BIGINT AS bar_idx, NULL::DOUBLE AS close, NULL::INT AS signal, NULL::VARCHAR AS verdict, []::STRUCT(k BIGINT, p DOUBLE, d INT)[] AS o FROM (SELECT DISTINCT symbol FROM a)
+TCB_RECURSIVE = TCB.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def admit_sql(book: str, bars_apart: int, share: str, orders: int) -> str:
+    """The CTE `book` that folds the signals a to verdicts."""
+    return f"""{book} AS (SELECT symbol, 0::BIGINT AS k, NULL::BIGINT AS bar_idx, NULL::DOUBLE AS close, NULL::INT AS signal, NULL::VARCHAR AS verdict, []::STRUCT(k BIGINT, p DOUBLE, d INT)[] AS o FROM (SELECT DISTINCT symbol FROM a)
 UNION ALL SELECT symbol, k, bar_idx, close, signal, v, CASE WHEN v = 'admitted' THEN list_append(o, struct_pack(k := bar_idx, p := close, d := signal)) ELSE o END FROM (SELECT a.symbol, a.k, a.bar_idx, a.close, a.signal, b.o,
-  CASE WHEN len(b.o) >= 13 THEN 'cap' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND a.bar_idx <= x.k + 15)) > 0 THEN 'time' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND abs(a.close - x.p) <= 1e-4 * a.close)) > 0 THEN 'price' ELSE 'admitted' END AS v FROM book b JOIN a ON a.symbol = b.symbol AND a.k = b.k + 1) q)"""
+  CASE WHEN len(b.o) >= {orders} THEN 'cap' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND a.bar_idx <= x.k + {bars_apart})) > 0 THEN 'time' WHEN len(list_filter(b.o, lambda x: x.d = a.signal AND abs(a.close - x.p) <= {share} * a.close)) > 0 THEN 'price' ELSE 'admitted' END AS v FROM {book} b JOIN a ON a.symbol = b.symbol AND a.k = b.k + 1) q)"""
 
 
-@query(ADMIT + " SELECT symbol, bar_idx, close AS price, signal AS direction, verdict FROM book WHERE verdict IS NOT NULL")
+ADMIT = TCB_RECURSIVE + """, a AS (SELECT symbol, bar_idx, close, signal, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS k FROM s WHERE f = 0.0002 AND signal <> 0)"""
+
+
+@query(ADMIT + ", " + admit_sql("book", 15, "1e-4", 13) + " SELECT symbol, bar_idx, close AS price, signal AS direction, verdict FROM book WHERE verdict IS NOT NULL")
 def order_admission(spark: SparkSession, d: str) -> DataFrame:
     return S.admit(S.trend_signals(forecasts(spark, d), "pred", 0.0002))
 
 
-@query()
+#: Settings of the constraints: name, bars, share.
+SETTINGS = (("both", 15, 1e-4), ("price", 0, 1e-4), ("time", 15, 1e-12), ("none", 0, 1e-12))
+
+
+@query(ADMIT + "".join(f", {admit_sql(f'book_{n}', x, y, 99_999)}" for n, x, y in SETTINGS) + ", v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS setting, symbol, verdict FROM book_{n} WHERE verdict IS NOT NULL" for n, *_ in SETTINGS) + """)
+SELECT k.setting, k.symbol, k.verdict, count(v.verdict) AS n FROM (SELECT DISTINCT setting, symbol, u.verdict FROM v, (VALUES ('admitted'), ('time'), ('price'), ('cap')) u(verdict)) k LEFT JOIN v USING (setting, symbol, verdict) GROUP BY ALL""")
 def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts under each of four settings of the constraints."""
     signals = S.trend_signals(forecasts(spark, d), "pred", 0.0002)
     out = None
-    for name, x, y in (("both", 15, 1e-4), ("price", 0, 1e-4), ("time", 15, 1e-12), ("none", 0, 1e-12)):
+    for name, x, y in SETTINGS:
         part = S.verdict_histogram(S.admit(signals, x, y, 99_999)).withColumn("setting", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
@@ -669,14 +677,23 @@ def walk_forward(spark: SparkSession, d: str) -> DataFrame:
     return dealt.groupBy("symbol", "fold", "part").agg(F.count("*").alias("n"), F.min("bar_idx").alias("first"))
 
 
-@query()
+SPLITS = ", ".join(f"({i}, {b}, {b in chosen})" for i, chosen in enumerate(combinations(range(6), 3)) for b in range(6))
+
+
+@query(RET + f""", k AS (SELECT symbol, ret, epoch_us(ts) AS t, row_number() OVER (ORDER BY ts) AS i, count(*) OVER () AS n FROM y), cut AS (SELECT list(t ORDER BY p) AS cuts FROM (SELECT p, max(t) FILTER (i = ceil(p * n / 6.0)) AS t FROM k, range(1, 6) g(p) GROUP BY 1)),
+b AS (SELECT symbol, len(list_filter(cuts, lambda c: t > c)) AS block, ret FROM k, cut), s AS (SELECT split, symbol, inside, avg(ret) / nullif(sqrt(avg(ret * ret) - avg(ret) ** 2), 0) AS sharpe FROM b JOIN (VALUES {SPLITS}) x(split, block, inside) USING (block) GROUP BY 1, 2, 3),
+r AS (SELECT *, rank() OVER (PARTITION BY split, inside ORDER BY sharpe) AS rank, count(*) OVER (PARTITION BY split, inside) AS total FROM s), best AS (SELECT split, arg_max(symbol, (sharpe, -rank)) AS symbol FROM r WHERE inside GROUP BY 1),
+o AS (SELECT ln(rank / (total + 1) / (1 - rank / (total + 1))) AS logit FROM best JOIN r USING (split, symbol) WHERE NOT inside) SELECT count(*) AS splits, round(avg(logit), 6) + 0.0 AS mean_logit, round(avg((round(logit, 12) < 0)::INT), 6) + 0.0 AS p_overfit FROM o""")
 def overfitting(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.overfitting_probability(returns(spark, d).select(F.col("symbol").alias("strategy"), "ts", "ret"))
+    return rounded(evaluation.overfitting_probability(returns(spark, d).select(F.col("symbol").alias("strategy"), "ts", "ret")))
 
 
-@query()
+@query(RET + """, k AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(ret) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS s FROM y WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
+d AS (SELECT symbol, replica, ('0x' || substr(md5(concat_ws('|', symbol, replica, draw, 7)), 1, 15))::BIGINT % (n - 9) AS i FROM (SELECT symbol, any_value(n) AS n FROM k GROUP BY 1), range(50) r(replica), range(1000000) q(draw) WHERE draw < n // 10)
+SELECT symbol, replica::INT AS replica, round(sum(s) / (count(*) * 10), 9) + 0.0 AS mean FROM d JOIN k USING (symbol, i) GROUP BY 1, 2""")
 def bootstrap_means(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.moving_block_bootstrap(returns(spark, d), "ret", 50, 10)
+    made = evaluation.moving_block_bootstrap(returns(spark, d), "ret", 50, 10)
+    return made.withColumn("mean", F.round("mean", 9) + F.lit(0.0))
 
 
 @query(DAILY + """, m AS (SELECT day, avg(ret) AS x1, avg(volume) / 1000 AS x2 FROM z WHERE ret IS NOT NULL GROUP BY 1), j AS (SELECT symbol, ret AS y, x1, x2 FROM z JOIN m USING (day) WHERE ret IS NOT NULL),
@@ -700,19 +717,36 @@ def hawkes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(micro.hawkes_intensity(t, 0.1, 0.5, 0.05).drop("t"))
 
 
-@query()
+@query(f"""WITH {TRADES}, m AS (SELECT symbol, date_trunc('day', ts) AS day, hour(ts) * 60 + minute(ts) // 15 * 15 AS minute, arg_max(price, (ts, seq)) AS price FROM trades GROUP BY 1, 2, 3),
+x AS (SELECT *, ln(price / lag(price) OVER w) AS ret FROM m WINDOW w AS (PARTITION BY symbol, day ORDER BY minute)),
+y AS (SELECT *, list(price) OVER (PARTITION BY symbol, day ORDER BY minute ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past, sqrt(sum(ret * ret) OVER (PARTITION BY symbol, day ORDER BY minute ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) AS vol FROM x),
+e AS (SELECT symbol, day, minute::BIGINT AS minute, ln(price / past[1]) AS change, 12 - coalesce(list_position(list_transform(range(2, 13), lambda k: abs(ln(price / past[k])) >= 0.004), false) - 1, 11) AS "window" FROM y WHERE len(past) = 12 AND abs(ln(price / past[1])) >= 0.004 AND abs(ln(price / past[1])) >= 1.2 * vol)
+SELECT symbol, day, min(minute) AS minute, round(arg_min(change, minute), 6) + 0.0 AS change, arg_min("window", minute)::INT AS "window" FROM e GROUP BY 1, 2""")
 def extreme_events(spark: SparkSession, d: str) -> DataFrame:
-    m = bars(spark, d, "15 minutes").select("symbol", F.date_trunc("month", "ts").alias("day"), F.col("bar_idx").alias("minute"), F.col("close").alias("price"))
-    return micro.extreme_events(m, 60, 0.03, 0.5)
+    """First change within a day of 0.4 % or more over 12 quarter hours and 1.2 times the volatility over these."""
+    at = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
+    m = bars(spark, d, "15 minutes").select("symbol", F.date_trunc("day", "ts").alias("day"), at.alias("minute"), F.col("close").alias("price"))
+    return rounded(micro.extreme_events(m, 12, 0.004, 1.2))
 
 
-@query()
+def cdf_sql(x: str) -> str:
+    """norm_cdf() in SQL: the same rational approximation."""
+    t = f"(1 / (1 + 0.3275911 * abs({x}) / sqrt(2)))"
+    poly = f"{t} * (0.254829592 + {t} * (-0.284496736 + {t} * (1.421413741 + {t} * (-1.453152027 + {t} * 1.061405429))))"
+    return f"((1 + sign({x}) * (1 - {poly} * exp(-({x}) * ({x}) / 2))) / 2)"
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_retailprice::DOUBLE AS s, p_retailprice::DOUBLE * (0.8 + (p_partkey % 5) * 0.1::DOUBLE) AS k, 0.2 + (p_partkey % 3) * 0.1::DOUBLE AS sigma FROM part),
+q AS (SELECT *, (ln(s / k) + (0.02 + sigma * sigma / 2) * 0.5) / (sigma * sqrt(0.5)) AS d1 FROM p), c AS (SELECT *, d1 - sigma * sqrt(0.5) AS d2, {cdf_sql('d1')} AS n1, exp(-d1 * d1 / 2) / sqrt(2 * pi()) AS f1 FROM q), v AS (SELECT *, {cdf_sql('d2')} AS n2 FROM c)
+SELECT p_partkey, s, round(k, 6) + 0.0 AS k, round(sigma, 6) + 0.0 AS sigma, round(s * n1 - k * exp(-0.01) * n2, 6) + 0.0 AS call, round(s * n1 - k * exp(-0.01) * n2 - s + k * exp(-0.01), 6) + 0.0 AS put, round(n1, 6) + 0.0 AS delta, round(f1 / (s * sigma * sqrt(0.5)), 9) + 0.0 AS gamma,
+round(s * f1 * sqrt(0.5), 6) + 0.0 AS vega, round(-s * f1 * sigma / (2 * sqrt(0.5)) - 0.02 * k * exp(-0.01) * n2, 6) + 0.0 AS theta, round(sigma, 4) + 0.0 AS iv FROM v""")
 def option_prices(spark: SparkSession, d: str) -> DataFrame:
     """Prices, Greeks and the implied volatility found back, on grids of part prices."""
     p = table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("s"))
     k, t, rate, sigma = F.col("s") * (F.lit(0.8) + (F.col("p_partkey") % 5) * 0.1), F.lit(0.5), F.lit(0.02), F.lit(0.2) + (F.col("p_partkey") % 3) * 0.1
     priced = p.withColumns({"k": k, "sigma": sigma}).withColumns(special.black_scholes(F.col("s"), F.col("k"), t, rate, F.col("sigma")))
-    return priced.withColumn("iv", special.implied_vol(F.col("call"), F.col("s"), F.col("k"), t, rate))
+    found = priced.withColumn("iv", F.round(special.implied_vol(F.col("call"), F.col("s"), F.col("k"), t, rate), 4))
+    return rounded(found.drop("gamma")).join(found.select("p_partkey", (F.round("gamma", 9) + F.lit(0.0)).alias("gamma")), "p_partkey")
 
 
 @query("SELECT c_custkey, round(0.001 - 1.6448536269514722 * (0.01 + c_custkey % 7 / 100.0), 6) AS var_long, round(0.001 + 1.6448536269514722 * (0.01 + c_custkey % 7 / 100.0), 6) AS var_short, round(2 * (0.5 + c_custkey % 5 / 20.0) - 1, 6) + 0.0 AS kelly FROM customer")
@@ -722,10 +756,12 @@ def sizing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("c_custkey", *[v.alias(k) for k, v in var.items()], special.kelly(F.lit(0.5) + F.col("c_custkey") % 5 / 20.0).alias("kelly")))
 
 
-@query()
+@query(f"""WITH x AS (SELECT k / 3.0::DOUBLE AS x FROM range(1, 60) t(k)), s AS (SELECT x, list_reduce(list_prepend(struct_pack(k := 0, t := 1.0::DOUBLE, s := 1.0::DOUBLE), list_transform(range(1, 41), lambda k: struct_pack(k := k::INT, t := 0.0::DOUBLE, s := 0.0::DOUBLE))), lambda a, b: struct_pack(k := b.k, t := a.t * -x * x / 4 / (b.k * b.k), s := a.s + a.t * -x * x / 4 / (b.k * b.k))).s AS near FROM x)
+SELECT x, round(CASE WHEN x < 12 THEN near ELSE sqrt(2 / (pi() * x)) * ((1 - 9 / (128 * x ** 2) + 3675 / (32768 * x ** 4)) * cos(x - pi() / 4) - (-1 / (8 * x) + 75 / (1024 * x ** 3)) * sin(x - pi() / 4)) END, 6) + 0.0 AS j0, round(lgamma(x), 6) + 0.0 AS ln_gamma, round({cdf_sql('(x - 10)')}, 6) + 0.0 AS cdf,
+round(1 - 2 * x + x * x / 2, 6) + 0.0 AS kummer, round(x * (1 - 2 / (9 * x) + 1.6448536269514722 * sqrt(2 / (9 * x))) ** 3, 6) + 0.0 AS chi2, round(0.9 * (1 + (exp(-0.5 * x) - 1) / (0.5 * x)), 6) + 0.0 AS epps FROM s""".replace("SELECT x, round(CASE", "SELECT round(x, 6) + 0.0 AS x, round(CASE"))
 def special_functions(spark: SparkSession, d: str) -> DataFrame:
     x = spark.range(1, 60).select((F.col("id") / 3).alias("x"))
-    return x.select("x", special.bessel_j0(F.col("x")).alias("j0"), special.ln_gamma(F.col("x")).alias("ln_gamma"), special.norm_cdf(F.col("x") - 10).alias("cdf"), special.kummer(-2, 1.0, F.col("x")).alias("kummer"), special.chi2_critical(F.col("x")).alias("chi2"), special.epps_curve(F.lit(0.9), F.lit(0.5), F.col("x")).alias("epps"))
+    return rounded(x.select("x", special.bessel_j0(F.col("x")).alias("j0"), special.ln_gamma(F.col("x")).alias("ln_gamma"), special.norm_cdf(F.col("x") - 10).alias("cdf"), special.kummer(-2, 1.0, F.col("x")).alias("kummer"), special.chi2_critical(F.col("x")).alias("chi2"), special.epps_curve(F.lit(0.9), F.lit(0.5), F.col("x")).alias("epps")))
 
 
 # ---- fits and simulations
@@ -736,27 +772,36 @@ def power_law_test(spark: SparkSession, d: str) -> DataFrame:
     return fits.power_law_bootstrap(returns(spark, d).withColumn("x", F.abs("ret")), "x", 0.004, 100)
 
 
-@query()
+GAPS = f"WITH {BARS}, g AS (SELECT symbol, q::DOUBLE AS q, bar_idx, lead(bar_idx) OVER (PARTITION BY symbol, q ORDER BY bar_idx) - bar_idx AS tau FROM bars, (VALUES (500), (700)) t(q) WHERE volume > q), o AS (SELECT * FROM g WHERE tau IS NOT NULL)"
+
+
+@query(GAPS + """, k AS (SELECT symbol, q, lead(tau) OVER (PARTITION BY symbol, q ORDER BY bar_idx) AS nxt, ntile(4) OVER (PARTITION BY symbol, q ORDER BY tau, bar_idx) AS part, avg(tau) OVER (PARTITION BY symbol, q) AS mean FROM o)
+SELECT symbol, q, part::INT AS part, round(avg(nxt) / any_value(mean), 6) + 0.0 AS ratio, count(*) AS n FROM k WHERE nxt IS NOT NULL GROUP BY 1, 2, 3""")
 def interval_memory(spark: SparkSession, d: str) -> DataFrame:
-    return fits.conditional_intervals(stats.recurrence_intervals(bars(spark, d), "volume", [500.0, 700.0]))
+    return rounded(fits.conditional_intervals(stats.recurrence_intervals(bars(spark, d), "volume", [500.0, 700.0])))
 
 
-@query(RET + """, p AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(volume - mv) OVER w AS px FROM (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv FROM y) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
+DFA = """, p AS (SELECT symbol, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n, sum(volume - mv) OVER w AS px FROM (SELECT *, avg(volume) OVER (PARTITION BY symbol) AS mv FROM y) WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx)),
 t AS (SELECT symbol, s, i, px, i // s AS w FROM p, (VALUES (8), (16), (32)) g(s) WHERE i // s < n // s UNION ALL SELECT symbol, s, i, px, n // s + (n - 1 - i) // s FROM p, (VALUES (8), (16), (32)) g(s) WHERE (n - 1 - i) // s < n // s),
 l AS (SELECT symbol, s, w, regr_slope(px, i) AS b, regr_intercept(px, i) AS a FROM t GROUP BY 1, 2, 3), f AS (SELECT symbol, s, w, avg((px - a - b * i) ** 2) AS f2 FROM t JOIN l USING (symbol, s, w) GROUP BY 1, 2, 3),
-m AS (SELECT symbol, s, sqrt(avg(f2)) AS f FROM f GROUP BY 1, 2) SELECT symbol, round(regr_slope(ln(f), ln(s)), 5) + 0.0 AS exponent FROM m GROUP BY 1""")
+m AS (SELECT symbol, s, sqrt(avg(f2)) AS f FROM f GROUP BY 1, 2) SELECT symbol, round(regr_slope(ln(f), ln(s)), 5) + 0.0 AS exponent FROM m GROUP BY 1"""
+
+
+@query(RET + DFA)
 def volume_memory(spark: SparkSession, d: str) -> DataFrame:
     return fits.dfa(returns(spark, d), "volume", [8, 16, 32]).select("symbol", (F.round("exponent", 5) + 0.0).alias("exponent"))
 
 
-@query()
+@query(RET + ", places AS (SELECT symbol, bar_idx, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS i FROM y), dealt AS (SELECT symbol, volume, row_number() OVER (PARTITION BY symbol ORDER BY md5(concat_ws('|', symbol, bar_idx, 1))) AS i FROM y), mixed AS (SELECT symbol, bar_idx, volume FROM places JOIN dealt USING (symbol, i))" + DFA.replace("FROM y)", "FROM mixed)"))
 def shuffled_memory(spark: SparkSession, d: str) -> DataFrame:
-    return fits.dfa(fits.shuffled(returns(spark, d), "volume"), "volume", [8, 16, 32])
+    made = fits.dfa(fits.shuffled(returns(spark, d), "volume"), "volume", [8, 16, 32])
+    return made.select("symbol", (F.round("exponent", 5) + F.lit(0.0)).alias("exponent"))
 
 
-@query()
+@query(RET + """, t AS (SELECT symbol, abs(ret) AS x, max(abs(ret)) OVER (PARTITION BY symbol) AS m FROM y WHERE ret <> 0), h AS (SELECT symbol, least(floor(x / m * 40), 39) AS b, any_value(m) AS m, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT symbol, n, (b + 0.5) / 40 * m AS mid FROM h)
+SELECT symbol, round(corr(ln(n), mid) ** 2, 6) + 0.0 AS r2_exponential, round(corr(ln(n), ln(mid)) ** 2, 6) + 0.0 AS r2_power FROM k GROUP BY 1""")
 def tail_forms(spark: SparkSession, d: str) -> DataFrame:
-    return fits.tail_forms(returns(spark, d).withColumn("x", F.abs("ret")), "x", ["symbol"])
+    return rounded(fits.tail_forms(returns(spark, d).withColumn("x", F.abs("ret")), "x", ["symbol"]))
 
 
 @query()
@@ -765,11 +810,11 @@ def bessel_profiles(spark: SparkSession, d: str) -> DataFrame:
     return fits.bessel_profile(micro.volume_profile(cells, ["symbol"]), ["symbol"])
 
 
-@query(f"WITH {TRADES}, p AS (SELECT symbol, price, sum(volume)::BIGINT AS volume FROM trades GROUP BY 1, 2), t AS (SELECT *, volume / 3607.0 AS v_t, price * volume / 3607.0 AS m_t, volume / (3607.0 * 3607.0) AS v_tt, sum(volume) OVER (PARTITION BY symbol) AS total FROM p) SELECT symbol, price, round(v_t, 9) + 0.0 AS v_t, round(m_t, 9) + 0.0 AS m_t, round(price * v_tt, 9) + 0.0 AS e, round(volume / total * price * v_tt, 9) + 0.0 AS kinetic FROM t")
+@query(f"WITH {TRADES}, p AS (SELECT symbol, price, sum(volume)::BIGINT AS volume FROM trades GROUP BY 1, 2), t AS (SELECT *, volume / 3607.0 AS v_t, price * volume / 3607.0 AS m_t, volume / (3607.0 * 3607.0) AS v_tt, sum(volume) OVER (PARTITION BY symbol) AS total FROM p) SELECT symbol, price, round(v_t, 9) + 0.0 AS v_t, round(m_t, 9) + 0.0 AS m_t, round(price * v_tt, 9) + 0.0 AS e, round(volume / total * price * v_tt, 9) + 0.0 AS kinetic, round(price * v_tt - volume / total * price * v_tt, 9) + 0.0 AS potential FROM t")
 def transaction_energy(spark: SparkSession, d: str) -> DataFrame:
     p = micro.volume_profile(trades(spark, d), ["symbol"]).withColumn("total", F.sum("volume").over(Window.partitionBy("symbol")))
     made = micro.transaction_energy(p, F.lit(3607.0), F.col("total"))
-    return made.select("symbol", "price", *[(F.round(c, 9) + 0.0).alias(c) for c in ("v_t", "m_t", "e", "kinetic")])
+    return made.select("symbol", "price", *[(F.round(c, 9) + 0.0).alias(c) for c in ("v_t", "m_t", "e", "kinetic", "potential")])
 
 
 @query()
@@ -786,7 +831,10 @@ def response_spectrum(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, singular double")
 
 
-@query()
+X_IMPACT = """, x AS (SELECT a.symbol AS i, b.symbol AS j, sign(a.ret) * b.fwd AS x FROM z a JOIN z b USING (day) WHERE a.ret IS NOT NULL AND b.fwd IS NOT NULL), c AS (SELECT i, j, count(*) AS n, avg(x) AS mean, avg(x) * sqrt(count(*)) / nullif(stddev_samp(x), 0) AS z FROM x GROUP BY 1, 2)"""
+
+
+@query(DAILY + X_IMPACT + """, e AS (SELECT i, j FROM c WHERE abs(z) >= 0.5), o AS (SELECT i AS node, count(*) AS n_out FROM e GROUP BY 1), n AS (SELECT j AS node, count(*) AS n_in FROM e GROUP BY 1) SELECT coalesce(o.node, n.node) AS node, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in FROM o FULL JOIN n ON o.node = n.node""")
 def impact_degrees(spark: SparkSession, d: str) -> DataFrame:
     x = daily(spark, d)
     return micro.degrees(micro.cross_impact(x.where("ret is not null").select("day", "symbol", F.col("ret").alias("signal")), x.where("fwd is not null").select("day", "symbol", F.col("fwd").alias("ret")), "day", 0.5))
@@ -801,8 +849,8 @@ def kalman_levels(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def warping_distances(spark: SparkSession, d: str) -> DataFrame:
-    pairs = spark.createDataFrame([(a, b) for k, a in enumerate(SYMBOLS) for b in SYMBOLS[:k]], "i string, j string")
-    return fits.dtw_distances(bars(spark, d), "close", pairs)
+    b = bars(spark, d)
+    return fits.dtw_distances(b, "close", symbol_pairs(b).where("i > j"))
 
 
 @query()
@@ -817,15 +865,24 @@ def percentile_signals(spark: SparkSession, d: str) -> DataFrame:
     return fits.percentile_signal(evaluation.walk_forward(returns(spark, d), 80, 20), "ret").select("symbol", "fold", "bar_idx", "signal")
 
 
-@query()
+@query("WITH RECURSIVE " + RET.removeprefix("WITH ") + """, a AS (SELECT symbol, bar_idx, close AS p, CASE WHEN abs(ret) * 5000 > 90.1 THEN NULL ELSE sign(ret) * 100 END AS act, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) AS k FROM y),
+e AS (SELECT symbol, 0::BIGINT AS k, NULL::BIGINT AS bar_idx, 1e6::DOUBLE AS cash, 0.0::DOUBLE AS held, 0.0::DOUBLE AS p FROM (SELECT DISTINCT symbol FROM a)
+UNION ALL SELECT symbol, k, bar_idx, cash - z * p - abs(z) * p * 0.003, held + z, p FROM (SELECT a.symbol, a.k, a.bar_idx, a.p, e.cash, e.held, CASE WHEN coalesce(act, -e.held) < 0 THEN greatest(coalesce(act, -e.held), -e.held) ELSE least(coalesce(act, -e.held), e.cash / (a.p * 1.003)) END AS z FROM e JOIN a ON a.symbol = e.symbol AND a.k = e.k + 1) q)
+SELECT symbol, bar_idx, round(cash, 4) + 0.0 AS cash, round(held, 6) + 0.0 AS held, round(cash + held * p, 4) + 0.0 AS value FROM e WHERE k > 0""")
 def agent_account(spark: SparkSession, d: str) -> DataFrame:
     b = returns(spark, d).withColumn("act", F.signum("ret") * 100).withColumn("turb", F.abs("ret") * 5000)
-    return fits.trading_account(b, "act", turbulence="turb", order="bar_idx")
+    made = fits.trading_account(b, "act", turbulence="turb", order="bar_idx")
+    return made.withColumns({c: F.round(c, n) + F.lit(0.0) for c, n in (("cash", 4), ("held", 6), ("value", 4))})
 
 
-@query()
+@query(RET + ", " + ", ".join(f"w{n} AS (SELECT symbol, bar_idx, ret, list_sort(list(ret) OVER w) AS v, avg(ret) OVER w AS m, stddev_pop(ret) OVER w AS s FROM y WINDOW w AS (PARTITION BY symbol ORDER BY bar_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW))" for n in (5, 10, 20)) + " " + " UNION ALL ".join(f"SELECT {n} AS rows, symbol, bar_idx, round(ret, 6) + 0.0 AS ret, round(list_max(list_transform(range(1, {n + 1}), lambda i: greatest(abs(i / {n}.0 - {cdf_sql('((v[i] - m) / s)')}), abs((i - 1) / {n}.0 - {cdf_sql('((v[i] - m) / s)')})))), 6) + 0.0 AS ks FROM w{n} WHERE len(v) = {n} AND s > 0" for n in (5, 10, 20)))
 def normality_windows(spark: SparkSession, d: str) -> DataFrame:
-    return fits.rolling_normality(returns(spark, d).select("symbol", "bar_idx", "ret"), "ret", 20, special.norm_cdf)
+    """Distances to a normal law over 5, 10 and 20 returns."""
+    x, out = returns(spark, d).select("symbol", "bar_idx", "ret"), None
+    for n in (5, 10, 20):
+        part = fits.rolling_normality(x, "ret", n, special.norm_cdf).withColumn("rows", F.lit(n))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out)
 
 
 @query(TIGHT + ", " + st_sql("0.3::DOUBLE", "0.25") + " SELECT b.symbol, b.pivot_seq AS st, b.known AS st_known, arg_max(a.pivot_seq, (a.known, a.pivot_seq)) AS tr, max(a.known) AS tr_known FROM st b JOIN tr_piv a ON a.symbol = b.symbol AND a.prose AND b.valid AND a.known < b.known AND b.known - a.known <= 60 GROUP BY 1, 2, 3")
@@ -881,3 +938,6 @@ def pnl_weights(spark: SparkSession, d: str) -> DataFrame:
     x = daily(spark, d).where("ret is not null and fwd is not null").withColumns({"r": F.col("ret") * 100, "f": F.col("fwd") * 100, "v": F.ln("volume") - 7})
     w, losses = fits.pnl_regression(x, ["r", "v"], "f", 10)
     return spark.createDataFrame([("r", w[0]), ("v", w[1])], "feature string, weight double")
+
+
+from . import studies  # noqa: E402, F401 (registers its queries)

@@ -323,8 +323,8 @@ def test_all_pairs_of_symbols(spark):
     for rows in instants.values():
         last |= {r.symbol: r.price for r in rows}
         want |= {(i, r.symbol, r.seq): last.get(i) for r in rows for i in {x.symbol for x in t} - {r.symbol}}
-    assert {(r.i, r.j, r.seq): r.asof_price for r in QUERIES["asof_pairs"](spark, sf).collect()} == want
-    assert len({(r.i, r.j) for r in QUERIES["response_pairs"](spark, sf).collect()}) == 20
+    assert {(r.i, r.j, r.seq): r.asof_price for r in QUERIES["asof_prices"](spark, sf).collect()} == want
+    assert len({(r.i, r.j) for r in QUERIES["response_matrix"](spark, sf).collect()}) == 20
 
 
 def test_hawkes_composes_over_blocks_of_time(spark):
@@ -353,7 +353,7 @@ def test_fits(spark):
     r = fits.hawkes_fit(e).first()
     assert r.mu == pytest.approx(0.5, rel=0.35) and r.nu == pytest.approx(0.5, rel=0.35) and r.residual == pytest.approx(1.0, abs=0.05)
     tail = spark.range(2000).select(F.pow((F.col("id") + 0.5) / 2000, -1 / 1.5).alias("x"))
-    r = fits.power_law_bootstrap(tail, "x", 1.0, 40).first()
+    r = fits.power_law_bootstrap(tail, "x", [1.0, 1.5, 2.0], 40).first()
     assert r.delta == pytest.approx(2.5, abs=0.02) and r.p > 0.5
     ramp = series(spark, np.random.default_rng(1).normal(size=600))
     assert fits.dfa(ramp, "x", [8, 16, 32]).first().exponent == pytest.approx(0.5, abs=0.15)
@@ -371,3 +371,55 @@ def test_fits(spark):
     assert losses[-1] < losses[0] and w[0] > 3 * abs(w[1])
     m = fits.matrix_spectrum(spark.createDataFrame([("x", "x", 3.0), ("y", "y", 2.0)], "i string, j string, v double"), "v")
     assert m["singular"].tolist() == [3, 2]
+
+
+def test_synchronised_volume_bars(spark):
+    rows = [("A", 1, 0, 10.0, 60), ("A", 2, 1, 10.1, 70), ("A", 4, 2, 10.2, 90), ("B", 1, 3, 20.0, 120), ("B", 3, 4, 20.4, 50), ("B", 4, 5, 20.2, 40)]
+    t = spark.createDataFrame(rows, "symbol string, t long, seq long, price double, volume long").withColumn("ts", F.timestamp_seconds("t"))
+    got = {(r.tau, r.symbol): (round(r.price, 4), r.ts.second) for r in B.synchronised_volume_bars(t, 100).collect()}
+    assert got == {(1, "B"): (20.0, 1), (2, "A"): (10.04, 2), (3, "A"): (10.17, 4), (3, "B"): (20.26, 4)}
+
+
+def test_median_flow_and_bets(spark):
+    rows = [("a", 1, "mm", "buy", 300, 2.5), ("a", 1, "cust", "buy", 700, 2.5), ("a", 1, "mm", "sell", 600, 2.5), ("a", 1, "brk", "sell", 400, 2.5)]
+    t = spark.createDataFrame(rows, "symbol string, day int, participant string, side string, volume long, price double")
+    got = {(r.buyer, r.seller): round(r.share, 6) for r in micro.median_flow(t, ["symbol"]).collect()}
+    assert got == {("mm", "mm"): 0.18, ("mm", "brk"): 0.12, ("cust", "mm"): 0.42, ("cust", "brk"): 0.28}
+    df = spark.createDataFrame([(1, "a", 0.15, 0.005), (1, "b", -0.3, -0.004), (1, "c", 0.05, -0.002), (1, "d", -0.1, 0.006), (1, "e", 0.0, 9.0)], "day int, symbol string, s double, f double")
+    made = {(r.scheme, r.q): (r.pnl, r.n) for r in micro.bet_portfolios(df, "s", "f", "day", {"uniform": F.lit(1), "imbalance": F.abs("s")}, groups=4).collect()}
+    assert made["uniform", 1] == (pytest.approx(0.00025), 4) and made["uniform", 3] == (pytest.approx(0.0045), 2)
+    assert made["imbalance", 1][0] == pytest.approx((0.15 * 0.005 + 0.3 * 0.004 - 0.05 * 0.002 - 0.1 * 0.006) / 0.6)
+
+
+def test_channels_excite_each_other(spark):
+    e = spark.createDataFrame([("s", "a", 0.0, 0), ("s", "b", 0.4, 1), ("s", "b", 5000.0, 2)], "symbol string, channel string, t double, seq long")
+    got = micro.hawkes_cross(e, {"a": 0.5, "b": 0.4}, {("a", "a"): 0.5, ("a", "b"): 0.31, ("b", "b"): 0.2}, 2.0).orderBy("t").collect()
+    assert [r.lambda_a for r in got] == pytest.approx([0.5, 0.5 + 0.5 * 2 * math.exp(-0.8), 0.5]) and [r.lambda_b for r in got] == pytest.approx([0.4, 0.4, 0.4])
+
+
+def test_lagged_lmv_of_the_published_example(spark):
+    v = [-2.5, -1.5, -0.5, 0.5, 1.5, 2.5]
+    g = [(0.3, 1.1, 2.6), (0.2, 0.9, 2.2), (0.4, 1.5, 3.4), (0.5, 1.3, 3.3), (0.6, 1.8, 5.0), (0.7, 2.1, 5.3)]
+    df = spark.createDataFrame([("a", i * 3 + k, a, float(x)) for i, (a, xs) in enumerate(zip(v, g, strict=True)) for k, x in enumerate(xs)], "symbol string, bar_idx long, v double, g double")
+    got = {r.lag: r for r in stats.lagged_lmv(df, "v", "g", 1).collect()}
+    assert round(got[0].lmv, 3) == 0.925 and round(got[0]["corr"], 3) == 0.352
+
+
+def test_intervals_bracket_in_linear_time(spark):
+    """The plan holds no frame that ends at the partition's end and starts before it: both quotes come from growing frames."""
+    from tidemark.operators import asof
+
+    t = spark.createDataFrame([(s, i, i, float(i), "buy") for s in "ab" for i in range(50)], "symbol string, t long, seq long, price double, side string").withColumn("ts", F.timestamp_seconds("t"))
+    made = asof.bracket_quotes(t, t, spark.createDataFrame([("a", "b")], "i string, j string"))
+    assert "unboundedfollowing" not in made._jdf.queryExecution().toString().lower().replace(" ", "").replace("$", "")
+    assert {(r.ts.second + 60 * r.ts.minute, r.before, r.after) for r in made.collect()} == {(i, i - 1.0 if i else None, i + 1.0 if i < 49 else None) for i in range(50)}
+
+
+def test_basket_closes_at_its_profit(spark):
+    from tidemark.operators import portfolio
+
+    rows = [("a", i, float(p), i == 0, False, False, False) for i, p in enumerate([100, 101, 104, 90, 90])]
+    s = spark.createDataFrame(rows, "symbol string, t long, close double, entries boolean, exits boolean, short_entries boolean, short_exits boolean").withColumn("ts", F.timestamp_seconds("t"))
+    got = portfolio.simulate(s, 1000.0, 0.0, 1, take_profit=0.03).orderBy("ts").collect()
+    assert [round(r.position, 6) for r in got] == [10, 10, 0, 0, 0] and got[-1].equity == pytest.approx(1040)
+    assert portfolio.simulate(s, 1000.0, 0.0, 1).orderBy("ts").collect()[-1].equity == pytest.approx(900)

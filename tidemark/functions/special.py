@@ -92,3 +92,13 @@ def kelly(p: Column) -> Column:
 def epps_curve(c: Column, lam: Column, dt: Column) -> Column:
     """Correlation at sampling interval dt for arrival rate lam."""
     return c * (1 + (F.exp(-lam * dt) - 1) / (lam * dt))
+
+
+def is_finite(x: Column) -> Column:
+    """Whether x is a number, neither null nor infinite."""
+    return F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False))
+
+
+def is_close(a: Column, b: Column, rel: float = 1e-9, abs_: float = 0.0) -> Column:
+    """Whether a and b differ by no more than a share of the larger, or an amount."""
+    return F.coalesce(is_finite(a) & is_finite(b) & (F.abs(a - b) <= F.greatest(rel * F.greatest(F.abs(a), F.abs(b)), F.lit(abs_))) | (a == b), F.lit(False))

@@ -21,12 +21,16 @@ def bucket(ts: Column, width: str) -> Column:
     return F.window(ts, INTERVALS.get(width, width))["start"]
 
 
-def resample(df: DataFrame, width: str, price: str = "price", order: tuple[str, ...] = ("ts", "seq")) -> DataFrame:
+def resample(df: DataFrame, width: str, price: str = "price", order: tuple[str, ...] = ("ts", "seq"), aggregates: dict[str, Column] | None = None) -> DataFrame:
     """OHLCV per symbol and bucket from trades, or from bars if df has open, high, low, close.
 
-    Open and close are the first and last by order; empty buckets do not appear.  One partially aggregated
-    shuffle on (symbol, bucket), no sort of the tape.
+    Open and close are the first and last by order; empty buckets do not appear.  aggregates are other columns by name, as
+    aggregate expressions over df, in place of OHLCV.  One partially aggregated shuffle on (symbol, bucket), no
+    sort of the tape.
     """
+    if aggregates is not None:
+        made = df.withColumn("_bucket", bucket(F.col("ts"), width)).groupBy("symbol", "_bucket").agg(*[c.alias(name) for name, c in aggregates.items()])
+        return made.withColumnRenamed("_bucket", "ts").select("symbol", "ts", *aggregates)
     is_bars = {"open", "high", "low", "close"} <= set(df.columns)
     o, h, l, c = ("open", "high", "low", "close") if is_bars else (price,) * 4  # noqa: E741
     keys = [k for k in order if k in df.columns]
@@ -112,3 +116,24 @@ def zscore(df: DataFrame, cols: list[str]) -> DataFrame:
     train = df.where("is_train").groupBy("symbol").agg(*[f(c).alias(f"_{k}_{c}") for c in cols for k, f in (("m", F.avg), ("s", F.stddev_pop))])
     joined = df.join(train, "symbol")
     return joined.withColumns({c: F.try_divide(F.col(c) - F.col(f"_m_{c}"), F.col(f"_s_{c}")) for c in cols}).drop(*[f"_{k}_{c}" for c in cols for k in "ms"])
+
+
+def synchronised_volume_bars(trades: DataFrame, size: int) -> DataFrame:
+    """Volume bars of all symbols on one volume clock: tau, symbol, k, price, ts; a symbol without a row at a tau has no bar there.
+
+    All symbols share the bucket size.  A symbol's k-th bucket closes at the first instant at which its volume passes
+    (k + 1) * size; price is the bucket's volume-weighted one.  tau counts closings: those of one instant share a
+    tau, and when a symbol closes several buckets in one instant, its first ones, second ones and so on do.  The count
+    runs over days of closings and then inside each day, so no task has all of them.
+    """
+    w = Window.partitionBy("symbol").orderBy("ts")
+    instants = trades.where("volume > 0").groupBy("symbol", "ts").agg(F.sum("volume").alias("volume"))
+    run = instants.withColumn("c1", F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c0", F.col("c1") - F.col("volume"))
+    first, last = F.greatest(F.ceil(F.col("c0") / size), F.lit(1)), F.ceil(F.col("c1") / size) - 1
+    closed = run.where(last >= first).select("symbol", "ts", F.posexplode(F.sequence(first, last)).alias("drain", "k1")).select("symbol", "ts", "drain", (F.col("k1") - 1).alias("k"))
+    days = closed.select(F.to_date("ts").alias("day"), "ts", "drain").distinct()
+    counts = days.groupBy("day").agg(F.count("*").alias("n"))
+    starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
+    ticks = days.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("ts", "drain"))).join(F.broadcast(starts), "day")
+    prices = volume_bars(trades, size).select("symbol", "k", F.col("vwap").alias("price"))
+    return closed.join(ticks.select("ts", "drain", (F.col("start") + F.col("i")).alias("tau")), ["ts", "drain"]).join(prices, ["symbol", "k"]).select("tau", "symbol", "k", "price", "ts")

@@ -92,3 +92,46 @@ def holding_periods(df: DataFrame, signal: str, ret: str, longest: int = 10, key
     wide = df.select(F.signum(signal).alias("s"), *[F.when(F.lead(ret, h).over(w).isNotNull(), F.sum(ret).over(w.rowsBetween(1, h))).alias(f"f{h}") for h in range(1, longest + 1)])
     row = wide.agg(*[(F.avg(F.col("s") * F.col(f"f{h}")) * 1e4).alias(str(h)) for h in range(1, longest + 1)])
     return row.unpivot([], [str(h) for h in range(1, longest + 1)], "h", "pnl_bp").withColumn("h", F.col("h").cast("int"))
+
+
+def decay(df: DataFrame, ret: str, live: Column, key: str = "symbol", target: float = 0.1, year: int = 252) -> DataFrame:
+    """Volatility-adjusted return before and after going live, and the change: key, proforma, live, decay (per year, at target volatility)."""
+    adjusted = F.avg(ret) / F.stddev_samp(ret) * year**0.5 * target
+    parts = df.withColumn("_live", live).groupBy(key, "_live").agg(adjusted.alias("r"))
+    made = parts.groupBy(key).agg(F.max(F.when(~F.col("_live"), F.col("r"))).alias("proforma"), F.max(F.when(F.col("_live"), F.col("r"))).alias("live"))
+    return made.withColumn("decay", F.col("live") - F.col("proforma"))
+
+
+def haircut(proforma: Column, regime: Column, slope: float = 0.137, cost: float = 5.0) -> Column:
+    """Live return, in percent, to be expected of a pro-forma one at a regime's z-score (fixed values: the slopes)."""
+    return slope * proforma - cost * regime
+
+
+def coverage_tests(df: DataFrame, hit: Column, alpha: float, key: str = "symbol", ts: str = "ts") -> DataFrame:
+    """Likelihood ratios of value-at-risk breaches: key, n, hits, lr_coverage (share against alpha), lr_independence (a breach
+    after a breach against one after none)."""
+    w = Window.partitionBy(key).orderBy(ts)
+    rows = df.select(key, hit.cast("int").alias("h"), F.lag(hit.cast("int")).over(w).alias("b"))
+    c = lambda b, h: F.count_if((F.col("b") == b) & (F.col("h") == h)).cast("double").alias(f"n{b}{h}")
+    n = rows.groupBy(key).agg(F.count("*").alias("n"), F.sum("h").alias("hits"), c(0, 0), c(0, 1), c(1, 0), c(1, 1))
+
+    def log_lik(no: Column, yes: Column, p: Column) -> Column:
+        return F.when(no > 0, no * F.ln(1 - p)).otherwise(0.0) + F.when(yes > 0, yes * F.ln(p)).otherwise(0.0)
+
+    p0, p1 = (F.try_divide(F.col(f"n{b}1"), F.col(f"n{b}0") + F.col(f"n{b}1")) for b in (0, 1))
+    both = (F.col("n01") + F.col("n11")) / (F.col("n00") + F.col("n01") + F.col("n10") + F.col("n11"))
+    coverage = 2 * (log_lik(F.col("n") - F.col("hits"), F.col("hits"), F.col("hits") / F.col("n")) - log_lik(F.col("n") - F.col("hits"), F.col("hits"), F.lit(alpha)))
+    apart = log_lik(F.col("n00"), F.col("n01"), p0) + F.coalesce(log_lik(F.col("n10"), F.col("n11"), p1), F.lit(0.0))
+    independence = 2 * (apart - log_lik(F.col("n00") + F.col("n10"), F.col("n01") + F.col("n11"), both))
+    return n.select(key, "n", "hits", coverage.alias("lr_coverage"), independence.alias("lr_independence"))
+
+
+def principal_shares(wide: DataFrame, cols: list[str]) -> list[float]:
+    """Shares of the variance along the principal components of the correlation of cols: the correlations are one aggregation,
+    their eigenvalues the driver's (as many numbers as columns squared)."""
+    import numpy as np
+
+    pairs = [(a, b) for a in cols for b in cols]
+    row = wide.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    values = np.linalg.eigvalsh(np.array([float(x) for x in row]).reshape(len(cols), -1))[::-1]
+    return (values / values.sum()).tolist()

@@ -13,24 +13,28 @@ from pyspark.sql import functions as F
 from .stats import detrended_covariance
 
 
-def power_law_bootstrap(samples: DataFrame, x: str, cutoff: float, replicas: int = 200, seed: int = 1) -> DataFrame:
-    """delta, ks and p of the tail's fit: the share of samples drawn from the fit whose own fit is farther off.
+def power_law_bootstrap(samples: DataFrame, x: str, cutoffs: list[float], replicas: int = 200, seed: int = 1, least: int = 10) -> DataFrame:
+    """x_min, n, delta, ks and p of the tail's fit at the cutoff nearest to its law: p is the share of samples drawn from the
+    fit whose own best fit, its cutoff chosen anew, is farther off.
 
-    Replicas are rows dealt over tasks; each draws as many values as the tail has (n is one number, not data).
+    Replicas are rows dealt over tasks; each draws as many values as the tail has, so a task's memory grows with the tail.
     """
-    from .stats import power_law
+    from .stats import best_cutoff, power_law
 
-    fit = power_law(samples, x, [cutoff])
+    fit = best_cutoff(power_law(samples, x, cutoffs), least=least)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        n, delta = int(pdf.n.iloc[0]), float(pdf.delta.iloc[0])
+        n, delta, low = int(pdf.n.iloc[0]), float(pdf.delta.iloc[0]), float(pdf.x_min.iloc[0])
         out = []
         for i in pdf.replica.tolist():
-            v = np.sort(np.random.default_rng([seed, i]).random(n) ** (-1 / (delta - 1)))
-            own = 1 + n / np.log(v).sum()
-            model, k = 1 - v ** (1 - own), np.arange(1, n + 1) / n
-            out.append(max(np.abs(k - model).max(), np.abs(k - 1 / n - model).max()))
-        return pd.DataFrame({"x_min": cutoff, "ks_drawn": out})
+            drawn, far = np.sort(low * np.random.default_rng([seed, i]).random(n) ** (-1 / (delta - 1))), []
+            for cut in [low, *(c for c in cutoffs if c > low)]:
+                v = drawn[np.searchsorted(drawn, cut) :] / cut
+                if len(v) >= least or cut == low:
+                    model, k = 1 - v ** (-len(v) / np.log(v).sum()), np.arange(1, len(v) + 1) / len(v)
+                    far.append(max(np.abs(k - model).max(), np.abs(k - 1 / len(v) - model).max()))
+            out.append(min(far))
+        return pd.DataFrame({"x_min": low, "ks_drawn": out})
 
     many = fit.withColumn("replica", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))).withColumn("part", F.col("replica") % 16)
     drawn = many.groupBy("part").applyInPandas(run, "x_min double, ks_drawn double")

@@ -79,6 +79,94 @@ def flow_matrix(trades: DataFrame, by: list[str], who: str = "participant", buy:
     return flow.crossJoin(F.broadcast(flow.agg(F.sum("flow").alias("_all")))).withColumn("share", F.col("flow") / F.col("_all")).drop("_all")
 
 
+def median_flow(trades: DataFrame, by: list[str], day: str = "day", who: str = "participant", buy: Column | None = None) -> DataFrame:
+    """seller, buyer, share: each day's flow as shares of that day, and of these the median over days.
+
+    A pair without flow on a day has share 0 there; by are the cells inside a day.
+    """
+    buy = F.col("side") == "buy" if buy is None else buy
+    cells = [day, *by]
+    per = trades.groupBy(*cells, who).agg(F.sum(F.when(buy, F.col("volume") * F.col("price"))).alias("b"), F.sum(F.when(~buy, F.col("volume"))).alias("s"))
+    shared = per.withColumn("part", F.try_divide(F.col("s").cast("double"), F.sum("s").over(Window.partitionBy(*cells))))
+    x, y = shared.where("b is not null").select(*cells, F.col(who).alias("buyer"), "b"), shared.where("s is not null").select(*cells, F.col(who).alias("seller"), "part")
+    flow = x.join(y, cells).groupBy(day, "seller", "buyer").agg(F.sum(F.col("b") * F.col("part")).alias("flow"))
+    daily = flow.withColumn("share", F.try_divide("flow", F.sum("flow").over(Window.partitionBy(day))))
+    days = F.broadcast(flow.agg(F.count_distinct(day).alias("days")))
+    pairs = daily.groupBy("seller", "buyer").agg(F.array_sort(F.collect_list("share")).alias("v")).crossJoin(days)
+    # absent days stand before the sorted shares as zeros
+    at = lambda i: F.when(i > F.col("days") - F.size("v"), F.element_at("v", F.greatest(i - (F.col("days") - F.size("v")), F.lit(1)).cast("int"))).otherwise(0.0)
+    low, high = F.floor((F.col("days") + 1) / 2), F.floor(F.col("days") / 2) + 1
+    return pairs.select("seller", "buyer", ((at(low) + at(high)) / 2).alias("share"))
+
+
+def basic_quantities(minutes: DataFrame, ts: str = "ts") -> DataFrame:
+    """Adds the four quantities of a minute: absolute return, volume, spread and the buyers' share of the volume.
+
+    minutes: symbol, ts, mid, bid, ask, bought, sold.
+    """
+    w = Window.partitionBy("symbol").orderBy(ts)
+    volume = F.col("bought") + F.col("sold")
+    return minutes.withColumns({"abs_ret": F.abs(F.ln(F.col("mid") / F.lag("mid").over(w))), "volume": volume, "spread": F.col("ask") - F.col("bid"), "imbalance": F.try_divide(F.col("bought").cast("double"), volume)})
+
+
+def peak(averaged: DataFrame, value: str = "mean") -> DataFrame:
+    """Offset of the largest mean around events, and that mean; of equals the first offset."""
+    return averaged.agg(F.max(F.struct(value, (-F.col("offset")).alias("o"))).alias("m")).select((-F.col("m.o")).alias("t_max"), F.col(f"m.{value}").alias("peak"))
+
+
+def bet_portfolios(df: DataFrame, signal: str, forward: str, day: str, sizes: dict[str, Column], groups: int = 5) -> DataFrame:
+    """Daily P&L of every bet scheme in every cumulative group: scheme, q, day, pnl, n.
+
+    Group q of a day has the strongest signals, q = 1 all and q = groups the top fifth; a zero signal never trades.
+    sizes are raw bets by scheme, normalised to one unit a day; only the signal's sign decides the side.
+    """
+    w = Window.partitionBy(day).orderBy(F.abs(F.col(signal)), "symbol")
+    ranked = df.where(F.col(signal) != 0).withColumn("grade", F.ntile(groups).over(w))
+    bets = F.explode(F.array(*[F.struct(F.lit(name).alias("scheme"), size.cast("double").alias("bet")) for name, size in sizes.items()]))
+    rows = ranked.withColumn("q", F.explode(F.sequence(F.lit(1), "grade"))).select(day, "q", (F.signum(signal) * F.col(forward)).alias("gain"), bets.alias("x"))
+    return rows.groupBy(F.col("x.scheme").alias("scheme"), "q", day).agg(F.try_divide(F.sum(F.col("x.bet") * F.col("gain")), F.sum("x.bet")).alias("pnl"), F.count("*").alias("n"))
+
+
+def bet_report(pnl: DataFrame, year: int = 252) -> DataFrame:
+    """Sharpe ratio, P&L per dollar in bp, hit rate max(share of gains, share of the rest) and the significance of the Sharpe
+    ratio, of each scheme and group."""
+    from .stats import sharpe_test
+
+    out = pnl.groupBy("scheme", "q").agg(F.count("*").alias("days"), (F.avg("pnl") / F.stddev_samp("pnl") * year**0.5).alias("sharpe"), (F.avg("pnl") * 1e4).alias("ppd_bp"), F.avg((F.col("pnl") > 0).cast("double")).alias("_pi"), F.skewness("pnl").alias("_s"), (F.kurtosis("pnl") + 3).alias("_k"))
+    return out.withColumns({"hit_rate": F.greatest("_pi", 1 - F.col("_pi")), "stat": sharpe_test(F.col("sharpe"), F.col("days"), F.col("_s"), F.col("_k"), year)}).drop("_pi", "_s", "_k")
+
+
+def topology(edges: DataFrame) -> DataFrame:
+    """Nodes, edges, density, self-loops and pairs linked both ways, with what a random graph of that density has.
+
+    edges: i, j, edge (boolean), a row for every ordered pair.
+    """
+    e = edges.where("edge").select("i", "j")
+    n = edges.select(F.col("i").alias("v")).union(edges.select("j")).distinct().agg(F.count("*").alias("nodes"))
+    both = e.alias("x").join(e.alias("y"), (F.col("x.i") == F.col("y.j")) & (F.col("x.j") == F.col("y.i")) & (F.col("x.i") < F.col("x.j"))).agg(F.count("*").alias("both_ways"))
+    made = e.agg(F.count("*").alias("edges"), F.count_if(F.col("i") == F.col("j")).alias("loops")).crossJoin(n).crossJoin(both)
+    density = F.col("edges") / (F.col("nodes") * F.col("nodes"))
+    return made.withColumns({"density": density, "loops_expected": F.col("nodes") * density, "both_expected": F.col("nodes") * (F.col("nodes") - 1) / 2 * density * density})
+
+
+def degree_tests(edges: DataFrame, level: float) -> DataFrame:
+    """Share of node pairs whose in-degrees, and out-degrees, differ by the two-sample test at a normal quantile."""
+    d = edges.groupBy(F.col("j").alias("v")).agg(F.count_if("edge").alias("n_in")).join(edges.groupBy(F.col("i").alias("v")).agg(F.count_if("edge").alias("n_out")), "v")
+    n = F.broadcast(d.agg(F.count("*").alias("nodes")))
+    # the statistic depends on the two degrees only, so pairs of degrees meet and not pairs of nodes
+
+    def share(c: str) -> DataFrame:
+        counts = d.groupBy(c).agg(F.count("*").alias("m"))
+        x, y = counts.select(F.col(c).alias("a"), F.col("m").alias("ma")), counts.select(F.col(c).alias("b"), F.col("m").alias("mb"))
+        pairs = x.join(y, F.col("a") <= F.col("b")).crossJoin(n)
+        pool = (F.col("a") + F.col("b")) / (2 * F.col("nodes"))
+        stat = F.try_divide(F.abs(F.col("a") - F.col("b")) / F.col("nodes"), F.sqrt(pool * (1 - pool) / (2 * F.col("nodes"))))
+        weight = F.when(F.col("a") == F.col("b"), F.col("ma") * (F.col("ma") - 1) / 2).otherwise(F.col("ma") * F.col("mb"))
+        return pairs.agg(F.try_divide(F.sum(F.when(stat > level, weight).otherwise(0)), F.sum(weight)).alias(f"differ_{c[2:]}"))
+
+    return share("n_in").crossJoin(share("n_out"))
+
+
 def response(bracketed: DataFrame) -> DataFrame:
     """R(i, j): the mean over trades of j of the change of i's quote around them times the trade's sign."""
     sign = F.when(F.col("side") == "buy", 1).otherwise(-1)
@@ -163,6 +251,33 @@ def hawkes_intensity(events: DataFrame, mu: float, nu: float, alpha: float, powe
     return both.select(*names, (mu + nu * alpha * held).alias("intensity"))
 
 
+def hawkes_cross(events: DataFrame, mu: dict[str, float], nu: dict[tuple[str, str], float], alpha: float) -> DataFrame:
+    """Intensities of all channels just before each event: lambda_<channel> = mu + sum over channels j of nu[channel, j] times
+    the decayed number of j's past events; pairs without nu do not feed each other.
+
+    events: symbol, channel, t (seconds), seq.  Blocks of time as in hawkes_intensity(), one running sum per channel.
+    """
+    if alpha <= 0:
+        raise ValueError("alpha must be above 0")
+    decay, reach, channels = 10.0, 80, sorted(mu)
+    age = F.col("t") * (alpha / decay)
+    rows = events.select("symbol", "channel", "t", "seq").withColumn("_b", F.floor(age)).withColumn("_w", F.exp(decay * (age - F.col("_b"))))
+    own = {c: F.when(F.col("channel") == c, F.col("_w")).otherwise(0.0) for c in channels}
+    near = Window.partitionBy("symbol", "_b").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    past = Window.partitionBy("symbol").orderBy("_b").rangeBetween(-reach, -1)
+    sums = rows.groupBy("symbol", "_b").agg(*[F.sum(x).alias(f"_s_{c}") for c, x in own.items()])
+    listed = sums.withColumn("_l", F.collect_list(F.struct("_b", *[f"_s_{c}" for c in channels])).over(past))
+
+    def before(c: str) -> Column:
+        return F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + x[f"_s_{c}"] * F.exp(decay * (x["_b"] - F.col("_b"))))
+
+    carried = listed.select(F.col("symbol").alias("_sy"), F.col("_b").alias("_bk"), *[before(c).alias(f"_c_{c}") for c in channels])
+    both = rows.withColumns({f"_n_{c}": F.coalesce(F.sum(x).over(near), F.lit(0.0)) for c, x in own.items()}).join(carried, F.col("symbol").eqNullSafe(F.col("_sy")) & (F.col("_b") == F.col("_bk")))
+    held = {c: (F.col(f"_n_{c}") + F.col(f"_c_{c}")) * F.exp(decay * (F.col("_b") - age)) for c in channels}
+    made = [sum((F.lit(float(nu[i, j]) * alpha) * held[j] for j in channels if (i, j) in nu), F.lit(float(mu[i]))).alias(f"lambda_{i}") for i in channels]
+    return both.select("symbol", "channel", "t", "seq", *made)
+
+
 def cross_impact(signals: DataFrame, returns: DataFrame, day: str, level: float) -> DataFrame:
     """Edges i -> j where the mean of sign(signal_i) * return_j over days is significant after Bonferroni.
 

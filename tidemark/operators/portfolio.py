@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 FIELDS = "symbol string, ts timestamp, cash double, position double, equity double, fees double"
 
 
-def simulate(signals: DataFrame, init: float = 30_000.0, fee: float = 0.0008, parts: int = 13) -> DataFrame:
+def simulate(signals: DataFrame, init: float = 30_000.0, fee: float = 0.0008, parts: int = 13, take_profit: float | None = None) -> DataFrame:
     """Cash, position, equity and fees paid of each symbol after each bar.
 
     entries buy and short_entries sell for init / parts at the close; positions add up; a bar with exits closes a long, one
-    with short_exits a short position.  A buy that cash cannot pay is made as large as it can be.  An ordered fold
-    of one symbol's bars.
+    with short_exits a short position.  A buy that cash cannot pay is made as large as it can be.  With take_profit the whole
+    basket closes on the bar on which equity stands that share of init above where it stood before the basket's first
+    order; there is no stop loss.  An ordered fold of one symbol's bars.
     """
     import pandas as pd
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         cash, pos, fees, out = init, 0.0, 0.0, []
-        lot = init / parts
+        lot, before = init / parts, init  # before: equity when the basket was last empty
         pdf = pdf.sort_values("ts")
         for ts, p, buy, leave, short, cover in pdf[["ts", "close", "entries", "exits", "short_entries", "short_exits"]].itertuples(index=False):
             size = 0.0
-            if leave and pos > 0 or cover and pos < 0:
+            if leave and pos > 0 or cover and pos < 0 or take_profit is not None and pos and cash + pos * p - before >= take_profit * init:
                 size -= pos
             if buy:
                 size += min(lot, max(cash, 0.0) / (1 + fee)) / p
@@ -32,6 +33,8 @@ def simulate(signals: DataFrame, init: float = 30_000.0, fee: float = 0.0008, pa
             if size:
                 cost = abs(size) * p * fee
                 cash, pos, fees = cash - size * p - cost, pos + size, fees + cost
+            if not pos:
+                before = cash
             out.append((key[0], ts, cash, pos, cash + pos * p, fees))
         return pd.DataFrame(out, columns=["symbol", "ts", "cash", "position", "equity", "fees"])
 

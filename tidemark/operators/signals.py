@@ -199,7 +199,7 @@ def net_forecast(features: DataFrame, cols: list[str], n_hidden: int = 32, max_i
 
 
 def composite(bars: DataFrame, n_train: int, feature_cols: list[str] | None = None, delta_frac: float = 0.0, bars_apart: int = 15, share: float = 1e-4, orders: int = 13, forecast: Callable[..., DataFrame] = net_forecast) -> DataFrame:
-    """Forecast, classify, admit: bars with signal, verdict and the booleans entries and short_entries.  Exits are false; portfolio.basket_exits() finds those of a basket."""
+    """Forecast, classify, admit: bars with signal, verdict and the booleans entries and short_entries.  Exits are false: portfolio.simulate() can close a basket at a profit."""
     from .bars import split_by_time, supervised
 
     cols = feature_cols or ["open", "high", "low", "close", "volume"]

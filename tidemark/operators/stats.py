@@ -196,3 +196,54 @@ def normalise_volume(df: DataFrame, price: str = "close", volume: str = "volume"
     moments = rows.groupBy(key).agg(F.avg("_r").alias("_mr"), F.stddev_pop("_r").alias("_sr"), F.regr_slope("_q", order).alias("_b"), F.regr_intercept("_q", order).alias("_a"))
     resid = rows.join(moments, key).withColumn("_e", F.col("_q") - F.col("_a") - F.col("_b") * F.col(order))
     return resid.withColumns({"g": F.abs(F.col("_r") - F.col("_mr")) / F.col("_sr"), "v": F.col("_e") / F.stddev_pop("_e").over(w)}).drop("_r", "_q", "_mr", "_sr", "_a", "_b", "_e")
+
+
+def pooled_intervals(gaps: DataFrame, key: str = "symbol") -> DataFrame:
+    """Gaps over their mean at each threshold, all thresholds and keys pooled: scaled."""
+    w = Window.partitionBy(key, "q")
+    return gaps.select((F.col("tau") / F.avg("tau").over(w)).alias("scaled"))
+
+
+def joint_recurrence(df: DataFrame, value: str, ret: str, thresholds: list[float], returns: list[float], key: str = "symbol", order: str = "bar_idx") -> DataFrame:
+    """Share of recurrence intervals of value both ends of which have |ret| above each level: key, q, level, n, p."""
+    over = df.withColumn("q", F.explode(F.array(*map(F.lit, thresholds)))).where(F.col(value) > F.col("q"))
+    w = Window.partitionBy(key, "q").orderBy(order)
+    ends = over.select(key, "q", F.abs(ret).alias("a"), F.lead(F.abs(ret)).over(w).alias("b"), F.lead(order).over(w).alias("next")).where("next is not null")
+    levels = ends.withColumn("level", F.explode(F.array(*map(F.lit, returns))))
+    return levels.groupBy(key, "q", "level").agg(F.count("*").alias("n"), F.avg(((F.col("a") > F.col("level")) & (F.col("b") > F.col("level"))).cast("double")).alias("p"))
+
+
+def best_cutoff(fits: DataFrame, by: list[str] | None = None, least: int = 10) -> DataFrame:
+    """Of power_law()'s fits the one nearest to its law, among those with `least` values in the tail; of equals the lowest cutoff."""
+    return fits.where(F.col("n") >= least).groupBy(*(by or [])).agg(F.min(F.struct("ks", "x_min", "n", "delta")).alias("m")).select(*(by or []), "m.x_min", "m.n", "m.delta", "m.ks")
+
+
+def lagged_lmv(df: DataFrame, v: str, g: str, lags: int, key: str = "symbol", order: str = "bar_idx") -> DataFrame:
+    """lmv() and the plain correlation of g with the volume of `lag` rows before, for lags 0..lags."""
+    w = Window.partitionBy(key).orderBy(order)
+    lagged = df.select(key, g, *[F.lag(v, k).over(w).alias(f"_v{k}") for k in range(lags + 1)])
+    wide = lagged.select(key, g, F.explode(F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_v{k}").alias("v")) for k in range(lags + 1)])).alias("x")).select(key, g, "x.lag", F.col("x.v").alias("_v"))
+    plain = wide.groupBy(key, "lag").agg(F.corr(g, "_v").alias("corr"))
+    return lmv(wide.where("_v is not null"), "_v", g, [key, "lag"]).join(plain, [key, "lag"])
+
+
+def density_collapse(df: DataFrame, v: str, g: str, centres: list[float], half: float = 0.25, shift: float = 4.5, width: float = 0.25) -> DataFrame:
+    """Density of g inside slices of v, and its two scaled coordinates: centre, bin, n, density, x = g / (v + shift), y = (v + shift) * density."""
+    sliced = df.withColumn("centre", F.explode(F.array(*map(F.lit, centres)))).where((F.col(v) >= F.col("centre") - half) & (F.col(v) < F.col("centre") + half))
+    counts = sliced.groupBy("centre", F.floor(F.col(g) / width).alias("bin")).agg(F.count("*").alias("n"))
+    density = F.col("n") / F.sum("n").over(Window.partitionBy("centre")) / width
+    made = counts.withColumn("density", density)
+    return made.withColumns({"x": (F.col("bin") + 0.5) * width / (F.col("centre") + shift), "y": (F.col("centre") + shift) * F.col("density")})
+
+
+def cutoff_density(v: Column, g: Column, alpha: float = 0.4, beta: float = -1.23, a: float = -2.5, b: float = 3.0) -> Column:
+    """Density, but for its constant, of volatility g at volume v: a power law with an exponential cutoff, both steered by v."""
+    return F.pow(g, -(alpha * v + a)) * F.exp(-(beta * v + b) * g)
+
+
+def anova(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One-way analysis of variance: groups, n, F statistic; from moments per group."""
+    m = df.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.var_pop(value).alias("v"))
+    total = F.sum(F.col("n") * F.col("m")) / F.sum("n")
+    row = m.agg(F.count("*").alias("groups"), F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("m") * F.col("m")) - F.sum("n") * total * total).alias("_between"), F.sum(F.col("n") * F.col("v")).alias("_within"))
+    return row.select("groups", "n", ((F.col("_between") / (F.col("groups") - 1)) / (F.col("_within") / (F.col("n") - F.col("groups")))).alias("f"))

@@ -661,10 +661,18 @@ def support_bands(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def synthetic_rates(spark: SparkSession, d: str) -> DataFrame:
-    """Accidental range rate (1 in 24), gap ratios and a 90-bin histogram's fullest bin over 200,000 draws."""
+    """Accidental range rate (1 in 24), gap ratios, shares of clipped draws, and the fullest of 90 bins of the ratio up to 1.5,
+    over 200,000 draws."""
     rate = swings.synthetic_tr(spark, 200_000, False, 1).agg(F.avg(F.col("label").cast("double")).alias("relabel"))
-    gap = swings.synthetic_st(spark, 200_000, 2).agg(F.percentile("gap_ratio", 0.5).alias("median"), F.avg((F.col("gap_ratio") > 1).cast("double")).alias("over_one"))
-    return rate.crossJoin(gap)
+    drawn = swings.synthetic_st(spark, 200_000, 2).where("gap_ratio is not null")
+    share = lambda c: F.avg(c.cast("double"))
+    gap = drawn.agg(
+        F.percentile("gap_ratio", 0.5).alias("median"), share(F.col("gap_ratio") > 1).alias("over_one"), share(F.col("clip_up")).alias("clip_up"),
+        share(F.col("clip_down")).alias("clip_down"), share(F.col("clip_up") | F.col("clip_down")).alias("clip_any"),
+    )
+    bins = drawn.groupBy(F.least(F.floor(F.least("gap_ratio", F.lit(1.5)) / (1.5 / 90)), F.lit(89)).alias("bin")).agg(F.count("*").alias("n"))
+    full = bins.agg(F.max_by("bin", "n").alias("fullest_bin"), F.max("n").alias("fullest_n"))
+    return rate.crossJoin(gap).crossJoin(full)
 
 
 # ---- evaluation
@@ -769,7 +777,7 @@ def special_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def power_law_test(spark: SparkSession, d: str) -> DataFrame:
-    return fits.power_law_bootstrap(returns(spark, d).withColumn("x", F.abs("ret")), "x", 0.004, 100)
+    return fits.power_law_bootstrap(returns(spark, d).withColumn("x", F.abs("ret")), "x", [0.002, 0.003, 0.004, 0.006], 100)
 
 
 GAPS = f"WITH {BARS}, g AS (SELECT symbol, q::DOUBLE AS q, bar_idx, lead(bar_idx) OVER (PARTITION BY symbol, q ORDER BY bar_idx) - bar_idx AS tau FROM bars, (VALUES (500), (700)) t(q) WHERE volume > q), o AS (SELECT * FROM g WHERE tau IS NOT NULL)"

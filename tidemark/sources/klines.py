@@ -97,3 +97,26 @@ def normal_symbol(sector: str, symbol: Column) -> Column:
 def normal_interval(token: str) -> str:
     """Interval in lower case, but 1M stays a month."""
     return token if token == "1M" else token.lower()
+
+
+def utc_day(text: Column) -> Column:
+    """YYYYMMDD as the timestamp of that day's start, null where it is none; in a session whose time zone is UTC."""
+    return F.try_to_timestamp(text, F.lit("yyyyMMdd"))
+
+
+def file_parts(path: Column) -> dict[str, Column]:
+    """symbol, interval, period and stamp of an archive file's path or URL."""
+    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.zip$", "")
+    return {"period": F.element_at(F.split(path, "/"), -4), "symbol": F.split_part(name, F.lit("-"), F.lit(1)), "interval": F.split_part(name, F.lit("-"), F.lit(2)), "stamp": F.regexp_replace(name, r"^[^-]*-[^-]*-", "")}
+
+
+def load(spark: SparkSession, sector: str, symbol: str, start: str, end: str, interval: str, folders: dict[str, str]) -> DataFrame:
+    """Bars of a symbol from its sector's folder of archives or of <symbol>.csv files, as its source names it; [start, end] as YYYYMMDD.
+
+    A sector without a folder is an error, as is an unknown one.
+    """
+    name = spark.range(1).select(normal_symbol(sector, F.lit(symbol))).first()[0]
+    if sector not in folders:
+        raise ValueError(f"no source for sector {sector!r}")
+    found = read_archive(spark, f"{folders[sector]}/{name}/{normal_interval(interval)}", name) if sector == "crypto" else read_csv(spark, f"{folders[sector]}/{name}.csv", name)
+    return found.where((F.col("ts") >= utc_day(F.lit(start))) & (F.col("ts") < utc_day(F.lit(end)) + F.expr("INTERVAL 1 DAY")))

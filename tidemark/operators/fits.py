@@ -182,24 +182,28 @@ def matrix_spectrum(entries: DataFrame, value: str, most: int = 1000) -> dict[st
 
 
 def kalman_level(df: DataFrame, x: str, process: float, noise: float, key: str = "symbol", order: str = "bar_idx") -> DataFrame:
-    """Local level filter: adds level and gain.  The gain depends on the row number only and settles; the fold runs per key."""
-    kinds = dict(df.dtypes)
+    """Local level filter: adds level and gain.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        level, var, levels, gains = None, 0.0, [], []
-        for v in pdf[x].tolist():
-            if level is None:
-                level, var, gain = v, noise, 1.0
-            else:
-                var += process
-                gain = var / (var + noise)
-                level, var = level + gain * (v - level), (1 - gain) * var
-            levels.append(level)
-            gains.append(gain)
-        return pdf.assign(level=levels, gain=gains)
-
-    return df.select(key, order, x).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {x} {kinds[x]}, level double, gain double")
+    The gain hangs on the row number only and settles, so it is a short list of numbers; the level is then a mean of
+    past values whose weights fall geometrically, and rows that weigh less than 1e-16 are left out.  A row needs a bounded
+    frame, and no task a whole series.  process and noise must be above 0, else the gain never settles.
+    """
+    if process <= 0 or noise <= 0:
+        raise ValueError("process and noise must be above 0")
+    gains, var = [1.0], noise
+    while len(gains) < 10_000:
+        var += process
+        gains.append(var / (var + noise))
+        var *= 1 - gains[-1]
+        if abs(gains[-1] - gains[-2]) < 1e-15:
+            break
+    frame = 2 + math.ceil(math.log(1e-16) / math.log(1 - min(gains))) + len(gains) if min(gains) < 1 else 2
+    w = Window.partitionBy(key).orderBy(order)
+    table = F.array(*map(F.lit, gains))
+    rows = df.select(key, order, x).withColumn("gain", F.get(table, F.least(F.row_number().over(w), F.lit(len(gains))) - 1))
+    past = rows.withColumn("_p", F.collect_list(F.struct(F.col(x).cast("double").alias("x"), "gain")).over(w.rowsBetween(-frame, 0)))
+    level = F.aggregate("_p", F.get("_p", F.lit(0))["x"], lambda acc, v: acc + v["gain"] * (v["x"] - acc))
+    return past.select(key, order, x, level.alias("level"), "gain")
 
 
 def dtw_distances(df: DataFrame, x: str, pairs: DataFrame, key: str = "symbol", order: str = "bar_idx", band: int = 20) -> DataFrame:

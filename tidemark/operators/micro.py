@@ -18,13 +18,16 @@ def tick_returns(trades: DataFrame) -> DataFrame:
 
 
 def hayashi_yoshida(returns: DataFrame, width: float) -> DataFrame:
-    """a, b, cov, corr of each pair of symbols a <= b: the sum of products of returns whose intervals overlap.
+    """a, b, cov, corr of each pair of symbols a < b: the sum of products of returns whose intervals overlap.
 
-    Pairs of intervals meet in time buckets of the given width, never all with all.
+    Pairs of intervals meet in time buckets of the given width and by pair of symbols, never all with all; so a busy
+    bucket is as many groups as there are pairs, and a symbol's returns are copied once for each other symbol.
     """
-    x = returns.select(F.col("symbol").alias("a"), "t0", "t1", F.col("ret").alias("ra"))
-    y = returns.select(F.col("symbol").alias("b"), F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("ret").alias("rb"))
-    cov = interval_overlap(x, y, width).where("a < b").groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("cov"))
+    names = returns.select("symbol").distinct()
+    pairs = names.select(F.col("symbol").alias("a")).crossJoin(names.select(F.col("symbol").alias("b"))).where("a < b")
+    x = returns.select(F.col("symbol").alias("a"), "t0", "t1", F.col("ret").alias("ra")).join(pairs, "a")
+    y = returns.select(F.col("symbol").alias("b"), F.col("t0").alias("u0"), F.col("t1").alias("u1"), F.col("ret").alias("rb")).join(pairs, "b")
+    cov = interval_overlap(x, y, width, ["a", "b"]).groupBy("a", "b").agg(F.sum(F.col("ra") * F.col("rb")).alias("cov"))
     own = returns.groupBy("symbol").agg(F.sum(F.col("ret") ** 2).alias("var"))
     joined = cov.join(own.select(F.col("symbol").alias("a"), F.col("var").alias("va")), "a").join(own.select(F.col("symbol").alias("b"), F.col("var").alias("vb")), "b")
     return joined.select("a", "b", "cov", (F.col("cov") / F.sqrt(F.col("va") * F.col("vb"))).alias("corr"))

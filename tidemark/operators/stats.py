@@ -90,17 +90,23 @@ def recurrence_intervals(df: DataFrame, value: str, thresholds: list[float], key
 
 
 def power_law(samples: DataFrame, x: str, cutoffs: list[float], by: list[str] | None = None) -> DataFrame:
-    """For each cutoff: n, exponent 1 + n / sum ln(x / cutoff), and the KS distance of the tail to that law."""
+    """For each cutoff: n, exponent 1 + n / sum ln(x / cutoff), and the KS distance of the tail to that law.
+
+    Equal values count together; ranks are running counts over bins of the values and then inside each bin, so no task
+    holds a tail.
+    """
     by = by or []
-    tail = samples.withColumn("x_min", F.explode(F.array(*map(F.lit, cutoffs)))).where(F.col(x) >= F.col("x_min"))
     keys = [*by, "x_min"]
-    fit = tail.groupBy(*keys).agg(F.count("*").alias("n"), (1 + F.count("*") / F.sum(F.ln(F.col(x) / F.col("x_min")))).alias("delta"))
-    w = Window.partitionBy(*keys)
-    below = F.count("*").over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0)) / F.col("n")
-    before = F.count("*").over(w.orderBy(x).rangeBetween(Window.unboundedPreceding, 0)) - F.count("*").over(Window.partitionBy(*keys, x))
-    model = 1 - F.pow(F.col(x) / F.col("x_min"), 1 - F.col("delta"))
-    dist = tail.join(fit, keys).withColumn("d", F.greatest(F.abs(below - model), F.abs(before / F.col("n") - model)))
-    return dist.groupBy(*keys).agg(F.first("n").alias("n"), F.first("delta").alias("delta"), F.max("d").alias("ks"))
+    tail = samples.withColumn("x_min", F.explode(F.array(*map(F.lit, cutoffs)))).where(F.col(x) >= F.col("x_min"))
+    values = tail.groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(F.count("*").alias("_c"))
+    values = values.withColumn("_bin", F.floor(F.ln(F.col("_x") / F.col("x_min")) * 200))
+    fit = values.groupBy(*keys).agg(F.sum("_c").alias("n"), (1 + F.sum("_c") / F.sum(F.col("_c") * F.ln(F.col("_x") / F.col("x_min")))).alias("delta"))
+    starts = values.groupBy(*keys, "_bin").agg(F.sum("_c").alias("_m")).withColumn("_start", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_m")).drop("_m")
+    upto = F.col("_start") + F.sum("_c").over(Window.partitionBy(*keys, "_bin").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = values.join(starts, [*keys, "_bin"]).withColumn("_upto", upto).join(fit, keys)
+    model = 1 - F.pow(F.col("_x") / F.col("x_min"), 1 - F.col("delta"))
+    far = F.greatest(F.abs(F.col("_upto") / F.col("n") - model), F.abs((F.col("_upto") - F.col("_c")) / F.col("n") - model))
+    return ranked.groupBy(*keys).agg(F.first("n").alias("n"), F.first("delta").alias("delta"), F.max(far).alias("ks"))
 
 
 def goodness(df: DataFrame, x: str, cdf: Column, by: list[str]) -> DataFrame:

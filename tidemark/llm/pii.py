@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import column, text_of
 from .spans import count_kind, ordered, spans, written
 
 #: Kinds in order, their patterns, and their context words.  The first four are the base kinds.
@@ -69,7 +69,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
         spans(text, PHONE, 3, lambda v: F.char_length(digits(v)).between(10, 15)),
         spans(text, IBAN, 4, mod97),
     ]
-    base = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
+    base = docs.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     found = base.select("doc_id", "text", ordered(*arrays).alias("found"))
 
     def score(x: Column) -> Column:
@@ -82,7 +82,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
 
 
 def pii_digest(found: DataFrame) -> DataFrame:
-    """Counts and span lists of find_pii()."""
+    """Counts and span lists of find_pii(), one row for each of its rows; no spans give zeros, the digest of nothing and empty lists."""
     base = F.filter("found", lambda x: x["k"] < 4)
     return found.select(
         "doc_id", *[count_kind(base, k).alias(f"n_{KINDS[k]}") for k in range(4)], F.sha2(written(base, KINDS), 256).alias("base_sha256"), written(F.col("found"), KINDS).alias("spans"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, text_of
+from .common import column, stash, text_of
 from .spans import count_kind, ordered, spans, written
 
 #: The formats searched for.  The first three are the base kinds.
@@ -32,8 +32,8 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.col("text")
     base = docs.select(
-        F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"),
-        F.xxhash64(F.coalesce(F.col(repo_col).cast("string"), F.lit("\x00"))).alias("repo"), F.xxhash64(F.coalesce(F.col(owner_col).cast("string"), F.lit("\x00"))).alias("owner"),
+        column(id_col).alias("doc_id"), text_of(text_col).alias("text"), F.monotonically_increasing_id().alias("rid"),
+        F.xxhash64(F.coalesce(column(repo_col).cast("string"), F.lit("\x00"))).alias("repo"), F.xxhash64(F.coalesce(column(owner_col).cast("string"), F.lit("\x00"))).alias("owner"),
     )
     arrays = [
         spans(text, ASSIGN, 0, lambda v: F.char_length(F.regexp_extract(v, ASSIGN, 1)) >= 6),
@@ -59,7 +59,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def secret_digest(found: DataFrame) -> DataFrame:
-    """Counts and span lists of find_secrets()."""
+    """Counts and span lists of find_secrets(), one row for each of its rows; no spans give zeros, the digest of nothing and an empty list."""
     base = F.col("base")
     return found.select(
         "doc_id", *[count_kind(base, k).alias(f"n_{KINDS[k]}") for k in range(3)], F.sha2(written(base, KINDS), 256).alias("base_sha256"), written(F.col("found"), KINDS).alias("spans"),

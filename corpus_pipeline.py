@@ -14,27 +14,27 @@ from tidemark.llm.queries import table, vocabulary_path
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the models know; those they reject go."""
+    """Documents in a language that the models know; those they reject go, and so do texts without letters, null ones too."""
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The longest text, then least id, of each group of equal texts."""
+    """The longest text, then least id, of each group of equal texts; a repeated row stays once."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component at a similarity of 0.8."""
+    """The least id of each near-duplicate component at a similarity of 0.8; texts without words stay."""
     return near_dedup.drop_near_copies(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that copy no benchmark item."""
+    """Documents that copy no benchmark item; all of them when there is none."""
     return decontam.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded text."""
+    """Token counts and digests of ids and decoded text, a row for each document."""
     return bpe.token_digest(docs, vocabulary_path())
 
 

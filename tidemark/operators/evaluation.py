@@ -66,6 +66,24 @@ def moving_block_bootstrap(df: DataFrame, value: str, replicas: int, block: int,
     return drawn.join(rows.select(key, "i", "s"), [key, "i"]).groupBy(key, "replica").agg((F.sum("s") / (F.count("*") * block)).alias("mean"))
 
 
+def scenario_paths(df: DataFrame, ret: str, paths: int, steps: int, block: int, seed: int = 7, key: str = "symbol", ts: str = "ts", start: float = 100.0) -> DataFrame:
+    """Paths drawn from the returns there are: key, path, step, value, by moving blocks of them that begin at random places.
+
+    A path is steps / block draws (steps a multiple of block); these meet the returns on their place, so neither a path nor a
+    series is held by one task.
+    """
+    w = Window.partitionBy(key)
+    rows = df.select(key, F.col(ret).alias("_r"), (F.row_number().over(w.orderBy(ts)) - 1).alias("_i"))
+    sizes = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= block)
+    draws = sizes.withColumn("path", F.explode(F.sequence(F.lit(0), F.lit(paths - 1)))).withColumn("_d", F.explode(F.sequence(F.lit(0), F.lit(steps // block - 1))))
+    digest = F.md5(F.concat_ws("|", key, F.col("path").cast("string"), F.col("_d").cast("string"), F.lit(str(seed))))
+    begin = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % (F.col("_n") - block + 1)
+    places = draws.withColumn("_b", begin).withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
+    drawn = places.select(key, "path", (F.col("_d") * block + F.col("_o") + 1).alias("step"), (F.col("_b") + F.col("_o")).alias("_i")).join(rows, [key, "_i"])
+    run = Window.partitionBy(key, "path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return drawn.select(key, "path", "step", (start * F.exp(F.sum("_r").over(run))).alias("value"))
+
+
 def two_factor(df: DataFrame, y: str, x1: str, x2: str, by: list[str]) -> DataFrame:
     """Alpha and two betas by the normal equations of one grouped aggregation."""
     v1, v2, c12 = F.var_pop(x1), F.var_pop(x2), F.covar_pop(x1, x2)

@@ -827,7 +827,7 @@ def transaction_energy(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def hawkes_fits(spark: SparkSession, d: str) -> DataFrame:
-    return fits.hawkes_fit(trades(spark, d).select("symbol", (F.unix_micros("ts") / 6e7).alias("t")), 60)
+    return fits.hawkes_fit(trades(spark, d).select("symbol", (F.unix_micros("ts") / 6e7).alias("t")), 20)
 
 
 @query()

@@ -230,6 +230,21 @@ def low_close_signals(spark: SparkSession, d: str) -> DataFrame:
     return bars(spark, d).select("symbol", "bar_idx", F.signum(F.col("close") - F.col("low")).cast("int").alias("signal"))
 
 
+@query(RET + """, k AS (SELECT symbol, ret, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS i, count(*) OVER (PARTITION BY symbol) AS n FROM y), d AS (SELECT symbol, path, d * 10 + o + 1 AS step, ('0x' || substr(md5(concat_ws('|', symbol, path, d, 7)), 1, 15))::BIGINT % (n - 9) + o AS i FROM (SELECT symbol, any_value(n) AS n FROM k GROUP BY 1), range(20) p(path), range(5) q(d), range(10) r(o))
+SELECT symbol, path::INT AS path, step::INT AS step, round(100 * exp(sum(ret) OVER (PARTITION BY symbol, path ORDER BY step)), 6) + 0.0 AS value FROM d JOIN k USING (symbol, i)""")
+def scenario_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Twenty paths of fifty steps per symbol from blocks of its own returns."""
+    return rounded(evaluation.scenario_paths(returns(spark, d), "ret", 20, 50, 10))
+
+
+@query(DAILY + ", e AS (SELECT *, ntile(4) OVER (PARTITION BY day ORDER BY volume, symbol) AS part FROM z WHERE fwd IS NOT NULL) SELECT part::INT AS part, count(*) AS n, round(avg(abs(fwd)), 9) + 0.0 AS spread FROM e GROUP BY 1")
+def volume_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Size of the next day's move by each day's quarters of volume."""
+    w = Window.partitionBy("day").orderBy("volume", "symbol")
+    x = daily(spark, d).where("fwd is not null").withColumn("part", F.ntile(4).over(w))
+    return x.groupBy("part").agg(F.count("*").alias("n"), (F.round(F.avg(F.abs("fwd")), 9) + F.lit(0.0)).alias("spread"))
+
+
 # ---- grids and accounts
 
 

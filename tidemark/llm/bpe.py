@@ -54,6 +54,8 @@ class WordBpe:
         self.letters = byte_letters()
         self.tokens = {i: t.encode() for t, i in (vocabulary | special).items()}
         self.packed = {t: np.array(i, "<u4").tobytes() for t, i in vocabulary.items()}
+        self.value = {c: b for b, c in enumerate(self.letters)}
+        self.names = {i: t for t, i in special.items()}
         self.lookahead = self._lookahead(merges)
         self.table: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -196,9 +198,7 @@ class Decoder:
 
     def __init__(self, bpe: WordBpe, joined: bool) -> None:
         self.bpe, self.joined, self.begun = bpe, joined, False
-        self.value = {c: b for b, c in enumerate(bpe.letters)}
-        self.machine = codecs.getincrementaldecoder("utf-8")("replace")
-        self.names = {i: t for t, i in bpe.special.items()}
+        self.machine = None if joined else codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> bytes:
         """What these ids complete."""
@@ -210,13 +210,13 @@ class Decoder:
         return "".join(map(self._one, ids)).encode()
 
     def _one(self, i: int) -> str:
-        if i in self.names:
+        if i in self.bpe.names:
             left = self.machine.decode(b"", True)
             self.machine.reset()
-            return left + self.names[i]
+            return left + self.bpe.names[i]
         token, end = self.bpe.tokens[i].decode(), self.bpe.end
         ended = token.endswith(end)
-        return self.machine.decode(bytes(self.value[c] for c in token.removesuffix(end)), ended) + " " * ended
+        return self.machine.decode(bytes(self.bpe.value[c] for c in token.removesuffix(end)), ended) + " " * ended
 
 
 def slices(text: str) -> Iterator[str]:

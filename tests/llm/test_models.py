@@ -201,6 +201,36 @@ def test_toxicity_on_held_out_documents(spark):
     assert sum(p for p, t in held if t) / sum(t for _, t in held) > 0.85
 
 
+def test_toxicity_query_equals_plain_passes(spark):
+    """Every document's score by whole forward and backward passes over all its tokens, and the same features."""
+    from tidemark.llm.queries import fold, op9_toxicity, table
+
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    field = toxicity.train(docs, labels.where(fold(5) != 0))
+    got = {r.doc_id: r.score for r in op9_toxicity(spark, SF).collect()}
+    assert field.weights and (field.stay, field.enter, field.bias) != (0.5, 0.0, -5.0)
+    clean = np.array([[1.0, math.exp(field.enter + field.bias)], [1.0, math.exp(field.stay + field.bias)]])
+    seen = 0
+    for r in docs.collect():
+        words = toxicity.WORD.findall(r.text or "")
+        if len(words) > 2000:
+            continue
+        e = [min(sum(field.weights.get(f, 0.0) for f in toxicity.features(w)), 30.0) for w in words]
+        ahead, back = [np.array([1.0, 0.0])], [np.ones(2)]
+        for x in e:
+            v = ahead[-1] @ (clean * [1.0, math.exp(x)])
+            ahead.append(v / v.sum())
+        for x in reversed(e):
+            v = (clean * [1.0, math.exp(x)]) @ back[-1]
+            back.append(v / v.sum())
+        both = [a * b for a, b in zip(ahead[1:], reversed(back[:-1]), strict=True)]
+        p = [b[1] / b.sum() for b, w in zip(both, words, strict=True) if any(f in field.weights for f in toxicity.features(w))]
+        z = field.scale @ [1.0, sum(p), max(p, default=0.0), math.log1p(100 * sum(p) / (len(words) + 20))]
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6)
+        seen += bool(p)
+    assert seen > 50
+
+
 def test_toxicity_spans_and_edges(spark):
     bad, good = "you utter gronk of a man", "you fine friend of a man"
     texts, labels = [f"{bad} number {i}" for i in range(40)] + [f"{good} number {i}" for i in range(200)], [1] * 40 + [0] * 200

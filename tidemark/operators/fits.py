@@ -48,6 +48,14 @@ def conditional_intervals(gaps: DataFrame, tau: str = "tau", parts: int = 4, key
     return rows.groupBy(key, "q", "part").agg((F.avg("next") / F.first("all")).alias("ratio"), F.count("*").alias("n"))
 
 
+def conditional_density(gaps: DataFrame, tau: str = "tau", parts: int = 4, width: float = 0.5, key: str = "symbol", order: str = "bar_idx") -> DataFrame:
+    """Density of the scaled next gap after gaps of each quantile part, keys and thresholds pooled: part, bin, n, density."""
+    w = Window.partitionBy(key, "q")
+    rows = gaps.withColumns({"next": F.lead(tau).over(w.orderBy(order)) / F.avg(tau).over(w), "part": F.ntile(parts).over(w.orderBy(tau, order))}).where("next is not null")
+    counts = rows.groupBy("part", F.floor(F.col("next") / width).alias("bin")).agg(F.count("*").alias("n"))
+    return counts.withColumn("density", F.col("n") / F.sum("n").over(Window.partitionBy("part")) / width)
+
+
 def dfa(df: DataFrame, x: str, scales: list[int], key: str = "symbol", order: str = "bar_idx") -> DataFrame:
     """Detrended fluctuation exponent: slope of ln F against ln s."""
     f = detrended_covariance(df, x, x, scales, key, order).groupBy(key, "s").agg(F.sqrt(F.avg("f2")).alias("f"))

@@ -471,7 +471,7 @@ def grid_dynamic(spark: SparkSession, d: str) -> DataFrame:
 # ---- signals
 
 TCB = f"""WITH {BARS}, p AS (SELECT symbol, ts, bar_idx, close, lag(close) OVER w AS before, lead(close) OVER w AS nxt, round(avg(close) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 3 PRECEDING AND CURRENT ROW), 6) AS pred FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts)),
-t AS (SELECT *, round(pred - close, 9) AS d1, round(pred - 2 * close + before, 9) AS d2, round(f * close, 9) AS least, nxt - close AS move, f FROM p, (VALUES (0.0::DOUBLE), (0.0001), (0.0002), (0.0005), (0.001)) g(f) WHERE before IS NOT NULL AND nxt IS NOT NULL),
+t AS (SELECT *, round(pred - close, 9) AS d1, round(pred - 2 * close + before, 9) AS d2, round(f * close, 9) AS least, nxt - close AS move, f FROM p, (VALUES (0.0::DOUBLE), (0.00005), (0.0001), (0.0002), (0.0005), (0.001)) g(f) WHERE before IS NOT NULL AND nxt IS NOT NULL),
 s AS (SELECT *, CASE WHEN d1 > least AND d2 > 0 THEN 1 WHEN d1 < -least AND d2 < 0 THEN -1 ELSE 0 END AS signal FROM t)"""
 
 
@@ -481,8 +481,8 @@ def forecasts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_signals(spark: SparkSession, d: str) -> DataFrame:
-    """Signals under thresholds of 0, 1, 2, 5 and 10 basis points of the close."""
-    fractions = F.explode(F.array(*[F.lit(f) for f in (0.0, 0.0001, 0.0002, 0.0005, 0.001)]))
+    """Signals under thresholds of 0, 0.5, 1, 2, 5 and 10 basis points of the close."""
+    fractions = F.explode(F.array(*[F.lit(f) for f in (0.0, 0.00005, 0.0001, 0.0002, 0.0005, 0.001)]))
     base = S.trend_signals(forecasts(spark, d), "pred", 0.0).withColumn("f", fractions)
     return base.withColumns(S.classify(F.col("pred"), F.col("close"), F.col("before"), F.col("f") * F.col("close")))
 

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
-from ..operators import bars as B, evaluation, grid, micro, portfolio, signals as S, stats, swings
+from ..operators import bars as B, evaluation, fits, grid, micro, portfolio, signals as S, stats, swings
 from ..sources import klines
 from ..streaming import jobs
-from .queries import DAILY, GAPS, NORMED, RET, SWINGS, TCB_RECURSIVE, X_IMPACT, daily, forecasts, pivots, returns, swings_sql
+from .queries import DAILY, GAPS, NORMED, RET, SWINGS, TCB_RECURSIVE, X_IMPACT, cdf_sql, daily, forecasts, pivots, returns, swings_sql
 from .registry import query, r, rounded
 from .views import BARS, TRADES, bars, table, trades
 
@@ -164,6 +166,12 @@ def recurrence_pooled(spark: SparkSession, d: str) -> DataFrame:
     return stats.pooled_intervals(gaps).groupBy(F.floor(F.col("scaled") / 0.5).alias("bin")).agg(F.count("*").alias("n"))
 
 
+@query(GAPS + """, k AS (SELECT lead(tau) OVER (PARTITION BY symbol, q ORDER BY bar_idx) / avg(tau) OVER (PARTITION BY symbol, q) AS nxt, ntile(4) OVER (PARTITION BY symbol, q ORDER BY tau, bar_idx) AS part FROM o), c AS (SELECT part::INT AS part, floor(nxt / 0.5)::BIGINT AS bin, count(*) AS n FROM k WHERE nxt IS NOT NULL GROUP BY 1, 2)
+SELECT part, bin, n, round(n / sum(n) OVER (PARTITION BY part) / 0.5, 6) + 0.0 AS density FROM c""")
+def recurrence_density(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(fits.conditional_density(stats.recurrence_intervals(bars(spark, d), "volume", [500.0, 700.0])))
+
+
 @query(RET + ", g AS (SELECT symbol, q::DOUBLE AS q, abs(ret) AS a, lead(abs(ret)) OVER (PARTITION BY symbol, q ORDER BY bar_idx) AS b FROM y, (VALUES (500), (700)) t(q) WHERE volume > q) SELECT symbol, q, l::DOUBLE AS level, count(*) AS n, round(avg((a > l AND b > l)::INT), 6) + 0.0 AS p FROM g, (VALUES (0.0), (0.001), (0.003)) v(l) WHERE b IS NOT NULL GROUP BY 1, 2, 3")
 def recurrence_joint(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.joint_recurrence(returns(spark, d), "volume", "ret", [500.0, 700.0], [0.0, 0.001, 0.003]))
@@ -174,8 +182,8 @@ k AS (SELECT t.x_min, n, delta, count(*) OVER (PARTITION BY t.x_min ORDER BY x)
 s AS (SELECT x_min, n, delta, max(greatest(abs(b - m), abs(a - m))) AS ks FROM k GROUP BY 1, 2, 3) SELECT x_min, n, round(delta, 6) + 0.0 AS delta, round(ks, 6) + 0.0 AS ks FROM s ORDER BY ks, x_min LIMIT 1""")
 def power_law_best(spark: SparkSession, d: str) -> DataFrame:
     """The fit of the cutoff that lies nearest to its law."""
-    fits_ = stats.power_law(returns(spark, d).withColumn("x", F.abs("ret")), "x", [0.002, 0.003, 0.004, 0.006])
-    return rounded(stats.best_cutoff(fits_))
+    tails = stats.power_law(returns(spark, d).withColumn("x", F.abs("ret")), "x", [0.002, 0.003, 0.004, 0.006])
+    return rounded(stats.best_cutoff(tails))
 
 
 @query(NORMED + """, l AS (SELECT symbol, l AS lag, g, lag(v, l::INT) OVER (PARTITION BY symbol, l ORDER BY bar_idx) AS v FROM n, range(0, 4) t(l)), t AS (SELECT symbol, lag, floor((v + 3) / 0.2) AS bin, max(g) AS top FROM l WHERE v >= -3 AND v < 3 GROUP BY 1, 2, 3),
@@ -245,6 +253,18 @@ def volume_buckets(spark: SparkSession, d: str) -> DataFrame:
     return x.groupBy("part").agg(F.count("*").alias("n"), (F.round(F.avg(F.abs("fwd")), 9) + F.lit(0.0)).alias("spread"))
 
 
+@query(f"""WITH p AS (SELECT p_partkey, p_partkey % 5 AS chain, p_retailprice::DOUBLE AS s, p_retailprice::DOUBLE * (0.8 + (p_partkey % 7) * 0.05::DOUBLE) AS k, 0.2 + (p_partkey % 3) * 0.1::DOUBLE AS sigma FROM part), q AS (SELECT *, (ln(s / k) + (0.02 + sigma * sigma / 2) * 0.5) / (sigma * sqrt(0.5)) AS d1 FROM p), c AS (SELECT *, {cdf_sql('d1')} AS delta FROM q),
+b AS (SELECT *, ntile(4) OVER (PARTITION BY chain ORDER BY round(delta, 9), p_partkey) AS bucket FROM c) SELECT chain, bucket::INT AS bucket, count(*) AS n, round(avg(delta), 6) + 0.0 AS delta, round(avg(sigma), 6) + 0.0 AS sigma FROM b GROUP BY 1, 2""")
+def option_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """Options of each chain in quarters of their delta."""
+    key = F.col("p_partkey")
+    p = table(spark, d, "part").select(key, (key % 5).alias("chain"), F.col("p_retailprice").cast("double").alias("s"))
+    rows = p.withColumns({"k": F.col("s") * (F.lit(0.8) + (key % 7) * 0.05), "sigma": F.lit(0.2) + (key % 3) * 0.1})
+    priced = rows.withColumns(special.black_scholes(F.col("s"), F.col("k"), F.lit(0.5), F.lit(0.02), F.col("sigma")))
+    graded = priced.withColumn("bucket", F.ntile(4).over(Window.partitionBy("chain").orderBy(F.round("delta", 9), "p_partkey")))
+    return rounded(graded.groupBy("chain", "bucket").agg(F.count("*").alias("n"), F.avg("delta").alias("delta"), F.avg("sigma").alias("sigma")))
+
+
 # ---- grids and accounts
 
 
@@ -301,11 +321,12 @@ def filled_patterns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """All rows of a bounded stream, by the in-memory sink; for results as small as bars and pivots."""
-    from uuid import uuid4
-
-    name = f"stream_{uuid4().hex}"
-    df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
+    """All rows of a bounded stream, by the in-memory sink; for results as small as bars and pivots.  Offsets and state go to
+    the folder that all executors share, where the session names one."""
+    name, shared = f"stream_{uuid4().hex}", spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
+    writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer
+    writer.start().awaitTermination()
     return spark.table(name)
 
 

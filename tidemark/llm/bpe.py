@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import column, small_batches
 
 #: Pieces up to so many symbols are kept in a worker's table of at most TABLE pieces.
-SHORT, TABLE = 48, 250_000
+SHORT, TABLE = 48, 60_000
 #: Texts are read in slices of about so many code points.
 SLICE = 1 << 16
 

@@ -36,8 +36,8 @@ def stash(df: DataFrame, tag: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch holds, as texts can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def column(name: str) -> Column:

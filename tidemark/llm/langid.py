@@ -22,7 +22,7 @@ from .common import column, numbered, small_batches, within
 ORDER = 4
 _STEP = np.uint64(0x100000001B3)
 #: Letters scored at once.
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 
 
 @lru_cache(maxsize=1)

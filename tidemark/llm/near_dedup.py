@@ -49,7 +49,7 @@ def shingle_hashes(text: str | None, size: int = 5, seen: dict[bytes, int] | Non
     if not words:
         return np.empty(0, np.uint64)
     seen = {} if seen is None else seen
-    if len(seen) > 400_000:
+    if len(seen) > 100_000:
         seen.clear()
     digest = xxhash.xxh64_intdigest
     ids = []

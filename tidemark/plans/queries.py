@@ -336,9 +336,9 @@ def largest_volatility(spark: SparkSession, d: str) -> DataFrame:
     return rounded(stats.lmv(stats.normalise_volume(bars(spark, d)), "v", "g", ["symbol"]))
 
 
-@query(NORMED + """, m AS (SELECT *, row_number() OVER (ORDER BY g) AS kg, row_number() OVER (ORDER BY v) AS kv, count(*) OVER () AS c FROM n WHERE v IS NOT NULL), cut AS (SELECT p, max(g) FILTER (kg = ceil(p * c / 5.0)) AS g, max(v) FILTER (kv = ceil(p * c / 5.0)) AS v FROM m, range(1, 5) t(p) GROUP BY 1),
+@query(NORMED + """, m1 AS (SELECT *, row_number() OVER (ORDER BY g) AS kg, row_number() OVER (ORDER BY v) AS kv, count(*) OVER () AS c FROM n WHERE v IS NOT NULL), cut AS (SELECT p, max(g) FILTER (kg = ceil(p * c / 5.0)) AS g, max(v) FILTER (kv = ceil(p * c / 5.0)) AS v FROM m1, range(1, 5) t(p) GROUP BY 1),
 q AS (SELECT list(g ORDER BY p) AS g, list(v ORDER BY p) AS v FROM cut), w AS (SELECT len(list_filter(q.g, lambda x: n.g > x)) + 1 AS g_part, len(list_filter(q.v, lambda x: n.v > x)) + 1 AS v_part, (n.g > 1.5)::INT AS t FROM n, q WHERE n.v IS NOT NULL)
-SELECT g_part::INT AS g_part, v_part::INT AS v_part, count(*) AS n, round(avg(t) / (SELECT avg(t) FROM w), 6) + 0.0 AS lift FROM w GROUP BY 1, 2""".replace(", m AS (SELECT *, row", ", m1 AS (SELECT *, row").replace("FROM m, range", "FROM m1, range"))
+SELECT g_part::INT AS g_part, v_part::INT AS v_part, count(*) AS n, round(avg(t) / (SELECT avg(t) FROM w), 6) + 0.0 AS lift FROM w GROUP BY 1, 2""")
 def joint_lift(spark: SparkSession, d: str) -> DataFrame:
     x = stats.normalise_volume(bars(spark, d)).where("v is not null")
     return rounded(stats.joint_lift(x, "g", "v", F.col("g") > 1.5))
@@ -765,8 +765,8 @@ def sizing(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH x AS (SELECT k / 3.0::DOUBLE AS x FROM range(1, 60) t(k)), s AS (SELECT x, list_reduce(list_prepend(struct_pack(k := 0, t := 1.0::DOUBLE, s := 1.0::DOUBLE), list_transform(range(1, 41), lambda k: struct_pack(k := k::INT, t := 0.0::DOUBLE, s := 0.0::DOUBLE))), lambda a, b: struct_pack(k := b.k, t := a.t * -x * x / 4 / (b.k * b.k), s := a.s + a.t * -x * x / 4 / (b.k * b.k))).s AS near FROM x)
-SELECT x, round(CASE WHEN x < 12 THEN near ELSE sqrt(2 / (pi() * x)) * ((1 - 9 / (128 * x ** 2) + 3675 / (32768 * x ** 4)) * cos(x - pi() / 4) - (-1 / (8 * x) + 75 / (1024 * x ** 3)) * sin(x - pi() / 4)) END, 6) + 0.0 AS j0, round(lgamma(x), 6) + 0.0 AS ln_gamma, round({cdf_sql('(x - 10)')}, 6) + 0.0 AS cdf,
-round(1 - 2 * x + x * x / 2, 6) + 0.0 AS kummer, round(x * (1 - 2 / (9 * x) + 1.6448536269514722 * sqrt(2 / (9 * x))) ** 3, 6) + 0.0 AS chi2, round(0.9 * (1 + (exp(-0.5 * x) - 1) / (0.5 * x)), 6) + 0.0 AS epps FROM s""".replace("SELECT x, round(CASE", "SELECT round(x, 6) + 0.0 AS x, round(CASE"))
+SELECT round(x, 6) + 0.0 AS x, round(CASE WHEN x < 12 THEN near ELSE sqrt(2 / (pi() * x)) * ((1 - 9 / (128 * x ** 2) + 3675 / (32768 * x ** 4)) * cos(x - pi() / 4) - (-1 / (8 * x) + 75 / (1024 * x ** 3)) * sin(x - pi() / 4)) END, 6) + 0.0 AS j0, round(lgamma(x), 6) + 0.0 AS ln_gamma, round({cdf_sql('(x - 10)')}, 6) + 0.0 AS cdf,
+round(1 - 2 * x + x * x / 2, 6) + 0.0 AS kummer, round(x * (1 - 2 / (9 * x) + 1.6448536269514722 * sqrt(2 / (9 * x))) ** 3, 6) + 0.0 AS chi2, round(0.9 * (1 + (exp(-0.5 * x) - 1) / (0.5 * x)), 6) + 0.0 AS epps FROM s""")
 def special_functions(spark: SparkSession, d: str) -> DataFrame:
     x = spark.range(1, 60).select((F.col("id") / 3).alias("x"))
     return rounded(x.select("x", special.bessel_j0(F.col("x")).alias("j0"), special.ln_gamma(F.col("x")).alias("ln_gamma"), special.norm_cdf(F.col("x") - 10).alias("cdf"), special.kummer(-2, 1.0, F.col("x")).alias("kummer"), special.chi2_critical(F.col("x")).alias("chi2"), special.epps_curve(F.lit(0.9), F.lit(0.5), F.col("x")).alias("epps")))

@@ -34,14 +34,15 @@ def archive_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "customer").select("c_custkey", *[c.alias(k) for k, c in klines.file_parts(url).items()])
 
 
-@query(f"WITH {TRADES} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, count(*) AS n, sum(volume)::DOUBLE AS volume, round(avg(price), 6) + 0.0 AS mean, max(price) - min(price) AS span FROM trades GROUP BY 1, 2".replace("max(price) - min(price) AS span", "round(max(price) - min(price), 6) + 0.0 AS span"))
+@query(f"WITH {TRADES} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, count(*) AS n, sum(volume)::DOUBLE AS volume, round(avg(price), 6) + 0.0 AS mean, round(max(price) - min(price), 6) + 0.0 AS span FROM trades GROUP BY 1, 2")
 def bars_mapped(spark: SparkSession, d: str) -> DataFrame:
     """Bars with aggregates of the caller's own."""
     own = {"n": F.count("*"), "volume": F.sum("volume").cast("double"), "mean": F.avg("price"), "span": F.max("price") - F.min("price")}
     return rounded(B.resample(trades(spark, d), "4h", aggregates=own))
 
 
-@query("SELECT p_partkey, isfinite(v) AS finite, coalesce(abs(v - w) <= 1e-3 * greatest(abs(v), abs(w)), false) OR coalesce(v = w, false) AS near FROM (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN 'NaN'::DOUBLE ELSE p_retailprice::DOUBLE END AS v, p_retailprice::DOUBLE + p_partkey % 3 AS w FROM part) x".replace("isfinite(v)", "coalesce(isfinite(v), false)").replace("coalesce(abs(v - w)", "isfinite(v) AND coalesce(abs(v - w)").replace("isfinite(v) AND coalesce(abs(v - w) <= 1e-3 * greatest(abs(v), abs(w)), false)", "coalesce(isfinite(v) AND abs(v - w) <= 1e-3 * greatest(abs(v), abs(w)), false)"))
+@query("""WITH x AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN 'Infinity'::DOUBLE WHEN 2 THEN 'NaN'::DOUBLE ELSE p_retailprice::DOUBLE END AS v, p_retailprice::DOUBLE + p_partkey % 3 AS w FROM part)
+SELECT p_partkey, coalesce(isfinite(v), false) AS finite, coalesce(isfinite(v) AND abs(v - w) <= 1e-3 * greatest(abs(v), abs(w)), false) OR coalesce(v = w, false) AS near FROM x""")
 def finite_and_close(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("p_partkey") % 4
     v = F.when(k == 0, F.lit(None).cast("double")).when(k == 1, float("inf")).when(k == 2, float("nan")).otherwise(F.col("p_retailprice").cast("double"))
@@ -309,7 +310,7 @@ def range_shapes(spark: SparkSession, d: str) -> DataFrame:
     return made.select("symbol", "pivot_seq", r(F.col("s")[2], "s3"), r(F.col("s")[3], "s4"))
 
 
-@query("SELECT p_partkey, i::INT AS i, round(list_extract([a, a + 0.25 * (u - a), b, b + 0.25 * (u - b)], i + 1), 6) + 0.0 AS up, round(list_extract([a, a + 0.25 * (b - a), a + 0.25 * (b - a), b], i + 1), 6) + 0.0 AS filled FROM (SELECT p_partkey, p_retailprice::DOUBLE AS a, p_size::DOUBLE AS b, 5000.0 AS u FROM part) p, range(0, 4) g(i)".replace("list_extract(", "list_extract(").replace("i + 1)", "(i + 1)::INT)"))
+@query("SELECT p_partkey, i::INT AS i, round(list_extract([a, a + 0.25 * (u - a), b, b + 0.25 * (u - b)], i + 1), 6) + 0.0 AS up, round(list_extract([a, a + 0.25 * (b - a), a + 0.25 * (b - a), b], i + 1), 6) + 0.0 AS filled FROM (SELECT p_partkey, p_retailprice::DOUBLE AS a, p_size::DOUBLE AS b, 5000.0 AS u FROM part) p, range(0, 4) g(i)")
 def filled_patterns(spark: SparkSession, d: str) -> DataFrame:
     """Both fillers, a quarter of the way each time."""
     a, b, quarter = F.col("p_retailprice").cast("double"), F.col("p_size").cast("double"), lambda: F.lit(0.25)
@@ -337,7 +338,7 @@ def ticks(spark: SparkSession, d: str) -> DataFrame:
 TICKS = "ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS price, CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume FROM events)"
 
 
-@query(f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, {{}} FROM ticks GROUP BY 1, 2".format("arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume)::BIGINT AS volume"))
+@query(f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume)::BIGINT AS volume FROM ticks GROUP BY 1, 2")
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
     return drained(spark, jobs.stream_bars(ticks(spark, d), "4 hours", "60 days"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -349,7 +350,7 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
     return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query(f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS open_time, max(ts) AS event_time, arg_max(price, ts) AS close, arg_max(volume, ts) AS volume FROM ticks GROUP BY 1, 2".replace("arg_max(price, ts)", "arg_max(price, ts)"))
+@query(f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS open_time, max(ts) AS event_time, arg_max(price, ts) AS close, arg_max(volume, ts) AS volume FROM ticks GROUP BY 1, 2")
 def stream_klines(spark: SparkSession, d: str) -> DataFrame:
     """The last update of each 4-hour kline, every trade being an update."""
     updates = ticks(spark, d).select("symbol", F.window("ts", "4 hours")["start"].alias("open_time"), F.col("ts").alias("event_time"), F.col("price").alias("close"), "volume")

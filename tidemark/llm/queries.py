@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, pii, secrets, sharding, toxicity
+from . import bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, pieces, pii, secrets, sharding, toxicity
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,8 +76,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.piece_digest(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_secrets, op3_line_dedup, op4_near_dedup, op5_sharding, op6_bpe, op7_pii, op8_exact_dedup, op9_toxicity, op10_decontamination)
+    f.__name__: f for f in (op1_language_id, op2_secrets, op3_line_dedup, op4_near_dedup, op5_sharding, op6_bpe, op7_pii, op8_exact_dedup, op9_toxicity, op10_decontamination, op12_sentencepiece)
 }
 
 SQL: dict[str, str] = {

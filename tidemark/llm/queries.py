@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, pieces, pii, secrets, sharding, toxicity
+from . import bpe, decontam, exact_dedup, langid, line_dedup, near_dedup, pieces, pii, repair, secrets, sharding, toxicity, trie
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -76,12 +76,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations with planted faults, repaired by the cheapest edits."""
+    conversations = table(spark, sf_dir, "conversations")
+    return repair.repair(repair.damage(conversations), conversations.select("conv_id")).withColumnRenamed("conv", "conv_id")
+
+
 def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.piece_digest(table(spark, sf_dir, "documents"), vocabulary_path("piece_bpe_32k.model"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that begin with turns lent by the first of their hundred."""
+    prints = trie.turn_prints(table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.share_heads(prints), prints.select("conv"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_secrets, op3_line_dedup, op4_near_dedup, op5_sharding, op6_bpe, op7_pii, op8_exact_dedup, op9_toxicity, op10_decontamination, op12_sentencepiece)
+    f.__name__: f for f in (op1_language_id, op2_secrets, op3_line_dedup, op4_near_dedup, op5_sharding, op6_bpe, op7_pii, op8_exact_dedup, op9_toxicity, op10_decontamination, op11_conversation_repair, op12_sentencepiece, op13_prefix_trie)
 }
 
 SQL: dict[str, str] = {

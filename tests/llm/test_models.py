@@ -458,9 +458,18 @@ def plain_shards(rows, n_shards, tolerance=0.005):
                 break
             before += sizes[key]
         part = (aim - before) / sizes[key]
-        if abs(round(part) - part) * sizes[key] <= tolerance * total:
-            part = 0.0 if part < 0.5 else 1.0
-        left = [r for r in own if (r[0][axis], r[1]) < key or (r[0][axis], r[1]) == key and r[2] < part]
+        left = [r for r in own if (r[0][axis], r[1]) < key]
+        on = sorted((r for r in own if (r[0][axis], r[1]) == key), key=lambda r: r[2])
+        if abs((part >= 0.5) - part) * sizes[key] <= tolerance * total:
+            left += on if part >= 0.5 else []
+        else:
+            for r in on:
+                if before + r[3] < aim:
+                    left.append(r)
+                    before += r[3]
+                else:
+                    left += [r] if aim - before >= r[3] / 2 else []
+                    break
         taken = {r[4] for r in left}
         split(left, half, first)
         split([r for r in own if r[4] not in taken], share - half, first + half)
@@ -480,10 +489,21 @@ def test_shards_equal_a_plain_tree(spark, n_shards):
     known = {r.doc_id: (r.th, r.r) for r in known}
     plain = [((len((t or "").encode()) + 1, len((t or "").encode()) / max(len(t or ""), 1), (t or "").find("\n") + 1), *known[i], len((t or "").encode()) + 1) for i, t, *_ in rows]
     want = plain_shards(plain, n_shards)
-    got = {r.doc_id: r.shard for r in sharding.kd_shards(docs, n_shards=n_shards).collect()}
-    assert got == {rows[k][0]: s for k, s in want.items()}
+    got = sorted((r.doc_id, r.shard) for r in sharding.kd_shards(docs, n_shards=n_shards).collect())
+    assert got == sorted((rows[k][0], s) for k, s in want.items())
     # the layout of the files decides nothing
-    assert {r.doc_id: r.shard for r in sharding.kd_shards(docs.repartition(7, "text"), n_shards=n_shards).collect()} == got
+    assert sorted((r.doc_id, r.shard) for r in sharding.kd_shards(docs.repartition(7, "text"), n_shards=n_shards).collect()) == got
+
+
+@pytest.mark.parametrize("copies", [45, 170, 600, 2000])
+def test_repeated_rows_are_split(spark, copies):
+    """One row with a tenth, a third, six tenths or nearly all of the bytes: shards stay equal but for a row and the tolerance of each cut."""
+    draw = random.Random(8)
+    rows = [(i, "".join(draw.choice("abcdé \n") for _ in range(draw.randrange(20, 60))), "en", "a") for i in range(400)] + [(5000, "z" * 39, "en", "a")] * copies
+    got = sharding.kd_shards(cases.docs(spark, rows)).collect()
+    sizes = [sum(r["size"] for r in got if r.shard == k) for k in range(8)]
+    assert len(got) == len(rows) and max(sizes) - min(sizes) <= 0.03 * sum(sizes) / 8 + 2 * 130, sizes
+    assert all(sorted(r.slot for r in got if r.shard == k) == list(range(sum(r.shard == k for r in got))) for k in range(8))
 
 
 def test_thousands_of_leaves(spark):

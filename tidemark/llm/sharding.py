@@ -36,8 +36,9 @@ def _medians(keyed: DataFrame, nodes: DataFrame, small: bool) -> DataFrame:
 
 
 def cut_order() -> Column:
-    """Where a row of (doc_id, th, rid) stands among rows of one key, from 0 to 1."""
-    return F.pmod(F.xxhash64("doc_id", "th", F.when(F.col("doc_id").isNull(), F.col("rid"))), F.lit(1 << 30)) / (1 << 30)
+    """Where a row of (doc_id, th, rid) stands among rows of one key: by a hash of id and text, repeated rows by one of their number; 60 bits."""
+    half = F.lit(1 << 30)
+    return F.shiftleft(F.pmod(F.xxhash64("doc_id", "th"), half), 30) + F.pmod(F.xxhash64("rid"), half)
 
 
 def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dims: dict[str, Column] | None = None, n_shards: int = 8, target_bytes: int | None = None, tolerance: float = 0.005, rows_per_slot_block: int = 100_000) -> DataFrame:
@@ -46,9 +47,10 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     size is the text's UTF-8 bytes plus 1 (null: 1).  dims are numeric metadata (null: 0); the default
     measures the text: bytes, bytes per code point and first line's length.  With target_bytes the number
     of shards is the total over it, rounded up.  Equal texts stay together where that moves a
-    cut by no more than tolerance of the node's bytes, else the cut goes through them by a hash of id and text (of the
-    row's place too where the id is null): with ids, the shard does not depend on the files' layout, and rows that agree in
-    id and text stay together.  Slots count from 0 in each shard without gaps.  An empty table gives no rows.
+    cut by no more than tolerance of the node's bytes, else the cut goes through them, at the median of their bytes in the order of a
+    hash of id and text, and goes through repeated rows too.  So a cut is off by no more than tolerance or half a row, however often rows repeat, and
+    which ids go where does not depend on the files' layout.  Slots count from 0 in each shard without gaps, in no
+    order of meaning.  An empty table gives no rows.
     """
     text = text_of(text_col)
     size = (F.octet_length(text) + 1).cast("long")
@@ -64,7 +66,7 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     ends = base.agg(F.sum("size").alias("w"), F.count("*").alias("n"), *[f(n).alias(f"{k}{n}") for n in names for k, f in (("lo", F.min), ("hi", F.max))]).first()
     scale = [F.floor((F.col(n) - ends[f"lo{n}"]) / max(ends[f"hi{n}"] - ends[f"lo{n}"], 1e-12) * (2**DIM_BITS - 1)).cast("long") for n in names] if ends.n else [F.lit(0).cast("long") for n in names]
     leaves = max(1, math.ceil(ends.w / target_bytes)) if target_bytes and ends.n else n_shards
-    rows = base.select("doc_id", "size", "text_crc32", "th", cut_order().alias("r"), F.array(*scale).alias("d"), F.lit(0).cast("long").alias("node"))
+    rows = base.select("doc_id", "size", "text_crc32", "th", cut_order().alias("r"), F.pmod(F.xxhash64("rid", "th"), F.lit(1 << 30)).alias("spread"), F.array(*scale).alias("d"), F.lit(0).cast("long").alias("node"))
     # share: shards below a node; first: the number of the first of them.  The children of n are 2n + 1 and 2n + 2
     tree = base.sparkSession.range(1).select(F.col("id").alias("node"), F.lit(leaves).cast("long").alias("share"), F.lit(0).cast("long").alias("first"))
     for level in range(math.ceil(math.log2(leaves)) if ends.n else 0):
@@ -82,10 +84,20 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
         found = _medians(keyed(nodes.select("node", "axis"), "inner").select("node", "key", "size"), nodes, small)
         part = F.when(F.col("on") > 0, (F.col("aim") - F.col("before")) / F.col("on")).otherwise(0.0)
         nearest = F.when(part < 0.5, 0.0).otherwise(1.0)
-        found = found.withColumn("part", F.when(F.abs(nearest - part) * F.col("on") <= tolerance * F.col("bytes"), nearest).otherwise(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0))))
-        right = F.coalesce((F.col("key") > F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("r") >= F.col("part"))), F.lit(False))
-        split = keyed(found.select("node", "axis", "cut", "part"), "left")
-        rows = split.select("doc_id", "size", "text_crc32", "th", "r", "d", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
+        # rows on the cut's key with an order below `upto` go left: none, all, or those up to the median among them
+        whole = F.abs(nearest - part) * F.col("on") <= tolerance * F.col("bytes")
+        found = found.withColumn("upto", F.when(whole, nearest.cast("long") * F.lit(1 << 62)))
+        through = stash(found.where("upto is null").select("node", "axis", F.col("cut").alias("kcut"), (F.col("aim") - F.col("before")).alias("aim")), "kdthrough")
+        if not through.isEmpty():
+            on_cut = keyed(through.select("node", "axis", "kcut"), "inner").where("key = kcut").select("node", F.col("r").alias("key"), "size")
+            inner = _medians(on_cut, through, small)
+            left = (F.col("aim") - F.col("before") >= F.col("on") / 2).cast("long")
+            inner = inner.select(F.col("node").alias("at"), (F.col("cut") + left).alias("within"))
+            found = found.join(F.broadcast(inner) if small else inner, F.col("node") == F.col("at"), "left").withColumn("upto", F.coalesce("upto", "within"))
+            found = stash(found.drop("at", "within"), "kdcut")
+        right = F.coalesce((F.col("key") > F.col("cut")) | ((F.col("key") == F.col("cut")) & (F.col("r") >= F.col("upto"))), F.lit(False))
+        split = keyed(found.select("node", "axis", "cut", "upto"), "left")
+        rows = split.select("doc_id", "size", "text_crc32", "th", "r", "spread", "d", F.when(F.col("cut").isNull(), F.col("node")).otherwise(2 * F.col("node") + 1 + right.cast("int")).alias("node"))
         halves = F.array(F.struct((2 * F.col("node") + 1).alias("node"), low.alias("share"), F.col("first")), F.struct((2 * F.col("node") + 2).alias("node"), (F.col("share") - low).alias("share"), (F.col("first") + low).alias("first")))
         tree = tree.where("share = 1").unionByName(found.select(F.inline(halves)))
         if level % 3 == 2:
@@ -93,8 +105,8 @@ def kd_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", d
     numbers = tree.select(F.col("node").alias("leaf"), F.col("first").cast("int").alias("shard"))
     numbers = F.broadcast(numbers) if leaves <= BROADCAST_ROWS else numbers
     blocks = max(1, math.ceil(ends.n / rows_per_slot_block))
-    placed = stash(rows.join(numbers, F.col("node") == F.col("leaf")).select("doc_id", "size", "text_crc32", "shard", "r", F.floor(F.col("r") * blocks).cast("int").alias("block")), "placed")
+    placed = stash(rows.join(numbers, F.col("node") == F.col("leaf")).select("doc_id", "size", "text_crc32", "shard", "spread", (F.col("spread") % blocks).cast("int").alias("block")), "placed")
     counts = placed.groupBy("shard", "block").count()
     starts = counts.withColumn("start", F.coalesce(F.sum("count").over(Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("r", "doc_id")) - 1
+    local = F.row_number().over(Window.partitionBy("shard", "block").orderBy("spread", "doc_id")) - 1
     return placed.withColumn("local", local).join(starts, ["shard", "block"]).select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("local")).cast("long").alias("slot"))

@@ -1,8 +1,10 @@
 import re
+import time
 
 import pytest
 
-from tidemark.llm import pii, secrets
+from tidemark.llm import pii, secrets, spans
+from tidemark.llm.queries import QUERIES
 
 from . import cases
 
@@ -73,3 +75,73 @@ def test_ownership_separates_copies_from_live(spark):
     assert got[12].n_live == 0
     digest = secrets.secret_digest(secrets.find_secrets(cases.docs(spark, rows)))
     assert digest.where("doc_id = 10").first().spans == f"assign:0:{len(own)}"
+
+
+def test_many_spans_in_one_text(spark):
+    """Work grows with the text and not with its square: 50,000 spans, and a megabyte that only looks like the start of one."""
+    rows = [(1, "a@b.c +12345678901 " * 25_000, "en", "x"), (2, "token=abcdef12 " * 50_000, "en", "x"), (3, "eyJ" * 350_000, "en", "x")]
+    began = time.time()
+    found = {r.doc_id: r for r in pii.pii_digest(pii.find_pii(cases.docs(spark, rows))).collect()}
+    assert (found[1].n_email, found[1].n_phone) == (25_000, 25_000) and found[1].spans.endswith(f"phone:{19 * 24_999 + 6}:{19 * 25_000 - 1}")
+    found = {r.doc_id: r for r in secrets.secret_digest(secrets.find_secrets(cases.docs(spark, rows))).collect()}
+    assert found[2].n_assign == 50_000 and found[2].spans.endswith(f"assign:{15 * 49_999}:{15 * 50_000 - 1}")
+    assert time.time() - began < 90
+
+
+def plain_scores(text, window=40):
+    out = []
+    for s, k, _ in plain_pii(text):
+        out.append(f"{min(pii.PRIOR[k] + 0.2 * bool(re.search(pii.CONTEXT[k], text[max(0, s - window) : s].lower())), 1):.2f}")
+    return out
+
+
+def test_scores_and_places_do_not_depend_on_chunks(spark, monkeypatch):
+    texts = ["mail a@b.c x@y.z, call +49 30 1234567 or +12345678901 " * 9, "write: " + "e@f.g " * 30 + "ip 1.2.3.4 5.6.7.8"]
+    for chunk in (1, 3, 256):
+        monkeypatch.setattr(spans, "CHUNK", chunk)
+        for r in pii.pii_digest(pii.find_pii(cases.docs(spark, [(i, t, "en", "x") for i, t in enumerate(texts)]))).collect():
+            assert r.scores.split(",") == plain_scores(texts[r.doc_id])
+            assert r.spans == ",".join(f"{pii.KINDS[k]}:{s}:{e}" for s, k, e in plain_pii(texts[r.doc_id]))
+
+
+def plain_values(text):
+    """All spans of the secret scan with their values (none for keys in PEM)."""
+    more = [(m.start(), k, m.end()) for k, p in ((3, r"gh[pousr]_[A-Za-z0-9]{36,255}"), (4, r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), (5, "-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----")) for m in re.finditer(p, text)]
+    for s, k, e in sorted(plain_secrets(text) + more):
+        value = text[s:e]
+        yield s, k, e, re.search(r"[:=] *[\"']?([A-Za-z0-9+/_.=-]+)$", value).group(1) if k == 0 else None if k == 5 else value
+
+
+def plain_ownership(rows):
+    """n_values, n_copied, n_live, max_owners, max_repos of each row by counting sets."""
+    owners, repos, own = {}, {}, []
+    for i, t, _, source in rows:
+        own.append({v for *_, v in plain_values(t or "") if v})
+        for v in own[-1]:
+            owners.setdefault(v, set()).add(source)
+            repos.setdefault(v, set()).add(i)
+    for (i, *_), values in zip(rows, own, strict=True):
+        live = [v for v in values if len(owners[v]) < 3 and len(set(v)) >= 8 and not re.search(secrets.PLACEHOLDER, v)]
+        yield i, len(values), sum(len(owners[v]) >= 3 for v in values), len(live), max((len(owners[v]) for v in values), default=0), max((len(repos[v]) for v in values), default=0)
+
+
+def secret_rows():
+    rows = []
+    for k in range(240):
+        parts = [f"token=Key{k % 37}abQ9zx{k % 37:03d}" if k % 3 else "", f"AKIA{k % 11:020d}" if k % 4 == 0 else "", "password: changeme123" if k % 5 == 0 else "", "ghp_" + f"{k % 13:036d}" if k % 7 == 0 else "", f"eyJhbGciOi{k % 5}J9.eyJzdWIiOiIx.{'sig' * 5}" if k % 6 == 0 else "", "-----BEGIN RSA PRIVATE KEY-----" if k % 50 == 0 else ""]
+        rows.append((k, " and ".join(p for p in parts if p) or None, "en", f"s{k * 7 % 29}" if k % 9 else None))
+    return rows
+
+
+def test_secret_query_equals_plain(spark, tmp_path):
+    """All spans and ownership figures over tables with shared and lone values, and over the documents themselves."""
+    made = secret_rows()
+    cases.docs(spark, made).write.parquet(f"{tmp_path}/documents.parquet")
+    given = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    for folder, rows in ((str(tmp_path), made), ("/root/testdata/sf0.01", given)):
+        got = {r.doc_id: r for r in QUERIES["op2_secrets"](spark, folder).collect()}
+        assert len(got) == len(rows)
+        for i, *figures in plain_ownership(rows):
+            assert [got[i].n_values, got[i].n_copied, got[i].n_live, got[i].max_owners, got[i].max_repos] == figures, i
+        for i, t, *_ in rows:
+            assert got[i].spans == ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _ in plain_values(t or "")), i

@@ -56,25 +56,23 @@ def is_card(v: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 40) -> DataFrame:
-    """One row per input row: doc_id, found (array of s, e, k, v), scores (one per span, 0 to 1).
+    """One row per input row: doc_id, found (array of s, e, k, v, b), scores (one per span, 0 to 1).
 
     A span's score is its kind's prior, raised when a context word stands within window code points before
     it.  Null and empty texts have no spans; an empty table gives no rows.
     """
     text = F.col("text")
     arrays = [
-        spans(text, EMAIL, 0),
-        spans(text, IP, 1, lambda v: v.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$")),
-        spans(text, CARD, 2, is_card),
-        spans(text, PHONE, 3, lambda v: F.char_length(digits(v)).between(10, 15)),
-        spans(text, IBAN, 4, mod97),
+        spans(text, EMAIL, 0, window=window),
+        spans(text, IP, 1, lambda v: v.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), window),
+        spans(text, CARD, 2, is_card, window),
+        spans(text, PHONE, 3, lambda v: F.char_length(digits(v)).between(10, 15), window),
+        spans(text, IBAN, 4, mod97, window),
     ]
-    base = docs.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text"))
-    found = base.select("doc_id", "text", ordered(*arrays).alias("found"))
+    found = docs.select(column(id_col).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", ordered(*arrays).alias("found"))
 
     def score(x: Column) -> Column:
-        start = F.greatest(x["s"] - window, F.lit(0))
-        before = F.lower(F.substring(text, start + 1, x["s"] - start))
+        before = F.lower(x["b"])
         near = F.coalesce(*[F.when((x["k"] == k) & before.rlike(words), F.lit(BONUS)) for k, words in enumerate(CONTEXT)], F.lit(0.0))
         return F.least(F.element_at(F.array(*map(F.lit, PRIOR)), x["k"] + 1) + near, F.lit(1.0))
 

@@ -17,13 +17,13 @@ from .spans import count_kind, ordered, spans, written
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = ["assign", "access", "hex", "github", "jwt", "pem"]
 GITHUB = r"gh[pousr]_[A-Za-z0-9]{36,255}+"
-JWT = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+JWT = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
 PEM = r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your|xxxx|\*\*\*|1234567|abcdef"
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", copied_owners: int = 3, min_symbols: int = 8) -> DataFrame:
-    """One row per input row: doc_id, base (array of s, e, k, v), found (base and added kinds), n_live,
+    """One row per input row: doc_id, base (array of s, e, k, v, b), found (base and added kinds), n_live,
     n_copied, n_values.
 
     A value is copied when copied_owners owners or more hold it; otherwise it is live when it has

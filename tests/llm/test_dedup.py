@@ -57,9 +57,12 @@ def test_near_groups_match_all_pairs(spark, percent):
         if r.doc_id is not None:
             assert r.component_id == want[r.doc_id]
             assert r.n_shingles == len(cases.shingles(unique[r.doc_id]))
-            if r.doc_id != 13:
-                assert r.kept == (want[r.doc_id] == r.doc_id)
-    assert sum(r.kept for r in rows if r.doc_id == 13) == 1
+            assert r.kept == (want[r.doc_id] == r.doc_id)
+    # repeated rows are kept alike, one of them is chosen; blank ones too
+    assert [sum(r[c] for r in rows if r.doc_id == 13) for c in ("kept", "chosen")] == [2, 1]
+    twice = near_dedup.near_groups(cases.docs(spark, [(2, " ", "en", "a"), (2, " ", "en", "a")]), percent=percent).collect()
+    assert [(r.kept, r.component_id) for r in twice] == [(True, 2)] * 2
+    assert near_dedup.drop_near_copies(cases.docs(spark, [(2, " ", "en", "a"), (2, " ", "en", "a")]), percent=percent).count() == 1
     assert [r.component_id for r in rows if r.doc_id is None] == [None] * 3
 
 

@@ -1,9 +1,10 @@
 """Exact deduplication by two passes over fingerprints and a Bloom filter of repeated hashes.
 
-Pass one hashes every normalised text and counts the hashes, 8 bytes a row and combined before they move; those
-met twice enter a Bloom filter of bounded size, so its load depends on the repeated texts only.  Pass two asks
-the filter: a row that it does not know is unique and passes straight through; only the others shuffle by their
-full SHA-256.  False positives merely shuffle, so the result is exact whatever the filter's load.
+Pass one hashes every normalised text and counts the hashes exactly, 8 bytes a row and combined before they move; those
+met twice enter a Bloom filter of bounded size, so its load depends on the repeated texts only.  The filter carries that answer to pass two,
+which asks it: a row that it does not know is unique and passes straight through; only the others shuffle by their
+full SHA-256.  So the count finds the repeated hashes and the filter brings them to the rows, as no built-in aggregate tells a second
+sight of a hash within a task; false positives merely shuffle, and the result is exact whatever the filter's load.
 """
 
 from __future__ import annotations

@@ -151,11 +151,11 @@ def _rare_shingles(full: DataFrame, ring: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, slack_sigmas: float = 5.0) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept, n_links, th.
+    """One row per input row: doc_id, n_shingles, component_id, kept, n_links, th, chosen.
 
     Documents link when 100 * |intersection| >= percent * |union| of their shingle sets; component_id is
-    the least doc_id reachable.  Null, empty and blank texts link with nothing.  Of a component the row
-    with that doc_id is kept (null ids last); of repeated rows one.  n_links counts confirmed links of the
+    the least doc_id reachable.  Null, empty and blank texts link with nothing.  kept says whether doc_id = component_id, for each of
+    repeated rows and for blank ones too; chosen is true for one row of a component (in one of null ids only, kept is chosen) and for blank rows.  n_links counts confirmed links of the
     document's set to other sets that the search had to read.  A link at the threshold is missed by all
     bands with probability 1e-6 at most and by the estimate with that of slack_sigmas.  An empty
     table gives no rows.
@@ -240,11 +240,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     placed = signed.where("n > 0").select("rid", "doc_id", "th", "n", "print").join(by_print, "print")
     placed = stash(placed.select("rid", "doc_id", "th", "n", "label", "component_id", "n_links"), "placed")
     keepers = placed.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("rid"))).alias("best")).select(F.col("best.rid").alias("best"))
-    kept = placed.join(keepers, F.col("rid") == F.col("best"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("best").isNotNull().alias("kept"), "n_links", "th")
-    blank = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"), "th")
+    chosen = F.col("best").isNotNull()
+    own = F.when(F.col("component_id").isNull(), chosen).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    kept = placed.join(keepers, F.col("rid") == F.col("best"), "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id", own.alias("kept"), "n_links", "th", chosen.alias("chosen"))
+    blank = signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(0).cast("long").alias("n_links"), "th", F.lit(True).alias("chosen"))
     return kept.unionByName(blank)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """One document of each near-duplicate component, with the columns of docs."""
-    return keep_rows(docs, near_groups(docs, id_col, text_col, percent), id_col, text_col)
+    """One document of each near-duplicate component, with the columns of docs; repeated rows stay once, blank ones too."""
+    return keep_rows(docs, near_groups(docs, id_col, text_col, percent).withColumn("kept", F.col("chosen")), id_col, text_col)

@@ -43,7 +43,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85).drop("th", "n_links")
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), percent=85).drop("th", "n_links", "chosen")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -337,21 +337,29 @@ def test_alignment_equals_the_plain_table():
         assert decontam.smith_waterman(np.array(a), np.array(b))[0] == plain_alignment(a, b)
 
 
-def test_rare_seeds_are_measured_against_their_own_item():
+def test_rare_seeds_are_measured_against_their_own_item(spark):
     draw = random.Random(8)
-    items = [(i, " ".join(draw.choice(cases.WORDS) for _ in range(draw.randrange(0, 30)))) for i in range(40)]
-    index = decontam.SeedIndex(items, 3)
-    counts = {i: draw.randrange(0, 3000) for i in range(len(index.codes)) if i % 7}
-    index.mark_rare(counts, factor=2, floor=50)
-    rare = set()
-    for _, ids in index.items:
-        own = [int(np.searchsorted(index.codes, c)) for c in index.grams(ids)[1]]
-        limit = max(50, 2 * np.quantile([counts.get(i, 0) for i in own], 0.25))
-        rare |= {i for i in own if counts.get(i, 0) <= limit}
-    assert rare and set(np.flatnonzero(index.rare).tolist()) == rare
-    none = decontam.SeedIndex([(1, None), (2, "two words")], 3)
-    none.mark_rare({})
-    assert none.align(none.ids("two words more"), 0.4) == []
+    items = [(i, draw.randrange(1, 30)) for i in range(40)]
+    grams = [(i, n, size, at, 1000 * i + 100 * size + at) for i, n in items for size in ((3, 4) if n >= 3 else (n,)) for at in range(n - size + 1)]
+    counts = {g[4]: draw.choice([1, 5, 60, 3000]) for g in grams if draw.random() < 0.8}
+    got = decontam.rare_seeds(spark.createDataFrame(grams, "item long, n int, size int, at int, h long"), spark.createDataFrame([*counts.items()], "h long, df long"), 2, 50)
+    want = set()
+    for i, n in items:
+        own = {(size, at): h for k, _, size, at, h in grams if k == i and h in counts}
+        met = sorted(counts[h] for (size, _), h in own.items() if size == 3)
+        limit = max(50, 2 * met[-(-len(met) // 4) - 1]) if met else 0
+        for (size, at), h in own.items():
+            common = (3, at) in own and counts[own[3, at]] > limit and n > 3
+            if size < 3 or (size == 3 and not common) or (size == 4 and common):
+                want.add((i, at, h))
+    assert {tuple(r) for r in got.collect()} == want and any(h % 1000 // 100 == 4 for *_, h in want)
+
+
+def test_short_items_are_found_whole(spark):
+    docs = cases.docs(spark, [(1, "the Quick-brown, fox", "en", "a"), (2, "brown quick", "en", "a"), (3, "a zebra", "en", "a"), (4, "the quick red fox", "en", "a")])
+    bench = spark.createDataFrame([(1, "quick brown"), (2, "zebra"), (3, ""), (4, None), (5, "quick red fox")], "item_id long, text string")
+    assert {(r.doc_id, r.item_id, r.score, r.start_word, r.end_word) for r in decontam.find_leaks(docs, bench).collect()} == {(1, 1, 1.0, 1, 3), (3, 2, 1.0, 1, 2), (4, 5, 1.0, 1, 4)}
+    assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {2}
 
 
 def test_leaks_whole_edited_and_clean(spark):
@@ -366,7 +374,7 @@ def test_leaks_whole_edited_and_clean(spark):
     assert set(by) == {100, 101, *range(200, 280)} and by[100].score == 1.0 and 0.4 <= by[101].score < 1
     assert (by[100].start_word, by[100].end_word) == (75, 75 + len(words))
     docs = cases.docs(spark, rows + cases.ROWS)
-    blocks = decontam.drop_leaks(docs, bench, block_bytes=60)
+    blocks = decontam.drop_leaks(docs, bench, most_grams=10)
     assert blocks.count() == docs.count() - 82 and blocks.columns == docs.columns
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0
 
@@ -415,8 +423,8 @@ def test_leaks_equal_aligning_everything(spark):
     found = len(got) / len(want)
     assert found >= 0.98 and set(want) - set(got) <= seedless
     assert sum(abs(got[p] - want[p]) < 1e-9 for p in got) / len(got) > 0.97
-    # blocks of the benchmark change nothing
-    assert {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(docs, bench, block_bytes=900).collect()} == got
+    # a benchmark too large for the table of n-grams changes nothing
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(docs, bench, most_grams=100).collect()} == got
     assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {r[0] for r in rows} - {i for i, _ in got}
 
 

@@ -1,24 +1,28 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds join passages to items, then Smith-Waterman alignment.
 
-The benchmark goes over the corpus in blocks of bounded size, each a broadcast index of its word n-grams.
-One narrow pass joins every document to the items whose seeds it holds and aligns the item with the words
-around them, so that copies with words changed, left out or put in are found.  How many documents hold a seed
-does not matter; what is not aligned falls by a bound on the score.  Nothing shuffles.
+One narrow pass over the corpus, whatever the benchmark's size, takes from each document the passages around n-grams that some
+item has, by a table of bounded size.  How many passages hold an n-gram says which are rare: a seed is a rare trigram, or where the
+trigram is common the four words there.  Seeds join the passages to their items, and each pair is aligned around its
+seeds, so that copies with words changed, left out or put in are found.  What is not aligned falls by a bound on the score.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, numbered, small_batches
+from .common import column, few, small_batches, spare, stash, text_of
 
 MATCH, MISMATCH, GAP = 2, -1, -1
+#: Words of a seed, and of one whose first words are common.
+SEED, LONGER = 3, 4
+#: So many different n-grams of items are looked up in a sorted table (16 bytes each); beyond, in a bitmap of FILTER_BITS.
+MOST_GRAMS, FILTER_BITS, PART_BITS = 4_000_000, 1 << 28, 32768
 #: ASCII capitals fold, other ASCII signs but letters and digits separate words.
 _FOLD = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -27,96 +31,65 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
-class SeedIndex:
-    """The seeds of one block of items: every n-gram of their words, and where it stands."""
-
-    def __init__(self, items: list[tuple[object, str | None]], seed_words: int) -> None:
-        self.size, self.vocab, self.items = seed_words, {}, []
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if len(ids) >= seed_words:
-                self.items.append((item, np.array(ids, np.int64)))
-        self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
-        self.base = len(self.vocab) + 1
-        if self.base**seed_words >= 2**63:
-            raise ValueError("this block has too many different words; lower block_bytes")
-        found = [(code, i, at) for i, (_, ids) in enumerate(self.items) for at, code in enumerate(self.grams(ids)[1].tolist())]
-        found.sort()
-        self.codes, first = np.unique(np.array([f[0] for f in found], np.int64), return_index=True)
-        self.first = np.append(first, len(found))
-        self.owner = np.array([f[1] for f in found], np.int64)
-        self.at = np.array([f[2] for f in found], np.int64)
-        self.rare = np.ones(len(self.codes), bool)
-
-    def ids(self, text: str | None) -> np.ndarray:
-        """Word numbers of a text, 0 for words that no item has."""
-        get = self.vocab.get
-        return np.array([get(w, 0) for w in words_of(text)], np.int64)
-
-    def grams(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and codes of the n-grams without a foreign word."""
-        n = len(ids) - self.size + 1
-        if n < 1:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        code, own = np.zeros(n, np.int64), np.ones(n, bool)
-        for k in range(self.size):
-            part = ids[k : n + k]
-            code = code * self.base + part
-            own &= part > 0
-        at = np.flatnonzero(own)
-        return at, code[at]
-
-    def seeds(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places in a document and numbers of the seeds there."""
-        at, code = self.grams(ids)
-        if not len(at) or not len(self.codes):
-            return at[:0], at[:0]
-        k = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-        hit = self.codes[k] == code
-        return at[hit], k[hit]
-
-    def mark_rare(self, counts: dict[int, int], factor: int = 20, floor: int = 50) -> None:
-        """A seed is rare if it stands in no more than factor times the documents of a quarter of its item's
-        seeds (floor documents always are few): measured against its own item, so an item that many
-        documents copy keeps its seeds.  A description of the seeds only: align() takes the others too."""
-        df = np.array([counts.get(i, 0) for i in range(len(self.codes))], np.int64)
-        number = np.repeat(np.arange(len(self.codes)), np.diff(self.first))
-        rare = np.zeros(len(self.codes), bool)
-        by_item = number[np.argsort(self.owner, kind="stable")]
-        ends = np.cumsum(np.bincount(self.owner, minlength=len(self.items)))
-        for own in np.split(by_item, ends[:-1]) if self.items else []:
-            rare[own[df[own] <= max(floor, factor * np.quantile(df[own], 0.25))]] = True
-        self.rare = rare
-
-    def align(self, ids: np.ndarray, least: float) -> list[tuple[int, float, int, int]]:
-        """Items a document copies: number, score, first word, and the word after the last."""
-        at, seed = self.seeds(ids)
-        if not len(at):
-            return []
-        n = self.first[seed + 1] - self.first[seed]
-        entry = np.repeat(self.first[seed] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        item, diagonal = self.owner[entry], np.repeat(at, n) - self.at[entry]
-        order = np.lexsort((diagonal, item))
-        item, diagonal = item[order], diagonal[order]
-        size = self.sizes[item]
-        new = np.concatenate(([True], (item[1:] != item[:-1]) | (diagonal[1:] - diagonal[:-1] > np.maximum(8, size[1:] // 3))))
-        starts, best = np.flatnonzero(new), {}
-        ends = np.append(starts[1:], len(item)) - 1
-        item, size, slack = item[starts], size[starts], np.maximum(8, size[starts] // 3)
-        low, high = np.maximum(0, diagonal[starts] - slack), np.minimum(len(ids), diagonal[ends] + size + slack)
-        # no alignment has more matches than its window has words that items know
-        known = np.concatenate(([0], np.cumsum(ids > 0)))
-        may = np.flatnonzero(known[high] - known[low] >= least * size)
-        for i, lo, hi in zip(item[may].tolist(), low[may].tolist(), high[may].tolist(), strict=True):
-            words, window = self.items[i][1], ids[lo:hi]
-            least_matches = least * len(words)
-            if np.isin(window, words).sum() < least_matches or common_words(words, window) < least_matches:
-                continue
-            score, end = smith_waterman(words, window)
-            if score >= least * MATCH * len(words) and score > best.get(i, (0,))[0]:
-                _, back = smith_waterman(words[::-1], window[:end][::-1])
-                best[i] = (score, lo + end - back, lo + end)
-        return [(int(i), s / (MATCH * len(self.items[i][1])), int(x), int(y)) for i, (s, x, y) in sorted(best.items())]
+def word_codes(text: str | None, seen: dict[bytes, int]) -> np.ndarray:
+    """64-bit hashes of a text's words; seen is a table of bounded size."""
+    if len(seen) > 100_000:
+        seen.clear()
+    out, digest = [], xxhash.xxh64_intdigest
+    for word in words_of(text):
+        code = seen.get(word)
+        if code is None:
+            code = digest(word)
+            if len(word) < 64:
+                seen[word] = code
+        out.append(code)
+    return np.array(out, np.uint64)
+
+
+def gram_codes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the n-grams of so many words, in order."""
+    if len(words) < size:
+        return np.empty(0, np.int64)
+    with np.errstate(over="ignore"):
+        h = np.full(len(words) - size + 1, size, np.uint64)
+        for k in range(size):
+            h = (h ^ words[k : len(words) - size + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def slack(size):  # noqa: ANN001, ANN201
+    """Words that an alignment may drift from its seeds' diagonal, by the item's size."""
+    return np.maximum(8, size // 3)
+
+
+class GramFilter:
+    """Which n-grams items may have, and how far their items reach before and behind them."""
+
+    def __init__(self, sizes: list[int], codes: np.ndarray | None, before: np.ndarray, after: np.ndarray, bitmap: np.ndarray | None = None) -> None:
+        self.sizes, self.codes, self.before, self.after, self.bitmap = sizes, codes, before, after, bitmap
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Places and codes of a document's n-grams that items have, in order of place, and the first and last word of their items' reach."""
+        places, codes = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for size in self.sizes:
+            code = gram_codes(words, size)
+            places.append(np.arange(len(code)))
+            codes.append(code)
+        at, code = np.concatenate(places), np.concatenate(codes)
+        if self.codes is None:
+            cell = np.mod(code, FILTER_BITS)
+            keep = np.flatnonzero(self.bitmap[cell >> 3] >> (cell & 7).astype(np.uint8) & 1)
+            reach = np.zeros(len(keep), np.int64)
+        elif len(self.codes):
+            found = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+            keep = np.flatnonzero(self.codes[found] == code)
+            reach = found[keep]
+        else:
+            keep = reach = np.empty(0, np.int64)
+        keep, reach = keep[order := np.argsort(at[keep], kind="stable")], reach[order]
+        at = at[keep]
+        return at, code[keep], np.maximum(at - self.before[reach], 0), np.minimum(at + self.after[reach], len(words))
 
 
 def common_words(a: np.ndarray, b: np.ndarray) -> int:
@@ -148,59 +121,155 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return top, end
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int, seed_words: int) -> Iterator[SeedIndex]:
-    base = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
-    for k in range(blocks):
-        rows = base.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        yield SeedIndex(sorted(((r.item, r.text) for r in rows), key=lambda r: (r[0] is None, r[0], r[1])), seed_words)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, seed_words: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
+def best_alignment(words: np.ndarray, passage: np.ndarray, diagonals: np.ndarray, least: float) -> tuple[int, int, int] | None:
+    """Score, first word and the word after the last of the best alignment of an item with a passage around its seeds' diagonals, if it reaches least."""
+    diagonals, drift, best = np.sort(diagonals), int(slack(len(words))), None
+    cuts = np.flatnonzero(np.diff(diagonals) > drift) + 1
+    for part in np.split(diagonals, cuts):
+        low, high = max(0, int(part[0]) - drift), min(len(passage), int(part[-1]) + len(words) + drift)
+        window = passage[low:high]
+        # no alignment has more matches than the window has words of the item, or than their longest common subsequence
+        if np.isin(window, words).sum() < least * len(words) or common_words(words, window) < least * len(words):
+            continue
+        score, end = smith_waterman(words, window)
+        if score >= least * MATCH * len(words) and (best is None or score > best[0]):
+            _, back = smith_waterman(words[::-1], window[:end][::-1])
+            best = score, low + end - back, low + end
+    return best
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen: dict[bytes, int] = {}
+    for batch in batches:
+        rows = [word_codes(text.as_py(), seen).view(np.int64) for text in batch.column("text")]
+        grams = [[(size, a, int(code)) for size in ([SEED, LONGER] if len(r) >= SEED else [len(r)] if len(r) else []) for a, code in enumerate(gram_codes(r.view(np.uint64), size))] for r in rows]
+        kind = pa.list_(pa.struct([("size", pa.int32()), ("at", pa.int32()), ("h", pa.int64())]))
+        made = pa.array([[{"size": s, "at": a, "h": h} for s, a, h in g] for g in grams], kind)
+        yield pa.RecordBatch.from_arrays([batch.column("item"), batch.column("item_id"), pa.array(rows, pa.list_(pa.int64())), made], names=["item", "item_id", "words", "grams"])
+
+
+def gram_filter(grams: DataFrame, most_grams: int = MOST_GRAMS) -> GramFilter:
+    """From (size, at, h, n) of all items; a table of at most most_grams rows, or a bitmap of fixed size, reaches the driver."""
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())
+    drift = F.greatest(F.lit(8), F.floor(F.col("n") / 3))
+    reach = [F.max(F.col("at") + drift).alias("before"), F.max(F.col("n") - F.col("at") + drift).alias("after")]
+    table = stash(grams.groupBy("h").agg(*reach), "grams")
+    if few(table, most_grams):
+        got = table.toPandas().sort_values("h")
+        return GramFilter(sizes, got.h.to_numpy(np.int64), got.before.to_numpy(np.int64), got.after.to_numpy(np.int64))
+    cell = F.pmod("h", F.lit(FILTER_BITS))
+    maps = table.groupBy(F.floor(cell / PART_BITS).alias("part")).agg(F.bitmap_construct_agg(cell % PART_BITS).alias("bits")).collect()
+    bitmap = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps:
+        bitmap[r.part * PART_BITS // 8 : (r.part + 1) * PART_BITS // 8] = np.frombuffer(r.bits, np.uint8)
+    far = table.agg(F.max("before"), F.max("after")).first()
+    return GramFilter(sizes, None, np.array([far[0]]), np.array([far[1]]), bitmap)
+
+
+def _passages(batches: Iterator[pa.RecordBatch], own: GramFilter) -> Iterator[pa.RecordBatch]:
+    seen: dict[bytes, int] = {}
+    longs = pa.list_(pa.int64())
+    for batch in batches:
+        rows, starts, words, places, codes = [], [], [], [], []
+        for k, text in enumerate(batch.column("text")):
+            ids = word_codes(text.as_py(), seen)
+            at, code, low, high = own.hits(ids)
+            if not len(at):
+                continue
+            order = np.argsort(low, kind="stable")
+            at, code, low, high = at[order], code[order], low[order], high[order]
+            ends = np.maximum.accumulate(high)
+            cuts = np.flatnonzero(low[1:] > ends[:-1]) + 1
+            for part in np.split(np.arange(len(at)), cuts):
+                start, end = int(low[part[0]]), int(ends[part[-1]])
+                rows.append(k)
+                starts.append(start)
+                words.append(ids[start:end].view(np.int64))
+                places.append(at[part] - start)
+                codes.append(code[part])
+        if rows:
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(c).take(pa.array(rows)) for c in ("rid", "doc_id", "th", "n")], pa.array(starts, pa.int64()), pa.array(words, longs), pa.array(places, longs), pa.array(codes, longs)],
+                names=["rid", "doc_id", "th", "n", "start", "words", "at", "h"],
+            )
+
+
+def _aligned(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, found = [], []
+        for k in range(batch.num_rows):
+            passage, item, diagonals = (batch.column(c)[k].values.to_numpy() for c in ("words", "item_words", "diagonals"))
+            best = best_alignment(item, passage, diagonals, least)
+            if best:
+                rows.append(k)
+                start = batch.column("start")[k].as_py()
+                found.append((best[0] / (MATCH * len(item)), start + best[1], start + best[2]))
+        if rows:
+            score, first, last = zip(*found, strict=True)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(pa.array(rows)) for c in ("rid", "doc_id", "th", "n", "item", "item_id")], pa.array(score), pa.array(first, pa.int64()), pa.array(last, pa.int64())], names=["rid", "doc_id", "th", "n", "item", "item_id", "score", "start_word", "end_word"])
+
+
+def rare_seeds(grams: DataFrame, counts: DataFrame, factor: int, floor: int) -> DataFrame:
+    """The seeds (item, at, h) among all n-grams (item, n, size, at, h) of items, by the number of passages (h, df) that hold each.
+
+    A trigram is rare if no more than factor times as many passages hold it as hold the lower quartile of its item's trigrams that occur
+    at all (floor passages always are few): measured against its own item, so one that many documents copy keeps its seeds.
+    Where a trigram is common, the four words that it begins are the seed.  Items with fewer words are one seed, and so is an item of three.
+    """
+    known = stash(grams.join(counts, "h"), "known")
+    limits = known.where(F.col("size") == SEED).groupBy("item").agg(F.greatest(F.lit(floor), factor * F.percentile_approx("df", 0.25)).alias("limit"))
+    judged = known.join(limits, "item", "left").withColumn("common", (F.col("size") == SEED) & (F.col("df") > F.col("limit")) & (F.col("n") > SEED))
+    common = judged.where("common").select("item", "at")
+    longer = known.where(F.col("size") == LONGER).join(common, ["item", "at"], "left_semi")
+    return judged.where(F.col("size") <= SEED).where("not coalesce(common, false)").select("item", "at", "h").unionByName(longer.select("item", "at", "h"))
+
+
+def _links(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str, item_text_col: str, least: float, factor: int, floor: int, most_grams: int) -> DataFrame:
+    """(rid, doc_id, th, n, item, item_id, score, start_word, end_word): alignments of passages that reach least."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    base = benchmark.select(F.monotonically_increasing_id().alias("item"), column(item_col).alias("item_id"), text_of(item_text_col).alias("text"))
+    items = stash(base.mapInArrow(_items, f"item long, item_id {item_kind}, words array<long>, grams array<struct<size:int,at:int,h:long>>"), "items")
+    grams = stash(items.select("item", F.size("words").alias("n"), F.inline("grams")), "item_grams")
+    own = spark.sparkContext.broadcast(gram_filter(grams, most_grams))
+    text = column(text_col).cast("string")
+    corpus = docs.select(F.monotonically_increasing_id().alias("rid"), column(id_col).alias("doc_id"), F.xxhash64(text_of(text_col)).alias("th"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n"), text.alias("text"))
+    schema = f"rid long, doc_id {kind}, th long, n int, start long, words array<long>, at array<long>, h array<long>"
+    passages = stash(corpus.mapInArrow(lambda it: _passages(it, own.value), schema), "passages")
+    counts = stash(passages.select(F.explode(F.array_distinct("h")).alias("h")).groupBy("h").agg(F.count("*").alias("df")), "counts")
+    seeds = stash(rare_seeds(grams, counts, factor, floor).withColumnRenamed("at", "place"), "seeds")
+    hits = passages.select("rid", "start", F.inline(F.arrays_zip("at", "h")))
+    met = hits.join(F.broadcast(seeds) if few(seeds) else seeds, "h").groupBy("rid", "start", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    met = stash(met, "met")
+    pairs = passages.select("rid", "doc_id", "th", "n", "start", "words").join(met, ["rid", "start"])
+    texts = items.select("item", "item_id", F.col("words").alias("item_words"))
+    # a passage and an item meet once, with all diagonals of their seeds, at most as many as the passage has words
+    pairs = pairs.join(texts, "item").select("rid", "doc_id", "th", "n", "start", "words", "item", "item_id", "item_words", "diagonals")
+    return pairs.mapInArrow(lambda it: _aligned(it, least), f"rid long, doc_id {kind}, th long, n int, item long, item_id {item_kind}, score double, start_word long, end_word long")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, factor: int = 20, floor: int = 50, most_grams: int = MOST_GRAMS) -> DataFrame:
     """One row per document and item it copies: doc_id, item_id, score, start_word, end_word.
 
     score is the alignment's over the best the item can have, at least least.  Null and empty texts
-    copy nothing; items of fewer than seed_words words are not searched.  Repeated documents and items give
-    repeated rows.  Either table empty gives no rows.
+    copy nothing; items of one or two words are found where all their words stand.  Repeated documents and items give
+    repeated rows.  Either table empty gives no rows.  factor and floor say which seeds are rare (rare_seeds()).
     """
-    small_batches(docs.sparkSession)
-    base = docs.select(column(id_col).alias("doc_id"), column(text_col).cast("string").alias("text"))
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
-    out = None
-    for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own = shared.value
-            for batch in batches:
-                rows = [(k, own.items[i][0], s, x, y) for k, text in enumerate(batch.column("text")) for i, s, x, y in own.align(own.ids(text.as_py()), least)]
-                if rows:
-                    k, item, score, start, end = zip(*rows, strict=True)
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(k)), pa.array(item), pa.array(score), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["doc_id", "item_id", "score", "start_word", "end_word"])
-
-        found = base.mapInArrow(run, f"doc_id {kind}, item_id {item_kind.simpleString()}, score double, start_word long, end_word long")
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, seed_words: int = 3, block_bytes: int = 16 << 20) -> DataFrame:
-    """The rows of docs that copy no item, with the columns of docs, whatever these are called; one narrow pass per block.
-
-    Null and empty texts copy nothing and stay; repeated rows are judged alike; an empty benchmark keeps all rows.
+    found = _links(docs, benchmark, id_col, text_col, item_col, item_text_col, least, factor, floor, most_grams)
+    best = F.max_by(F.struct("score", "start_word", "end_word"), F.struct("score", -F.col("start_word")))
+    return found.groupBy("rid", "doc_id", "item", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.*")
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least: float = 0.4, factor: int = 20, floor: int = 50, most_grams: int = MOST_GRAMS) -> DataFrame:
+    """The rows of docs that copy no item, with the columns of docs, whatever these are called.
+
+    Null and empty texts copy nothing and stay; repeated rows are judged alike; an empty benchmark keeps all rows.  The texts that go
+    are known by hash and length; they are broadcast only when counted to be few.
     """
-    small_batches(docs.sparkSession)
-    names, out = docs.columns, docs
-    for index in _blocks(benchmark, item_col, item_text_col, block_bytes, seed_words):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            own = shared.value
-            for batch in batches:
-                clean = [not own.align(own.ids(text.as_py()), least) for text in batch.column("judged")]
-                kept = batch.filter(pa.array(clean, pa.bool_()))
-                if kept.num_rows:
-                    yield pa.RecordBatch.from_arrays(kept.columns[:-1], names=names)
-
-        out = numbered(out, text_col).mapInArrow(run, docs.schema)
-    return out
+    found = stash(_links(docs, benchmark, id_col, text_col, item_col, item_text_col, least, factor, floor, most_grams).select("th", "n").distinct(), "leaks")
+    th, n, lth, ln = spare(docs, "th", "n", "lth", "ln")
+    gone = found.select(F.col("th").alias(lth), F.col("n").alias(ln))
+    tagged = docs.withColumns({th: F.xxhash64(text_of(text_col)), n: F.coalesce(F.octet_length(column(text_col).cast("string")), F.lit(0))})
+    left = tagged.join(F.broadcast(gone) if few(gone) else gone, (F.col(th) == F.col(lth)) & (F.col(n) == F.col(ln)), "left_anti")
+    return left.select(*map(column, docs.columns))

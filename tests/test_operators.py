@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
 
 from tidemark.functions import special
@@ -423,3 +423,25 @@ def test_basket_closes_at_its_profit(spark):
     got = portfolio.simulate(s, 1000.0, 0.0, 1, take_profit=0.03).orderBy("ts").collect()
     assert [round(r.position, 6) for r in got] == [10, 10, 0, 0, 0] and got[-1].equity == pytest.approx(1040)
     assert portfolio.simulate(s, 1000.0, 0.0, 1).orderBy("ts").collect()[-1].equity == pytest.approx(900)
+
+
+def test_running_values_compose_over_blocks(spark):
+    """Blocks of any length give what one window over all rows gives; null keys, null values and blocks without values too."""
+    from tidemark.operators import scan
+
+    draw = np.random.default_rng(5)
+    rows = [(None if i % 7 == 0 else f"s{i % 3}", int(t), i, None if draw.random() < 0.6 else int(draw.integers(1, 50))) for i, t in enumerate(draw.integers(0, 400, 300))]
+    df = spark.createDataFrame(rows, "symbol string, t int, seq int, v int")
+    w = Window.partitionBy("symbol").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    before, after = (Window.partitionBy("symbol").orderBy(c).rangeBetween(Window.unboundedPreceding, -1) for c in (F.col("t"), -F.col("t")))
+    want = df.select("seq", F.coalesce(F.sum("v").over(w), F.lit(0)).alias("sum"), F.last("v", True).over(w).alias("last"))
+    for width in (1, 13, 90, 1000):
+        block = F.floor(F.col("t") / width)
+        made = scan.running_sum(df, ["symbol"], ["t", "seq"], F.coalesce("v", F.lit(0)), block, "sum")
+        made = scan.running_last(made, ["symbol"], [F.col("t"), F.col("seq")], "v", block, "last")
+        assert sorted(map(tuple, made.select("seq", "sum", "last").collect())) == sorted(map(tuple, want.collect()))
+        one = df.groupBy("symbol", "t").agg(F.max("v").alias("v"))
+        both = scan.running_last(one, ["symbol"], [F.col("t")], "v", block, "b", rows=False)
+        both = scan.running_last(both, ["symbol"], [-F.col("t")], "v", block, "a", forward=False, rows=False).collect()
+        plain = one.withColumns({"b": F.last("v", True).over(before), "a": F.last("v", True).over(after)}).select("symbol", "t", "v", "b", "a").collect()
+        assert {tuple(r) for r in both} == {tuple(r) for r in plain}

@@ -9,19 +9,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import blocks, day_of, running_last
+
 
 def asof_join(left: DataFrame, right: DataFrame, value: str, key: str = "symbol", ts: str = "ts", order: str | None = None) -> DataFrame:
     """Each left row with the last right value at or before its time, null if none; rows are never multiplied.
 
-    order breaks ties among right rows of one instant.  One shuffle on key; the tie of left and right goes to right first.
+    order breaks ties among right rows of one instant.  Timestamps run in blocks of a day, other orders in one; the tie of left and right goes to right first.
     """
     seq = F.col(order) if order else F.lit(0)
     data = F.struct(*[F.col(c) for c in left.columns])
     both = left.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(1).alias("_side"), F.lit(0).cast("long").alias("_o"), data.alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v")).unionByName(
         right.select(F.col(key).alias("_k"), F.col(ts).alias("_t"), F.lit(0).alias("_side"), seq.cast("long").alias("_o"), F.lit(None).cast(left.select(data.alias("x")).schema["x"].dataType).alias("_row"), F.col(value).alias("_v"))
     )
-    w = Window.partitionBy("_k").orderBy("_t", "_side", "_o").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_v", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").select("_row.*", F.col("_v").alias(f"asof_{value}"))
+    run = running_last(both, ["_k"], [F.col("_t"), F.col("_side"), F.col("_o")], "_v", blocks(both, "_t"), "_last")
+    return run.where("_side = 1").select("_row.*", F.col("_last").alias(f"asof_{value}"))
 
 
 def grid_asof(points: DataFrame, value: str, seconds: int) -> DataFrame:
@@ -36,7 +38,7 @@ def grid_asof(points: DataFrame, value: str, seconds: int) -> DataFrame:
 def bracket_quotes(trades: DataFrame, quotes: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair (i, j) and trade of j: the last quote of i before it and the first one after it.
 
-    pairs is (i, j).  A union per pair and two running windows; the window's key is the pair.  Quotes of one
+    pairs is (i, j).  A union per pair and two running values, in blocks of a day.  Quotes of one
     instant count in the order of their seq, where they have one.
     """
     by = F.col("seq") if "seq" in quotes.columns else F.lit(0)
@@ -45,8 +47,9 @@ def bracket_quotes(trades: DataFrame, quotes: DataFrame, pairs: DataFrame) -> Da
     q = q.select(F.col("symbol").alias("i"), "j", "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("side"), "last", "first")
     t = trades.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select("i", F.col("symbol").alias("j"), "ts", F.lit(1).alias("_side"), "seq", "side", none.alias("last"), none.alias("first"))
     # both frames grow row by row: one that ends at the partition's end is computed anew for each row
-    w, us = Window.partitionBy("i", "j").rangeBetween(Window.unboundedPreceding, -1), F.unix_micros("ts")
-    both = q.unionByName(t).withColumns({"before": F.last("last", True).over(w.orderBy(us)), "after": F.last("first", True).over(w.orderBy(-us))})
+    us = F.unix_micros("ts")
+    both = running_last(q.unionByName(t), ["i", "j"], [us], "last", day_of("ts"), "before", rows=False)
+    both = running_last(both, ["i", "j"], [-us], "first", day_of("ts"), "after", forward=False, rows=False)
     return both.where("_side = 1").select("i", "j", "ts", "seq", "side", "before", "after")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import blocks, running_sum
+
 #: Interval tokens and the widths they stand for; 1M is a calendar month.
 INTERVALS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "1h": "1 hour", "4h": "4 hours", "1d": "1 day", "3d": "3 days", "1w": "7 days"}
 #: What an interval is resampled from where a source lacks it.
@@ -67,9 +69,8 @@ def volume_bars(trades: DataFrame, shares: int) -> DataFrame:
 
     VWAP weighs each trade by its shares in the bar.  The bar closes at its last trade.
     """
-    w = Window.partitionBy("symbol").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    end = F.sum("volume").over(w)
-    cut = trades.where("volume > 0").withColumn("c1", end).withColumn("c0", F.col("c1") - F.col("volume"))
+    run = running_sum(trades.where("volume > 0"), ["symbol"], ["ts", "seq"], F.col("volume"), blocks(trades, "ts"), "c1")
+    cut = run.withColumn("c0", F.col("c1") - F.col("volume"))
     parts = cut.withColumn("k", F.explode(F.sequence(F.floor(F.col("c0") / shares), F.floor((F.col("c1") - 1) / shares))))
     own = F.least("c1", (F.col("k") + 1) * shares) - F.greatest("c0", F.col("k") * shares)
     at = F.struct("ts", "seq")
@@ -126,14 +127,13 @@ def synchronised_volume_bars(trades: DataFrame, size: int) -> DataFrame:
     tau, and when a symbol closes several buckets in one instant, its first ones, second ones and so on do.  The count
     runs over days of closings and then inside each day, so no task has all of them.
     """
-    w = Window.partitionBy("symbol").orderBy("ts")
     instants = trades.where("volume > 0").groupBy("symbol", "ts").agg(F.sum("volume").alias("volume"))
-    run = instants.withColumn("c1", F.sum("volume").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("c0", F.col("c1") - F.col("volume"))
+    run = running_sum(instants, ["symbol"], ["ts"], F.col("volume"), blocks(instants, "ts"), "c1").withColumn("c0", F.col("c1") - F.col("volume"))
     first, last = F.greatest(F.ceil(F.col("c0") / size), F.lit(1)), F.ceil(F.col("c1") / size) - 1
     closed = run.where(last >= first).select("symbol", "ts", F.posexplode(F.sequence(first, last)).alias("drain", "k1")).select("symbol", "ts", "drain", (F.col("k1") - 1).alias("k"))
     days = closed.select(F.to_date("ts").alias("day"), "ts", "drain").distinct()
     counts = days.groupBy("day").agg(F.count("*").alias("n"))
     starts = counts.withColumn("start", F.sum("n").over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    ticks = days.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("ts", "drain"))).join(F.broadcast(starts), "day")
+    ticks = days.withColumn("i", F.row_number().over(Window.partitionBy("day").orderBy("ts", "drain"))).join(starts, "day")
     prices = volume_bars(trades, size).select("symbol", "k", F.col("vwap").alias("price"))
     return closed.join(ticks.select("ts", "drain", (F.col("start") + F.col("i")).alias("tau")), ["ts", "drain"]).join(prices, ["symbol", "k"]).select("tau", "symbol", "k", "price", "ts")

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stash
 from .stats import detrended_covariance
 
 
@@ -143,7 +144,7 @@ def hawkes_fit(events: DataFrame, rounds: int = 40, small_symbols: int = 50_000)
     give nulls.  Residuals of a good fit have mean 1.
     """
     spark = events.sparkSession
-    data = events.select("symbol", F.col("t").cast("double").alias("t"))
+    data = stash(events.select("symbol", F.col("t").cast("double").alias("t")), "hawkes")
     known = {r.symbol: r for r in data.groupBy("symbol").agg(F.count("*").alias("n"), F.min("t").alias("begin"), F.max("t").alias("end")).collect()}
     able = {k: r for k, r in known.items() if r.n >= 10 and r.end > r.begin}
     at = {k: np.log([r.n / (r.end - r.begin) / 2, 0.4, r.n / (r.end - r.begin)]) for k, r in able.items()}
@@ -181,20 +182,17 @@ def pnl_regression(df: DataFrame, features: list[str], target: str, rounds: int
     Each round's gradient is one aggregation over all rows; the driver takes an Adam step on the weights alone.
     """
     w, m, v, losses = np.full(len(features), 0.1), np.zeros(len(features)), np.zeros(len(features)), []
-    data = df.select(*features, target).cache()
-    try:
-        for k in range(1, rounds + 1):
-            s = sum((F.lit(float(x)) * F.col(c) for x, c in zip(w, features, strict=True)), F.lit(0.0))
-            g, h = F.tanh(slope * s / 2), F.sqrt(s * s + floor)
-            dg = slope / 2 * (1 - g * g)
-            y = F.col(target)
-            row = data.agg(F.sum(y * h * g).alias("a"), F.sum(h).alias("b"), *[F.sum(y * (dg * h + g * s / h) * F.col(c)).alias(f"da{i}") for i, c in enumerate(features)], *[F.sum(s / h * F.col(c)).alias(f"db{i}") for i, c in enumerate(features)]).first()
-            grad = np.array([-(row[f"da{i}"] * row.b - row.a * row[f"db{i}"]) / row.b**2 for i in range(len(features))]) + ridge * w / np.sqrt(w * w + floor)
-            losses.append(-row.a / row.b + ridge * float(np.sqrt(w * w + floor).sum()))
-            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
-            w = w - step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
-    finally:
-        data.unpersist()
+    data = stash(df.select(*features, target), "pnl")
+    for k in range(1, rounds + 1):
+        s = sum((F.lit(float(x)) * F.col(c) for x, c in zip(w, features, strict=True)), F.lit(0.0))
+        g, h = F.tanh(slope * s / 2), F.sqrt(s * s + floor)
+        dg = slope / 2 * (1 - g * g)
+        y = F.col(target)
+        row = data.agg(F.sum(y * h * g).alias("a"), F.sum(h).alias("b"), *[F.sum(y * (dg * h + g * s / h) * F.col(c)).alias(f"da{i}") for i, c in enumerate(features)], *[F.sum(s / h * F.col(c)).alias(f"db{i}") for i, c in enumerate(features)]).first()
+        grad = np.array([-(row[f"da{i}"] * row.b - row.a * row[f"db{i}"]) / row.b**2 for i in range(len(features))]) + ridge * w / np.sqrt(w * w + floor)
+        losses.append(-row.a / row.b + ridge * float(np.sqrt(w * w + floor).sum()))
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        w = w - step * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w.tolist(), losses
 
 

@@ -29,12 +29,13 @@ def centred_levels(price: Column, k: Column, below: int, above: int) -> Column:
     return F.transform(F.sequence(F.lit(-below), F.lit(above)), lambda i: price * F.pow(1 + k, i))
 
 
-def spaced_levels(lower: float, upper: float, n: int, ratio: bool) -> Column:
+def spaced_levels(lower: float | Column, upper: float | Column, n: int, ratio: bool) -> Column:
     """n steps of equal distance, or of equal ratio, from lower to upper."""
     i = F.sequence(F.lit(0), F.lit(n))
+    low, high = (x if isinstance(x, Column) else F.lit(x) for x in (lower, upper))
     if ratio:
-        return F.transform(i, lambda x: F.lit(lower) * F.pow(F.lit(upper / lower), x / n))
-    return F.transform(i, lambda x: F.lit(lower) + (upper - lower) / n * x)
+        return F.transform(i, lambda x: low * F.pow(high / low, x / n))
+    return F.transform(i, lambda x: low + (high - low) / n * x)
 
 
 def bucket_of(levels: Column, price: Column) -> Column:

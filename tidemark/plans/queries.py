@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import special
 from ..operators import asof, bars as B, evaluation, fits, grid, indicators, micro, portfolio, signals as S, simulate, stats, swings
+from ..operators.shared import stash
 from ..sources import klines
 from .registry import QUERIES, SQL, query, r, r6, rounded
 from .views import BARS, TRADES, bars, number_bars, table, trades
@@ -112,10 +113,13 @@ def klines_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return rounded(klines.clean(raw.unionByName(header)))
 
 
-@query("""SELECT 'BTCUSDT' AS symbol, '1h' AS interval, 'monthly' AS period, strftime(m, '%Y-%m') AS stamp, 'monthly/BTCUSDT/1h/BTCUSDT-1h-' || strftime(m, '%Y-%m') || '.zip' AS file FROM (SELECT unnest(generate_series(DATE '2024-11-01', DATE '2025-02-01', INTERVAL 1 MONTH)) AS m)
-UNION ALL SELECT 'BTCUSDT', '1h', 'daily', strftime(m, '%Y-%m-%d'), 'daily/BTCUSDT/1h/BTCUSDT-1h-' || strftime(m, '%Y-%m-%d') || '.zip' FROM (SELECT unnest(generate_series(DATE '2025-03-01', DATE '2025-03-09', INTERVAL 1 DAY)) AS m)""")
+@query("""WITH s AS (SELECT 'S' || c_custkey AS symbol FROM customer), p AS (SELECT 'monthly' AS period, strftime(m, '%Y-%m') AS stamp FROM (SELECT unnest(generate_series(DATE '2024-11-01', DATE '2025-02-01', INTERVAL 1 MONTH)) AS m)
+UNION ALL SELECT 'daily', strftime(m, '%Y-%m-%d') FROM (SELECT unnest(generate_series(DATE '2025-03-01', DATE '2025-03-09', INTERVAL 1 DAY)) AS m))
+SELECT symbol, '1h' AS interval, period, stamp, period || '/' || symbol || '/1h/' || symbol || '-1h-' || stamp || '.zip' AS file FROM s, p""")
 def archive_files(spark: SparkSession, d: str) -> DataFrame:
-    return klines.archive_files(spark, "BTCUSDT", "1h", date(2024, 11, 17), date(2025, 3, 20), date(2025, 3, 10))
+    """The files of each customer as a symbol."""
+    symbols = table(spark, d, "customer").select(F.concat(F.lit("S"), F.col("c_custkey").cast("string")).alias("symbol"))
+    return klines.archive_files(symbols, "1h", date(2024, 11, 17), date(2025, 3, 20), date(2025, 3, 10))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'BTCUSDT' ELSE 'ETHEUR' || c_custkey END AS symbol FROM customer")
@@ -411,10 +415,13 @@ def range_volatility(spark: SparkSession, d: str) -> DataFrame:
 # ---- grids
 
 
-@query("WITH RECURSIVE g AS (SELECT 0 AS i, 800.0::DOUBLE AS l, s FROM (VALUES (0.01::DOUBLE), (0.05)) t(s) UNION ALL SELECT i + 1, l * (1 + s), s FROM g WHERE l <= 1200) SELECT s AS grid_size, i::INT AS i, round(l, 6) AS level FROM g")
+@query("""WITH RECURSIVE g AS (SELECT p_partkey, 0 AS i, p_retailprice::DOUBLE * 0.8 AS l, p_retailprice::DOUBLE * 1.2 AS top, 0.02::DOUBLE + p_partkey % 4 * 0.01::DOUBLE AS s FROM part UNION ALL SELECT p_partkey, i + 1, l * (1 + s), top, s FROM g WHERE l <= top)
+SELECT p_partkey, round(s, 6) + 0.0 AS grid_size, i::INT AS i, round(l, 6) + 0.0 AS level FROM g""")
 def grid_levels(spark: SparkSession, d: str) -> DataFrame:
-    sizes = spark.createDataFrame([(0.01,), (0.05,)], "grid_size double")
-    return sizes.select("grid_size", F.posexplode(grid.geometric_levels(F.lit(800.0), F.lit(1200.0), F.col("grid_size"))).alias("i", "level")).withColumn("level", F.round("level", 6))
+    """Levels around each part's price."""
+    p, size = F.col("p_retailprice").cast("double"), F.lit(0.02) + F.col("p_partkey") % 4 * F.lit(0.01)
+    rows = table(spark, d, "part").select("p_partkey", size.alias("grid_size"), (p * 0.8).alias("low"), (p * 1.2).alias("top"))
+    return rounded(rows.select("p_partkey", "grid_size", F.posexplode(grid.geometric_levels(F.col("low"), F.col("top"), F.col("grid_size"))).alias("i", "level")))
 
 
 @query(f"""WITH RECURSIVE {BARS}, sizes AS (SELECT round(0.003::DOUBLE + k * 0.001::DOUBLE, 3) AS s FROM range(0, 98) g(k)), lv AS (SELECT s, 500.0::DOUBLE AS l FROM sizes UNION ALL SELECT s, l * (1 + s) FROM lv WHERE l <= 2000),
@@ -431,9 +438,10 @@ def grid_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rounded(grid.crossing_sweep(bars(spark, d), grid.sweep_sizes(spark), 500.0, 2000.0, 0.0008))
 
 
-@query("SELECT m::DOUBLE AS m, n::INT AS n, m / n * (n / 2) * (n / 2 + 1) / 2 AS p_u, m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2) AS l_l, (m / n * (n / 2) * (n / 2 + 1) / 2 - m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2)) / 2 AS expected, n ** 2 / 8 - n / 4 AS cycles, n ** 2 / 4 AS e0 FROM (VALUES (600.0::DOUBLE, 6.0::DOUBLE), (1000.0, 10.0)) t(m, n)")
+@query("SELECT p_partkey, m::DOUBLE AS m, n::INT AS n, m / n * (n / 2) * (n / 2 + 1) / 2 AS p_u, m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2) AS l_l, (m / n * (n / 2) * (n / 2 + 1) / 2 - m / n * ((n / 2) ** 2 + (n / 2 - 1) * (n / 2) / 2)) / 2 AS expected, n ** 2 / 8 - n / 4 AS cycles, n ** 2 / 4 AS e0 FROM (SELECT p_partkey, p_retailprice::DOUBLE AS m, 2.0 * p_size AS n FROM part)")
 def grid_closed_forms(spark: SparkSession, d: str) -> DataFrame:
-    return grid.closed_forms(spark.createDataFrame([(600.0, 6), (1000.0, 10)], "m double, n int"))
+    """Profit and loss of a grid on each part's price, with twice its size as grids."""
+    return grid.closed_forms(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").cast("double").alias("m"), (2 * F.col("p_size")).cast("int").alias("n")))
 
 
 def grid_sql(k: str, n: int, money: str, dynamic: bool) -> str:
@@ -764,11 +772,11 @@ def sizing(spark: SparkSession, d: str) -> DataFrame:
     return rounded(c.select("c_custkey", *[v.alias(k) for k, v in var.items()], special.kelly(F.lit(0.5) + F.col("c_custkey") % 5 / 20.0).alias("kelly")))
 
 
-@query(f"""WITH x AS (SELECT k / 3.0::DOUBLE AS x FROM range(1, 60) t(k)), s AS (SELECT x, list_reduce(list_prepend(struct_pack(k := 0, t := 1.0::DOUBLE, s := 1.0::DOUBLE), list_transform(range(1, 41), lambda k: struct_pack(k := k::INT, t := 0.0::DOUBLE, s := 0.0::DOUBLE))), lambda a, b: struct_pack(k := b.k, t := a.t * -x * x / 4 / (b.k * b.k), s := a.s + a.t * -x * x / 4 / (b.k * b.k))).s AS near FROM x)
+@query(f"""WITH x AS (SELECT DISTINCT ((p_size + p_partkey % 30) % 59 + 1) / 3.0::DOUBLE AS x FROM part), s AS (SELECT x, list_reduce(list_prepend(struct_pack(k := 0, t := 1.0::DOUBLE, s := 1.0::DOUBLE), list_transform(range(1, 41), lambda k: struct_pack(k := k::INT, t := 0.0::DOUBLE, s := 0.0::DOUBLE))), lambda a, b: struct_pack(k := b.k, t := a.t * -x * x / 4 / (b.k * b.k), s := a.s + a.t * -x * x / 4 / (b.k * b.k))).s AS near FROM x)
 SELECT round(x, 6) + 0.0 AS x, round(CASE WHEN x < 12 THEN near ELSE sqrt(2 / (pi() * x)) * ((1 - 9 / (128 * x ** 2) + 3675 / (32768 * x ** 4)) * cos(x - pi() / 4) - (-1 / (8 * x) + 75 / (1024 * x ** 3)) * sin(x - pi() / 4)) END, 6) + 0.0 AS j0, round(lgamma(x), 6) + 0.0 AS ln_gamma, round({cdf_sql('(x - 10)')}, 6) + 0.0 AS cdf,
 round(1 - 2 * x + x * x / 2, 6) + 0.0 AS kummer, round(x * (1 - 2 / (9 * x) + 1.6448536269514722 * sqrt(2 / (9 * x))) ** 3, 6) + 0.0 AS chi2, round(0.9 * (1 + (exp(-0.5 * x) - 1) / (0.5 * x)), 6) + 0.0 AS epps FROM s""")
 def special_functions(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.range(1, 60).select((F.col("id") / 3).alias("x"))
+    x = table(spark, d, "part").select((((F.col("p_size") + F.col("p_partkey") % 30) % 59 + 1) / 3).alias("x")).distinct()
     return rounded(x.select("x", special.bessel_j0(F.col("x")).alias("j0"), special.ln_gamma(F.col("x")).alias("ln_gamma"), special.norm_cdf(F.col("x") - 10).alias("cdf"), special.kummer(-2, 1.0, F.col("x")).alias("kummer"), special.chi2_critical(F.col("x")).alias("chi2"), special.epps_curve(F.lit(0.9), F.lit(0.5), F.col("x")).alias("epps")))
 
 
@@ -905,30 +913,10 @@ def forward_after_range(spark: SparkSession, d: str) -> DataFrame:
     return rounded(fits.forward_after(swings.scan_tr(swings.zigzag(b, 0.008), swings.tr_rule_prose), b, 5))
 
 
-@query()
-def simulated_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Final values of each simulator over a few paths."""
-    made = {
-        "gbm": simulate.gbm(spark, 20, 50, 0.05, 0.2), "merton": simulate.merton(spark, 20, 50, 0.05, 0.2, 1.0, -0.1, 0.05), "garch": simulate.garch(spark, 20, 50, 1e-6, 0.1, 0.85),
-        "vg": simulate.variance_gamma(spark, 20, 50, 0.0, 0.2, -0.1, 0.2), "ou": simulate.ornstein_uhlenbeck(spark, 20, 50, 2.0, 0.0, 0.3), "hawkes": simulate.hawkes_thinning(spark, 20, 50.0, 0.5, 0.5, 1.0),
-    }
-    out = None
-    for name, df in made.items():
-        part = df.groupBy("path").agg(F.max_by("value", "step").alias("last"), F.count("*").alias("n")).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query()
-def herding_volume(spark: SparkSession, d: str) -> DataFrame:
-    """Correlation of |return| and volume by coupling."""
-    return simulate.herding(spark, [0.5, 0.9, 1.2, 1.5], 2000, 200, 0.3).groupBy("xi").agg(F.corr(F.abs("ret"), "volume").alias("corr"))
-
-
 @query()
 def grid_search(spark: SparkSession, d: str) -> DataFrame:
     """Grid size with the largest profit on each symbol, by the swarm."""
-    b = bars(spark, d).cache()
+    b = stash(bars(spark, d), "bars")
 
     def fitness(population: DataFrame) -> DataFrame:
         sizes = population.select(F.col("key").alias("symbol"), "id", F.col("x")[0].alias("grid_size"))
@@ -937,7 +925,6 @@ def grid_search(spark: SparkSession, d: str) -> DataFrame:
 
     symbols = sorted(x.symbol for x in b.select("symbol").distinct().collect())
     found = simulate.swarms(fitness, spark, symbols, [0.003], [0.1])
-    b.unpersist()
     return spark.createDataFrame([(s, x[0], y) for s, (x, y) in found.items()], "symbol string, grid_size double, profit double")
 
 
@@ -948,4 +935,4 @@ def pnl_weights(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([("r", w[0]), ("v", w[1])], "feature string, weight double")
 
 
-from . import studies  # noqa: E402, F401 (registers its queries)
+from . import models, studies  # noqa: E402, F401 (they register their queries)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import special
+from ..operators.shared import shared_folder
 from ..operators import bars as B, evaluation, fits, grid, micro, portfolio, signals as S, stats, swings
 from ..sources import klines
 from ..streaming import jobs
@@ -269,15 +270,13 @@ def option_buckets(spark: SparkSession, d: str) -> DataFrame:
 # ---- grids and accounts
 
 
-@query("SELECT n::INT AS n, i::INT AS i, round(500 + i * 1500 / n, 6) + 0.0 AS even, round(500 * 4.0 ** (i / n), 6) + 0.0 AS ratio FROM (VALUES (5), (10)) t(n), range(0, 11) g(i) WHERE i <= n")
+@query("SELECT p_partkey, n::INT AS n, i::INT AS i, round(p + i * 3 * p / n, 6) + 0.0 AS even, round(p * 4.0 ** (i / n), 6) + 0.0 AS ratio FROM (SELECT p_partkey, p_retailprice::DOUBLE AS p FROM part) x, (VALUES (5), (10)) t(n), range(0, 11) g(i) WHERE i <= n")
 def spaced_grids(spark: SparkSession, d: str) -> DataFrame:
-    """Grids of equal distance and of equal ratio."""
-    out = None
-    for n in (5, 10):
-        both = spark.range(1).select(F.posexplode(F.arrays_zip(grid.spaced_levels(500.0, 2000.0, n, False).alias("even"), grid.spaced_levels(500.0, 2000.0, n, True).alias("ratio"))).alias("i", "x"))
-        part = both.select(F.lit(n).alias("n"), "i", r(F.col("x.even"), "even"), r(F.col("x.ratio"), "ratio"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Grids of equal distance and of equal ratio from each part's price to four times it."""
+    p = F.col("p_retailprice").cast("double")
+    kinds = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.arrays_zip(grid.spaced_levels(p, 4 * p, n, False).alias("even"), grid.spaced_levels(p, 4 * p, n, True).alias("ratio")).alias("levels")) for n in (5, 10)]))
+    rows = table(spark, d, "part").select("p_partkey", kinds.alias("g")).select("p_partkey", "g.n", F.posexplode("g.levels").alias("i", "x"))
+    return rows.select("p_partkey", "n", "i", r(F.col("x.even"), "even"), r(F.col("x.ratio"), "ratio"))
 
 
 @query("SELECT p_partkey, round((p0 / l) ** (1.0 / n_l), 6) + 0.0 AS ratio, round(f0 / ((p0 - (p0 - p0 / (p0 / l) ** (1.0 / n_l)) + l) / 2 * n_l + n_u * p0), 6) + 0.0 AS g_v FROM (SELECT p_partkey, p_retailprice::DOUBLE AS p0, p_retailprice::DOUBLE * 0.7 AS l, 4.0 + p_partkey % 3 AS n_l, (p_partkey % 2)::DOUBLE AS n_u, 5000.0 AS f0 FROM part) x")
@@ -321,14 +320,26 @@ def filled_patterns(spark: SparkSession, d: str) -> DataFrame:
 # ---- streams, run until they have read all there is
 
 
-def drained(spark: SparkSession, df: DataFrame, mode: str) -> DataFrame:
-    """All rows of a bounded stream, by the in-memory sink; for results as small as bars and pivots.  Offsets and state go to
-    the folder that all executors share, where the session names one."""
-    name, shared = f"stream_{uuid4().hex}", spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    writer = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    writer = writer.option("checkpointLocation", f"{shared.rstrip('/')}/{name}") if shared else writer
-    writer.start().awaitTermination()
-    return spark.table(name)
+def drained(df: DataFrame, mode: str) -> DataFrame:
+    """All rows of a bounded stream, as Parquet in the folder that all executors share; its offsets and state go there too.
+
+    In mode complete each batch replaces the rows before it, so the last is the result; in mode append batches add up.  The rows never pass the driver.
+    """
+    spark = df.sparkSession
+    place = f"{shared_folder(spark)}/stream-{uuid4().hex}"
+    empty = spark.createDataFrame([], df.schema)
+
+    def keep(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/rows/{k:09d}")
+
+    writer = df.writeStream.outputMode(mode).foreachBatch(keep).trigger(availableNow=True).option("checkpointLocation", f"{place}/state")
+    query = writer.start()
+    query.awaitTermination()
+    last = query.lastProgress
+    if last is None:
+        return empty
+    parts = [f"{place}/rows/{last['batchId']:09d}"] if mode == "complete" else [f"{place}/rows/*"]
+    return spark.read.schema(df.schema).parquet(*parts)
 
 
 def ticks(spark: SparkSession, d: str) -> DataFrame:
@@ -340,13 +351,13 @@ TICKS = "ticks AS (SELECT event_type AS symbol, ts, event_id AS seq, value AS pr
 
 @query(f"WITH {TICKS} SELECT symbol, time_bucket(INTERVAL '4 hours', ts) AS ts, arg_min(price, (ts, seq)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, seq)) AS close, sum(volume)::BIGINT AS volume FROM ticks GROUP BY 1, 2")
 def stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    return drained(spark, jobs.stream_bars(ticks(spark, d), "4 hours", "60 days"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return drained(jobs.stream_bars(ticks(spark, d), "4 hours", "60 days"), "complete").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @query(f"""WITH {TICKS}, g AS (SELECT *, coalesce(ts >= lag(ts) OVER w + INTERVAL 30 MINUTE, true)::INT AS new FROM ticks WINDOW w AS (PARTITION BY symbol ORDER BY ts, seq)), s AS (SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts, seq) AS k FROM g)
 SELECT symbol, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n, sum(volume)::BIGINT AS volume FROM s GROUP BY symbol, k""")
 def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
-    made = drained(spark, jobs.stream_sessions(ticks(spark, d), "30 minutes", "60 days"), "complete")
+    made = drained(jobs.stream_sessions(ticks(spark, d), "30 minutes", "60 days"), "complete")
     return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
@@ -354,14 +365,14 @@ def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
 def stream_klines(spark: SparkSession, d: str) -> DataFrame:
     """The last update of each 4-hour kline, every trade being an update."""
     updates = ticks(spark, d).select("symbol", F.window("ts", "4 hours")["start"].alias("open_time"), F.col("ts").alias("event_time"), F.col("price").alias("close"), "volume")
-    return drained(spark, jobs.latest_klines(updates, "60 days"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("open_time", "event_time")})
+    return drained(jobs.latest_klines(updates, "60 days"), "complete").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("open_time", "event_time")})
 
 
 @query("WITH RECURSIVE prices AS (SELECT event_type AS symbol, event_id AS bar_idx, value AS high, value AS low FROM events), numbered AS (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar_idx) - 1 AS bar_idx, high, low FROM prices), " + swings_sql(0.9, "numbered", "piv") + " SELECT * FROM piv")
 def stream_swings(spark: SparkSession, d: str) -> DataFrame:
     """Pivots of the values of each event type in order of their ids, from a stream with state."""
     rows = ticks(spark, d).select("symbol", F.col("seq").alias("bar_idx"), F.col("price").alias("high"), F.col("price").alias("low"))
-    return drained(spark, jobs.stream_zigzag(rows, 0.9), "append")
+    return drained(jobs.stream_zigzag(rows, 0.9), "append")
 
 
 @query(f"""WITH RECURSIVE a AS (SELECT event_type AS symbol, event_id AS bar_idx, 100 + value AS close, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS signal, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS k FROM events),
@@ -372,4 +383,4 @@ SELECT symbol, bar_idx, close AS price, signal AS direction, verdict FROM book W
 def stream_admission(spark: SparkSession, d: str) -> DataFrame:
     """Verdicts on every event as an order, from a stream with state."""
     rows = ticks(spark, d).select("symbol", F.col("seq").alias("bar_idx"), (F.lit(100.0) + F.col("price")).alias("price"), F.when(F.col("seq") % 2 == 0, 1).otherwise(-1).cast("int").alias("direction"))
-    return drained(spark, jobs.stream_admission(rows, 15, 1e-2, 13), "append")
+    return drained(jobs.stream_admission(rows, 15, 1e-2, 13), "append")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.bars import resample
+from ..operators.scan import day_of, running_sum
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts, seq, volume, participant, side, price."""
-    w = Window.partitionBy("event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     step = F.expr("CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END * (CAST(round(value * 100) AS BIGINT) DIV 50)")
-    return table(spark, sf_dir, "events").select(
+    moves = table(spark, sf_dir, "events").select(
         F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         F.get_json_object("props", "$.k").cast("long").alias("volume"), (F.col("user_id") % 5).alias("participant"),
-        F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), ((F.lit(100000) + F.sum(step).over(w)) / F.lit(100.0)).alias("price"),
+        F.when(F.col("event_id") % 2 == 0, "buy").otherwise("sell").alias("side"), step.alias("step"),
     )
+    walked = running_sum(moves, ["symbol"], ["ts", "seq"], F.col("step"), day_of("ts"), "walk")
+    return walked.select("symbol", "ts", "seq", "volume", "participant", "side", ((F.lit(100000) + F.col("walk")) / F.lit(100.0)).alias("price"))
 
 
 def bars(spark: SparkSession, sf_dir: str, width: str = "4 hours") -> DataFrame:

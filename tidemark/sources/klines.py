@@ -30,9 +30,9 @@ def clean(raw: DataFrame, symbol: Column | None = None) -> DataFrame:
     return raw.where(t.isNotNull()).select(sym.alias("symbol"), epoch(t).alias("ts"), *[F.expr(f"try_cast({c} AS DOUBLE)").alias(c) for c in ("open", "high", "low", "close", "volume")])
 
 
-def archive_files(spark: SparkSession, symbol: str, interval: str, start: date, end: date, today: date) -> DataFrame:
-    """Files that hold [start, end]: a monthly file for each complete month, daily ones for the current month up to yesterday."""
-    base = spark.createDataFrame([(symbol, interval, start, end, today)], "symbol string, interval string, start date, end date, today date")
+def archive_files(symbols: DataFrame, interval: str, start: date, end: date, today: date) -> DataFrame:
+    """Files that hold [start, end] of each symbol: a monthly file for each complete month, daily ones for the current month up to yesterday."""
+    base = symbols.select("symbol", *[F.lit(v).alias(n) for n, v in (("interval", interval), ("start", start), ("end", end), ("today", today))])
     last = F.least("end", F.date_sub("today", 1))
     month = F.trunc("today", "MM")
     whole = F.expr("CASE WHEN trunc(start, 'MM') <= add_months(trunc(today, 'MM'), -1) AND start <= end THEN sequence(trunc(start, 'MM'), least(trunc(end, 'MM'), add_months(trunc(today, 'MM'), -1)), INTERVAL 1 MONTH) END")

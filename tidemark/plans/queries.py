@@ -547,7 +547,8 @@ def verdict_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def composite_strategy(spark: SparkSession, d: str) -> DataFrame:
-    return S.composite(bars(spark, d), 120)
+    """Forecast by a net of 500 hidden units and 200 rounds per symbol, classified and admitted."""
+    return S.composite(bars(spark, d), 120, forecast=lambda rows, cols: S.net_forecast(rows, cols, 500, 200))
 
 
 @query(TCB.replace("WITH ", "WITH RECURSIVE ", 1) + """, a AS (SELECT symbol, close, signal, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS k FROM s WHERE f = 0.0002),

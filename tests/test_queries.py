@@ -251,6 +251,33 @@ def check_regime_gaps(got, spark):
     assert all(r.replicas == 20 and abs(r.ahead - np.mean(ahead[r.point])) <= 0.051 for r in got.itertuples())
 
 
+def check_arma_baseline(got, spark):
+    b = plain_returns(spark).sort_values("bar_idx")
+    for r in got.itertuples():
+        x = b[b.symbol == r.symbol].ret.to_numpy() * 100
+        long = np.column_stack([np.ones(len(x) - 6), *[x[6 - i : len(x) - i] for i in range(1, 7)]])
+        e = np.full(len(x), np.nan)
+        e[6:] = x[6:] - long @ np.linalg.lstsq(long, x[6:], rcond=None)[0]
+        z = np.column_stack([np.ones(len(x) - 7), x[6:-1], e[6:-1]])
+        beta = np.linalg.lstsq(z, x[7:], rcond=None)[0]
+        f = z @ beta
+        assert (r.constant, r.ar, r.ma) == pytest.approx(tuple(beta), abs=1e-5) and r.n == len(f)
+        assert r.rmse == pytest.approx(np.sqrt(((x[7:] - f) ** 2).mean()), abs=1e-5) and r.rmse <= r.rmse_none + 1e-6
+        assert r.rmse_none == pytest.approx(np.sqrt((x[7:] ** 2).mean()), abs=1e-5) and r.directional == pytest.approx((np.sign(x[7:]) == np.sign(f)).mean(), abs=1e-5)
+
+
+def plain_returns(spark):
+    from tidemark.plans.queries import returns
+
+    return returns(spark, SF).toPandas()
+
+
+def check_component_shares(got, spark):
+    wide = plain_returns(spark).pivot(index="bar_idx", columns="symbol", values="ret").dropna()
+    values = np.sort(np.linalg.eigvalsh(np.corrcoef(wide.to_numpy().T)))[::-1]
+    assert got.sort_values("component").share.to_numpy() == pytest.approx(values / values.sum(), abs=1e-9)
+
+
 def check_hawkes_network(got, spark):
     moves = models.quote_moves(spark, SF).toPandas()
     names = sorted(moves.channel.unique())

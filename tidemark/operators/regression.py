@@ -143,3 +143,47 @@ def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: floa
         if k % every == every - 1:
             rank = stash(rank, "rank")
     return rank.select("v", "rank")
+
+
+def least_squares(rows: DataFrame, by: list[str], features: list[Column], y: Column, ridge: float = 1e-12) -> DataFrame:
+    """Per group of by: coef (array) and n of an ordinary regression: one grouped aggregate of products and a small solve per group."""
+    k = len(features)
+    data = rows.select(*by, *[f.cast("double").alias(f"_x{i}") for i, f in enumerate(features)], y.cast("double").alias("_y")).na.drop(subset=[*[f"_x{i}" for i in range(k)], "_y"])
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    sums = data.groupBy(*by).agg(F.count("*").alias("n"), F.array(*[F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")) for i, j in pairs]).alias("gram"), F.array(*[F.sum(F.col(f"_x{i}") * F.col("_y")) for i in range(k)]).alias("right"))
+    kinds = dict(data.dtypes)
+
+    def solve(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in parts:
+            made = []
+            for r in pdf.itertuples():
+                gram = np.zeros((k, k))
+                for (i, j), v in zip(pairs, r.gram, strict=True):
+                    gram[i, j] = gram[j, i] = v
+                made.append(np.linalg.solve(gram + ridge * np.eye(k) * max(gram.trace() / k, 1e-12), np.array(r.right)).tolist())
+            yield pdf[by].assign(coef=made, n=pdf["n"].to_numpy())
+
+    return sums.mapInPandas(solve, ", ".join([*(f"{b} {kinds[b]}" for b in by), "coef array<double>", "n long"]))
+
+
+def hannan_rissanen(df: DataFrame, x: str, p: int = 1, q: int = 1, long: int = 6, key: str = "symbol", order: str = "bar_idx") -> tuple[DataFrame, DataFrame]:
+    """An ARMA model per key in two regressions: (key, coef, n) with constant, p lags and q lagged shocks; and df with `forecast` of x
+    from the rows before, null where they do not reach.
+
+    The first regression, on so many lags, gives the shocks; the second regresses on lags and lagged shocks.  Lags look a fixed number of rows
+    back; both fits are grouped aggregates.
+    """
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy(order)
+    lags = df.withColumns({f"_l{i}": F.lag(x, i).over(w) for i in range(1, long + 1)})
+    first = least_squares(lags, [key], [F.lit(1.0), *[F.col(f"_l{i}") for i in range(1, long + 1)]], F.col(x)).select(F.col(key).alias("_key"), F.col("coef").alias("_c"))
+    fitted = lags.join(first, F.col(key).eqNullSafe(F.col("_key")), "left")
+    shock = F.col(x) - F.col("_c")[0] - sum((F.col("_c")[i] * F.col(f"_l{i}") for i in range(1, long + 1)), F.lit(0.0))
+    known = fitted.withColumn("_e", shock).drop("_key", "_c")
+    known = stash(known.withColumns({f"_e{i}": F.lag("_e", i).over(w) for i in range(1, q + 1)}), "shocks")
+    features = [F.lit(1.0), *[F.col(f"_l{i}") for i in range(1, p + 1)], *[F.col(f"_e{i}") for i in range(1, q + 1)]]
+    coef = stash(least_squares(known, [key], features, F.col(x)), "arma")
+    met = known.join(coef.select(F.col(key).alias("_key"), "coef"), F.col(key).eqNullSafe(F.col("_key")), "left")
+    made = met.withColumn("forecast", sum((F.col("coef")[i] * f for i, f in enumerate(features)), F.lit(0.0)))
+    return coef, made.select(*df.columns, "forecast")

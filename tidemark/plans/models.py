@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import hawkes, micro, regression
+from ..operators import evaluation, hawkes, regression
 from .queries import DAILY, X_IMPACT, returns
 from .registry import query, r, rounded
 from .studies import impact
@@ -172,3 +172,23 @@ def regime_gaps(spark: SparkSession, d: str, replicas: int = 20) -> DataFrame:
     again = gaps(points, regression.zero_adjusted_gamma(drawn, ["replica"], features, F.col("drawn"), 10))
     ahead = again.groupBy("point").agg(F.avg((F.col("gap_mean") > 0).cast("double")).alias("ahead"), F.count("*").alias("replicas"))
     return gaps(points, model).join(ahead, "point").select("point", r("rv"), r("mom"), "gap_mean", "gap_variance", "n", "ahead", "replicas")
+
+
+@query()
+def arma_baseline(spark: SparkSession, d: str) -> DataFrame:
+    """An ARMA(1, 1) forecast of each symbol's returns: coefficients, error, error of no change, and share of right signs."""
+    coef, made = regression.hannan_rissanen(returns(spark, d).select("symbol", "bar_idx", (F.col("ret") * 100).alias("ret")), "ret")
+    err = F.col("ret") - F.col("forecast")
+    scored = made.where("forecast is not null").groupBy("symbol").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.sqrt(F.avg(F.col("ret") * F.col("ret"))).alias("rmse_none"), F.avg((F.signum("ret") == F.signum("forecast")).cast("double")).alias("directional"))
+    named = coef.select("symbol", F.col("coef")[0].alias("constant"), F.col("coef")[1].alias("ar"), F.col("coef")[2].alias("ma"), "n")
+    return rounded(named.join(scored, "symbol"))
+
+
+@query()
+def component_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of the variance along the principal components of the symbols' returns."""
+    r_ = returns(spark, d)
+    names = sorted(x.symbol for x in r_.select("symbol").distinct().collect())
+    wide = r_.groupBy("bar_idx").pivot("symbol", names).agg(F.first("ret")).na.drop().select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
+    shares = evaluation.principal_shares(wide, wide.columns)
+    return spark.createDataFrame([(i, float(s)) for i, s in enumerate(shares)], "component int, share double")

@@ -29,13 +29,17 @@ def _working(eta: Column, y: Column, family: str) -> tuple[Column, Column, Colum
     if family == "gamma":
         mu = F.exp(eta)
         return F.lit(1.0), eta + (y - mu) / mu, 2 * (y / mu - 1 - F.ln(y / mu))
+    if family == "hinge":
+        short = y * eta < 1
+        return short.cast("double"), y, F.when(short, F.pow(1 - y * eta, 2)).otherwise(0.0)
     raise ValueError(f"no family {family}")
 
 
-def irls(rows: DataFrame, by: list[str], features: list[Column], y: Column, family: str, rounds: int = 25, tolerance: float = 1e-9, ridge: float = 1e-9) -> DataFrame:
+def irls(rows: DataFrame, by: list[str], features: list[Column], y: Column, family: str, rounds: int = 25, tolerance: float = 1e-9, ridge: float = 1e-9, penalty: float = 0.0) -> DataFrame:
     """Per group of by: coef (array, one per feature), n, deviance, pearson (sum of squared relative residuals; gamma).
 
-    family: logit (y is 0 or 1) or gamma with a log link (y above 0).  Rows with a null feature or y are left out; a group
+    family: logit (y is 0 or 1), gamma with a log link (y above 0), or hinge (y is -1 or 1): the support vector machine of squared
+    hinge losses, whose rounds are regressions on the rows inside the margin.  penalty times the squared coefficients is added to the loss.  Rows with a null feature or y are left out; a group
     without full rank leans on the ridge.  Rounds end when no coefficient moves by more than tolerance.
     """
     k = len(features)
@@ -55,7 +59,7 @@ def irls(rows: DataFrame, by: list[str], features: list[Column], y: Column, fami
                 gram = np.zeros((k, k))
                 for (i, j), v in zip(pairs, r.gram, strict=True):
                     gram[i, j] = gram[j, i] = v
-                new = np.linalg.solve(gram + ridge * np.eye(k) * max(gram.trace() / k, 1.0), np.array(r.right))
+                new = np.linalg.solve(gram + (penalty + ridge * max(gram.trace() / k, 1.0)) * np.eye(k), np.array(r.right))
                 moved.append(float(np.abs(new - np.array(r.coef)).max()))
                 made.append(new.tolist())
             yield pdf[by].assign(coef=made, n=pdf["n"].to_numpy(), moved=moved)

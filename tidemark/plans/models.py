@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluation, hawkes, regression
+from ..operators.shared import stash
 from .queries import DAILY, X_IMPACT, returns
 from .registry import query, r, rounded
 from .studies import impact
@@ -192,3 +193,30 @@ def component_shares(spark: SparkSession, d: str) -> DataFrame:
     wide = r_.groupBy("bar_idx").pivot("symbol", names).agg(F.first("ret")).na.drop().select(*[F.col(f"`{n}`").alias(f"c{i}") for i, n in enumerate(names)])
     shares = evaluation.principal_shares(wide, wide.columns)
     return spark.createDataFrame([(i, float(s)) for i, s in enumerate(shares)], "component int, share double")
+
+
+def svm_rows(spark: SparkSession, d: str, window: int = 60, step: int = 20) -> DataFrame:
+    """symbol, fold, bar_idx, training, x1 to x3, side, ret: each bar in the fold it is judged in, and in the up to window / step folds it trains.
+
+    Features are the return before, the mean of the last five, and their spread, in percent; side is the sign of the bar's return.
+    """
+    w = Window.partitionBy("symbol").orderBy("bar_idx")
+    last = w.rowsBetween(-5, -1)
+    bars = returns(spark, d).select("symbol", "bar_idx", (F.col("ret") * 100).alias("ret")).withColumns({"x1": F.lag("ret").over(w), "x2": F.avg("ret").over(last), "x3": F.stddev_samp("ret").over(last), "k": F.count("ret").over(last)})
+    known = bars.where("k = 5").withColumns({"side": F.when(F.col("ret") > 0, 1.0).otherwise(-1.0), "own": F.floor(F.col("bar_idx") / step)})
+    folds = F.sequence(F.col("own"), F.col("own") + window // step)
+    return known.withColumn("fold", F.explode(folds)).withColumn("training", F.col("fold") > F.col("own")).where(F.col("fold") >= window // step).select("symbol", "fold", "bar_idx", "training", "x1", "x2", "x3", "side", "ret")
+
+
+@query()
+def svm_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Support vector machines of rolling windows: per symbol and fold the in-sample 40th and 60th percentiles of the fit, how often the fold's bars go long
+    above and short below them, and the mean return of doing so."""
+    rows = stash(svm_rows(spark, d), "svm")
+    features = [F.lit(1.0), F.col("x1"), F.col("x2"), F.col("x3")]
+    fit = regression.irls(rows.where("training"), ["symbol", "fold"], features, F.col("side"), "hinge", penalty=1.0).select("symbol", "fold", "coef", "n")
+    scored = rows.join(fit, ["symbol", "fold"]).withColumn("score", sum((F.col("coef")[i] * f for i, f in enumerate(features)), F.lit(0.0)))
+    cuts = scored.where("training").groupBy("symbol", "fold").agg(F.percentile("score", 0.4).alias("low"), F.percentile("score", 0.6).alias("high"))
+    sign = F.when(F.col("score") > F.col("high"), 1).when(F.col("score") < F.col("low"), -1).otherwise(0)
+    judged = scored.where("not training").join(cuts, ["symbol", "fold"]).withColumn("sign", sign)
+    return rounded(judged.groupBy("symbol", "fold", "low", "high", "n").agg(F.count_if(F.col("sign") == 1).alias("longs"), F.count_if(F.col("sign") == -1).alias("shorts"), F.avg(F.col("sign") * F.col("ret")).alias("mean_return")))

@@ -184,9 +184,9 @@ def test_range_rules(spark):
     df = spark.createDataFrame([(80.0, 50.0, 65.0, 58.0), (64896.0, 62538.0, 64388.0, 63312.0), (80.0, 50.0, 65.0, 40.0)], "a double, b double, c double, d double")
     p = [F.col(c) for c in "abcd"]
     assert [tuple(r) for r in df.select(swings.tr_rule(*p), swings.tr_rule_prose(*p)).collect()] == [(True, False), (True, False), (False, True)]
-    rate = swings.synthetic_tr(spark, 100_000, False, 9).agg(F.avg(F.col("label").cast("double"))).first()[0]
+    rate = swings.synthetic_tr(spark.range(100_000), False, 9).agg(F.avg(F.col("label").cast("double"))).first()[0]
     assert abs(rate - 1 / 24) < 0.003
-    assert swings.synthetic_tr(spark, 1000, True, 9).where("not label").count() == 0
+    assert swings.synthetic_tr(spark.range(1000), True, 9).where("not label").count() == 0
 
 
 def test_norm100(spark):

@@ -671,9 +671,10 @@ def support_bands(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def synthetic_rates(spark: SparkSession, d: str) -> DataFrame:
     """Accidental range rate (1 in 24), gap ratios, shares of clipped draws, and the fullest of 90 bins of the ratio up to 1.5,
-    over 200,000 draws."""
-    rate = swings.synthetic_tr(spark, 200_000, False, 1).agg(F.avg(F.col("label").cast("double")).alias("relabel"))
-    drawn = swings.synthetic_st(spark, 200_000, 2).where("gap_ratio is not null")
+    over 200 patterns drawn for each event."""
+    drawn_for = table(spark, d, "events").select(F.explode(F.sequence(F.lit(0), F.lit(199))).alias("k"), "event_id").select((F.col("event_id") * 200 + F.col("k")).alias("id"))
+    rate = swings.synthetic_tr(drawn_for, False, 1).agg(F.avg(F.col("label").cast("double")).alias("relabel"))
+    drawn = swings.synthetic_st(drawn_for, 2).where("gap_ratio is not null")
     share = lambda c: F.avg(c.cast("double"))
     gap = drawn.agg(
         F.percentile("gap_ratio", 0.5).alias("median"), share(F.col("gap_ratio") > 1).alias("over_one"), share(F.col("clip_up")).alias("clip_up"),

@@ -44,7 +44,7 @@ def test_queries_on_odd_tables(spark, tmp_path):
     """Null ids and texts, blank and very long texts, repeated rows, clashing columns: one row per document in each result."""
     labels = [(6, 1, 0), (7, 0, 1), (7, 0, 1), (None, 1, 1), (99, 0, 0)]
     path = folder(spark, tmp_path / "odd", cases.ROWS, labels, [(1, "some item that no text has at all"), (2, None), (None, "")], [(None, None, None, None, "c", "k", 1), (3, 1, None, "", "c", "k", 1), (3, 1, None, "", "c", "k", 1)])
-    # conversation 3 loses both its turns and borrows none, so the trie has its root and the turn of the null conversation
+    # conversation 3 loses the first of its repeated turns, and the null conversation has one turn like the other: a root and one node
     for name, query in QUERIES.items():
         n = query(spark, path).count()
         assert n == {"op10": 0, "op11": 2, "op13": 2}.get(name.split("_")[0], len(cases.ROWS)), name

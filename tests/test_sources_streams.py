@@ -1,6 +1,10 @@
 import json
+import threading
 import time
 import zipfile
+from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+from urllib.error import HTTPError
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -62,6 +66,59 @@ def test_paged_history(spark, file_feed):
         loader.history(spark, [feeds.DataRequest("web", "A")], 0, 1)
 
 
+@pytest.fixture
+def endpoint():
+    """A REST server of 250 klines a symbol whose first answer is a refusal."""
+    asked = []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            q = {k: v[0] for k, v in parse_qs(urlparse(self.path).query).items()}
+            asked.append(q)
+            known = q["symbol"] in "AB"
+            self.send_response(503 if len(asked) == 1 else 200 if known else 400)
+            self.end_headers()
+            rows = [kline(k * 3_600_000, 100 + k) for k in range(250) if int(q["startTime"]) <= k * 3_600_000 <= int(q["endTime"])]
+            self.wfile.write(json.dumps(rows[: int(q["limit"])]).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}/klines", asked
+    server.shutdown()
+
+
+def test_http_feed(spark, endpoint, tmp_path):
+    url, asked = endpoint
+    loader = feeds.Loader({"web": feeds.HttpFeed(url, limit=40)})
+    df = loader.history(spark, [feeds.DataRequest("web", "A"), feeds.DataRequest("web", "B", "4h")], 0, 250 * 3_600_000)
+    assert df.count() == 500 and df.select("symbol", "ts").distinct().count() == 500 and df.where("close is null").count() == 0
+    assert {q["interval"] for q in asked} == {"1h", "4h"} and max(int(q["limit"]) for q in asked) == 40
+    with pytest.raises(HTTPError):
+        feeds.http_transport(url, retries=2, wait=0.01)("nothing", "1h", 0, 1, 1)
+    seen = len(asked)
+    with pytest.raises(HTTPError):
+        feeds.http_transport(url, retries=2, wait=0.01)("nothing", "1h", 0, 1, 1)
+    assert len(asked) == seen + 1  # other refusals are not tried again
+
+
+def test_http_stream_and_own_transport(spark, endpoint, tmp_path):
+    stream = feeds.HttpFeed(endpoint[0], limit=100).stream(spark, [feeds.DataRequest("web", "A")])
+    q = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="0 seconds").start(str(tmp_path / "o"))
+    deadline = time.time() + 60
+    while sum(p["numInputRows"] for p in q.recentProgress) < 250 and time.time() < deadline:
+        time.sleep(0.2)
+    q.stop()
+    assert spark.read.parquet(str(tmp_path / "o")).select("ts").distinct().count() == 250
+    row = kline(0, 7)  # a transport of one's own travels with what it closes over
+    own = feeds.TransportFeed("own", lambda options: lambda symbol, interval, start, end, limit: [row] if start < 10 else [])
+    assert [r.open for r in own.history(spark, feeds.DataRequest("own", "A"), 0, 0).collect()] == [7.0]
+    again = feeds.kline_source("x", lambda options: feeds.http_transport(endpoint[0]))({"symbol": "A", "limit": "30"}).simpleStreamReader(None)
+    assert len([*again.readBetweenOffsets({"at": 0}, {"at": 200 * 3_600_000})]) == 200
+
+
 def test_cached_table(spark, tmp_path):
     made = []
     for _ in range(2):

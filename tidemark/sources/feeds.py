@@ -1,15 +1,19 @@
-"""Feeds: an interface for history and stream, registered sources, and a Spark data source that pages through a transport.
+"""Feeds: an interface for history and stream, registered sources, and Spark data sources that page through a transport.
 
-There is no network here, so a transport is given: a callable (symbol, interval, start_ms, end_ms, limit) -> rows of
-raw klines.  The file transport below reads JSON-lines and serves tests and replays; an HTTP one has the same form.
+A transport is a callable (symbol, interval, start_ms, end_ms, limit) -> rows of raw klines in order of time.  kline_source() makes a data source of
+any function that opens one; Spark ships it to the executors with the source.  http_transport() asks a REST endpoint, file_transport() reads JSON-lines.
 """
 
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.error import HTTPError, URLError
+from urllib.parse import urlencode
+from urllib.request import urlopen
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition,
 from .klines import RAW, clean
 
 Transport = Callable[[str, str, int, int, int], list[list]]
+#: Opens a transport from a reader's options.
+Connect = Callable[[dict], Transport]
 RAW_DDL = ", ".join(f"{c} string" for c in [*RAW, "symbol"])
 
 
@@ -31,22 +37,50 @@ class DataRequest:
 
 
 def file_transport(path: str) -> Transport:
-    """Klines from a JSON-lines file of [symbol, open_time, ...] rows ordered by time."""
+    """Klines from a JSON-lines file of [symbol, open_time, ...] rows ordered by time.
+
+    The place where a symbol's last page ended is kept, so the pages of one reader take one pass over the file.
+    """
+    ends: dict[str, tuple[int, int]] = {}
 
     def fetch(symbol: str, interval: str, start: int, end: int, limit: int) -> list[list]:
         out: list[list] = []
-        with open(path, encoding="utf-8") as lines:
-            for line in lines:
+        last, at = ends.get(symbol, (-1, 0))
+        with open(path, "rb") as lines:
+            lines.seek(at if start > last else 0)
+            while len(out) < limit and (line := lines.readline()):
                 row = json.loads(line)
                 if row[0] == symbol and start <= int(row[1]) <= end:
                     out.append(row[1:])
-                    if len(out) == limit:
-                        break
+            if out:
+                ends[symbol] = int(out[-1][0]), lines.tell()
         return out
 
     return fetch
 
 
+def http_transport(url: str, timeout: float = 30.0, retries: int = 4, wait: float = 0.5) -> Transport:
+    """Klines from a REST endpoint that takes symbol, interval, startTime, endTime and limit and answers with a JSON list of rows.
+
+    Refusals for load (429, 5xx) and broken connections are tried again after waits that double; other errors are raised.
+    """
+
+    def fetch(symbol: str, interval: str, start: int, end: int, limit: int) -> list[list]:
+        asked = f"{url}?{urlencode({'symbol': symbol, 'interval': interval, 'startTime': start, 'endTime': end, 'limit': limit})}"
+        for attempt in range(retries + 1):
+            try:
+                with urlopen(asked, timeout=timeout) as answer:
+                    return json.load(answer)
+            except (URLError, ConnectionError, TimeoutError) as error:
+                passing = not isinstance(error, HTTPError) or error.code == 429 or error.code >= 500
+                if attempt == retries or not passing:
+                    raise
+                time.sleep(wait * 2**attempt)
+        raise AssertionError
+
+    return fetch
+
+
 def pages(fetch: Transport, symbol: str, interval: str, start: int, end: int, limit: int = 1000) -> Iterator[tuple]:
     """Rows page by page: the cursor goes to the last close_time + 1 until a page is empty or short."""
     cursor = start
@@ -65,8 +99,8 @@ class _Slice(InputPartition):
 
 
 class _KlineReader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.o = options
+    def __init__(self, options: dict, connect: Connect) -> None:
+        self.o, self.connect = options, connect
 
     def partitions(self) -> list[InputPartition]:
         """Equal slices of time, so that executors page through them side by side."""
@@ -75,43 +109,57 @@ class _KlineReader(DataSourceReader):
         return [_Slice(a, min(a + step - 1, end)) for a in range(start, end + 1, step)]
 
     def read(self, partition: _Slice) -> Iterator[tuple]:
-        yield from pages(file_transport(self.o["path"]), self.o["symbol"], self.o.get("interval", "1h"), partition.start, partition.end, int(self.o.get("limit", 1000)))
+        yield from pages(self.connect(self.o), self.o["symbol"], self.o.get("interval", "1h"), partition.start, partition.end, int(self.o.get("limit", 1000)))
 
 
 class _KlineStream(SimpleDataSourceStreamReader):
-    """Serves the file's rows in batches of `limit`; the offset is the next time to ask for."""
+    """Serves rows in batches of `limit`; the offset is the next time to ask for, so a restart asks for what was not kept."""
+
+    def __init__(self, options: dict, connect: Connect) -> None:
+        self.o, self.fetch = options, connect(options)
+
+    def _rows(self, start: int, end: int, limit: int) -> list[list]:
+        return self.fetch(self.o["symbol"], self.o.get("interval", "1h"), start, end, limit)
 
-    def __init__(self, options: dict) -> None:
-        self.o = options
+    def _tuples(self, rows: list[list]) -> Iterator[tuple]:
+        return iter([(*[str(v) for v in r], self.o["symbol"]) for r in rows])
 
     def initialOffset(self) -> dict:  # noqa: N802
         return {"at": int(self.o.get("start", 0))}
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = file_transport(self.o["path"])(self.o["symbol"], self.o.get("interval", "1h"), start["at"], 2**62, int(self.o.get("limit", 1000)))
-        end = {"at": int(rows[-1][0]) + 1} if rows else start
-        return iter([(*[str(v) for v in r], self.o["symbol"]) for r in rows]), end
+        rows = self._rows(start["at"], 2**53, int(self.o.get("limit", 1000)))
+        return self._tuples(rows), {"at": int(rows[-1][0]) + 1} if rows else start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:  # noqa: N802
-        rows = file_transport(self.o["path"])(self.o["symbol"], self.o.get("interval", "1h"), start["at"], end["at"] - 1, 2**31)
-        return iter([(*[str(v) for v in r], self.o["symbol"]) for r in rows])
+        """A batch anew after a failure: page by page, as an endpoint may give less than was served before."""
+        at, limit = start["at"], int(self.o.get("limit", 1000))
+        while at < end["at"] and (rows := self._rows(at, end["at"] - 1, limit)):
+            yield from self._tuples(rows)
+            at = int(rows[-1][0]) + 1
+
 
+def kline_source(source: str, connect: Connect) -> type[DataSource]:
+    """A data source for spark.read.format(source) and spark.readStream.format(source), after spark.dataSource.register().
 
-class KlineSource(DataSource):
-    """spark.read.format('klines') and spark.readStream.format('klines')."""
+    connect(options) opens a transport, in the task that reads; it travels with what it closes over, but modules it names must be there on the executors.
+    """
 
-    @classmethod
-    def name(cls) -> str:
-        return "klines"
+    class Source(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return source
 
-    def schema(self) -> str:
-        return RAW_DDL
+        def schema(self) -> str:
+            return RAW_DDL
 
-    def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _KlineReader(dict(self.options))
+        def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
+            return _KlineReader(dict(self.options), connect)
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: ANN001, N802
-        return _KlineStream(dict(self.options))
+        def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:  # noqa: ANN001, N802
+            return _KlineStream(dict(self.options), connect)
+
+    return Source
 
 
 class Feed:
@@ -124,29 +172,47 @@ class Feed:
         raise NotImplementedError
 
 
-class FileFeed(Feed):
-    """Replays klines from a file through the data source."""
+class TransportFeed(Feed):
+    """Klines of any transport: TransportFeed("venue", lambda options: http_transport(options["url"]), url=...)."""
 
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, source: str, connect: Connect, **options: object) -> None:
+        self.source, self.connect, self.options = source, connect, options
 
     def _load(self, reader, request: DataRequest, **options: object):  # noqa: ANN001, ANN202
-        for k, v in {"path": self.path, "symbol": request.symbol, "interval": request.timeframe, **options}.items():
+        for k, v in {**self.options, "symbol": request.symbol, "interval": request.timeframe, **options}.items():
             reader = reader.option(k, str(v))
         return reader.load()
 
+    def _register(self, spark: SparkSession) -> None:
+        spark.dataSource.register(kline_source(self.source, self.connect))
+
     def history(self, spark: SparkSession, request: DataRequest, start: int, end: int) -> DataFrame:
-        spark.dataSource.register(KlineSource)
-        return clean(self._load(spark.read.format("klines"), request, start=start, end=end))
+        self._register(spark)
+        return clean(self._load(spark.read.format(self.source), request, start=start, end=end))
 
     def stream(self, spark: SparkSession, requests: list[DataRequest]) -> DataFrame:
-        spark.dataSource.register(KlineSource)
+        self._register(spark)
         # one source has one timeframe, that of its first request
         same = [DataRequest(r.source, r.symbol, requests[0].timeframe) for r in requests]
-        parts = [clean(self._load(spark.readStream.format("klines"), r)).withColumn("source", F.lit(r.source)) for r in same]
+        parts = [clean(self._load(spark.readStream.format(self.source), r)).withColumn("source", F.lit(r.source)) for r in same]
         return reduce(DataFrame.unionByName, parts)
 
 
+class FileFeed(TransportFeed):
+    """Replays klines from a file."""
+
+    def __init__(self, path: str) -> None:
+        super().__init__("klines", lambda options: file_transport(options["path"]), path=path)
+        self.path = path
+
+
+class HttpFeed(TransportFeed):
+    """Klines of a REST endpoint; its stream polls for what came since the last batch."""
+
+    def __init__(self, url: str, **options: object) -> None:
+        super().__init__("http_klines", lambda options: http_transport(options["url"]), url=url, **options)
+
+
 class Loader:
     """Requests to any registered feeds, as one long table or one stream."""
 

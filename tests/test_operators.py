@@ -1,3 +1,5 @@
+import dataclasses
+import json
 import math
 import random
 
@@ -445,3 +447,51 @@ def test_running_values_compose_over_blocks(spark):
         both = scan.running_last(both, ["symbol"], [-F.col("t")], "v", block, "a", forward=False, rows=False).collect()
         plain = one.withColumns({"b": F.last("v", True).over(before), "a": F.last("v", True).over(after)}).select("symbol", "t", "v", "b", "a").collect()
         assert {tuple(r) for r in both} == {tuple(r) for r in plain}
+
+
+def wide_bars(spark, seed):
+    """Bars of three symbols, some of them as wide as a reversal; Z goes nowhere for hundreds of bars, and one has a single bar."""
+    rng, rows = random.Random(seed), [("one", 0, 5.0, 5.0)]
+    for s, vol, wide in (("A", 0.01, 0.0), ("B", 0.004, 0.02), ("Z", 0.0002, 0.0)):
+        x = 100.0
+        for k in range(700):
+            x *= 1 + rng.gauss(0, vol)
+            rows.append((s, k, round(x * (1 + abs(rng.gauss(0, wide))), 1 + 2 * (s == "Z")), round(x * (1 - abs(rng.gauss(0, wide))), 1 + 2 * (s == "Z"))))
+    rng.shuffle(rows)
+    return spark.createDataFrame([*rows, (None, 0, 5.0, 5.0), (None, 1, 6.0, 5.9)], "symbol string, bar_idx long, high double, low double"), rows
+
+
+@pytest.mark.parametrize("block", [60, 200, 4096])
+def test_swings_in_blocks(spark, block):
+    bars_, rows = wide_bars(spark, block)
+    want = []
+    for s in ("A", "B", "Z"):
+        chain, n = swings.ZigZag(0.02), 0
+        for _, _, high, low in sorted(r for r in rows if r[0] == s):
+            if p := chain.push(high, low):
+                want.append((s, n, *p))
+                n += 1
+    assert len(want) > 100
+    got = swings.zigzag(bars_, 0.02, block).collect()
+    assert sorted(tuple(r) for r in got if r.symbol) == want
+    assert [tuple(r) for r in got if r.symbol is None] == [(None, 0, 0, 5.0, "L", 1)]
+    assert swings.zigzag(bars_.limit(0), 0.02, block).count() == 0
+
+
+def test_block_summaries_tell_the_next_leg():
+    """For random blocks and the legs that truly enter them: a summary tells the leg after the block, or says that it cannot."""
+    told = 0
+    for seed in range(300):
+        rng, x, rows = random.Random(seed), 100.0, []
+        vol, wide, pct, size = rng.choice([0.001, 0.01, 0.03]), rng.choice([0, 0.002, 0.03]), rng.choice([0.005, 0.02]), rng.choice([1, 3, 20, 50])
+        for k in range(200):
+            x *= 1 + rng.gauss(0, vol)
+            rows.append((k, round(x * (1 + abs(rng.gauss(0, wide))), seed % 3), round(x * (1 - abs(rng.gauss(0, wide))), seed % 3)))
+        legs = []
+        for b in range(0, len(rows), size):
+            entered, made = [dataclasses.astuple(leg) for leg in legs], swings._summary(rows[b : b + size], pct)
+            _, legs = swings._run(rows[b : b + size], pct, legs)
+            after = swings._through(json.loads(json.dumps(made)), entered, pct) if entered else None
+            assert after is None or after == [dataclasses.astuple(leg) for leg in legs]
+            told += after is not None
+    assert told > 5000

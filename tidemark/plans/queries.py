@@ -642,7 +642,7 @@ def secondary_test_sweep(spark: SparkSession, d: str) -> DataFrame:
 @query("WITH RECURSIVE " + BARS + "".join(", " + swings_sql(pct, name=f"p{k}") for k, pct in enumerate((0.008, 0.01, 0.015, 0.02, 0.03))) + " " + " UNION ALL ".join(f"SELECT symbol, count(*) AS windows, count_if(valid)::BIGINT AS rule, count_if(prose)::BIGINT AS prose, {pct}::DOUBLE AS pct FROM tr_p{k} GROUP BY 1" for k, pct in enumerate((0.008, 0.01, 0.015, 0.02, 0.03))))
 def swing_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Windows and hits of both range rules by reversal threshold."""
-    b, out = bars(spark, d), None
+    b, out = stash(bars(spark, d), "bars"), None
     for pct in (0.008, 0.01, 0.015, 0.02, 0.03):
         p = swings.zigzag(b, pct)
         made = swings.scan_tr(p).join(swings.scan_tr(p, swings.tr_rule_prose).select("symbol", "pivot_seq", F.col("valid").alias("prose")), ["symbol", "pivot_seq"])

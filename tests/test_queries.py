@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import micro, signals as S
 from tidemark.plans import models, studies
-from tidemark.plans.queries import QUERIES, SQL, daily
+from tidemark.plans.queries import QUERIES, SQL, daily, returns
 from tidemark.plans.views import bars, trades
 
 SF = "/root/testdata/sf0.001"
@@ -367,6 +367,35 @@ def check_grid_search(got, spark):
         assert r.profit >= 0.97 * max(plain_profit(own, round(0.003 + k / 1000, 3)) for k in range(98)), r.symbol
 
 
+def t_loglik(x, mu, sigma, beta):
+    z = (x - mu) / sigma
+    return float((math.lgamma((beta + 1) / 2) - math.lgamma(beta / 2) - 0.5 * math.log(beta * math.pi) - math.log(sigma) - (beta + 1) / 2 * np.log1p(z * z / beta)).sum())
+
+
+def same_law(r, x):
+    """The likelihood is that of the values, and none near the law found or on a wide grid is above it."""
+    top = t_loglik(x, r.mu, r.sigma, r.beta)
+    assert r.n == len(x) and r.loglik == pytest.approx(top, abs=1e-6)
+    near = [t_loglik(x, r.mu + a * r.sigma, r.sigma * math.exp(b), min(200.0, r.beta * math.exp(c))) for a in (-0.02, 0, 0.02) for b in (-0.02, 0, 0.02) for c in (-0.05, 0, 0.05)]
+    wide = [t_loglik(x, m, s * x.std(), b) for m in (np.median(x), x.mean()) for s in np.linspace(0.1, 1.2, 23) for b in (0.5, 1, 2, 3, 5, 10, 30, 200)]
+    assert top >= max(near + wide) - 1e-6
+
+
+def check_return_law(got, spark):
+    x = returns(spark, SF).select("symbol", "ret").toPandas().dropna()
+    assert set(got.symbol) == set(x.symbol)
+    for r in got.itertuples():
+        same_law(r, x[x.symbol == r.symbol].ret.to_numpy() * 100)
+
+
+def check_spectrum_law(got, spark):
+    edges = studies.impact(spark, SF, 1.5).toPandas()
+    u, _, vt = np.linalg.svd(edges.pivot(index="i", columns="j", values="mean").fillna(0).to_numpy())
+    for r in got.itertuples():
+        same_law(r, (u if r.side == "left" else vt).ravel())
+    assert sorted(got.side) == ["left", "right"]
+
+
 @pytest.mark.parametrize("name", [q for q in QUERIES if q not in SQL])
 def test_query_without_sql_equals_its_plain_version(spark, name):
     globals()[f"check_{name}"](QUERIES[name](spark, SF).toPandas(), spark)

@@ -35,22 +35,25 @@ def grid_asof(points: DataFrame, value: str, seconds: int) -> DataFrame:
     return spans.where("_b >= _a").select("symbol", F.explode(F.sequence("_a", "_b")).alias("_g"), value).select("symbol", F.timestamp_seconds(F.col("_g") * seconds).alias("ts"), value)
 
 
-def bracket_quotes(trades: DataFrame, quotes: DataFrame, pairs: DataFrame) -> DataFrame:
+def bracket_quotes(trades: DataFrame, quotes: DataFrame, pairs: DataFrame, keep: list[str] | None = None, times: bool = False) -> DataFrame:
     """For each pair (i, j) and trade of j: the last quote of i before it and the first one after it.
 
     pairs is (i, j).  A union per pair and two running values, in blocks of a day.  Quotes of one
-    instant count in the order of their seq, where they have one.
+    instant count in the order of their seq, where they have one.  keep names more columns of the trades; times adds the instants of both quotes in microseconds.
     """
     by = F.col("seq") if "seq" in quotes.columns else F.lit(0)
-    none = F.lit(None).cast("double")
+    us, more = F.unix_micros("ts"), keep or []
+    quote = lambda price: F.struct(price.alias("price"), us.alias("us")) if times else price
     q = quotes.groupBy("symbol", "ts").agg(F.max_by("price", by).alias("last"), F.min_by("price", by).alias("first")).join(pairs.withColumnRenamed("i", "symbol"), "symbol")
-    q = q.select(F.col("symbol").alias("i"), "j", "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("side"), "last", "first")
-    t = trades.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select("i", F.col("symbol").alias("j"), "ts", F.lit(1).alias("_side"), "seq", "side", none.alias("last"), none.alias("first"))
+    kinds = {f.name: f.dataType for f in trades.schema}
+    q = q.select(F.col("symbol").alias("i"), "j", "ts", F.lit(0).alias("_side"), F.lit(None).cast("long").alias("seq"), F.lit(None).cast("string").alias("side"), *[F.lit(None).cast(kinds[c]).alias(c) for c in more], quote(F.col("last")).alias("last"), quote(F.col("first")).alias("first"))
+    none = F.lit(None).cast(q.schema["last"].dataType)
+    t = trades.join(pairs.withColumnRenamed("j", "symbol"), "symbol").select("i", F.col("symbol").alias("j"), "ts", F.lit(1).alias("_side"), "seq", "side", *more, none.alias("last"), none.alias("first"))
     # both frames grow row by row: one that ends at the partition's end is computed anew for each row
-    us = F.unix_micros("ts")
     both = running_last(q.unionByName(t), ["i", "j"], [us], "last", day_of("ts"), "before", rows=False)
     both = running_last(both, ["i", "j"], [-us], "first", day_of("ts"), "after", forward=False, rows=False)
-    return both.where("_side = 1").select("i", "j", "ts", "seq", "side", "before", "after")
+    found = [F.col("before.price").alias("before"), F.col("after.price").alias("after"), F.col("before.us").alias("before_us"), F.col("after.us").alias("after_us")] if times else ["before", "after"]
+    return both.where("_side = 1").select("i", "j", "ts", "seq", "side", *more, *found)
 
 
 def event_windows(events: DataFrame, series: DataFrame, before: int, after: int) -> DataFrame:

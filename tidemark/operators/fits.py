@@ -197,7 +197,7 @@ def pnl_regression(df: DataFrame, features: list[str], target: str, rounds: int
 
 
 def matrix_spectrum(entries: DataFrame, value: str, most: int = 1000) -> dict[str, np.ndarray]:
-    """Singular values and overlaps of left and right vectors of a square matrix (i, j, value); up to `most` names, checked."""
+    """Singular values, left and right vectors (columns) and their overlaps of a square matrix (i, j, value); up to `most` names, checked."""
     names = sorted(r[0] for r in entries.select("i").union(entries.select("j")).distinct().limit(most + 1).collect())
     if len(names) > most:
         raise ValueError(f"more than {most} names")
@@ -206,7 +206,7 @@ def matrix_spectrum(entries: DataFrame, value: str, most: int = 1000) -> dict[st
     for r in entries.select("i", "j", value).collect():
         a[at[r.i], at[r.j]] = r[value] or 0.0
     u, s, vt = np.linalg.svd(a)
-    return {"singular": s, "overlap": np.abs(u.T @ vt.T)}
+    return {"singular": s, "left": u, "right": vt.T, "overlap": np.abs(u.T @ vt.T)}
 
 
 def kalman_level(df: DataFrame, x: str, process: float, noise: float, key: str = "symbol", order: str = "bar_idx") -> DataFrame:

@@ -176,6 +176,37 @@ def response(bracketed: DataFrame) -> DataFrame:
     return bracketed.where("before is not null and after is not null").groupBy("i", "j").agg(F.avg((F.ln("after") - F.ln("before")) * sign).alias("response"), F.count("*").alias("n"))
 
 
+def response_cases(bracketed: DataFrame, trades: DataFrame, quotes: DataFrame) -> DataFrame:
+    """Standardised responses of i's quote to the signs, volumes and signed volumes of j's trades: i, j, attribute, all_trades, single, multiple, weight,
+    weighted, n.
+
+    bracketed: bracket_quotes(..., keep=["volume"], times=True).  A trade that shares both its quotes of i with another trade of j is multiple; weight is the
+    share of single trades, and weighted the mean of both responses by it.  Trades between the same two quotes combine first,
+    as they share the change.  Attributes are standardised over all trades of j, changes by the deviation of i's quotes (trades without volume do not count).
+    """
+    sign = F.when(F.col("side") == "buy", 1.0).otherwise(-1.0)
+    attributes = {"sign": sign, "volume": F.col("volume").cast("double"), "signed_volume": sign * F.col("volume")}
+    of = trades.where("volume is not null").groupBy(F.col("symbol").alias("j")).agg(*[f(a).alias(f"{n}_{c}") for c, a in attributes.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))])
+    spread = quotes.groupBy(F.col("symbol").alias("i")).agg(F.stddev_pop("price").alias("sx"))
+    known = bracketed.where("before is not null and after is not null and volume is not null")
+    met = known.groupBy("i", "j", "before_us", "after_us").agg(F.count("*").alias("k"), F.first(F.col("after") - F.col("before")).alias("dx"), *[F.sum(a).alias(f"sum_{c}") for c, a in attributes.items()])
+    one = met.join(of, "j").join(spread, "i")
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), (F.col("dx") / F.col("sx") * F.try_divide(F.col(f"sum_{c}") - F.col("k") * F.col(f"m_{c}"), F.col(f"s_{c}"))).alias("y")) for c in attributes]))
+    alone = F.col("k") == 1
+    sums = one.select("i", "j", "k", each.alias("x")).groupBy("i", "j", "x.attribute").agg(F.sum("k").alias("n"), F.count_if(alone).alias("n1"), F.sum("x.y").alias("y"), F.sum(F.when(alone, F.col("x.y"))).alias("y1"))
+    rest = F.try_divide(F.col("y") - F.coalesce("y1", F.lit(0.0)), F.col("n") - F.col("n1"))
+    made = sums.withColumns({"all_trades": F.col("y") / F.col("n"), "single": F.try_divide("y1", "n1"), "multiple": rest, "weight": F.col("n1") / F.col("n")})
+    weighted = F.coalesce(F.col("weight") * F.col("single"), F.lit(0.0)) + F.coalesce((1 - F.col("weight")) * F.col("multiple"), F.lit(0.0))
+    return made.select("i", "j", "attribute", "all_trades", "single", "multiple", "weight", weighted.alias("weighted"), "n")
+
+
+def trimmed_day(minutes: DataFrame, opening: int = 5, closing: int = 60) -> DataFrame:
+    """minutes (symbol, day, minute, ...) without the first minutes after the day's first one and the last ones before its last."""
+    w = Window.partitionBy("symbol", "day")
+    cut = minutes.withColumns({"_a": F.min("minute").over(w), "_z": F.max("minute").over(w)})
+    return cut.where((F.col("minute") >= F.col("_a") + opening) & (F.col("minute") <= F.col("_z") - closing)).drop("_a", "_z")
+
+
 def extreme_events(minutes: DataFrame, span: int = 60, level: float = 0.04, sigmas: float = 6.0) -> DataFrame:
     """First extreme price change of each symbol and day: |ln p(t) / p(t - span)| >= level and >= sigmas * realised
     volatility over the span; then the smallest window down to which the change still is at least level.

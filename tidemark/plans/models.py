@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import evaluation, hawkes, regression
+from ..operators import asof, evaluation, fits, hawkes, laws, micro, regression
 from ..operators.shared import stash
-from .queries import DAILY, X_IMPACT, returns
+from .queries import DAILY, X_IMPACT, returns, symbol_pairs
 from .registry import query, r, rounded
 from .studies import impact
 from .views import TRADES, table, trades
@@ -85,6 +85,42 @@ def epps_scales(spark: SparkSession, d: str) -> DataFrame:
     return rounded(named.select("i", "j", "k", "n", (F.col("c") / F.sqrt(F.col("vi") * F.col("vj"))).alias("correlation")))
 
 
+# ---- responses
+
+X_CASES = f"""WITH {TRADES}, k AS (SELECT DISTINCT symbol FROM trades), a AS (SELECT symbol, seq, ts, CASE WHEN side = 'buy' THEN 1.0::DOUBLE ELSE -1.0 END AS e, volume::DOUBLE AS v FROM trades WHERE volume IS NOT NULL),
+y AS (SELECT symbol AS j, seq, ts, unnest([{{'n': 'sign', 'y': e}}, {{'n': 'volume', 'y': v}}, {{'n': 'signed_volume', 'y': e * v}}]) AS u FROM a), z AS (SELECT j, seq, ts, u.n AS attribute, (u.y - avg(u.y) OVER w) / nullif(stddev_pop(u.y) OVER w, 0) AS y FROM y WINDOW w AS (PARTITION BY j, u.n)),
+q AS (SELECT symbol AS i, ts, arg_max(price, seq) AS last, arg_min(price, seq) AS first FROM trades GROUP BY 1, 2), s AS (SELECT symbol AS i, stddev_pop(price) AS sx FROM trades GROUP BY 1),
+t AS (SELECT k.symbol AS i, a.symbol AS j, a.seq, a.ts FROM a JOIN k ON k.symbol <> a.symbol), b AS (SELECT t.*, q.last AS b, q.ts AS b_at FROM t ASOF JOIN q ON t.i = q.i AND t.ts > q.ts), c AS (SELECT b.*, q.first AS a, q.ts AS a_at FROM b ASOF JOIN q ON b.i = q.i AND b.ts < q.ts),
+d AS (SELECT c.i, c.j, c.seq, (a - b) / sx AS dx, count(*) OVER (PARTITION BY c.i, c.j, b_at, a_at) = 1 AS alone FROM c JOIN s ON s.i = c.i),
+g AS (SELECT i, d.j, attribute, avg(dx * y) AS all_trades, avg(dx * y) FILTER (alone) AS single, avg(dx * y) FILTER (NOT alone) AS multiple, avg(alone::INT) AS weight, count(*) AS n FROM d JOIN z ON z.j = d.j AND z.seq = d.seq GROUP BY ALL)
+SELECT i, j, attribute, {', '.join(f"round({c}, 6) + 0.0 AS {c}" for c in ("all_trades", "single", "multiple", "weight"))}, round(coalesce(weight * single, 0) + coalesce((1 - weight) * multiple, 0), 6) + 0.0 AS weighted, n FROM g"""
+
+
+@query(X_CASES)
+def response_cases(spark: SparkSession, d: str) -> DataFrame:
+    """Responses of all ordered pairs of symbols to signs, volumes and signed volumes: over all, single and multiple trades, and weighted."""
+    t = trades(spark, d)
+    return rounded(micro.response_cases(asof.bracket_quotes(t, t, symbol_pairs(t), ["volume"], True), t, t))
+
+
+def spectrum_entries(spark: SparkSession, d: str) -> DataFrame:
+    """side (left or right) and x: the entries of the singular vectors of the matrix of mean next-day responses."""
+    made = fits.matrix_spectrum(impact(spark, d, 1.5), "mean")
+    return spark.createDataFrame([(side, float(x)) for side in ("left", "right") for x in made[side].ravel()], "side string, x double")
+
+
+@query()
+def spectrum_law(spark: SparkSession, d: str) -> DataFrame:
+    """Location-scale t law of the pooled entries of the left and of the right singular vectors."""
+    return laws.t_law(spectrum_entries(spark, d), "x", ["side"])
+
+
+@query()
+def return_law(spark: SparkSession, d: str) -> DataFrame:
+    """Location-scale t law of each symbol's bar returns, in percent."""
+    return laws.t_law(returns(spark, d).select("symbol", (F.col("ret") * 100).alias("x")), "x", ["symbol"])
+
+
 # ---- fits
 
 #: Sources and the channels they may excite: moves up feed moves up, moves down those down.

@@ -735,16 +735,29 @@ def hawkes(spark: SparkSession, d: str) -> DataFrame:
     return rounded(micro.hawkes_intensity(t, 0.1, 0.5, 0.05).drop("t"))
 
 
-@query(f"""WITH {TRADES}, m AS (SELECT symbol, date_trunc('day', ts) AS day, hour(ts) * 60 + minute(ts) // 15 * 15 AS minute, arg_max(price, (ts, seq)) AS price FROM trades GROUP BY 1, 2, 3),
+def quarter_hours(spark: SparkSession, d: str) -> DataFrame:
+    at = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
+    return bars(spark, d, "15 minutes").select("symbol", F.date_trunc("day", "ts").alias("day"), at.alias("minute"), F.col("close").alias("price"))
+
+
+def events_sql(trim: str = "") -> str:
+    return f"""WITH {TRADES}, m AS (SELECT symbol, date_trunc('day', ts) AS day, hour(ts) * 60 + minute(ts) // 15 * 15 AS minute, arg_max(price, (ts, seq)) AS price FROM trades GROUP BY 1, 2, 3{trim}),
 x AS (SELECT *, ln(price / lag(price) OVER w) AS ret FROM m WINDOW w AS (PARTITION BY symbol, day ORDER BY minute)),
 y AS (SELECT *, list(price) OVER (PARTITION BY symbol, day ORDER BY minute ROWS BETWEEN 12 PRECEDING AND 1 PRECEDING) AS past, sqrt(sum(ret * ret) OVER (PARTITION BY symbol, day ORDER BY minute ROWS BETWEEN 11 PRECEDING AND CURRENT ROW)) AS vol FROM x),
 e AS (SELECT symbol, day, minute::BIGINT AS minute, ln(price / past[1]) AS change, 12 - coalesce(list_position(list_transform(range(2, 13), lambda k: abs(ln(price / past[k])) >= 0.004), false) - 1, 11) AS "window" FROM y WHERE len(past) = 12 AND abs(ln(price / past[1])) >= 0.004 AND abs(ln(price / past[1])) >= 1.2 * vol)
-SELECT symbol, day, min(minute) AS minute, round(arg_min(change, minute), 6) + 0.0 AS change, arg_min("window", minute)::INT AS "window" FROM e GROUP BY 1, 2""")
+SELECT symbol, day, min(minute) AS minute, round(arg_min(change, minute), 6) + 0.0 AS change, arg_min("window", minute)::INT AS "window" FROM e GROUP BY 1, 2"""
+
+
+@query(events_sql())
 def extreme_events(spark: SparkSession, d: str) -> DataFrame:
     """First change within a day of 0.4 % or more over 12 quarter hours and 1.2 times the volatility over these."""
-    at = (F.hour("ts") * 60 + F.minute("ts")).cast("long")
-    m = bars(spark, d, "15 minutes").select("symbol", F.date_trunc("day", "ts").alias("day"), at.alias("minute"), F.col("close").alias("price"))
-    return rounded(micro.extreme_events(m, 12, 0.004, 1.2))
+    return rounded(micro.extreme_events(quarter_hours(spark, d), 12, 0.004, 1.2))
+
+
+@query(events_sql(" QUALIFY minute >= min(minute) OVER (PARTITION BY symbol, day) + 5 AND minute <= max(minute) OVER (PARTITION BY symbol, day) - 60"))
+def extreme_events_trimmed(spark: SparkSession, d: str) -> DataFrame:
+    """The same without the first five minutes and the last hour of each day."""
+    return rounded(micro.extreme_events(micro.trimmed_day(quarter_hours(spark, d)), 12, 0.004, 1.2))
 
 
 def cdf_sql(x: str) -> str:

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
 
 from tidemark.functions import special
-from tidemark.operators import bars as B, evaluation, grid, micro, signals as S, stats, swings
+from tidemark.operators import bars as B, evaluation, grid, micro, signals as S, stats, swings, waves
 
 
 def series(spark, values, name="x"):
@@ -495,3 +495,36 @@ def test_block_summaries_tell_the_next_leg():
             assert after is None or after == [dataclasses.astuple(leg) for leg in legs]
             told += after is not None
     assert told > 5000
+
+
+def test_planted_profiles(spark):
+    """Each shape is found again with its parameters from cells with a little noise, and named as the first that passes."""
+    p, rng = np.round(np.arange(5.5, 6.1, 0.01), 2), np.random.default_rng(3)
+    j = lambda z: np.array([np.cos(v * np.sin((np.arange(2000) + 0.5) * math.pi / 2000)).mean() for v in z])
+    planted = {"one": (0.1065 * np.abs(j(31.677 * (p - 5.742))), "one_centre"), "two": (0.13 * (np.abs(j(90 * (p - 5.6))) + np.abs(j(90 * (p - 5.93)))), None)}
+    rows = [(name, float(a), float(max(0.0, b + rng.normal(0, 1e-4)))) for name, (y, *_) in planted.items() for a, b in zip(p, y, strict=True)]
+    rows += [("flat", 5.0, 1.0), ("flat", 6.0, 1.0), ("single", 5.0, 1.0), ("nothing", 5.0, 0.0), ("nothing", 6.0, None), (None, 5.0, 0.2), (None, 6.0, 0.8)]
+    got = {r.name: r for r in waves.wave_profiles(spark.createDataFrame(rows, "name string, price double, share double"), ["name"]).collect()}
+    assert (got["one"].model, got["one"].passed) == ("one_centre", True) and (got["one"].omega, got["one"].p0, got["one"].c) == (pytest.approx(31.677, rel=1e-2), pytest.approx(5.742, abs=1e-3), pytest.approx(0.1065, rel=1e-2))
+    assert all(got[k].model == "none" and not got[k].passed for k in ("flat", "single", "nothing")) and not got[None].passed
+    span = np.ptp(p)
+    x = (p - p.min()) / span
+    for name, true, before in (("two_centres", (25.0, 0.2, 0.75), ()), ("two_widths", (30.0, 9.0, 0.2, 0.7), (16.0, 0.2, 0.7)), ("random_day", (7.0, 0.4), ())):
+        shape, n = waves.SHAPES[name]
+        y = 0.2 * shape(x, *true)
+        error, c, found = waves._fit(shape, n, x, y, waves._starts(name, x, y, before))
+        assert error < 1e-6 and c == pytest.approx(0.2, rel=1e-2), (name, error, c, found)
+        assert sorted(found) == pytest.approx(sorted(true), rel=1e-2)
+    # the worked values: sample 600005's curve, and quantiles of the beta law with two parameters, 1 - 0.05 ** (2 / (n - 3))
+    assert 0.11529 * waves.random_day(np.array([6.10]), 29.694, 6.15089)[0] == pytest.approx(0.0514, abs=1e-4)
+    assert waves.critical_r2(23, 2) == pytest.approx(1 - 0.05 ** (2 / 20), abs=1e-4) and math.isnan(waves.critical_r2(3, 2))
+
+
+def test_jumped_equilibrium_takes_two_centres():
+    """Narrow peaks far apart and noise on many cells: the one centre explains less, and each fit's worth is that of its parameters."""
+    p = np.arange(0, 1.0, 0.01)
+    y = waves.two_centres(p, 55.0, 0.1, 0.85)
+    error = {name: waves._fit(*waves.SHAPES[name], p, y, waves._starts(name, p, y, ()))[0] for name in ("one_centre", "two_centres")}
+    assert error["two_centres"] < 1e-6 < 0.1 * error["one_centre"]
+    fit = waves.fit_profile(p + 10, y + 0.3 * np.random.default_rng(1).random(100))
+    assert fit["cells"] == 100 and fit["model"] in waves.SHAPES and fit["critical"] == pytest.approx(waves.critical_r2(100, 3 if fit["model"] in ("one_centre", "random_day") else 4), abs=0.03)

@@ -367,6 +367,26 @@ def check_grid_search(got, spark):
         assert r.profit >= 0.97 * max(plain_profit(own, round(0.003 + k / 1000, 3)) for k in range(98)), r.symbol
 
 
+def check_wave_profiles(got, spark):
+    """The fit is worth what its parameters say, no worse than a grid of one-centre curves, and significant where it says so."""
+    t = trades(spark, SF).toPandas().dropna(subset=["volume"])
+    t["week"] = (t.ts.dt.normalize() - pd.to_timedelta(t.ts.dt.weekday, unit="D")).dt.strftime("%Y-%m-%d")
+    cells = t.assign(price=np.floor(t.price + 0.5)).groupby(["symbol", "week", "price"]).volume.sum().reset_index()
+    assert len(got) == len(cells[["symbol", "week"]].drop_duplicates())
+    angle = (np.arange(3000) + 0.5) * math.pi / 3000
+    j = lambda w, a, p: np.abs(np.cos(w * (p - a)[:, None] * np.sin(angle)).mean(1))
+    for r in got[got.model != "none"].sample(min(25, len(got)), random_state=1).itertuples():
+        own = cells[(cells.symbol == r.symbol) & (cells.week == r.week)]
+        p, y = own.price.to_numpy(), (own.volume / own.volume.sum()).to_numpy()
+        total = ((y - y.mean()) ** 2).sum()
+        x = r.omega * np.abs(p - r.p0)
+        f = {"one_centre": lambda: j(r.omega, r.p0, p), "two_centres": lambda: j(r.omega, r.p0, p) + j(r.omega, r.p02, p), "two_widths": lambda: j(r.omega, r.p0, p) + j(r.omega2, r.p02, p), "random_day": lambda: np.exp(-x) * np.abs(1 - 2 * x)}[r.model]()  # noqa: B023
+        assert r.cells == len(p) and r.r2 == pytest.approx(1 - ((y - r.c * f) ** 2).sum() / total, abs=1e-4) and r.passed == (r.r2 > r.critical)
+        if r.model == "one_centre":
+            grid_ = [1 - ((y - (g * y).sum() / (g * g).sum() * g) ** 2).sum() / total for w in np.geomspace(1, 40, 9) / np.ptp(p) for a in np.linspace(p.min(), p.max(), 5) for g in [j(w, a, p)]]
+            assert r.r2 >= max(grid_) - 0.05
+
+
 def t_loglik(x, mu, sigma, beta):
     z = (x - mu) / sigma
     return float((math.lgamma((beta + 1) / 2) - math.lgamma(beta / 2) - 0.5 * math.log(beta * math.pi) - math.log(sigma) - (beta + 1) / 2 * np.log1p(z * z / beta)).sum())

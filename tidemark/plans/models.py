@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import asof, evaluation, fits, hawkes, laws, micro, regression
+from ..operators import asof, evaluation, fits, hawkes, laws, micro, regression, waves
 from ..operators.shared import stash
 from .queries import DAILY, X_IMPACT, returns, symbol_pairs
 from .registry import query, r, rounded
@@ -103,6 +103,13 @@ def response_cases(spark: SparkSession, d: str) -> DataFrame:
     return rounded(micro.response_cases(asof.bracket_quotes(t, t, symbol_pairs(t), ["volume"], True), t, t))
 
 
+@query()
+def wave_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """Shape of each symbol's volume profile of a week, in cells of one unit of price: the first that is significant."""
+    cells = trades(spark, d).where("volume is not null").select("symbol", F.date_trunc("week", "ts").cast("date").cast("string").alias("week"), F.round("price").alias("price"), "volume")
+    return waves.wave_profiles(micro.volume_profile(cells, ["symbol", "week"]), ["symbol", "week"])
+
+
 def spectrum_entries(spark: SparkSession, d: str) -> DataFrame:
     """side (left or right) and x: the entries of the singular vectors of the matrix of mean next-day responses."""
     made = fits.matrix_spectrum(impact(spark, d, 1.5), "mean")

@@ -243,16 +243,18 @@ def dtw_distances(df: DataFrame, x: str, pairs: DataFrame, key: str = "symbol",
     @F.pandas_udf("double")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(p: np.ndarray, q: np.ndarray) -> float:
+            """The cells of one diagonal (k + c = s) depend on the two before it only, so a diagonal within the band is one step."""
             n, m = len(p), len(q)
             wide = max(band, abs(n - m))
-            row = np.full(m + 1, np.inf)
-            row[0] = 0.0
-            for k in range(1, n + 1):
-                new = np.full(m + 1, np.inf)
-                for c in range(max(1, k - wide), min(m, k + wide) + 1):
-                    new[c] = abs(p[k - 1] - q[c - 1]) + min(row[c], row[c - 1], new[c - 1])
-                row = new
-            return float(row[m])
+            before, last, new = (np.full(n + 2, np.inf) for _ in range(3))
+            before[0] = 0.0
+            for s in range(2, n + m + 1):
+                low, high = max(1, s - m, -((wide - s) // 2)), min(n, s - 1, (s + wide) // 2)
+                new[max(low - 1, 0)] = new[min(high + 1, n + 1)] = np.inf
+                k = np.arange(low, high + 1)
+                new[k] = np.abs(p[k - 1] - q[s - k - 1]) + np.minimum(np.minimum(last[k - 1], last[k]), before[k - 1])
+                before, last, new = last, new, before
+            return float(last[n]) if n + m > 1 else float(np.inf)
 
         return pd.Series([one(p, q) for p, q in zip(a, b, strict=True)])
 

@@ -9,7 +9,7 @@ from pyspark.sql import Window, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout  # noqa: F401
 
 from tidemark.functions import special
-from tidemark.operators import bars as B, evaluation, grid, micro, signals as S, stats, swings, waves
+from tidemark.operators import asof, bars as B, evaluation, grid, laws, micro, signals as S, stats, swings, waves
 
 
 def series(spark, values, name="x"):
@@ -528,3 +528,32 @@ def test_jumped_equilibrium_takes_two_centres():
     assert error["two_centres"] < 1e-6 < 0.1 * error["one_centre"]
     fit = waves.fit_profile(p + 10, y + 0.3 * np.random.default_rng(1).random(100))
     assert fit["cells"] == 100 and fit["model"] in waves.SHAPES and fit["critical"] == pytest.approx(waves.critical_r2(100, 3 if fit["model"] in ("one_centre", "random_day") else 4), abs=0.03)
+
+
+def test_t_law_of_odd_groups(spark):
+    """A planted law is found again; groups that have none give nulls; no key and no rows work."""
+    rng = np.random.default_rng(5)
+    x = (3 + 0.5 * rng.standard_t(2.5, 4000)).tolist()
+    rows = [("t", v) for v in x] + [("same", 1.0)] * 5 + [("few", 1.0), ("few", 2.0), ("null", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    got = {r.g: r for r in laws.t_law(df, "x", ["g"]).collect()}
+    assert (got["t"].mu, got["t"].sigma, got["t"].beta, got["t"].n) == (pytest.approx(3, abs=0.05), pytest.approx(0.5, rel=0.1), pytest.approx(2.5, rel=0.15), 4000)
+    assert all(got[g].mu is None and got[g].beta is None for g in ("same", "few", None)) and "null" not in got
+    whole = laws.t_law(df.where("g = 't'"), "x", []).first()
+    assert whole.loglik == pytest.approx(got["t"].loglik, abs=1e-6)
+    assert laws.t_law(df.limit(0), "x", ["g"]).count() == 0
+
+
+def test_responses_of_shared_quotes(spark):
+    """Two trades between the same quotes are multiple; the weighted response is the mean of both kinds, which is that of all."""
+    t = spark.createDataFrame([("b", 10, 1, "buy", 100), ("b", 30, 2, "sell", 300), ("b", 32, 3, "buy", 200), ("b", 50, 4, "sell", None)], "symbol string, s long, seq long, side string, volume long")
+    q = spark.createDataFrame([("a", 5, 1, 10.0), ("a", 20, 2, 11.0), ("a", 40, 3, 9.0), ("a", 60, 4, 12.0)], "symbol string, s long, seq long, price double")
+    t, q = (f.withColumn("ts", F.timestamp_seconds("s")) for f in (t, q))
+    pairs = spark.createDataFrame([("a", "b")], "i string, j string")
+    got = {r.attribute: r for r in micro.response_cases(asof.bracket_quotes(t, q, pairs, ["volume"], True), t, q).collect()}
+    dx, sx = np.array([1.0, -2.0, -2.0]), np.std([10.0, 11.0, 9.0, 12.0])
+    for name, y in {"sign": [1, -1, 1], "volume": [100, 300, 200], "signed_volume": [100, -300, 200]}.items():
+        each = dx / sx * (np.array(y) - np.mean(y)) / np.std(y)
+        r = got[name]
+        assert (r.single, r.multiple, r.weight, r.n) == (pytest.approx(each[0]), pytest.approx(each[1:].mean()), pytest.approx(1 / 3), 3)
+        assert r.weighted == pytest.approx(each.mean()) and r.all_trades == pytest.approx(each.mean())

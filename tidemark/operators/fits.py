@@ -284,18 +284,18 @@ def trading_account(df: DataFrame, action: str, price: str = "close", turbulence
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         money, held, out = cash, 0.0, []
-        calm = pdf[turbulence].to_numpy() if turbulence else np.zeros(len(pdf))
-        for a, p, t in zip(pdf[action].tolist(), pdf[price].tolist(), calm.tolist(), strict=True):
-            a = -held if t > limit else a
+        for a, p, wild in zip(pdf[action].tolist(), pdf[price].tolist(), pdf["_wild"].tolist(), strict=True):
+            a = -held if wild else a
             a = max(a, -held) if a < 0 else min(a, money / (p * (1 + fee)))
-            money -= a * p + abs(a) * p * fee
+            money = money - a * p - abs(a) * p * fee
             held += a
             out.append((money, held, money + held * p))
         got = np.array(out).reshape(-1, 3)
         return pd.DataFrame({key: pdf[key], order: pdf[order], "cash": got[:, 0], "held": got[:, 1], "value": got[:, 2]})
 
-    cols = [key, order, action, price, *([turbulence] if turbulence else [])]
-    return df.select(*cols).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, cash double, held double, value double")
+    # told here and not in pandas, where NaN, which is over any limit, looks like null
+    wild = F.coalesce(F.col(turbulence) > limit, F.lit(False)) if turbulence else F.lit(False)
+    return df.select(key, order, action, price, wild.alias("_wild")).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, cash double, held double, value double")
 
 
 def rolling_normality(df: DataFrame, x: str, rows: int, cdf: Callable[[Column], Column], key: str = "symbol", order: str = "bar_idx") -> DataFrame:

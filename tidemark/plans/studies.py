@@ -117,7 +117,10 @@ p AS (SELECT scheme, q, day, sum(bet * sign(ret) * fwd) / nullif(sum(bet), 0) AS
 
 def bet_days(spark: SparkSession, d: str) -> DataFrame:
     x = daily(spark, d).where("ret is not null and fwd is not null")
-    return micro.bet_portfolios(x, "ret", "fwd", "day", {name: F.expr(size) for name, size in SCHEMES.items()})
+    volume, gain, log = F.col("volume"), F.abs("ret"), special.ln
+    # SCHEMES in columns: a nominal of a negative price has no logarithm, which is NaN
+    sizes = {"uniform": F.lit(1.0), "imbalance": gain, "volume": log(1 + volume), "nominal": log(1 + F.col("close") * volume), "relative": log(1 + volume / 1000), "weighted": log(1 + volume) * (1 + gain)}
+    return micro.bet_portfolios(x, "ret", "fwd", "day", {name: sizes[name] for name in SCHEMES})
 
 
 @query(BETS + " SELECT scheme, q::INT AS q, day, round(pnl, 9) + 0.0 AS pnl, n FROM p")

@@ -128,24 +128,26 @@ def redrawn(rows: DataFrame, model: DataFrame, features: list[Column], replicas:
     return wide.mapInPandas(draw, f"{kinds}, replica int, drawn double")
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85, every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 20, damping: float = 0.85) -> DataFrame:
     """(v, rank) of each node after a fixed number of rounds: edges (i, j) pass ranks on, nodes without edges out give to all alike.
 
-    nodes: v.  A round is a join on the edges' source, summed by target; lineage is cut every few rounds.
+    nodes: v.  A round is a join on the edges' source, summed by target, and is written: a plan of k rounds would name
+    the first ranks 3 ** k times.  Edges are dealt out by source
+    once and stay there, so a round moves ranks and partial sums only.
     """
-    edges = edges.select("i", "j").distinct()
-    out = edges.groupBy("i").agg(F.count("*").alias("n_out"))
-    sides = stash(edges.join(out, "i"), "edges")
+    sides = stash(edges.select("i", "j").distinct(), "edges")
+    out = sides.groupBy("i").agg(F.count("*").alias("n_out"))
     nodes = stash(nodes.select("v").distinct().join(out.select(F.col("i").alias("v"), "n_out"), "v", "left"), "nodes")
+    sides = sides.repartition(1 + sides.count() // 250_000, "i").persist()
     n = nodes.count()
     rank = nodes.select("v", "n_out", F.lit(1.0 / max(n, 1)).alias("rank"))
-    for k in range(rounds):
-        given = rank.join(sides.select("i", "j"), F.col("v") == F.col("i")).groupBy(F.col("j").alias("to")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
+    for _ in range(rounds):
+        given = rank.join(sides, F.col("v") == F.col("i")).groupBy(F.col("j").alias("to")).agg(F.sum(F.col("rank") / F.col("n_out")).alias("got"))
         lost = rank.agg(F.sum(F.when(F.col("n_out").isNull(), F.col("rank")).otherwise(0.0)).alias("lost"))  # one number
         new = rank.select("v", "n_out").join(given, F.col("v") == F.col("to"), "left").crossJoin(F.broadcast(lost))
         rank = new.select("v", "n_out", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == every - 1:
-            rank = stash(rank, "rank")
+        rank = stash(rank, "rank")
+    sides.unpersist()
     return rank.select("v", "rank")
 
 

@@ -43,13 +43,16 @@ TRADE_EDGES = "SELECT DISTINCT 'C' || o_custkey AS i, 'S' || l_suppkey AS j FROM
 @query("WITH " + rank_sql(TRADE_EDGES, "SELECT 'C' || c_custkey AS v FROM customer UNION SELECT 'S' || s_suppkey FROM supplier UNION SELECT 'N' || n_nationkey FROM nation", 10))
 def trade_rank(spark: SparkSession, d: str) -> DataFrame:
     """Rank in the network of customers, who point to their suppliers, these to their nations, and these to every second customer; some point nowhere."""
-    name = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    # nodes are numbers in the rounds: the key, and in the last of three places its kind
+    name = lambda letter, c: F.col(c).cast("long") * 3 + "CSN".index(letter)
+    kind = F.element_at(F.array(*map(F.lit, "CSN")), (F.pmod("v", F.lit(3)) + 1).cast("int"))
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
     customer, supplier, nation = (table(spark, d, t) for t in ("customer", "supplier", "nation"))
     bought = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).select(name("C", "o_custkey").alias("i"), name("S", "l_suppkey").alias("j"))
     edges = bought.union(supplier.select(name("S", "s_suppkey"), name("N", "s_nationkey"))).union(customer.where("c_custkey % 2 = 0").select(name("N", "c_nationkey"), name("C", "c_custkey")))
     nodes = customer.select(name("C", "c_custkey").alias("v")).union(supplier.select(name("S", "s_suppkey"))).union(nation.select(name("N", "n_nationkey")))
-    return _ranks(regression.pagerank(edges, nodes, 10))
+    made = _ranks(regression.pagerank(edges, nodes, 10))
+    return made.withColumn("v", F.concat(kind, F.floor(F.col("v") / 3).cast("string")))
 
 
 # ---- sampling scales

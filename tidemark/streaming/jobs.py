@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import astuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,17 +43,37 @@ def latest_klines(updates: DataFrame, late: str = "1 hour") -> DataFrame:
     return updates.withWatermark("open_time", late).groupBy("symbol", "open_time").agg(F.max_by(F.struct("close", "volume"), "event_time").alias("k"), F.max("event_time").alias("event_time")).select("symbol", "open_time", "event_time", "k.close", "k.volume")
 
 
+def in_order(batches: Iterator[pd.DataFrame], order: str, columns: list[str], size: int = 65_536) -> Iterator[tuple]:
+    """The rows of a key by order, as (whether it is the last chunk, lists of the columns) for each chunk of `size` rows.
+
+    Batches come in no order, so a micro-batch of a key is held: as packed numbers (8 bytes a value), never as objects.
+    """
+    parts: dict[str, list] = {c: [] for c in dict.fromkeys([order, *columns])}
+    for pdf in batches:
+        for c, held in parts.items():
+            held.append(pdf[c].to_numpy(copy=True))
+    whole = {}
+    for c in list(parts):
+        whole[c] = np.concatenate(parts.pop(c))
+    by = np.argsort(whole[order], kind="stable")
+    for k in range(0, len(by), size):
+        at = by[k : k + size]
+        yield k + size >= len(by), [whole[c][at].tolist() for c in columns]
+
+
 def _zigzag(pct: float) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        found, (bar, legs, n) = [], state.get if state.exists else (0, [], 0)
+        bar, legs, n = state.get if state.exists else (0, [], 0)
         chain = ZigZag(pct, bar, [Leg(*leg) for leg in legs])
-        rows = pd.concat(list(batches)).sort_values("bar_idx")
-        for high, low in zip(rows.high.tolist(), rows.low.tolist(), strict=True):
-            if p := chain.push(high, low):
-                found.append((key[0], n, *p))
-                n += 1
-        state.update((chain.bar, [astuple(leg) for leg in chain.legs], n))
-        yield pd.DataFrame(found, columns=["symbol", "pivot_seq", "bar_idx", "price", "kind", "confirm_idx"])
+        for last, (highs, lows) in in_order(batches, "bar_idx", ["high", "low"]):
+            found = []
+            for high, low in zip(highs, lows, strict=True):
+                if p := chain.push(high, low):
+                    found.append((key[0], n, *p))
+                    n += 1
+            if last:
+                state.update((chain.bar, [astuple(leg) for leg in chain.legs], n))
+            yield pd.DataFrame(found, columns=["symbol", "pivot_seq", "bar_idx", "price", "kind", "confirm_idx"])
 
     return run
 
@@ -66,10 +87,11 @@ def stream_zigzag(bars: DataFrame, pct: float = 0.015) -> DataFrame:
 def _admission(limits: Limits) -> Callable:
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         book = {side: (last, list(prices)) for side, last, prices in (state.get[0] if state.exists else [])}
-        rows = pd.concat(list(batches)).sort_values("bar_idx")
-        rows["verdict"] = [place(book, limits, *r) for r in zip(rows.bar_idx.tolist(), rows.price.tolist(), rows.direction.tolist(), strict=True)]
-        state.update(([(side, last, prices) for side, (last, prices) in book.items()],))
-        yield rows[["symbol", "bar_idx", "price", "direction", "verdict"]]
+        for end, (at, price, direction) in in_order(batches, "bar_idx", ["bar_idx", "price", "direction"]):
+            verdict = [place(book, limits, *r) for r in zip(at, price, direction, strict=True)]
+            if end:
+                state.update(([(side, last, prices) for side, (last, prices) in book.items()],))
+            yield pd.DataFrame({"symbol": key[0], "bar_idx": at, "price": price, "direction": direction, "verdict": verdict})
 
     return run
 

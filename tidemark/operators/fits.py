@@ -115,23 +115,44 @@ def hawkes_loglik(events: DataFrame, trials: DataFrame, small: bool = True) -> D
     the end).
 
     events: symbol, t.  trials: symbol, trial, mu, nu, alpha, begin, end (of the symbol's events); broadcast if small.
-    Time is cut into blocks in which the trial's kernel decays by exp(-10), as for the intensity: a block's own part is
-    a running sum, its carry-in the decayed sums of the 80 blocks before.  So a task holds one block's events.
+    Time is cut into blocks, as for the intensity: a block's own part is a running sum, its carry-in the decayed sums of the 80 blocks before.
+    So a task holds one block's events.  Trials share what they can: those of one alpha have the same sums, and the alphas of a symbol within a factor of
+    150 the same blocks, in which their mean kernel decays by exp(-10), so events move once and not once per trial.
     """
-    decay, reach = 10.0, 80
-    age = F.col("t") * F.col("alpha") / decay
-    met = events.select("symbol", "t").join(F.broadcast(trials) if small else trials, "symbol")
-    rows = met.withColumn("_b", F.floor(age)).withColumn("_w", F.exp(decay * (age - F.col("_b"))))
-    keys = ["symbol", "trial"]
+    decay, reach, apart = 10.0, 80, 150.0
+    of = Window.partitionBy("symbol")
+    low, high = F.min("alpha").over(of), F.max("alpha").over(of)
+    shared = trials.withColumn("mid", F.when(high <= low * apart, F.sqrt(low * high)).otherwise(F.col("alpha")))
+    # whole numbers as keys: a double is made anew before it is hashed, so one shuffle would not serve all steps
+    shared = shared.withColumn("cut", F.dense_rank().over(of.orderBy("mid")))
+    shared = shared.withColumn("k", F.dense_rank().over(Window.partitionBy("symbol", "cut").orderBy("alpha")) - 1)
+    kernels = range(shared.agg(F.max("k")).first()[0] + 1)
+    # places beyond a cut's own alphas are null, and so are their sums
+    cuts = shared.groupBy("symbol", "cut", "mid").agg(*[F.max(F.when(F.col("k") == k, F.col("alpha"))).alias(f"a{k}") for k in kernels])
+    runs = shared.groupBy("symbol", "cut").agg(F.collect_list(F.struct("trial", "k", "mu", "nu", "alpha", "begin", "end")).alias("x"))
+    wide = (lambda df: F.broadcast(df)) if small else (lambda df: df)
+    width = decay / F.col("mid")
+    keys = ["symbol", "cut"]
+    rows = events.select("symbol", "t").join(wide(cuts.select(*keys, "mid")), "symbol").withColumn("_b", F.floor(F.col("t") / width)).drop("mid").repartition(*keys, "_b")
+    rows = rows.join(wide(cuts), keys)
+    since = F.col("t") - F.col("_b") * width
+    rows = rows.withColumns({"_u": since, **{f"_w{k}": F.exp(F.col(f"a{k}") * since) for k in kernels}})
     near = Window.partitionBy(*keys, "_b").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     past = Window.partitionBy(*keys).orderBy("_b").rangeBetween(-reach, -1)
-    sums = rows.groupBy(*keys, "_b").agg(F.sum("_w").alias("_s")).withColumn("_l", F.collect_list(F.struct("_b", "_s")).over(past))
-    carried = sums.select(*keys, "_b", F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + x["_s"] * F.exp(decay * (x["_b"] - F.col("_b")))).alias("_c"))
-    both = rows.withColumn("_n", F.coalesce(F.sum("_w").over(near), F.lit(0.0))).join(carried, [*keys, "_b"])
-    held = (F.col("_n") + F.col("_c")) * F.exp(decay * (F.col("_b") - age))
-    rate = F.col("mu") + F.col("nu") * F.col("alpha") * held
+    sums = rows.groupBy(*keys, "_b", "mid", *[f"a{k}" for k in kernels]).agg(*[F.sum(f"_w{k}").alias(f"_s{k}") for k in kernels])
+    sums = sums.withColumn("_l", F.collect_list(F.struct("_b", *[f"_s{k}" for k in kernels])).over(past))
+
+    def carried(k: int) -> Column:
+        return F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + x[f"_s{k}"] * F.exp(F.col(f"a{k}") * width * (x["_b"] - F.col("_b"))))
+
+    left_in = sums.select(*keys, "_b", *[carried(k).alias(f"_c{k}") for k in kernels])
+    both = rows.withColumns({f"_n{k}": F.coalesce(F.sum(f"_w{k}").over(near), F.lit(0.0)) for k in kernels}).join(left_in, [*keys, "_b"])
+    held = [(F.col(f"_n{k}") + F.col(f"_c{k}")) * F.exp(-F.col(f"a{k}") * F.col("_u")) for k in kernels]
+    tried = both.select(*keys, "t", F.array(*held).alias("_h")).join(wide(runs), keys).select("symbol", "t", "_h", F.explode("x").alias("x")).select("symbol", "t", "_h", "x.*")
+    rate = F.col("mu") + F.col("nu") * F.col("alpha") * F.get("_h", F.col("k"))
     left = 1 - F.exp(-F.col("alpha") * (F.col("end") - F.col("t")))
-    made = both.groupBy(*keys, "mu", "nu", "begin", "end").agg(F.sum(F.ln(rate)).alias("_ll"), F.sum(left).alias("_left"))
+    keys = ["symbol", "trial"]
+    made = tried.groupBy(*keys, "mu", "nu", "begin", "end").agg(F.sum(F.ln(rate)).alias("_ll"), F.sum(left).alias("_left"))
     mass = F.col("mu") * (F.col("end") - F.col("begin")) + F.col("nu") * F.col("_left")
     return made.select(*keys, (F.col("_ll") - mass).alias("loglik"), mass.alias("mass"))
 

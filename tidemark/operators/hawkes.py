@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from .shared import stash
 
 DECAY, REACH = 10.0, 80
+#: Kernels of a symbol whose decays are at most this apart share blocks: the fastest falls by exp(-200) in one, the slowest by exp(-40) in REACH of them.
+APART = 400.0
+#: Blocks of one task; REACH at least, so that a block matters in its own stretch and the next alone.
+STRETCH = 2_000
 
 
 def _mark(power: float):  # noqa: ANN202
@@ -56,6 +60,45 @@ def past_sums(events: DataFrame, rates: DataFrame) -> DataFrame:
     return both.select("symbol", "channel", "t", "seq", "source", "alpha", F.greatest(s, F.lit(0.0)).alias("s"), F.greatest(a, F.lit(0.0)).alias("a"))
 
 
+def wide_sums(events: DataFrame, rates: DataFrame, names: list[str]) -> DataFrame:
+    """Each event once, with the sums of past_sums for source k of names as s<k> and a<k>, and its decay as alpha<k>.
+
+    rates: symbol, width (of the blocks), alpha0, alpha1 ...; broadcast.  All sources have the blocks of their symbol, so events move once and an
+    event's parts need not meet again.
+    """
+    ks, keys = range(len(names)), ["symbol", "_b"]
+    fixed = ["width", *[f"alpha{k}" for k in ks]]
+    cut = events.join(F.broadcast(rates.select("symbol", "width")), "symbol").withColumn("_b", F.floor(F.col("t") / F.col("width"))).drop("width").repartition(*keys)
+    rows = cut.join(F.broadcast(rates), "symbol").withColumn("_u", F.col("t") - F.col("_b") * F.col("width"))
+    rows = rows.withColumns({f"_w{k}": F.when(F.col("channel") == j, F.col("g") * F.exp(F.col(f"alpha{k}") * F.col("_u"))).otherwise(0.0) for k, j in enumerate(names)})
+    rows = rows.withColumns({f"_p{k}": F.col(f"_w{k}") * F.col("_u") for k in ks})
+    parts = [f"_{c}{k}" for c in "wp" for k in ks]
+    # rows strictly before in time, as in past_sums
+    upto = Window.partitionBy(*keys).orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    now = Window.partitionBy(*keys, "t")
+    near = {f"_n{c}": F.sum(c).over(upto) - F.sum(c).over(now) for c in parts}
+    sums = rows.groupBy(*keys, *fixed).agg(*[F.sum(c).alias(f"_s{c}") for c in parts])
+    # stretches of blocks are tasks of their own; a stretch is told the last blocks of the one before
+    home = F.floor(F.col("_b") / STRETCH)
+    sums = sums.withColumn("_z", F.explode(F.array_distinct(F.array(home, F.floor((F.col("_b") + REACH) / STRETCH)))))
+    earlier = Window.partitionBy("symbol", "_z").orderBy("_b").rangeBetween(-REACH, -1)
+
+    def carried(k: int, part):  # noqa: ANN001, ANN202
+        return F.aggregate("_l", F.lit(0.0), lambda acc, x: acc + part(x) * F.exp(F.col(f"alpha{k}") * F.col("width") * (x["_b"] - F.col("_b"))))
+
+    listed = sums.withColumn("_l", F.collect_list(F.struct("_b", *[f"_s{c}" for c in parts])).over(earlier)).where(F.col("_z") == home)
+    weights = [carried(k, lambda x, k=k: x[f"_s_w{k}"]).alias(f"_cs{k}") for k in ks]
+    ages = [carried(k, lambda x, k=k: x[f"_s_w{k}"] * (F.col("_b") - x["_b"]) * F.col("width") - x[f"_s_p{k}"]).alias(f"_ca{k}") for k in ks]
+    both = rows.withColumns(near).join(listed.select(*keys, *weights, *ages), keys)
+    made, u = [], F.col("_u")
+    for k in ks:
+        fade = F.exp(-F.col(f"alpha{k}") * u)
+        s = (F.col(f"_n_w{k}") + F.col(f"_cs{k}")) * fade
+        a = (u * F.col(f"_n_w{k}") - F.col(f"_n_p{k}") + F.col(f"_ca{k}") + u * F.col(f"_cs{k}")) * fade
+        made += [F.greatest(s, F.lit(0.0)).alias(f"s{k}"), F.greatest(a, F.lit(0.0)).alias(f"a{k}")]
+    return both.select("symbol", "channel", "t", "seq", *fixed[1:], *made)
+
+
 def hawkes_em(events: DataFrame, rounds: int = 20, power: float = 0.0, feeds: list[tuple[str, str]] | None = None) -> DataFrame:
     """Fit per symbol: channel, source, mu (of the channel), nu (children of the channel per event of the source), alpha (decay of
     the source's kernel), radius (spectral, below 1 for a stationary process), residual (mean compensator over an event of the channel), loglik, n.
@@ -77,7 +120,22 @@ def hawkes_em(events: DataFrame, rounds: int = 20, power: float = 0.0, feeds: li
 
     def expected() -> tuple[dict, dict, dict]:
         """Sums over the events of each symbol and channel: chances by source, ages, log intensities; and the sources' masses up to the end."""
+        left_of = lambda rates: data.join(F.broadcast(rates.withColumnRenamed("source", "channel")), ["symbol", "channel"]).groupBy("symbol", "channel").agg(F.sum(F.col("g") * (1 - F.exp(-F.col("alpha") * (F.col("end") - F.col("t"))))).alias("m"))
         rates = spark.createDataFrame([(s, j, float(a), span[s][1]) for (s, j), a in alpha.items()], "symbol string, source string, alpha double, end double")
+        mass = {(r.symbol, r.channel): r.m for r in left_of(rates).collect()}
+        kernels = {s: [float(alpha[s, j]) for j in names] for s in able}
+        if all(max(k) <= APART * min(k) for k in kernels.values()):
+            ks = range(len(names))
+            wide = spark.createDataFrame([(s, DECAY / (min(k) * max(k)) ** 0.5, *k) for s, k in kernels.items()], "symbol string, width double, " + ", ".join(f"alpha{k} double" for k in ks))
+            held = spark.createDataFrame([(s, i, float(mu[s, i]), *[float(nu[s, j, i]) for j in names]) for s in able for i in names], "symbol string, channel string, mu double, " + ", ".join(f"nu{k} double" for k in ks))
+            each = wide_sums(data, wide, names).join(F.broadcast(held), ["symbol", "channel"]).withColumns({f"f{k}": F.col(f"nu{k}") * F.col(f"alpha{k}") * F.col(f"s{k}") for k in ks})
+            each = each.withColumn("rate", sum((F.col(f"f{k}") for k in ks), F.col("mu")))
+            part = lambda k: F.col(f"f{k}") / F.col("rate")
+            row = each.groupBy("symbol", "channel").agg(
+                *[F.sum(part(k)).alias(f"p{k}") for k in ks], *[F.sum(part(k) * F.coalesce(F.try_divide(f"a{k}", f"s{k}"), F.lit(0.0))).alias(f"age{k}") for k in ks], F.sum(F.col("mu") / F.col("rate")).alias("own"), F.sum(F.ln("rate")).alias("ll"),
+            )
+            return {(r.symbol, r.channel, j): (r[f"p{k}"], r[f"age{k}"], r.own, r.ll) for r in row.collect() for k, j in enumerate(names)}, mass
+        # kernels too far apart for common blocks: each source has its own
         weights = spark.createDataFrame([(s, i, j, mu[s, i], nu[s, j, i]) for s in able for i in names for j in names], "symbol string, channel string, source string, mu double, nu double")
         sums = past_sums(data, rates.drop("end")).join(F.broadcast(weights), ["symbol", "channel", "source"])
         force = F.col("nu") * F.col("alpha") * F.col("s")
@@ -87,8 +145,7 @@ def hawkes_em(events: DataFrame, rounds: int = 20, power: float = 0.0, feeds: li
             F.sum(F.col("x.f") / F.col("rate")).alias("p"), F.sum(F.col("x.f") / F.col("rate") * F.coalesce("x.age", F.lit(0.0))).alias("age"), F.sum(F.col("mu") / F.col("rate")).alias("own"), F.sum(F.ln("rate")).alias("ll"),
         )
         got = {(r.symbol, r.channel, r.source): (r.p, r.age, r.own, r.ll) for r in chances.collect()}
-        left = data.join(F.broadcast(rates.withColumnRenamed("source", "channel")), ["symbol", "channel"]).groupBy("symbol", "channel").agg(F.sum(F.col("g") * (1 - F.exp(-F.col("alpha") * (F.col("end") - F.col("t"))))).alias("m"))
-        return got, {(r.symbol, r.channel): r.m for r in left.collect()}
+        return got, mass
 
     for _ in range(rounds):
         got, mass = expected()

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import special
 from .shared import stash
 
 FEW_GROUPS = 50_000
@@ -42,9 +43,9 @@ def t_law(df: DataFrame, x: str, by: list[str], rounds: int = 40, tolerance: flo
     """Location-scale t law of x in each group by maximum likelihood: by, mu, sigma, beta (the shape), loglik, n.
 
     Newton steps on (mu, ln sigma, ln beta): a round sums the spread ln(1 + z^2 / beta) at ten near points, from which gradient and curvature follow; a step that does
-    not climb is tried again at a quarter.  Nulls are left out; a group of fewer than three rows, or whose quartiles are equal and whose values do not vary, has nulls.
+    not climb is tried again at a quarter.  Nulls and values that are no finite number, which no such law gives, are left out; a group of fewer than three rows, or whose quartiles are equal and whose values do not vary, has nulls.
     """
-    data = stash(df.where(F.col(x).isNotNull()).select(*by, F.col(x).cast("double").alias("_x")), "law")
+    data = stash(df.select(*by, F.col(x).cast("double").alias("_x")).where(special.finite(F.col("_x"))), "law")
     q = F.percentile_approx("_x", [0.25, 0.5, 0.75], 1000)
     first = data.groupBy(*by).agg(F.count("*").alias("n"), q.alias("q"), F.stddev_pop("_x").alias("s"))
     scale = F.when(F.col("q")[2] > F.col("q")[0], (F.col("q")[2] - F.col("q")[0]) / 1.48).otherwise(F.col("s"))

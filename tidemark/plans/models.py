@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import asof, evaluation, fits, hawkes, laws, micro, regression, waves
 from ..operators.shared import stash
-from .queries import DAILY, X_IMPACT, returns, symbol_pairs
+from .queries import DAILY, X_IMPACT, mean_responses, returns, symbol_pairs
 from .registry import query, r, rounded
 from .studies import impact
 from .views import TRADES, table, trades
@@ -115,7 +115,7 @@ def wave_profiles(spark: SparkSession, d: str) -> DataFrame:
 
 def spectrum_entries(spark: SparkSession, d: str) -> DataFrame:
     """side (left or right) and x: the entries of the singular vectors of the matrix of mean next-day responses."""
-    made = fits.matrix_spectrum(impact(spark, d, 1.5), "mean")
+    made = fits.matrix_spectrum(mean_responses(spark, d), "mean")
     return spark.createDataFrame([(side, float(x)) for side in ("left", "right") for x in made[side].ravel()], "side string, x double")
 
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import special
 from .shared import stash
 from .stats import detrended_covariance
 
@@ -338,9 +339,10 @@ def range_then_test(tr: DataFrame, st: DataFrame, within: int) -> DataFrame:
 
 
 def forward_after(windows: DataFrame, bars: DataFrame, horizon: int) -> DataFrame:
-    """Mean log return over the horizon after valid windows become known, beside that of all bars."""
+    """Mean log return over the horizon after valid windows become known, beside that of all bars; returns across zero are NaN and count."""
     w = Window.partitionBy("symbol").orderBy("bar_idx")
-    ahead = bars.select("symbol", "bar_idx", F.ln(F.lead("close", horizon).over(w) / F.col("close")).alias("fwd")).where("fwd is not null")
+    later = bars.select("symbol", "bar_idx", "close", F.lead("close", horizon).over(w).alias("_later"))
+    ahead = later.select("symbol", "bar_idx", special.log_ratio(F.col("_later"), F.col("close")).alias("fwd")).where("fwd is not null")
     hit = windows.where("valid").select("symbol", F.col("known").alias("bar_idx")).distinct().withColumn("hit", F.lit(True))
     rows = ahead.join(hit, ["symbol", "bar_idx"], "left")
     return rows.groupBy("symbol").agg(F.avg(F.when(F.col("hit"), F.col("fwd"))).alias("after"), F.avg("fwd").alias("always"), F.count("hit").alias("n"))

@@ -42,7 +42,7 @@ def bucket_of(levels: Column, price: Column) -> Column:
     """i with level[i] <= price < level[i + 1], 0 where there is none: a closed form checked against its neighbours."""
     n = F.size(levels)
     low, step = levels[0], F.log(levels[1] / levels[0])
-    guess = F.greatest(F.lit(0), F.least(F.floor(F.log(price / low) / step).cast("int"), n - 2))
+    guess = F.when(price > low, F.greatest(F.lit(0), F.least(F.floor(F.log(price / low) / step).cast("int"), n - 2))).otherwise(0)
     near = F.filter(F.array(guess, F.greatest(guess - 1, F.lit(0)), F.least(guess + 1, n - 2)), lambda i: (levels[i] <= price) & (price < levels[i + 1]))
     return F.coalesce(F.get(near, F.lit(0)), F.lit(0))
 
@@ -50,7 +50,8 @@ def bucket_of(levels: Column, price: Column) -> Column:
 def levels_below(levels: Column, price: Column) -> Column:
     """How many levels lie strictly below price: a closed form checked against its neighbours."""
     n = F.size(levels)
-    guess = F.greatest(F.lit(0), F.least(F.ceil(F.log(price / levels[0]) / F.log(levels[1] / levels[0])).cast("int"), n))
+    # prices at or below the lowest level, zero and negative ones too, have none below them
+    guess = F.when(price > levels[0], F.greatest(F.lit(0), F.least(F.ceil(F.log(price / levels[0]) / F.log(levels[1] / levels[0])).cast("int"), n))).otherwise(0)
     under = F.when((guess > 0) & (F.get(levels, guess - 1) >= price), guess - 1).otherwise(guess)
     return F.when((under < n) & (F.get(levels, under) < price), under + 1).otherwise(under)
 
@@ -108,7 +109,7 @@ def crossing_sweep(bars: DataFrame, sizes: DataFrame, lower: float, upper: float
     moves are the trades.  Crossings between the first open and the last close are no arbitrage.
 
     Bars fold in blocks of time to summaries and these merge in order, so one task never holds a whole series.
-    Prices must lie inside the levels; sizes is a small parameter table (broadcast by its row count).  With a column
+    Prices outside the levels, whatever their sign, touch the outermost ones; sizes is a small parameter table (broadcast by its row count).  With a column
     symbol, sizes has each symbol's own.
     """
     from pyspark.sql import Window

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import special
+
 
 def _frame(n: int, key: str = "symbol", ts: str = "ts"):  # noqa: ANN202
     return Window.partitionBy(key).orderBy(ts).rowsBetween(-n + 1, 0)
@@ -68,11 +70,14 @@ def aroon(df: DataFrame, n: int = 14) -> DataFrame:
 
 
 def range_volatility(df: DataFrame, n: int = 20) -> DataFrame:
-    """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang volatilities over n bars."""
+    """Parkinson, Garman-Klass, Rogers-Satchell and Yang-Zhang volatilities over n bars.
+
+    Bars across zero make the frames that hold them NaN; means below zero of the second and third kind, which have no root, count as zero.
+    """
     before = F.lag("close").over(Window.partitionBy("symbol").orderBy("ts"))
-    hl, co, hc, ho, lc, lo = (F.ln(F.col(a) / F.col(b)) for a, b in (("high", "low"), ("close", "open"), ("high", "close"), ("high", "open"), ("low", "close"), ("low", "open")))
-    rows = df.withColumns({"_pk": hl * hl / (4 * math.log(2)), "_gk": hl * hl / 2 - (2 * math.log(2) - 1) * co * co, "_rs": hc * ho + lc * lo, "_o": F.ln(F.col("open") / before), "_c": co})
+    hl, co, hc, ho, lc, lo = (special.log_ratio(F.col(a), F.col(b)) for a, b in (("high", "low"), ("close", "open"), ("high", "close"), ("high", "open"), ("low", "close"), ("low", "open")))
+    rows = df.withColumn("_before", before).withColumns({"_pk": hl * hl / (4 * math.log(2)), "_gk": hl * hl / 2 - (2 * math.log(2) - 1) * co * co, "_rs": hc * ho + lc * lo, "_o": special.log_ratio(F.col("open"), F.col("_before")), "_c": co})
     f = _frame(n)
     k = 0.34 / (1.34 + (n + 1) / (n - 1))
     yz = F.var_samp("_o").over(f) + k * F.var_samp("_c").over(f) + (1 - k) * F.avg("_rs").over(f)
-    return rows.withColumns({"parkinson": F.sqrt(F.avg("_pk").over(f)), "garman_klass": F.sqrt(F.avg("_gk").over(f)), "rogers_satchell": F.sqrt(F.avg("_rs").over(f)), "yang_zhang": F.sqrt(yz)}).drop("_pk", "_gk", "_rs", "_o", "_c")
+    return rows.withColumns({"parkinson": F.sqrt(F.avg("_pk").over(f)), "garman_klass": F.sqrt(F.greatest(F.avg("_gk").over(f), F.lit(0.0))), "rogers_satchell": F.sqrt(F.greatest(F.avg("_rs").over(f), F.lit(0.0))), "yang_zhang": F.sqrt(yz)}).drop("_before", "_pk", "_gk", "_rs", "_o", "_c")

@@ -73,12 +73,20 @@ def shuffled(df: DataFrame, x: str, key: str = "symbol", order: str = "bar_idx",
 
 
 def tail_forms(df: DataFrame, x: str, by: list[str], bins: int = 40) -> DataFrame:
-    """R^2 of straight lines through the log density against x and against ln x: an exponential and a power tail."""
+    """R^2 of straight lines through the log density against x and against ln x: an exponential and a power tail.
+
+    Values that are NaN lie in the last bin, and so do all values of a group that has one; a line through one bin, or through bins of equal counts, has R^2 NaN.
+    """
     w = Window.partitionBy(*by)
     top = df.where(F.col(x) > 0).withColumn("_m", F.max(x).over(w))
-    hist = top.groupBy(*by, F.least(F.floor(F.col(x) / F.col("_m") * bins), F.lit(bins - 1)).alias("b")).agg(F.count("*").alias("n"), F.first("_m").alias("_m"))
+    part = F.col(x) / F.col("_m") * bins
+    hist = top.groupBy(*by, F.when(F.isnan(part), bins - 1).otherwise(F.least(F.floor(part), F.lit(bins - 1))).alias("b")).agg(F.count("*").alias("n"), F.first("_m").alias("_m"))
     mid = (F.col("b") + 0.5) / bins * F.col("_m")
-    return hist.groupBy(*by).agg(F.regr_r2(F.ln("n"), mid).alias("r2_exponential"), F.regr_r2(F.ln("n"), F.ln(mid)).alias("r2_power"))
+
+    def r2(a: Column, b: Column) -> Column:
+        return special.ratio(F.covar_pop(a, b) ** 2, F.var_pop(a) * F.var_pop(b))
+
+    return hist.groupBy(*by).agg(r2(F.ln("n"), mid).alias("r2_exponential"), r2(F.ln("n"), F.ln(mid)).alias("r2_power"))
 
 
 def bessel_profile(profile: DataFrame, by: list[str], price: str = "price", share: str = "share") -> DataFrame:
